@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, slices, text_bytes
+from tessella.llm.common import materialize, renamed, slices, text_bytes
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FOUND = "doc_id long, text string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
@@ -157,7 +157,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, remove:
     columns = docs.columns
     # Own columns go under neutral names meanwhile, as they may clash with the scan's.
     back = {c: f"_own_{i}" for i, c in enumerate(columns) if c not in ("doc_id", "text")}
-    found = scan(docs.withColumnsRenamed(back), benchmark, n=n, block_bytes=block_bytes, keep=list(back.values()))
+    found = scan(renamed(docs, back), benchmark, n=n, block_bytes=block_bytes, keep=list(back.values()))
     if remove == "documents":
         return found.where("n_hit = 0").select(*[F.col(back.get(c, c)).alias(c) for c in columns])
 
