@@ -89,25 +89,28 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, 32-gram identifiers and identifiers of the surroundings, of the anchors of a text."""
+def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
+    """The anchors of a text: place, 32-gram identifier, identifier of the span of all strings of
+    which it is the anchor, and the least and greatest offset of the anchor inside those strings."""
     n, back = len(text), length - GRAM
     raw = np.frombuffer(text, np.uint8)
     found = []
-    for s in range(0, n, PIECE):
-        if n < length:
-            break
+    for s in range(0, n if n >= length else 0, PIECE):
         lo, hi = max(0, s - 2 * back), min(n, s + PIECE + 2 * length)
         ids = doubled(raw[lo:hi], (GRAM, BLOCK))
         grams, blocks = ids[GRAM], ids[BLOCK]
         order = (grams >> U(21) << U(21)) | np.arange(len(grams), dtype=np.uint64)
-        at = np.unique(sliding_least(order, back + 1) & U((1 << 21) - 1)).astype(np.int64)
-        at = at[(at + lo >= s) & (at + lo < s + PIECE)]
-        left, right = np.minimum(back, at + lo), np.minimum(length, n - at - lo)
-        hull = joined(spanned(blocks, at - left, left + right), (left * 1024 + right).astype(np.uint64))
-        found.append((at + lo, grams[at], hull))
+        of_string = (sliding_least(order, back + 1) & U((1 << 21) - 1)).astype(np.int64)  # never falls
+        first = np.flatnonzero(np.concatenate([[True], of_string[1:] != of_string[:-1]]))
+        last = np.append(first[1:], len(of_string)) - 1
+        at = of_string[first]
+        own = (at + lo >= s) & (at + lo < s + PIECE)
+        at, first, last = at[own], first[own], last[own]
+        low, high = at - last, at - first
+        hull = joined(spanned(blocks, first, last - first + length), (low * 1024 + high).astype(np.uint64))
+        found.append((at + lo, grams[at], hull, low, high))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -126,129 +129,128 @@ def _anchors(length: int, grams_only: bool):
                     some, n = np.unique(grams, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n)], names=["gram", "n"])
                     continue
-                counts = [len(p[0]) for p in parts]
-                rows = pa.array(np.repeat(np.arange(len(parts)), counts))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["k"].take(rows), batch["s"].take(rows), pa.array(np.concatenate([p[0] for p in parts])), pa.array(grams.view(np.int64)), pa.array(np.concatenate([p[2] for p in parts]).view(np.int64))],
-                    names=["k", "s", "at", "gram", "hull"],
-                )
+                rows = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
+                at, _, hull, low, high = (np.concatenate([p[x] for p in parts]) for x in range(5))
+                place = at * 65536 + low * 256 + high
+                yield pa.RecordBatch.from_arrays([batch["k"].take(rows), batch["s"].take(rows), pa.array(place), pa.array(grams.view(np.int64)), pa.array(hull.view(np.int64))], names=["k", "s", "place", "gram", "hull"])
 
     return run
 
 
-def _surroundings(length: int):
-    """For each listed anchor of a document: the bytes around it, clipped at the document's ends."""
-    back = length - GRAM
+def _strings(length: int):
+    """For each listed anchor of a document: the span of the strings that it is the anchor of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 k, s, lists = batch["k"].to_pylist(), batch["s"].to_pylist(), batch["anchors"].to_pylist()
-                rows = [(k[i], s[i], a["at"], a["gram"], a["alone"], min(back, a["at"]), t[max(0, a["at"] - back) : a["at"] + length]) for i, t in enumerate(text_bytes(batch["text"])) for a in lists[i]]
-                columns = list(zip(*rows)) if rows else [()] * 7
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "s", "at", "gram", "alone", "before", "around"])
+                rows = []
+                for i, text in enumerate(text_bytes(batch["text"])):
+                    for a in lists[i]:
+                        at, low, high = a["place"] >> 16, a["place"] >> 8 & 255, a["place"] & 255
+                        rows.append((k[i], s[i], a["place"], a["gram"], a["alone"], text[at - high : at - low + length]))
+                columns = list(zip(*rows)) if rows else [()] * 6
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "s", "place", "gram", "alone", "span"])
 
     return run
 
 
+RUN = 13
+
+
 def _refined(length: int, run_of: int):
     """One row for each run of ``run_of`` offsets of each anchor: identifiers of what the run's
-    strings have in common (bucket) and span together (hull), and where they start and end.
-    A ``first`` column limits an anchor to the 13 offsets from there on."""
+    strings have in common (bucket) and of what those strings that the anchor is of span (hull).
+
+    ``ref`` holds the anchor's number, the run's first offset and whether the anchor is open. Where
+    a list of ``runs`` comes along, an anchor is refined inside those 13 offsets only."""
     back = length - GRAM
     wide = back + length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                m, before = batch.num_rows, batch["before"].to_numpy().astype(np.int64)
-                around = batch["around"].to_pylist()
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                m, place = batch.num_rows, batch["place"].to_numpy()
+                least, most = (place >> 8 & 255)[:, None], (place & 255)[:, None]
                 raw = np.zeros((m, wide), np.uint8)
-                size = np.array([len(a) for a in around], np.int64)
-                for i, a in enumerate(around):
-                    raw[i, back - before[i] : back - before[i] + len(a)] = np.frombuffer(a, np.uint8)
+                for i, (span, high) in enumerate(zip(batch["span"].to_pylist(), most[:, 0].tolist())):
+                    raw[i, back - high : back - high + len(span)] = np.frombuffer(span, np.uint8)
                 blocks = doubled(raw, (BLOCK,))[BLOCK]
-                per = blocks.shape[1]
-                runs = np.arange(0, back + 1, run_of) if "first" not in batch.schema.names else np.arange(0, RUN, run_of)
-                low = np.broadcast_to(runs, (m, len(runs))) + (batch["first"].to_numpy().astype(np.int64)[:, None] if "first" in batch.schema.names else 0)
-                high = np.minimum(low + run_of - 1, back)
-                own, end = (back - before)[:, None], (back - before + size)[:, None]
-                inner, stop = back - low, back - high + length
-                fits = (inner >= own) & (stop <= end) & (low <= back)
-                row, col = np.nonzero(fits)
-                inner, stop, low, high = inner[fits], stop[fits], low[fits], high[fits]
-                left, right = np.maximum(back - high, own[:, 0][row]), np.minimum(back - low + length, end[:, 0][row])
+                low = np.broadcast_to(np.arange(0, back + 1, run_of), (m, (back + run_of) // run_of))
+                fits = (low <= most) & (low + run_of - 1 >= least)
+                if "runs" in batch.schema.names:
+                    allowed = np.zeros((m, back + RUN), bool)
+                    for i, runs in enumerate(batch["runs"].to_pylist()):
+                        for first in runs:
+                            allowed[i, first : first + RUN] = True
+                    fits &= allowed[:, : low.shape[1]]
+                row, _ = np.nonzero(fits)
+                low = low[fits]
+                a, b = np.maximum(low, least[row, 0]), np.minimum(low + run_of - 1, most[row, 0])
+                flat = row * blocks.shape[1] + back
+                size = np.full(len(row), length - run_of + 1)
                 gram = batch["gram"].to_numpy().view(np.uint64)[row]
-                bucket = joined(joined(gram, spanned(blocks, row * per + inner, stop - inner)), low.astype(np.uint64))
-                hull = joined(spanned(blocks, row * per + left, right - left), ((left - back + 1000) * 4096 + right).astype(np.uint64))
-                place = batch["at"].to_numpy()[row] - back
-                take = pa.array(row)
-                kept = [batch[c].take(take) for c in ("k", "s", "at", "gram", "alone", "before")] + ([batch["around"].take(take)] if run_of > 1 else [])
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(bucket.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(low.astype(np.int32)), pa.array(place + left), pa.array(place + right)],
-                    names=["k", "s", "at", "gram", "alone", "before", *(["around"] if run_of > 1 else []), "bucket", "hull", "first", "start", "end"],
-                )
+                bucket = joined(joined(gram, spanned(blocks, flat - low, size)), low.astype(np.uint64))
+                ref = (batch["nid"].to_numpy()[row] << 9) | (low << 1) | batch["alone"].to_numpy(zero_copy_only=False)[row]
+                out = [pa.array(bucket.view(np.int64)), pa.array(ref.astype(np.int64))]
+                if run_of > 1:
+                    hull = joined(spanned(blocks, flat - b, b - a + length), (a * 1024 + b).astype(np.uint64))
+                    out.append(pa.array(hull.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(out, names=["bucket", "ref", "hull"][: len(out)])
 
     return run
 
 
-RUN = 13
-ANCHOR = "k long, s long, at long, gram long, alone boolean, before int"
-
-
-def _buckets(rows: DataFrame) -> DataFrame:
-    """(bucket, hull, hull_n, hulls): for buckets with more than one member."""
-    hulls = rows.groupBy("bucket", "hull").agg(F.count("*").alias("hull_n"), F.max("alone").alias("open"))
-    whole = hulls.groupBy(F.col("bucket").alias("of")).agg(F.sum("hull_n").alias("n"), F.count("*").alias("hulls"), F.max("open").alias("some_open")).where("n > 1 AND some_open")
-    return hulls.join(whole, hulls["bucket"] == whole["of"]).select(F.col("bucket").alias("b"), F.col("hull").alias("h"), "hull_n", "hulls")
-
-
 def repeats(docs: DataFrame, *, length: int = 200) -> DataFrame:
-    """(k, s, runs) for documents, as ``keyed`` names them, with bytes that a repeated string of
-    ``length`` bytes covers; runs: maximal (start, end), in order."""
+    """(k, s, spans) for documents, as ``keyed`` names them, with bytes that a repeated string of
+    ``length`` bytes covers; spans: (start, end) that cover them, in no order."""
     if not 160 <= length <= 200:
         raise ValueError("length is between 160 and 200")
-    texts = keyed(docs)
-    long = texts.where(F.octet_length("text") >= length)
+    long = keyed(docs).where(F.octet_length("text") >= length)
 
+    # Buckets by 32-gram, and by all strings of the anchor.
     grams = long.mapInArrow(_anchors(length, True), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("gram").alias("g"))
-    anchors = long.mapInArrow(_anchors(length, False), "k long, s long, at long, gram long, hull long")
+    anchors = long.mapInArrow(_anchors(length, False), "k long, s long, place long, gram long, hull long")
     anchors = materialize(anchors.join(grams, anchors["gram"] == F.col("g"), "left_semi"), "anchors")
-
-    hulls = anchors.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("k", "s", "at")).alias("one"))
-    hulls = materialize(hulls, "hulls")
+    hulls = materialize(anchors.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("k", "s", "place")).alias("one")), "hulls")
     mixed = hulls.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("hulls")).where("hulls > 1")
-    back = length - GRAM
     twins = hulls.where("n > 1").select(F.col("gram").alias("g"), F.col("hull").alias("h"))
     whole = anchors.join(twins, (anchors["gram"] == F.col("g")) & (anchors["hull"] == F.col("h")), "left_semi")
-    covered = whole.select("k", "s", F.greatest(F.col("at") - back, F.lit(0)).alias("start"), (F.col("at") + length).alias("end"))
+    at, low, high = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
+    covered = whole.select("k", "s", (at - high).alias("start"), (at - low + length).alias("end"))
 
+    # The strings of the anchors that are left, one of equal ones.
     unsure = hulls.join(mixed, hulls["gram"] == mixed["g"], "left_semi").select("one.*", "gram", (F.col("n") == 1).alias("alone"))
-    listed = unsure.groupBy("k", "s").agg(F.collect_list(F.struct("at", "gram", "alone")).alias("anchors"))
-    listed = listed.select(F.col("k").alias("lk"), F.col("s").alias("ls"), "anchors")
-    once = long.join(listed, (long["k"] == listed["lk"]) & (long["s"] == listed["ls"])).select("k", "s", "text", "anchors")
-    near = materialize(once.mapInArrow(_surroundings(length), ANCHOR + ", around binary").dropDuplicates(["k", "s", "at"]), "surroundings")
-
-    runs = materialize(near.mapInArrow(_refined(length, RUN), ANCHOR + ", around binary, bucket long, hull long, first int, start long, end long").drop("around"), "runs")
-    known = materialize(_buckets(runs), "buckets")
-    runs = runs.join(known, (runs["bucket"] == known["b"]) & (runs["hull"] == known["h"])).drop("b", "h")
-    runs = materialize(runs, "unsure")
-    parts = [covered, runs.where("alone AND hull_n > 1").select("k", "s", "start", "end")]
-
-    split = runs.where("hulls > 1")
-    split = split.where("hull_n = 1").select("k", "s", "at", "first", "alone").unionByName(split.where("hull_n > 1").groupBy("bucket", "hull").agg(F.min(F.struct("k", "s", "at", "first")).alias("one")).select("one.*", F.lit(False).alias("alone")))
-    split = split.select(F.col("k").alias("sk"), F.col("s").alias("ss"), F.col("at").alias("sat"), "first", F.col("alone").alias("still"))
-    single = near.join(split, (near["k"] == split["sk"]) & (near["s"] == split["ss"]) & (near["at"] == split["sat"])).select("k", "s", "at", "gram", F.col("still").alias("alone"), "before", "around", "first")
-    single = single.mapInArrow(_refined(length, 1), ANCHOR + ", bucket long, hull long, first int, start long, end long").select("k", "s", "alone", "bucket", "start", "end")
-    single = materialize(single, "single")
-    twice = single.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n")).where("n > 1")
-    parts.append(single.where("alone").join(twice, F.col("bucket") == F.col("b"), "left_semi").select("k", "s", "start", "end"))
-
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    found = every.groupBy("k", "s").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return found
+    listed = unsure.groupBy(F.col("k").alias("lk"), F.col("s").alias("ls")).agg(F.collect_list(F.struct("place", "gram", "alone")).alias("anchors"))
+    once = long.join(listed, (long["k"] == F.col("lk")) & (long["s"] == F.col("ls"))).select("k", "s", "text", "anchors")
+    near = once.mapInArrow(_strings(length), "k long, s long, place long, gram long, alone boolean, span binary")
+    near = materialize(near.withColumn("nid", F.monotonically_increasing_id()), "near")
+
+    # Buckets by runs of offsets. A bucket counts if it has two members and an open one.
+    runs = materialize(near.mapInArrow(_refined(length, RUN), "bucket long, ref long, hull long"), "runs")
+    is_open = F.max(F.col("ref").bitwiseAND(1))
+    kinds = runs.groupBy("bucket").agg(F.count("*").alias("n"), is_open.alias("open"), F.min("hull").alias("a"), F.max("hull").alias("b")).where("n > 1 AND open = 1")
+    kinds = kinds.select(F.col("bucket").alias("of"), (F.col("a") != F.col("b")).alias("mixed"))
+    runs = materialize(runs.join(kinds, runs["bucket"] == F.col("of")).drop("of"), "shared-runs")
+    alike = runs.groupBy(F.col("bucket").alias("ab"), F.col("hull").alias("ah")).agg(F.count("*").alias("m"), F.min("ref").alias("one")).where("m > 1")
+    runs = materialize(runs.join(alike, (runs["bucket"] == F.col("ab")) & (runs["hull"] == F.col("ah")), "left").select("ref", "mixed", "m", "one"), "known-runs")
+    nid, first = F.shiftright("ref", 9), F.shiftright("ref", 1).bitwiseAND(255)
+    whole_runs = runs.where("m IS NOT NULL AND ref % 2 = 1").select(nid.alias("id"), first.alias("first"), F.lit(RUN).alias("span"))
+
+    # Buckets by single offsets, for runs that are in part alike; of equal runs, one goes on.
+    split = runs.where("mixed AND (m IS NULL OR ref = one)").select(nid.alias("id"), first.alias("first"), (F.col("m").isNull() & (F.col("ref") % 2 == 1)).alias("still"))
+    split = split.groupBy("id").agg(F.collect_list("first").alias("runs"), F.collect_list(F.when(F.col("still"), F.col("first"))).alias("open_runs"))
+    single = near.join(split, near["nid"] == split["id"]).select("nid", "place", "gram", "alone", "span", "runs")
+    single = materialize(single.mapInArrow(_refined(length, 1), "bucket long, ref long"), "single")
+    twice = single.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n"), is_open.alias("open")).where("n > 1 AND open = 1")
+    ones = single.where("ref % 2 = 1").join(twice, F.col("bucket") == F.col("b"), "left_semi").select(nid.alias("id"), first.alias("first"), F.lit(1).alias("span"))
+
+    found = whole_runs.unionByName(ones).groupBy("id").agg(F.collect_list(F.struct("first", "span")).alias("parts"))
+    more = near.join(found, near["nid"] == found["id"]).select("k", "s", at.alias("at"), low.alias("low"), high.alias("high"), F.explode("parts").alias("p"))
+    more = more.select("k", "s", (F.col("at") - F.least(F.col("p.first") + F.col("p.span") - 1, F.col("high"))).alias("start"), (F.col("at") - F.greatest("p.first", "low") + length).alias("end"))
+    return covered.unionByName(more).groupBy("k", "s").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
