@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import decontam, mixing, simhash, substrings
+from tessella.llm import chat, decontam, knn, mixing, quality, simhash, substrings, tokencount, toxicity, urls
 from tessella.llm.common import read
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(read(spark, sf_dir, "documents"))
 
@@ -20,16 +25,43 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
-    "op2_suffix_array_dedup": op2_suffix_array_dedup,
-    "op3_benchmark_decontamination": op3_benchmark_decontamination,
-    "op4_simhash_near_dedup": op4_simhash_near_dedup,
-    "op9_mixing": op9_mixing,
-}
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_suffix_array_dedup, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_toxicity, op6_chat_formatting,
+        op7_token_counts, op8_exact_top_k, op9_mixing, op10_quality_classifier, pipeline,
+    )
+}
 
 ORACLE = {
     "op3_benchmark_decontamination": r"""
@@ -74,4 +106,21 @@ SELECT doc_id, size, source_size, target,
           - coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END)::BIGINT AS taken,
        s.source
 FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source""",
+    "op6_chat_formatting": r"""
+WITH talks AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn) AS turns,
+         string_agg('<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY turn) AS text
+  FROM conversations GROUP BY conv_id),
+alike AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(text) AS text FROM talks GROUP BY turns)
+SELECT a.conv_id, len(a.turns)::BIGINT AS n_turns, a.n_copies, a.text FROM alike a
+WHERE NOT EXISTS (SELECT 1 FROM alike b WHERE len(b.turns) > len(a.turns) AND b.turns[1:len(a.turns)] = a.turns)""",
+    "op8_exact_top_k": """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+  FROM ok q JOIN ok c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
 }

@@ -144,7 +144,6 @@ def _meet(crowd: int):
 
 def links(distinct: DataFrame, *, crowd: int = 2048) -> DataFrame:
     """Edges (a, b) whose components are those of all links between the fingerprints ``fp``."""
-    spark = distinct.sparkSession
     balls = [(g, signed(((1 << 64) - 1) ^ mask), signed(1 << b if b < 64 else 0)) for g, mask in enumerate(GROUPS) for b in [64, *(b for b in range(64) if not mask >> b & 1)]]
     literal = ", ".join(f"struct(tinyint({g}) AS g, bigint('{keep}') AS keep, bigint('{flip}') AS flip)" for g, keep, flip in balls)
     rows = distinct.select("fp", F.expr(f"explode(array({literal}))").alias("v"))
@@ -155,10 +154,12 @@ def links(distinct: DataFrame, *, crowd: int = 2048) -> DataFrame:
     edges = edges.where("a <> b")
     if not crowded.head(1):
         return edges
-    masks = [(0, 0), *((1, 1 << i) for i in range(64)), *((2, 1 << i | 1 << j) for i in range(64) for j in range(i))]
-    table = spark.createDataFrame([(r, signed(m)) for r, m in masks], "r int, flip long").coalesce(1)
-    full = crowded.join(F.broadcast(table), how="cross").select("fp", "r", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
-    hubs = full.where("r <= 1").groupBy("place").agg(F.min("fp").alias("hub"))
+    # Bits i and j are flipped; 64 stands for none, so i = j = 64 is the fingerprint itself.
+    full = crowded.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(64))))
+    full = full.withColumn("j", F.explode(F.when(F.col("i") < 64, F.sequence(F.col("i") + 1, F.lit(64))).otherwise(F.array(F.lit(64)))))
+    bit = lambda c: F.when(F.col(c) < 64, F.expr(f"shiftleft(1L, {c})")).otherwise(F.lit(0).cast("long"))
+    full = full.select("fp", F.col("fp").bitwiseXOR(bit("i")).bitwiseXOR(bit("j")).alias("place"), (F.col("j") == 64).alias("close"))
+    hubs = full.where("close").groupBy("place").agg(F.min("fp").alias("hub"))
     more = full.join(hubs, "place").where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     return edges.unionByName(materialize(more, "links-full"))
 
