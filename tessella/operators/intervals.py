@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import normal_z, sigmoid
@@ -40,10 +40,9 @@ def critical_value(df: DataFrame, keys: Sequence[str], y: str, eta: str, var: st
         low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
         q = F.get("s", low) + (F.get("s", high) - F.get("s", low)) * (at - F.floor(at))
         return both.select(*keys, q.alias("q_hat"), "n")
-    from pyspark.sql import Window
-
-    on = [rows[k].eqNullSafe(sums[k]) for k in keys]
-    binned = rows.join(sums, on).select(*[rows[k] for k in keys], "score", "n", F.least(F.lit(bins - 1), F.floor(F.col("score") / F.greatest("top", F.lit(1e-300)) * bins)).alias("bin"), at.alias("at"))
+    sums = sums.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "n", "top")
+    joined = rows.join(sums, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]) if keys else rows.join(sums)
+    binned = joined.select(*keys, "score", "n", F.least(F.lit(bins - 1), F.floor(F.col("score") / F.greatest("top", F.lit(1e-300)) * bins)).alias("bin"), at.alias("at"))
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("m"), F.first("at").alias("at"), F.first("n").alias("n"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("before", before).where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("m") > F.floor("at")))

@@ -424,12 +424,12 @@ def spatial_features(points: DataFrame, centres: DataFrame, kind: str = "wendlan
 
 def temporal_features(t: Column, counts: Sequence[int] = (10, 15, 45), factor: float = 2.5) -> Column:
     """array<double>: Gaussian bumps over [0, 1]."""
-    parts = []
-    for n in counts:
+    def bumps(n: int) -> Column:
         gap = 1 / (n - 1) if n > 1 else 1.0
-        scaled = lambda i, gap=gap: (t - i * gap) / (factor * gap)
-        parts.append(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i, s=scaled: F.exp(-0.5 * s(i) * s(i))))
-    return F.concat(*parts)
+        scaled = lambda i: (t - i * gap) / (factor * gap)
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.exp(-0.5 * scaled(i) * scaled(i)))
+
+    return F.concat(*[bumps(n) for n in counts])
 
 
 def drawn_centres(points: DataFrame, counts: Sequence[int], seed: int, key: str = "point_id") -> DataFrame:

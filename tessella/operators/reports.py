@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessella.functions.scalars import mean_se_text, number
 
@@ -79,7 +80,7 @@ def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     return np.where(flip, 1 - front, front)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = t.notna() & (df > 0)
     out = pd.Series(np.nan, index=t.index).where(ok).astype("float64")
@@ -115,10 +116,11 @@ def best_of(df: DataFrame, key: str, value: str, largest: bool = True) -> DataFr
 
 
 def representative_seed(df: DataFrame, value: str) -> DataFrame:
-    """The seed whose mean is closest to the median of all seeds' means."""
+    """The seed whose mean is closest (to 9 digits) to the median of all seeds' means; the smaller
+    seed on ties, which an even number of seeds always has."""
     means = df.groupBy("seed").agg(F.avg(value).alias("mean"))
     middle = means.agg(F.percentile("mean", F.lit(0.5)).alias("middle"))
-    return means.join(middle).agg(F.min_by("seed", F.struct(F.abs(F.col("mean") - F.col("middle")), "seed")).alias("seed"))
+    return means.join(middle).agg(F.min_by("seed", F.struct(F.round(F.abs(F.col("mean") - F.col("middle")), 9), "seed")).alias("seed"))
 
 
 def off_diagonal(matrix: DataFrame, level: float) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessella.functions.scalars import distance
 
@@ -22,7 +23,7 @@ def pairs_within(sites: DataFrame, most: float, coordinates: Sequence[str] = XY,
     left = sites.select(F.col(key).alias("i"), *[F.col(c).alias(f"a_{c}") for c in coordinates], *[c.alias(f"_c{n}") for n, c in enumerate(cells)])
     right = sites.select(F.col(key).alias("j"), *[F.col(c).alias(f"b_{c}") for c in coordinates], *[c.alias(f"_c{n}") for n, c in enumerate(cells)])
     for n in range(len(cells)):
-        right = right.withColumn(f"_c{n}", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda s, n=n: F.col(f"_c{n}") + s)))
+        right = right.withColumn(f"_c{n}", F.explode(F.array(*[F.col(f"_c{n}") + step for step in (-1, 0, 1)])))
     h = distance([F.col(f"a_{c}") for c in coordinates], [F.col(f"b_{c}") for c in coordinates])
     return left.join(right, [f"_c{n}" for n in range(len(cells))]).where("i < j").select("i", "j", h.alias("h")).where(F.col("h") <= most)
 
@@ -129,7 +130,7 @@ def matern(h: np.ndarray, nu: float, scale: float = 1.0) -> np.ndarray:
 def matern_pairs(sites: DataFrame, nu: float = 1.0, scale: float = 0.08, coordinates: Sequence[str] = XY) -> DataFrame:
     """(i, j, v): correlation of every pair of sites, in blocks of Arrow rows; the matrix is what is
     asked for, so its size is the result's."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def of(h: pd.Series) -> pd.Series:
         return pd.Series(matern(h.to_numpy(), nu, scale))
 

@@ -25,7 +25,8 @@ from tessella.sources import tables as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 C = F.col
-Y, HAT = C("y_true"), C("y_pred")
+# Functions, as columns need a session.
+Y, HAT = lambda: C("y_true"), lambda: C("y_pred")
 
 
 def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, views: str = "", doubles: str = "") -> None:
@@ -51,16 +52,16 @@ RAW = "sqrt(avg((y_true - y_pred) ** 2)) AS rmse, avg(abs(y_true - y_pred)) AS m
 BY_SPLIT = f"SELECT seed, model, CASE WHEN grouping(split) = 1 THEN 'full' ELSE split END AS split, {RAW} FROM scored GROUP BY GROUPING SETS ((seed, model, split), (seed, model))"
 add("flagship_accuracy_records", accuracy, f"SELECT seed, model, split, metric, round_even(value, 6) AS value FROM (UNPIVOT ({BY_SPLIT}) ON rmse, mae, r2 INTO NAME metric VALUE value)", "scored", "value")
 add("ag5_accuracy_by_split", lambda s, d: M.by_split(V.scored(s, d), ["seed", "model"]), BY_SPLIT, "scored", "rmse mae r2")
-MASK = (C("t") % 2 == 0) & HAT.isNotNull()
+MASK = lambda: (C("t") % 2 == 0) & HAT().isNotNull()
 for n, f, q in (
     ("ag1_rmse", M.rmse, "sqrt(avg((y_true - y_pred) ** 2) FILTER (t % 2 = 0))"),
     ("ag2_mae", M.mae, "avg(abs(y_true - y_pred)) FILTER (t % 2 = 0)"),
     ("ag3_r2", M.r2, "1 - sum((y_true - y_pred) ** 2) FILTER (t % 2 = 0) / (var_pop(y_true) FILTER (t % 2 = 0 AND y_pred IS NOT NULL) * count(y_pred) FILTER (t % 2 = 0))"),
 ):
-    add(n, lambda s, d, f=f: V.scored(s, d).groupBy("model", "split").agg(f(Y, HAT, MASK).alias("value")), f"SELECT model, split, {q} AS value FROM scored GROUP BY ALL", "scored", "value")
-add("ag4_site_averaged", lambda s, d: M.site_averaged(V.scored(s, d).where(HAT.isNotNull()), ["model"], "y_true", "y_pred"),
+    add(n, lambda s, d, f=f: V.scored(s, d).groupBy("model", "split").agg(f(Y(), HAT(), MASK()).alias("value")), f"SELECT model, split, {q} AS value FROM scored GROUP BY ALL", "scored", "value")
+add("ag4_site_averaged", lambda s, d: M.site_averaged(V.scored(s, d).where(HAT().isNotNull()), ["model"], "y_true", "y_pred"),
     "SELECT model, sqrt(sum(e2) / sum(n)) AS rmse, sum(e1) / sum(n) AS mae, avg(CASE WHEN v > 0 THEN 1 - e2 / v WHEN e2 = 0 THEN 1 ELSE 0 END) AS r2 FROM (SELECT model, site_id, count(*) AS n, sum((y_true - y_pred) ** 2) AS e2, sum(abs(y_true - y_pred)) AS e1, var_pop(y_true) * count(*) AS v FROM scored WHERE y_pred IS NOT NULL GROUP BY ALL) GROUP BY model", "scored", "rmse mae r2")
-add("ag6_corrected_rmse", lambda s, d: P.of_split(V.scored(s, d), "test").groupBy("model").agg(M.rmse(Y, HAT + 0.1 * (Y - HAT)).alias("rmse")),
+add("ag6_corrected_rmse", lambda s, d: P.of_split(V.scored(s, d), "test").groupBy("model").agg(M.rmse(Y(), HAT() + 0.1 * (Y() - HAT())).alias("rmse")),
     "SELECT model, sqrt(avg((y_true - (y_pred + 0.1 * (y_true - y_pred))) ** 2)) AS rmse FROM scored WHERE split = 'test' GROUP BY model", "scored", "rmse")
 add("ag7_fusion_score", lambda s, d: V.trials(s, d).select("seed", "trial", S.fusion_score(C("rmse"), C("covfrob"), (C("trial") % 4).cast("double")).alias("score")),
     "SELECT seed, trial, CASE WHEN trial % 4 = 0 THEN rmse ELSE rmse + covfrob / (trial % 4) END AS score FROM trials", "trials", "score")
@@ -72,21 +73,21 @@ add("ag10_cross_entropy", lambda s, d: V.binary(s, d).groupBy("seed").agg(M.bce(
     "SELECT seed, avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) AS mean, sum(greatest(z, 0) - z * least(greatest(y, 1e-7), 1 - 1e-7) + ln(1 + exp(-abs(z)))) AS total FROM bin GROUP BY seed", "bin", "mean total")
 add("ag11_calibration_error", lambda s, d: M.calibration_error(V.binary(s, d), ["seed"], "y", "p"),
     "SELECT seed, sum(abs(p - o)) / sum(n) AS ece FROM (SELECT seed, greatest(ceil(p * 15), 1) AS b, count(*) AS n, sum(p) AS p, sum(y) AS o FROM bin GROUP BY ALL) GROUP BY seed", "bin", "ece")
-add("ag12_coverage", lambda s, d: V.intervals(s, d).groupBy("method", "split").agg(M.coverage(Y, C("lower"), C("upper")).alias("cp")),
+add("ag12_coverage", lambda s, d: V.intervals(s, d).groupBy("method", "split").agg(M.coverage(Y(), C("lower"), C("upper")).alias("cp")),
     "SELECT method, split, avg((y_true BETWEEN lower AND upper)::INT) AS cp FROM intervals WHERE lower IS NOT NULL GROUP BY ALL", "intervals", "cp")
 add("ag13_mean_width", lambda s, d: V.intervals(s, d).groupBy("method", "split").agg(M.mean_width(C("lower"), C("upper")).alias("mpiw")),
     "SELECT method, split, avg(upper - lower) AS mpiw FROM intervals GROUP BY ALL", "intervals", "mpiw")
-QS = [C(f"q{i}") for i in range(5)]
+QS = lambda: [C(f"q{i}") for i in range(5)]
 PIN = lambda q, i: f"greatest(({q} - 1) * (y_true - q{i}), {q} * (y_true - q{i}))"
-add("ag14_check_loss", lambda s, d: V.quantile_predictions(s, d).groupBy("seed").agg(M.pinball(Y, C("q3"), 0.75).alias("loss")), f"SELECT seed, avg({PIN(0.75, 3)}) AS loss FROM quant GROUP BY seed", "quant", "loss")
+add("ag14_check_loss", lambda s, d: V.quantile_predictions(s, d).groupBy("seed").agg(M.pinball(Y(), C("q3"), 0.75).alias("loss")), f"SELECT seed, avg({PIN(0.75, 3)}) AS loss FROM quant GROUP BY seed", "quant", "loss")
 CRPS = "2 * (" + " + ".join(f"{{w{i}}} * avg({PIN(q, i)})" for i, q in enumerate(V.LEVELS)) + ")"
 for kind in ("uniform", "trapezoidal"):
-    add(f"ag15_crps_{kind}", lambda s, d, k=kind: V.quantile_predictions(s, d).groupBy("seed").agg(M.crps(Y, QS, V.LEVELS, k).alias("crps")),
+    add(f"ag15_crps_{kind}", lambda s, d, k=kind: V.quantile_predictions(s, d).groupBy("seed").agg(M.crps(Y(), QS(), V.LEVELS, k).alias("crps")),
         f"SELECT seed, {CRPS.format(**{f'w{i}': w for i, w in enumerate(M.quantile_weights(V.LEVELS, kind))})} AS crps FROM quant GROUP BY seed", "quant", "crps")
-add("ag16_picp", lambda s, d: V.quantile_predictions(s, d).groupBy("seed").agg(M.picp(Y, QS, V.LEVELS).alias("picp")), "SELECT seed, avg((y_true BETWEEN q0 AND q4)::INT) AS picp FROM quant GROUP BY seed", "quant", "picp")
+add("ag16_picp", lambda s, d: V.quantile_predictions(s, d).groupBy("seed").agg(M.picp(Y(), QS(), V.LEVELS).alias("picp")), "SELECT seed, avg((y_true BETWEEN q0 AND q4)::INT) AS picp FROM quant GROUP BY seed", "quant", "picp")
 QICE = "(" + " + ".join(f"abs(avg((y_true BETWEEN q{i} AND q{i + 1})::INT) - 0.25)" for i in range(4)) + ") / 4"
-add("ag17_qice", lambda s, d: V.quantile_predictions(s, d).groupBy("seed").agg(M.qice(Y, QS).alias("qice")), f"SELECT seed, {QICE} AS qice FROM quant GROUP BY seed", "quant", "qice")
-add("ag18_evaluation_bundle", lambda s, d: V.quantile_predictions(s, d).groupBy("seed").agg(*M.bundle(Y, QS, V.LEVELS)),
+add("ag17_qice", lambda s, d: V.quantile_predictions(s, d).groupBy("seed").agg(M.qice(Y(), QS()).alias("qice")), f"SELECT seed, {QICE} AS qice FROM quant GROUP BY seed", "quant", "qice")
+add("ag18_evaluation_bundle", lambda s, d: V.quantile_predictions(s, d).groupBy("seed").agg(*M.bundle(Y(), QS(), V.LEVELS)),
     f"SELECT seed, avg((y_true - q2) ** 2) AS mse, avg(abs(y_true - q2)) AS mae, sqrt(avg((y_true - q2) ** 2)) AS rmse, avg({PIN(0.5, 2)}) AS check_loss, {CRPS.format(**{f'w{i}': 0.2 for i in range(5)})} AS crps, avg((y_true BETWEEN q0 AND q4)::INT) AS picp_90, avg((y_true BETWEEN q0 AND q4)::INT) AS coverage_90, {QICE} AS qice FROM quant GROUP BY seed", "quant", "mse mae rmse check_loss crps picp_90 coverage_90 qice")
 add("ag19_site_interval", lambda s, d: M.site_interval(V.binary(s, d), ["seed"], "y", "z", "var"),
     "SELECT seed, avg((share BETWEEN lo AND hi)::INT) AS coverage, avg(hi - lo) AS width FROM (SELECT seed, share, 1 / (1 + exp(-(m - 1.96 * e))) AS lo, 1 / (1 + exp(-(m + 1.96 * e))) AS hi FROM (SELECT seed, site_id, avg(z) AS m, sqrt(avg(var) / count(*)) AS e, avg(y) AS share FROM bin GROUP BY ALL)) GROUP BY seed", "bin", "coverage width")
@@ -122,10 +123,10 @@ add("pf5_standardised_target", lambda s, d: P.standardised(V.split_panel(s, d),
 for n, kind, q in (("pf6_standard_scaler", "standard", "avg({c}), stddev_pop({c})"), ("pf7_minmax_scaler", "minmax", "min({c}), max({c}) - min({c})")):
     add(n, lambda s, d, k=kind: P.fit_scaler(V.binary(s, d), ["z", "p", "var"], k), " UNION ALL ".join(f"SELECT '{c}' AS name, '{kind}' AS kind, {q.format(c=c).replace(', ', ' AS centre, ')} AS scale FROM bin" for c in ("z", "p", "var")), "bin", "centre scale")
 Z_STATS = "(SELECT avg(z) AS m, stddev_pop(z) AS sd FROM split_panel WHERE split = 'train')"
-_fit = lambda s, d: P.fit_scaler(V.split_panel(s, d), ["z"], where=C("split") == "train")
-add("pf8_transform", lambda s, d: P.transform(V.split_panel(s, d), _fit(s, d), ["z"]), f"SELECT site_id, t, (z - m) / sd AS z, split FROM split_panel, {Z_STATS}", "split_panel", "z")
-add("pf9_inverse_transform", lambda s, d: P.inverse_transform(P.transform(V.split_panel(s, d), _fit(s, d), ["z"]), _fit(s, d), ["z"]), "SELECT site_id, t, z, split FROM split_panel", "split_panel", "z")
-add("pf10_scaler_info", _fit, f"SELECT 'z' AS name, 'standard' AS kind, m AS centre, sd AS scale FROM {Z_STATS}", "split_panel", "centre scale")
+_scaler = lambda s, d: P.fit_scaler(V.split_panel(s, d), ["z"], where=C("split") == "train")
+add("pf8_transform", lambda s, d: P.transform(V.split_panel(s, d), _scaler(s, d), ["z"]), f"SELECT site_id, t, (z - m) / sd AS z, split FROM split_panel, {Z_STATS}", "split_panel", "z")
+add("pf9_inverse_transform", lambda s, d: P.inverse_transform(P.transform(V.split_panel(s, d), _scaler(s, d), ["z"]), _scaler(s, d), ["z"]), "SELECT site_id, t, z, split FROM split_panel", "split_panel", "z")
+add("pf10_scaler_info", _scaler, f"SELECT 'z' AS name, 'standard' AS kind, m AS centre, sd AS scale FROM {Z_STATS}", "split_panel", "centre scale")
 add("pf11_residual", lambda s, d: V.binary(s, d).groupBy("seed").agg(F.avg(S.residual(C("y"), C("z"), "binary")).alias("logit"), F.avg(S.residual(C("y"), C("p"))).alias("plain")),
     "SELECT seed, avg(ln(least(greatest(y, 1e-7), 1 - 1e-7) / (1 - least(greatest(y, 1e-7), 1 - 1e-7))) - z) AS logit, avg(y - p) AS plain FROM bin GROUP BY seed", "bin", "logit plain")
 CENTRED = "SELECT site_id, t, z - m AS z, split FROM split_panel JOIN (SELECT site_id, avg(z) AS m FROM split_panel WHERE split = 'train' GROUP BY site_id) USING (site_id)"
@@ -189,7 +190,7 @@ PAIR = [(i, b, g) for i, (b, g) in enumerate((b, g) for b in ("res_net", "vit")
 add("rt4_backbone_table", lambda s, d: R.cell_table(R.backbone_and_stage(R.test_rows(V.results(s, d))), s.createDataFrame(PAIR, "place int, backbone string, stage string"), ["backbone", "stage"], ["rmse", "mae", "r2"]),
     f"SELECT place, r.backbone, r.stage, {TEXT}, max(n_seeds) AS n_seeds FROM (VALUES {', '.join(map(str, PAIR))}) r(place, backbone, stage) JOIN ({MEANS}) m ON m.model = backbone || '_' || stage JOIN (SELECT model, count(DISTINCT seed) AS n_seeds FROM results WHERE split = 'test' GROUP BY model) s ON s.model = m.model GROUP BY place, r.backbone, r.stage", "results")
 add("rt5_one_backbone_table", lambda s, d: R.cell_table(R.backbone_and_stage(R.test_rows(V.results(s, d))).where("backbone = 'vit'"), s.createDataFrame([(0, "base"), (1, "full")], "place int, stage string"), ["stage"], ["mpiw"]),
-    "SELECT place, stage, printf('%.4f (%.4f)', mean, se) AS mpiw, n_seeds FROM (VALUES (0, 'base'), (1, 'full')) r(place, stage) JOIN (" + MEANS + ") m ON m.model = 'vit_' || stage AND metric = 'mpiw' JOIN (SELECT model, count(DISTINCT seed) AS n_seeds FROM results WHERE split = 'test' GROUP BY model) s ON s.model = m.model", "results")
+    "SELECT place, stage, CASE WHEN mean IS NULL THEN '--' ELSE printf('%.4f (%.4f)', mean, se) END AS mpiw, n_seeds FROM (VALUES (0, 'base'), (1, 'full')) r(place, stage) LEFT JOIN (" + MEANS + ") m ON m.model = 'vit_' || stage AND metric = 'mpiw' LEFT JOIN (SELECT model, count(DISTINCT seed) AS n_seeds FROM results WHERE split = 'test' GROUP BY model) s ON s.model = 'vit_' || stage", "results")
 add("rt6_test_rows", lambda s, d: R.test_rows(V.results(s, d)), "SELECT * FROM results WHERE split = 'test'", "results", "value")
 _wide = lambda s, d: V.results(s, d).groupBy("seed", "model").pivot("metric", ["rmse", "mae"]).agg(F.avg("value"))
 WIDE = "SELECT seed, model, avg(value) FILTER (metric = 'rmse') AS rmse, avg(value) FILTER (metric = 'mae') AS mae FROM results GROUP BY ALL"
@@ -199,7 +200,7 @@ add("rt9_time_summary", lambda s, d: R.time_summary(V.read(s, d, "orders").selec
 add("rt10_time_per_trial", lambda s, d: R.per_trial(V.trials(s, d).groupBy("seed").agg(F.sum("rmse").alias("total_s"), F.count("*").alias("n_trials"))), "SELECT seed, sum(rmse) AS total_s, count(*) AS n_trials, sum(rmse) / count(*) AS time_per_trial FROM trials GROUP BY seed", "trials", "total_s time_per_trial")
 add("rt11_quartiles", lambda s, d: R.quartiles(V.trials(s, d), "tau1", "rmse"), "SELECT tau1, quantile_cont(rmse, 0.25) AS q25, quantile_cont(rmse, 0.5) AS median, quantile_cont(rmse, 0.75) AS q75 FROM trials GROUP BY tau1", "trials", "tau1 q25 median q75")
 add("rt11_best_penalty", lambda s, d: R.best_of(R.quartiles(V.trials(s, d), "tau1", "rmse"), "tau1", "median").select("tau1"), "SELECT tau1 FROM trials GROUP BY tau1 ORDER BY quantile_cont(rmse, 0.5) DESC, tau1 LIMIT 1", "trials")
-add("rt12_representative_seed", lambda s, d: R.representative_seed(V.trials(s, d), "rmse"), "SELECT seed FROM (SELECT seed, avg(rmse) AS m FROM trials GROUP BY seed), (SELECT median(m) AS mid FROM (SELECT avg(rmse) AS m FROM trials GROUP BY seed)) ORDER BY abs(m - mid), seed LIMIT 1", "trials")
+add("rt12_representative_seed", lambda s, d: R.representative_seed(V.trials(s, d), "rmse"), "SELECT seed FROM (SELECT seed, avg(rmse) AS m FROM trials GROUP BY seed), (SELECT median(m) AS mid FROM (SELECT avg(rmse) AS m FROM trials GROUP BY seed)) ORDER BY round(abs(m - mid), 9), seed LIMIT 1", "trials")
 add("rt13_off_diagonal", lambda s, d: R.off_diagonal(G.covariance_long(_few(s, d)), 0.95), f"SELECT quantile_cont(abs(v), 0.95) AS value FROM ({COV}) WHERE i <> j", "panel", "value")
 add("rt14_energy_means", lambda s, d: V.results(s, d).groupBy("split", "metric").agg(F.avg("value").alias("value")), "SELECT split, metric, avg(value) AS value FROM results GROUP BY ALL", "results", "value")
 add("wn1_site_and_time_index", lambda s, d: P.with_index(P.with_index(V.monthly(s, d), ["t"], "t_idx"), ["site_id"], "site_idx").select("site_id", "t", "t_idx", "site_idx"), "SELECT site_id, t, dense_rank() OVER (ORDER BY t) - 1 AS t_idx, dense_rank() OVER (ORDER BY site_id) - 1 AS site_idx FROM monthly", "monthly")
@@ -230,7 +231,7 @@ add("sf5_grid_of_images", lambda s, d: B.grid_coordinates(s).join(B.covered_cell
 add("sf6_block_means", lambda s, d: B.block_means(B.label_map(_boxes(s, d), "image_id", "boxes"), ["image_id"], "label"), f"SELECT image_id, r // 4 AS r, c // 4 AS c, avg(h) AS label FROM (SELECT f.image_id, f.r, f.c, (x.image_id IS NOT NULL)::INT::DOUBLE AS h FROM (SELECT * FROM {FRAME}) f LEFT JOIN cells x USING (image_id, r, c)) GROUP BY ALL", "ann cells", "label")
 add("sf7_distances", lambda s, d: V.sites(s, d).select("site_id", S.distance([C("x")], [F.lit(0.5)]).alias("d1"), S.distance([C("x"), C("y")], [F.lit(0.5), F.lit(0.5)]).alias("d2")), "SELECT site_id, abs(x - 0.5) AS d1, sqrt((x - 0.5) ** 2 + (y - 0.5) ** 2) AS d2 FROM sites", "sites", "d1 d2")
 add("sf8_links", lambda s, d: V.binary(s, d).groupBy("seed").agg(F.avg(S.sigmoid(C("z"))).alias("p"), F.avg(S.logit(C("p"))).alias("z")), "SELECT seed, avg(1 / (1 + exp(-z))) AS p, avg(ln(p / (1 - p))) AS z FROM bin GROUP BY seed", "bin", "p z")
-add("sf9_texts", lambda s, d: V.trials(s, d).select("seed", "trial", S.mean_se_text(C("rmse"), C("covfrob"), 3).alias("cell"), S.minutes_text(F.floor(C("rmse") * 100).cast("double")).alias("minutes")), "SELECT seed, trial, printf('%.3f (%.3f)', rmse, covfrob) AS cell, printf('%dm %.1fs', (floor(rmse * 100)::BIGINT // 60), floor(rmse * 100) % 60) AS minutes FROM trials", "trials")
+add("sf9_texts", lambda s, d: V.trials(s, d).select("seed", "trial", S.mean_se_text(C("rmse") + 1e-9, C("covfrob") + 1e-9, 4).alias("cell"), S.minutes_text(F.floor(C("rmse") * 100).cast("double")).alias("minutes")), "SELECT seed, trial, printf('%.4f (%.4f)', rmse + 1e-9, covfrob + 1e-9) AS cell, printf('%dm %.1fs', (floor(rmse * 100)::BIGINT // 60), floor(rmse * 100) % 60) AS minutes FROM trials", "trials")
 add("rs1_wide", lambda s, d: P.wide(V.panel(s, d), [1, 2, 3]), "SELECT t, avg(z) FILTER (site_id = 1) AS \"1\", avg(z) FILTER (site_id = 2) AS \"2\", avg(z) FILTER (site_id = 3) AS \"3\" FROM panel GROUP BY t", "panel", '"1" "2" "3"')
 add("rs2_unpacked", lambda s, d: P.unpacked(P.packed(V.panel(s, d))), "SELECT t, site_id, z FROM panel", "panel", "z")
 add("rs3_full_frame", lambda s, d: P.full_frame(V.panel(s, d), V.panel(s, d), V.panel(s, d)).select("t", "site_id", "z"), "SELECT t, site_id, z FROM (SELECT DISTINCT t FROM panel), (SELECT DISTINCT site_id FROM panel) LEFT JOIN panel USING (t, site_id)".replace("(SELECT DISTINCT t FROM panel), (SELECT DISTINCT site_id FROM panel)", "(SELECT t, site_id FROM (SELECT DISTINCT t FROM panel), (SELECT DISTINCT site_id FROM panel))"), "panel", "z")
@@ -422,11 +423,7 @@ add("md24_drawn_centres", lambda s, d: D.drawn_centres(V.sites(s, d), (25,), 11,
 add("md25_temporal_features", lambda s, d: P.normalised_time(V.panel(s, d)).select("t", "t_norm").distinct().select("t", F.posexplode(D.temporal_features(C("t_norm"), (10, 15))).alias("k", "v")), "SELECT t, k, exp(-0.5 * ((t_norm - c * gap) / (2.5 * gap)) ** 2) AS v FROM (SELECT DISTINCT t, (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER () + 1e-12) AS t_norm FROM panel), (SELECT off + c AS k, c, gap FROM (SELECT off, unnest(range(n)) AS c, 1.0::DOUBLE / (n - 1) AS gap FROM (VALUES (0, 10), (10, 15)) v(off, n)))", "panel", "v")
 
 
-def _linear():
-    return lambda x: 2 * x[:, 0] - x[:, 1] + 1
-
-
-add("md26_batch_scoring", lambda s, d: D.scored(V.sites(s, d), ["x", "y"], _linear), "SELECT site_id, x, y, 2 * x - y + 1 AS y_pred FROM sites", "sites", "x y y_pred")
+add("md26_batch_scoring", lambda s, d: D.scored(V.sites(s, d), ["x", "y"], V.linear_model), "SELECT site_id, x, y, 2 * x - y + 1 AS y_pred FROM sites", "sites", "x y y_pred")
 
 # ---------------------------------------------------------------- intervals
 
@@ -437,13 +434,13 @@ def _bounds(s: SparkSession, d: str, pair) -> DataFrame:
     return V.intervals(s, d).select("site_id", "t", pair[0].alias("lo"), pair[1].alias("hi"))
 
 
-add("pi1_gaussian_interval", lambda s, d: _bounds(s, d, I.gaussian(HAT, C("var"), 0.1)), f"SELECT site_id, t, {BOUNDS.format(z=S.normal_z(0.1))} FROM intervals", "intervals", "lo hi")
+add("pi1_gaussian_interval", lambda s, d: _bounds(s, d, I.gaussian(HAT(), C("var"), 0.1)), f"SELECT site_id, t, {BOUNDS.format(z=S.normal_z(0.1))} FROM intervals", "intervals", "lo hi")
 add("pi2_logistic_interval", lambda s, d: V.binary(s, d).groupBy("seed").agg(*[F.avg(c).alias(n) for n, c in zip(("lo", "hi"), I.logistic_normal(C("z"), C("var")))]), f"SELECT seed, avg(1 / (1 + exp(-(z - {Z95} * sqrt(var))))) AS lo, avg(1 / (1 + exp(-(z + {Z95} * sqrt(var))))) AS hi FROM bin GROUP BY seed", "bin", "lo hi")
-QHAT = "SELECT seed, s[1 + floor(at)::INT] + (s[1 + ceil(at)::INT] - s[1 + floor(at)::INT]) * (at - floor(at)) AS q_hat, n FROM (SELECT seed, n, s, least(1, 0.95 * (1 + 1.0::DOUBLE / n)) * (n - 1) AS at FROM (SELECT seed, count(*) AS n, list(abs(y_true - y_pred) / greatest(sqrt(var), 1e-12) ORDER BY abs(y_true - y_pred) / greatest(sqrt(var), 1e-12)) AS s FROM intervals WHERE split = 'val' AND var IS NOT NULL GROUP BY seed))"
+QHAT = "SELECT seed, s[1 + floor(pos)::INT] + (s[1 + ceil(pos)::INT] - s[1 + floor(pos)::INT]) * (pos - floor(pos)) AS q_hat, n FROM (SELECT seed, n, s, least(1, 0.95 * (1 + 1.0::DOUBLE / n)) * (n - 1) AS pos FROM (SELECT seed, count(*) AS n, list(abs(y_true - y_pred) / greatest(sqrt(var), 1e-12) ORDER BY abs(y_true - y_pred) / greatest(sqrt(var), 1e-12)) AS s FROM intervals WHERE split = 'val' AND var IS NOT NULL GROUP BY seed))"
 _q = lambda s, d, **o: I.critical_value(P.of_split(V.intervals(s, d), "val"), ["seed"], "y_true", "y_pred", "var", **o)
 add("pi3_critical_value", _q, QHAT, "intervals", "q_hat")
 add("pi3_critical_value_by_histogram", lambda s, d: _q(s, d, exact_up_to=10), QHAT, "intervals", "q_hat")
-add("pi4_pi5_calibrated_interval", lambda s, d: V.intervals(s, d).join(_q(s, d), "seed").select("site_id", "t", *[c.alias(n) for n, c in zip(("lo", "hi"), I.interval(HAT, C("var"), q_hat=C("q_hat")))]), f"SELECT site_id, t, y_pred - q_hat * sqrt(var) AS lo, y_pred + q_hat * sqrt(var) AS hi FROM intervals JOIN ({QHAT}) USING (seed)", "intervals", "lo hi")
+add("pi4_pi5_calibrated_interval", lambda s, d: V.intervals(s, d).join(_q(s, d), "seed").select("site_id", "t", *[c.alias(n) for n, c in zip(("lo", "hi"), I.interval(HAT(), C("var"), q_hat=C("q_hat")))]), f"SELECT site_id, t, y_pred - q_hat * sqrt(var) AS lo, y_pred + q_hat * sqrt(var) AS hi FROM intervals JOIN ({QHAT}) USING (seed)", "intervals", "lo hi")
 
 
 def _held_out(s: SparkSession, d: str) -> DataFrame:
@@ -452,7 +449,7 @@ def _held_out(s: SparkSession, d: str) -> DataFrame:
     held = P.only(rows, P.held_out_sites(rows, 0.3, 3), ["site_id"])
     q = I.critical_value(P.of_split(held, "val"), ["method"], "y_true", "y_pred", "var")
     test = P.of_split(held, "test").join(q, "method")
-    parts = [test.groupBy("method").agg(F.lit(n).alias("kind"), (100 * M.coverage(Y, *pair)).alias("cp"), M.mean_width(*pair).alias("mpiw")) for n, pair in (("plug-in", I.interval(HAT, C("var"))), ("calibrated", I.interval(HAT, C("var"), q_hat=C("q_hat"))))]
+    parts = [test.groupBy("method").agg(F.lit(n).alias("kind"), (100 * M.coverage(Y(), *pair)).alias("cp"), M.mean_width(*pair).alias("mpiw")) for n, pair in (("plug-in", I.interval(HAT(), C("var"))), ("calibrated", I.interval(HAT(), C("var"), q_hat=C("q_hat"))))]
     return parts[0].unionByName(parts[1])
 
 

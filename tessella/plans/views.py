@@ -101,6 +101,11 @@ def results(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.lit("demo").alias("experiment"), (F.floor(key / 7) % 10).cast("long").alias("seed"), model.alias("model"), split.alias("split"), metric.alias("metric")).agg((F.avg("o_totalprice") / 1e5).alias("value"))
 
 
+def linear_model():
+    """A frozen model for batch scoring."""
+    return lambda x: 2 * x[:, 0] - x[:, 1] + 1
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r6(F.col(f"`{n}`")).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])
 
