@@ -1,8 +1,8 @@
 """Quality classifier by weak labels.
 
-Seven heuristic labellers vote on each document: good, bad, or no vote. Expectation-maximisation
-estimates how each of them errs, from the counts of all vote patterns of the whole corpus (there are
-3**7 at most, so the counts are small whatever the corpus), and gives each pattern its probability
+Nine heuristic labellers vote on each document: good, bad, or no vote. Expectation-maximisation
+estimates how each of them errs when it votes (no vote says nothing), from the counts of all vote patterns of the whole corpus (there are
+3**9 at most, so the counts are small whatever the corpus), and gives each pattern its probability
 of being good. With those as soft labels a logistic model over hashed token shapes is fitted, on the
 ``train_rows`` documents that come first in the order of a hash; it scores every document.
 
@@ -14,6 +14,7 @@ take part; an empty table gives an empty result; further columns are passed thro
 from __future__ import annotations
 
 import operator
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from tessella.llm.common import renamed, slices, text_bytes
 
 GOOD, BAD, NONE = 0, 1, 2
-LABELLERS = 7
+LABELLERS = 9
 WIDTH = 1 << 14
 UPPER, MARKS = bytes(range(65, 91)), b"#$%&*|!~^<>{}="
+SPACES, NOT_LETTERS = b" \t\n\r\x0b\x0c", bytes(c for c in range(128) if not chr(c).isalpha())
+MARK_RUN = re.compile(rb"[#$%&*|!~^<>{}=]+")
 
 
 def by(value: float, good: float, bad: float) -> int:
@@ -51,6 +54,8 @@ def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
         by(text.count(b"|") / max(1, n), 0.01, 0.1),
         by(1 - len(set(lines)) / len(lines), 0.1, 0.4) if len(lines) >= 4 else NONE,
         by(max(counts.values()) / n, 0.15, 0.3) if n >= 20 else NONE,
+        by(len(MARK_RUN.findall(text)) / max(1, n), 0.03, 0.2),
+        by(1 - len(text.translate(None, NOT_LETTERS)) / max(1, len(text.translate(None, SPACES))), 0.1, 0.2) if n >= 4 else NONE,
     )
 
 
@@ -90,7 +95,7 @@ def vector(text: bytes, words: list[bytes], shapes: Shapes) -> tuple[np.ndarray,
 
 @dataclass
 class WeakLabels:
-    """P(bad), and for each labeller the probabilities of its three votes for good and bad texts."""
+    """P(bad), and for each labeller the probabilities of its two votes for good and bad texts."""
 
     bad: float
     errs: np.ndarray
@@ -98,22 +103,27 @@ class WeakLabels:
     def good(self, patterns: np.ndarray) -> np.ndarray:
         """The probability that texts with these votes (one row each) are good."""
         logs = np.log(np.maximum(self.errs, 1e-9))
+        logs = np.concatenate([logs, np.zeros((*logs.shape[:2], 1))], axis=2)  # no vote
         per = [np.log(max(1e-9, p)) + sum(logs[j, c][patterns[:, j]] for j in range(patterns.shape[1])) for c, p in ((0, 1 - self.bad), (1, self.bad))]
         return 1 / (1 + np.exp(np.clip(per[1] - per[0], -50, 50)))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100) -> WeakLabels:
-    """Expectation-maximisation over counted vote patterns. It starts from labellers that are more
-    often right than wrong; a labeller may say little about one of the two kinds."""
+def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, least_miss: float = 0.6) -> WeakLabels:
+    """Expectation-maximisation over counted vote patterns. It starts from labellers that seldom
+    call a good text bad. Bad texts are bad in several ways, of which each labeller knows some, so it
+    is held to miss ``least_miss`` of them at least: good votes cannot outvote those that do know."""
     m = patterns.shape[1]
-    model = WeakLabels(0.15, np.tile(np.array([[0.80, 0.05, 0.15], [0.40, 0.45, 0.15]]), (m, 1, 1)))
+    model = WeakLabels(0.15, np.tile(np.array([[0.99, 0.01], [max(0.5, least_miss), 1 - max(0.5, least_miss)]]), (m, 1, 1)))
     for _ in range(rounds):
         good = model.good(patterns)
         weight = np.stack([good * counts, (1 - good) * counts])
-        errs = np.stack([[[weight[c][patterns[:, j] == v].sum() + 0.01 for v in range(3)] for c in range(2)] for j in range(m)])
+        errs = np.stack([[[weight[c][patterns[:, j] == v].sum() + 0.01 for v in (GOOD, BAD)] for c in range(2)] for j in range(m)])
         bad = weight[1].sum() / max(1e-9, weight.sum())
         moved = abs(bad - model.bad)
-        model = WeakLabels(float(bad), errs / errs.sum(2, keepdims=True))
+        errs = errs / errs.sum(2, keepdims=True)
+        errs[:, 1, GOOD] = np.maximum(errs[:, 1, GOOD], least_miss)
+        errs[:, 1, BAD] = 1 - errs[:, 1, GOOD]
+        model = WeakLabels(float(bad), errs)
         if moved < 1e-9:
             break
     return model
@@ -131,7 +141,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + float((self.weights[some] * values).sum()), -50, 50))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], *, ridge: float = 1e-3, least: int = 3, most: int = 1500) -> Scorer:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], *, ridge: float = 1e-4, least: int = 3, most: int = 1500) -> Scorer:
     """A logistic model of (feature numbers, values, soft label)."""
     weights = np.zeros(WIDTH, np.float32)
     y = np.array([r[2] for r in rows])
@@ -200,14 +210,14 @@ def _scored(model, kept: list[str], least: float | None):
     return run
 
 
-def score(docs: DataFrame, *, threshold: float = 0.5, train_rows: int = 4000) -> DataFrame:
+def score(docs: DataFrame, *, threshold: float = 0.3, train_rows: int = 4000) -> DataFrame:
     """(doc_id, score, keep) for every document."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, train_rows=train_rows))
     out = docs.select("doc_id", "text").mapInArrow(_scored(model, ["doc_id"], None), "doc_id long, score double")
     return out.withColumn("keep", F.col("score") >= threshold)
 
 
-def keep_good(docs: DataFrame, *, threshold: float = 0.5, train_rows: int = 4000) -> DataFrame:
+def keep_good(docs: DataFrame, *, threshold: float = 0.3, train_rows: int = 4000) -> DataFrame:
     """``docs`` without the rows that score below ``threshold``."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, train_rows=train_rows))
     own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c != "text"}
