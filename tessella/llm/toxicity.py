@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 6000, **optio
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # At most train_rows small rows: the broadcast's size is bounded.
     sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text").orderBy(F.xxhash64("text"), "toxic")
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text")
     rows = rows.mapInArrow(_examples, "label int, pair int, features binary").collect()
     return fit(np.array([r.label for r in rows], np.int32), np.array([r.pair for r in rows], np.int32), [np.frombuffer(r.features, np.int32) for r in rows], **options)
 
