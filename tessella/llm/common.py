@@ -44,6 +44,16 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
 
 
+def first_by_hash(df: DataFrame, rows: int, most: int, *columns: str) -> DataFrame:
+    """The ``most`` rows that come first in the order of a hash of ``columns``; ``rows``: how many
+    there are. Where they are many more, only a share by the hash that holds about four times
+    ``most`` is ordered, so that no task gathers ``most`` rows from each of all others."""
+    h = F.xxhash64(*columns)
+    if rows > 4 * most:
+        df = df.where(h < -(1 << 63) + int((1 << 64) * (4 * most / rows)))
+    return df.orderBy(h, *columns).limit(most)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

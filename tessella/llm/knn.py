@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import first_by_hash, materialize
 
 RESULT = "query_id long, mark long, vec_id long, score long"
 
@@ -136,7 +136,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, vector: str = "e
     base = materialize(base.withColumn("mark", F.xxhash64("v")), "vectors")
     n, asking, width = base.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
     width = max(1, width or 1)
-    some = base.select("vec_id", "mark", "v").orderBy(F.xxhash64("vec_id", "mark")).limit(max(1, min(most_pivots, isqrt(n) // 4))).collect()
+    some = first_by_hash(base.select("vec_id", "mark", "v"), n, max(1, min(most_pivots, isqrt(n) // 4)), "vec_id", "mark").collect()
     p = np.zeros((max(1, len(some)), width), np.int64)
     for i, row in enumerate(some):
         p[i, : len(row.v)] = row.v

@@ -4,7 +4,7 @@ Nine heuristic labellers vote on each document: good, bad, or no vote. Expectati
 estimates how each of them errs when it votes (no vote says nothing), from the counts of all vote patterns of the whole corpus (there are
 3**9 at most, so the counts are small whatever the corpus), and gives each pattern its probability
 of being good. With those as soft labels a logistic model over hashed token shapes is fitted, on the
-``train_rows`` documents that come first in the order of a hash; it scores every document.
+``train_rows`` distinct texts that come first in the order of a hash; it scores every document.
 
 Cases: null and empty texts, and texts without words, have score 0 and are rejected; very long texts
 are judged whole; repeated rows are judged one by one (and count in the statistics); null doc_ids
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import renamed, slices, text_bytes
+from tessella.llm.common import first_by_hash, renamed, slices, text_bytes
 
 GOOD, BAD, NONE = 0, 1, 2
 LABELLERS = 9
@@ -190,7 +190,10 @@ def train(docs: DataFrame, *, train_rows: int = 4000) -> Scorer:
     if not counted:
         return Scorer(np.zeros(WIDTH, np.float32), 0.0)
     weak = estimate(np.array([r.pattern for r in counted]), np.array([r.n for r in counted], np.float64))
-    sample = texts.withColumn("h", F.xxhash64("text")).orderBy("h").limit(train_rows).select("text")
+    # Distinct texts up to the train_rows-th hash; the hashes come first, without the texts.
+    hashes = first_by_hash(texts.select(F.xxhash64("text").alias("h")).distinct(), sum(r.n for r in counted), train_rows, "h")
+    last = hashes.agg(F.max(F.xxhash64("h"))).first()[0]
+    sample = texts.withColumn("h", F.xxhash64("text")).where(F.xxhash64("h") <= last).dropDuplicates(["h"]).select("text")
     rows = sample.mapInArrow(_vectors, "pattern array<int>, some binary, values binary").collect()
     if not rows:
         return Scorer(np.zeros(WIDTH, np.float32), 0.0)

@@ -211,11 +211,14 @@ def repeats(docs: DataFrame, *, length: int = 200) -> DataFrame:
     long = keyed(docs).where(F.octet_length("text") >= length)
 
     # Buckets by 32-gram, and by all strings of the anchor.
-    grams = long.mapInArrow(_anchors(length, True), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("gram").alias("g"))
+    # Counts are written before they are joined: Spark can then split a partition with a hot key.
+    grams = long.mapInArrow(_anchors(length, True), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    grams = materialize(grams.select(F.col("gram").alias("g")), "grams")
     anchors = long.mapInArrow(_anchors(length, False), "k long, s long, place long, gram long, hull long")
     anchors = materialize(anchors.join(grams, anchors["gram"] == F.col("g"), "left_semi"), "anchors")
     hulls = materialize(anchors.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("k", "s", "place")).alias("one")), "hulls")
     mixed = hulls.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("hulls")).where("hulls > 1")
+    mixed = materialize(mixed.select("g"), "mixed")
     twins = hulls.where("n > 1").select(F.col("gram").alias("g"), F.col("hull").alias("h"))
     whole = anchors.join(twins, (anchors["gram"] == F.col("g")) & (anchors["hull"] == F.col("h")), "left_semi")
     at, low, high = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
@@ -232,9 +235,10 @@ def repeats(docs: DataFrame, *, length: int = 200) -> DataFrame:
     runs = materialize(near.mapInArrow(_refined(length, RUN), "bucket long, ref long, hull long"), "runs")
     is_open = F.max(F.col("ref").bitwiseAND(1))
     kinds = runs.groupBy("bucket").agg(F.count("*").alias("n"), is_open.alias("open"), F.min("hull").alias("a"), F.max("hull").alias("b")).where("n > 1 AND open = 1")
-    kinds = kinds.select(F.col("bucket").alias("of"), (F.col("a") != F.col("b")).alias("mixed"))
+    kinds = materialize(kinds.select(F.col("bucket").alias("of"), (F.col("a") != F.col("b")).alias("mixed")), "kinds")
     runs = materialize(runs.join(kinds, runs["bucket"] == F.col("of")).drop("of"), "shared-runs")
     alike = runs.groupBy(F.col("bucket").alias("ab"), F.col("hull").alias("ah")).agg(F.count("*").alias("m"), F.min("ref").alias("one")).where("m > 1")
+    alike = materialize(alike, "alike")
     runs = materialize(runs.join(alike, (runs["bucket"] == F.col("ab")) & (runs["hull"] == F.col("ah")), "left").select("ref", "mixed", "m", "one"), "known-runs")
     nid, first = F.shiftright("ref", 9), F.shiftright("ref", 1).bitwiseAND(255)
     whole_runs = runs.where("m IS NOT NULL AND ref % 2 = 1").select(nid.alias("id"), first.alias("first"), F.lit(RUN).alias("span"))
@@ -245,6 +249,7 @@ def repeats(docs: DataFrame, *, length: int = 200) -> DataFrame:
     single = near.join(split, near["nid"] == split["id"]).select("nid", "place", "gram", "alone", "span", "runs")
     single = materialize(single.mapInArrow(_refined(length, 1), "bucket long, ref long"), "single")
     twice = single.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n"), is_open.alias("open")).where("n > 1 AND open = 1")
+    twice = materialize(twice.select("b"), "twice")
     ones = single.where("ref % 2 = 1").join(twice, F.col("bucket") == F.col("b"), "left_semi").select(nid.alias("id"), first.alias("first"), F.lit(1).alias("span"))
 
     found = whole_runs.unionByName(ones).groupBy("id").agg(F.collect_list(F.struct("first", "span")).alias("parts"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices
+from tessella.llm.common import first_by_hash, materialize, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 22
@@ -153,8 +153,9 @@ def fit(labels: np.ndarray, pairs: np.ndarray, found: list[np.ndarray], *, most_
 
 def train(docs: DataFrame, labels: DataFrame, *, train_rows: int = 6000, **options) -> Model:
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = materialize(known, "labels")
     # At most train_rows small rows: the broadcast's size is bounded.
-    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows))
+    sample = F.broadcast(first_by_hash(known, known.count(), train_rows, "doc_id"))
     rows = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text")
     rows = rows.mapInArrow(_examples, "label int, pair int, features binary").collect()
     return fit(np.array([r.label for r in rows], np.int32), np.array([r.pair for r in rows], np.int32), [np.frombuffer(r.features, np.int32) for r in rows], **options)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import first_by_hash, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path prefix)
@@ -167,7 +167,8 @@ def judge(pages: DataFrame, *, train_rows: int = 20_000, threshold: float = 0.5)
     rows = rows.join(suffixes, rows["suffix"] == suffixes["of"], "left")
     rows = rows.withColumns({"suffix_share": F.coalesce("share", F.lit(0.5)), "suffix_known": F.coalesce("known", F.lit(0.0))}).drop("of", "share", "known")
     rows = materialize(rows, "lexical")
-    sample = rows.where("rule IS NOT NULL").withColumn("blocked", blocked).orderBy(F.xxhash64("url", "page_id")).limit(train_rows)
+    labelled = rows.where("rule IS NOT NULL").withColumn("blocked", blocked)
+    sample = first_by_hash(labelled, labelled.count(), train_rows, "url", "page_id")
     model = train(materialize(sample.select("blocked", *FEATURES), "labelled"))
     binned = rows.select("page_id", "host", "path", "rule", *[model.bins(f).alias(f) for f in FEATURES])
     score = 1 / (1 + F.exp(-model.margin()))
