@@ -151,7 +151,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], *, ridge: float = 1e-4
     chosen = [i for i in np.argsort(-seen, kind="stable")[:most].tolist() if seen[i] >= min(least, len(y))]
     place = np.full(WIDTH, -1)
     place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(y), len(chosen) + 1))
+    x = np.zeros((len(y), len(chosen) + 1), np.float32)
     for i, (some, values, _) in enumerate(rows):
         at = place[some]
         x[i, at[at >= 0]] = values[at >= 0]
@@ -160,8 +160,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], *, ridge: float = 1e-4
     penalty[-1] = 1e-6 * len(y)
     w = np.zeros(x.shape[1])
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * np.maximum(p * (1 - p), 1e-6)) @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        slope = np.maximum(p * (1 - p), 1e-6).astype(np.float32)
+        step = np.linalg.solve((x.T * slope) @ x + np.diag(penalty), x.T @ (y - p).astype(np.float32) - penalty * w)
         w += step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-5:
             break

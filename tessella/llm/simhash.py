@@ -160,7 +160,8 @@ def links(distinct: DataFrame, *, crowd: int = 2048) -> DataFrame:
     bit = lambda c: F.when(F.col(c) < 64, F.expr(f"shiftleft(1L, {c})")).otherwise(F.lit(0).cast("long"))
     full = full.select("fp", F.col("fp").bitwiseXOR(bit("i")).bitwiseXOR(bit("j")).alias("place"), (F.col("j") == 64).alias("close"))
     hubs = full.where("close").groupBy("place").agg(F.min("fp").alias("hub"))
-    more = full.join(hubs, "place").where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    # Spark takes exploded rows for few; neither side is small enough to be broadcast for sure.
+    more = full.hint("merge").join(hubs.hint("merge"), "place").where("hub <> fp").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     return edges.unionByName(materialize(more, "links-full"))
 
 
