@@ -308,6 +308,21 @@ def predictive_variance(phi: np.ndarray, cov: np.ndarray, noise: float) -> np.nd
     return np.einsum("ik,kl,il->i", phi, cov, phi) + noise
 
 
+def predicted_at(conditionals: DataFrame, targets: dict[int, np.ndarray], noise: float) -> DataFrame:
+    """(t, site_id, mean, var) at target sites, from ``conditional``'s rows: a narrow product with
+    the targets' basis rows, which are broadcast (one for each site)."""
+    names = sorted(targets)
+    shared = conditionals.sparkSession.sparkContext.broadcast((names, np.stack([targets[i] for i in names])))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, b = shared.value
+        for f in frames:
+            for t, eta, cov in zip(f["t"], f["eta"], f["cov"]):
+                yield pd.DataFrame({"t": t, "site_id": ids, "mean": b @ np.asarray(eta), "var": predictive_variance(b, np.stack(list(cov)), noise)})
+
+    return conditionals.mapInPandas(run, "t long, site_id long, mean double, var double")
+
+
 def kriging(panel: DataFrame, phi: DataFrame, fit: LowRank, targets: dict[int, np.ndarray], value: str = "r") -> tuple[DataFrame, dict[int, float]]:
     """Means (t, site_id, mean) at target sites for all times of a complete panel, and the variance
     at each of them. K x K only: scores on the basis by one join, then a narrow product."""

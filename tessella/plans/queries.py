@@ -20,6 +20,7 @@ from tessella.operators import panel as P
 from tessella.operators import reports as R
 from tessella.operators import spatial as X
 from tessella.plans import views as V
+from tessella.plans import workloads as L
 from tessella.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -443,17 +444,12 @@ add("pi3_critical_value_by_histogram", lambda s, d: _q(s, d, exact_up_to=10), QH
 add("pi4_pi5_calibrated_interval", lambda s, d: V.intervals(s, d).join(_q(s, d), "seed").select("site_id", "t", *[c.alias(n) for n, c in zip(("lo", "hi"), I.interval(HAT(), C("var"), q_hat=C("q_hat")))]), f"SELECT site_id, t, y_pred - q_hat * sqrt(var) AS lo, y_pred + q_hat * sqrt(var) AS hi FROM intervals JOIN ({QHAT}) USING (seed)", "intervals", "lo hi")
 
 
-def _held_out(s: SparkSession, d: str) -> DataFrame:
-    """Plug-in and calibrated coverage and width at held-out sites: calibrated on val, scored on test."""
-    rows = V.intervals(s, d).where("var IS NOT NULL")
-    held = P.only(rows, P.held_out_sites(rows, 0.3, 3), ["site_id"])
-    q = I.critical_value(P.of_split(held, "val"), ["method"], "y_true", "y_pred", "var")
-    test = P.of_split(held, "test").join(q, "method")
-    parts = [test.groupBy("method").agg(F.lit(n).alias("kind"), (100 * M.coverage(Y(), *pair)).alias("cp"), M.mean_width(*pair).alias("mpiw")) for n, pair in (("plug-in", I.interval(HAT(), C("var"))), ("calibrated", I.interval(HAT(), C("var"), q_hat=C("q_hat"))))]
-    return parts[0].unionByName(parts[1])
-
-
-add("pi6_held_out_intervals", _held_out)
+add("pi6_held_out_intervals", lambda s, d: L.held_out_prediction(V.panel(s, d), V.sites(s, d)))
+add("workload_reconstruction", lambda s, d: L.reconstruction(V.panel(s, d), V.sites(s, d), options=D.FitOptions(rounds=60, least_rounds=20)))
+PATCH_Z = "(r * 3 + c * 5 + 0.1 * (r * c % 7)) / 40.0::DOUBLE - 1.6"
+PATCHES = f"(SELECT split, h, {PATCH_Z} AS z FROM (SELECT f.image_id, f.r, f.c, (x.image_id IS NOT NULL)::INT::DOUBLE AS h FROM (SELECT * FROM {FRAME}) f LEFT JOIN cells x USING (image_id, r, c)) JOIN (SELECT image_id, CASE WHEN place < floor(n * 0.7::DOUBLE) THEN 'train' WHEN place < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM {IMG.replace('FROM (SELECT DISTINCT image_id FROM ann)', 'FROM (SELECT DISTINCT image_id FROM keyed)')}) USING (image_id))"
+add("workload_patch_scores", lambda s, d: L.patch_scores(V.annotations(s, d), (C("r") * 3 + C("c") * 5 + 0.1 * (C("r") * C("c") % 7)) / 40.0 - 1.6).drop("auc", "ece"),
+    f"SELECT split, count(*) AS cells, avg(((h > 0.5) = (z > 0))::INT) AS accuracy, coalesce(2.0 * count(*) FILTER (h > 0.5 AND z > 0) / nullif(2 * count(*) FILTER (h > 0.5 AND z > 0) + count(*) FILTER ((h > 0.5) <> (z > 0)), 0), 0) AS f1 FROM {PATCHES} GROUP BY split", "ann cells keyed", "accuracy f1")
 
 # ---------------------------------------------------------------- sources and sinks
 

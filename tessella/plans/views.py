@@ -123,12 +123,13 @@ SQL = {
     "bin": "SELECT l_orderkey % 3 AS seed, l_suppkey AS site_id, (l_returnflag = 'R')::INT::DOUBLE AS y, 0.5 + 4 * l_discount - l_quantity / 40 AS z, 1 / (1 + exp(-(0.5 + 4 * l_discount - l_quantity / 40))) AS p, l_tax + 0.01 AS var FROM lineitem",
     "quant": "SELECT seed, y_true, y_pred - 60 AS q0, y_pred - 25 AS q1, y_pred AS q2, y_pred + 25 AS q3, y_pred + 60 AS q4 FROM scored WHERE model = 'climatology' AND y_pred IS NOT NULL",
     "ann": "SELECT (l_orderkey % 500)::VARCHAR || CASE WHEN l_orderkey % 2 = 0 THEN '.jpg' ELSE '.png' END AS image_id, CASE (l_orderkey + l_linenumber) % 7 WHEN 0 THEN '' WHEN 1 THEN 'no_box' WHEN 2 THEN 'garbage' WHEN 3 THEN NULL WHEN 4 THEN '[' || x || ', ' || y || ', ' || w || ', ' || w || ']' ELSE x || ' ' || y || ' ' || (x + 70) || ' ' || (y + 40) END AS bbox FROM (SELECT *, l_partkey % 1024 AS x, l_suppkey * 7 % 1024 AS y, l_quantity::BIGINT AS w FROM lineitem)",
+    "keyed": "SELECT DISTINCT regexp_replace(image_id, '\\.(jpg|png)$', '') AS image_id FROM ann",
     "boxed": "SELECT DISTINCT regexp_replace(image_id, '\\.(jpg|png)$', '') AS image_id, x::DOUBLE AS xmin, y::DOUBLE AS ymin, CASE WHEN kind = 4 THEN x + w ELSE x + 70 END::DOUBLE AS xmax, CASE WHEN kind = 4 THEN y + w ELSE y + 40 END::DOUBLE AS ymax FROM (SELECT (l_orderkey % 500)::VARCHAR AS image_id, (l_orderkey + l_linenumber) % 7 AS kind, l_partkey % 1024 AS x, l_suppkey * 7 % 1024 AS y, l_quantity::BIGINT AS w FROM lineitem) WHERE kind >= 4",
     "cells": "SELECT DISTINCT image_id, r, c FROM (SELECT image_id, unnest(range(greatest(0, floor(ymin / 64))::INT, least(16, ceil(ymax / 64))::INT)) AS r, xmin, xmax FROM boxed), LATERAL (SELECT unnest(range(greatest(0, floor(xmin / 64))::INT, least(16, ceil(xmax / 64))::INT)) AS c)",
     "trials": "SELECT seed, trial, (trial % 5 + 1) * 10.0::DOUBLE AS tau1, (trial % 3 + 1) * 0.5::DOUBLE AS tau2, a / 1e5 AS rmse, b / 1e4 AS covfrob, c / 1e6 AS sv_score FROM (SELECT o_orderkey % 10 AS seed, (o_orderkey // 10) % 50 AS trial, avg(o_totalprice) AS a, min(o_totalprice) AS b, max(o_totalprice) AS c FROM orders GROUP BY ALL)",
     "results": "SELECT 'demo' AS experiment, (o_orderkey // 7) % 10 AS seed, (CASE WHEN o_orderkey % 3 = 0 THEN 'res_net' ELSE 'vit' END) || '_' || (CASE WHEN o_orderkey % 2 = 0 THEN 'base' ELSE 'full' END) AS model, CASE WHEN o_orderkey % 5 = 0 THEN 'val' ELSE 'test' END AS split, CASE o_orderkey % 4 WHEN 0 THEN 'rmse' WHEN 1 THEN 'mae' WHEN 2 THEN 'r2' ELSE 'mpiw' END AS metric, avg(o_totalprice) / 1e5 AS value FROM orders GROUP BY ALL",
 }
-NEEDS = {"times": ["panel"], "splits": ["times"], "split_panel": ["splits"], "scored": ["split_panel"], "intervals": ["split_panel"], "quant": ["scored"], "cells": ["boxed"]}
+NEEDS = {"times": ["panel"], "splits": ["times"], "split_panel": ["splits"], "scored": ["split_panel"], "intervals": ["split_panel"], "quant": ["scored"], "cells": ["boxed"], "keyed": ["ann"]}
 
 
 def oracle(body: str, views: str = "", doubles: str = "") -> str:
