@@ -491,3 +491,42 @@ def _appended(s: SparkSession, d: str) -> DataFrame:
 
 add("io12_appended_metrics", _appended, "SELECT seed, count(*) AS n FROM trials GROUP BY seed", "trials")
 add("io14_feature_cache", lambda s, d: T.cached(s, _folder(s), {"k": 3, "of": "phi"}, lambda: V.phi(s, d)).groupBy("k").agg(F.count("*").alias("n"), F.avg("phi").alias("m")), "SELECT k, count(*) AS n, avg(phi) AS m FROM phi GROUP BY k", "phi", "m")
+
+
+def _annotation_file(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    T.write_table(V.annotations(s, d).select(C("image_id").alias("image_name"), F.lit("x").alias("domain"), C("bbox").alias("BoxesString")), path)
+    return T.read_annotations(s, path).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("bbox", F.lit("")))).alias("chars"))
+
+
+add("io4_annotation_csv", _annotation_file, r"SELECT regexp_replace(image_id, '\.(jpg|png)$', '') AS image_id, count(*) AS n, sum(length(coalesce(bbox, '')))::BIGINT AS chars FROM ann GROUP BY 1", "ann")
+
+
+def _result_files(s: SparkSession, d: str) -> DataFrame:
+    root = _folder(s)
+    for name, model in (("one", "vit_base"), ("fast_two", "vit_full")):
+        T.write_results(V.results(s, d).where(C("model") == model), f"{root}/{name}.csv")
+    found, missing = T.read_results(s, root, ["one", "two", "three"], ["", "fast_"])
+    return found.groupBy("experiment", "model").agg(F.count("*").alias("n"), F.avg("value").alias("value"), F.lit(len(missing)).alias("missing"))
+
+
+add("io5_io9_result_files", _result_files, "SELECT CASE model WHEN 'vit_base' THEN 'one' ELSE 'fast_two' END AS experiment, model, count(*) AS n, avg(value) AS value, 1 AS missing FROM results WHERE model LIKE 'vit%' GROUP BY ALL", "results", "value")
+
+
+def _timing_file(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    rows = V.read(s, d, "orders").select(C("o_orderpriority").alias("function"), C("o_totalprice").alias("wall_time_s"), C("o_orderstatus").alias("model"))
+    T.write_timings([rows.where("wall_time_s < 1e5").drop("model"), rows.where("wall_time_s >= 1e5")], path)
+    return s.read.option("header", True).schema("function string, wall_time_s double, model string").csv(path).groupBy("function").agg(F.count("*").alias("n"), F.count("model").alias("m"), F.avg("wall_time_s").alias("mean"))
+
+
+add("io10_timing_file", _timing_file, "SELECT o_orderpriority AS function, count(*) AS n, count(*) FILTER (o_totalprice >= 1e5) AS m, avg(o_totalprice) AS mean FROM orders GROUP BY 1", "", "mean")
+
+
+def _eigenvalue_file(s: SparkSession, d: str) -> DataFrame:
+    path = _folder(s)
+    T.write_table(R.explained(_spec(s, d)).select("component", "eigenvalue", C("explained").alias("cumulative_explained_variance")), path)
+    return T.read_eigenvalues(s, path)
+
+
+add("io13_eigenvalue_file", _eigenvalue_file, f"SELECT component::INT AS component, eigenvalue, explained AS cumulative_explained_variance FROM {EXPL}", "trials", "eigenvalue cumulative_explained_variance")
