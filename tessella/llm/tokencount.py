@@ -19,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -53,31 +54,32 @@ class Counter(dict):
         self.bytes = all(f"<0x{b:02X}>" in known for b in range(256))
 
     def cut(self, word: str) -> int:
-        n = len(word)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        alone = bytearray(n + 1)
-        for end, (size, score) in self.finder.iter(word):
-            ending[end + 1].append((size, score))
-            if size == 1:
-                alone[end + 1] = 1
-        best, count, open_run = [0.0] * (n + 1), [0] * (n + 1), bytearray(n + 1)
-        for end in range(1, n + 1):
-            at, top = -1, 0.0
-            for size, score in sorted(ending[end], reverse=True):  # early starts first
+        n, unknown = len(word), self.unknown
+        best, count, in_run = [0.0] * (n + 1), [0] * (n + 1), bytearray(n + 1)
+        end, at, top, alone = 0, 1, 0.0, True  # of the end being filled: best last piece, score
+        # The automaton gives the pieces of one end together and the longest first, i.e. early
+        # starts first; (n, ...) closes the last end.
+        for last, (size, score) in chain(self.finder.iter(word), ((n, (0, 0.0)),)):
+            if last + 1 != end:
+                while True:
+                    if not alone and (at == 0 or best[end - 1] + unknown > top):
+                        top, at = best[end - 1] + unknown, 0
+                        if self.bytes:
+                            count[end] = count[end - 1] + len(word[end - 1].encode())
+                        else:
+                            count[end], in_run[end] = count[end - 1] + 1 - in_run[end - 1], 1
+                        best[end] = top
+                    elif end:
+                        best[end], count[end] = top, count[end - at] + 1
+                    end, at, alone = end + 1, 0, False
+                    if end > last:
+                        break
+            if size:
                 total = best[end - size] + score
-                if at < 0 or total > top:
-                    at, top = size, total
-            if not alone[end]:
-                total = best[end - 1] + self.unknown
-                if at < 0 or total > top:
-                    at, top = 0, total
-            if at:
-                count[end] = count[end - at] + 1
-            elif self.bytes:
-                count[end] = count[end - 1] + len(word[end - 1].encode())
-            else:
-                count[end], open_run[end] = count[end - 1] + 1 - open_run[end - 1], 1
-            best[end] = top
+                if at == 0 or total > top:
+                    top, at = total, size
+                if size == 1:
+                    alone = True
         return count[n]
 
     def __missing__(self, word: str) -> int:
