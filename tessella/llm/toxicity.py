@@ -104,17 +104,19 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(pairs, pa.int32()), pa.array(found, pa.binary())], names=["label", "pair", "features"])
 
 
-def fit(labels: np.ndarray, pairs: np.ndarray, found: list[np.ndarray], *, most_features: int = 2000, least_chi2: float = 14.0, ridge: float = 0.02, fairness: float = 1.0) -> Model:
+def fit(labels: np.ndarray, pairs: np.ndarray, found: list[np.ndarray], *, most_features: int = 1000, least_chi2: float = 14.0, ridge: float = 0.02, fairness: float = 1.0) -> Model:
     """The model of labelled rows, each followed by the rows of its swaps."""
     real = pairs < 0
     y = labels[real].astype(np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0 if not len(y) else float(np.clip(np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9)), -6, 6)))
     originals = [f for f, r in zip(found, real) if r]
-    flat, row = np.concatenate(originals), np.repeat(np.arange(len(y)), [len(f) for f in originals])
-    names, column = np.unique(flat, return_inverse=True)
-    total = np.bincount(column, minlength=len(names)).astype(np.float64)
-    toxic = np.bincount(column, weights=y[row], minlength=len(names))
+    total, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for f, label in zip(originals, y):  # a row names each feature once
+        total[f] += 1
+        toxic[f] += label
+    names = np.flatnonzero(total)
+    total, toxic = total[names], toxic[names]
     p, n = y.mean(), len(y)
     chi2 = (toxic - total * p) ** 2 / np.maximum(total * p * (1 - p) * (1 - total / (n + 1)), 1e-9)
     terms = {f for t in GROUP for f in features(t)[:1]}
@@ -134,6 +136,7 @@ def fit(labels: np.ndarray, pairs: np.ndarray, found: list[np.ndarray], *, most_
         return out
 
     x = dense(originals)
+    del total, toxic, chi2
     origin = np.cumsum(real) - 1
     change = dense([f for f, r in zip(found, real) if not r]) - x[origin[~real]] if (~real).any() else np.zeros((0, x.shape[1]), np.float32)
     change = change[np.abs(change).any(1)]
@@ -143,10 +146,10 @@ def fit(labels: np.ndarray, pairs: np.ndarray, found: list[np.ndarray], *, most_
     w = np.zeros(x.shape[1])
     w[-1] = np.log(p / (1 - p))
     for _ in range(30):
-        guess = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (guess * (1 - guess)).astype(np.float32)) @ x + fixed, x.T @ (y - guess) - fixed @ w)
+        guess = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
+        step = np.linalg.solve((x.T * (guess * (1 - guess)).astype(np.float32)) @ x + fixed, x.T @ (y - guess).astype(np.float32) - fixed @ w)
         w += step * min(1.0, 4 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return Model({f: float(w[j]) for f, j in chosen.items() if abs(w[j]) > 1e-6}, float(w[-1]))
 
