@@ -16,6 +16,9 @@ Components come from alternating large-star and small-star steps over written ed
 Cases: null or empty texts, and texts of white space, have fingerprint zero and are linked like any
 other; repeated rows and equal texts share a fingerprint; a null doc_id is never a component_id unless
 its component has no other; an empty table gives an empty result; further columns are ignored.
+
+``near_duplicates`` and ``deduplicate`` do not go by bits: they link texts whose sets of 5-word shingles
+have a Jaccard similarity of 0.8 or more (see ``resemblance``).
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm import resemblance
 from tessella.llm.common import materialize, renamed, slices, text_bytes
+from tessella.llm.resemblance import shingle_hashes
 
 RADIUS = 3
 GROUPS = ((1 << 22) - 1, ((1 << 43) - 1) ^ ((1 << 22) - 1), ((1 << 64) - 1) ^ ((1 << 43) - 1))
@@ -38,19 +42,6 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def shingle_hashes(text: bytes, size: int = 3) -> list[int]:
-    """XXH64 (seed 42) of every ``size``-word shingle of the lower-cased text, repeats included."""
-    words = text.lower().split()
-    if not words:
-        return []
-    line = b" ".join(words)
-    if len(words) <= size:
-        return [xxhash.xxh64_intdigest(line, 42)]
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *(ends[: len(words) - size]).tolist()]
-    return [xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
-
-
 def majority(hashes: list[list[int]]) -> np.ndarray:
     """The fingerprint of each list: a bit is 1 if it is set in over half the hashes."""
     sizes = np.array([len(h) for h in hashes], np.int64)
@@ -193,11 +184,10 @@ def components(edges: DataFrame, *, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def by_fingerprint(found: DataFrame, *, crowd: int = 2048) -> DataFrame:
-    """(fp, root, component_id) for the distinct fingerprints of ``found`` (doc_id, fp); root: the
-    smallest fingerprint of the component, as a signed number."""
-    firsts = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    roots = materialize(components(links(firsts.select("fp"), crowd=crowd)), "roots")
+def classes(firsts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root, component_id) for ``firsts`` (fp, first: its smallest doc_id) and the links
+    ``edges`` (a, b); root: the smallest fp of the component, as a signed number."""
+    roots = materialize(components(edges), "roots")
     linked = firsts.join(roots, firsts["fp"] == roots["node"]).select("fp", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = materialize(linked.join(least, "root").select("fp", "root", "component_id"), "linked").withColumnRenamed("fp", "node")
@@ -205,18 +195,32 @@ def by_fingerprint(found: DataFrame, *, crowd: int = 2048) -> DataFrame:
     return joined.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 3, crowd: int = 2048) -> DataFrame:
-    """(doc_id, fp, root, component_id) for every document; component_id: the smallest doc_id that
-    is reachable over links, the document's own included."""
-    found = materialize(fingerprints(docs, size=size), "fingerprints")
-    classes = materialize(by_fingerprint(found, crowd=crowd), "classes").withColumnRenamed("fp", "of")
-    return found.join(classes, found["fp"] == classes["of"]).select("doc_id", "fp", "root", "component_id")
+def by_fingerprint(found: DataFrame, *, crowd: int = 2048) -> DataFrame:
+    """(fp, root, component_id) for the distinct fingerprints of ``found`` (doc_id, fp)."""
+    firsts = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    return classes(firsts, links(firsts.select("fp"), crowd=crowd))
+
+
+def _of_documents(found: DataFrame, of_fp: DataFrame) -> DataFrame:
+    of_fp = materialize(of_fp, "classes").withColumnRenamed("fp", "of")
+    return found.join(of_fp, found["fp"] == of_fp["of"]).select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, crowd: int = 1024) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every document; fp: the digest of its set of shingles;
+    component_id: the smallest doc_id that is reachable over links, the document's own included."""
+    found = materialize(resemblance.sketches(docs, size=size), "sketches")
+    sets = materialize(resemblance.distinct_sets(found), "sets")
+    pairs = materialize(resemblance.candidates(sets), "candidates")
+    groups = materialize(components(pairs), "groups")
+    edges = materialize(resemblance.verified(docs, sets, groups, size=size, similarity=similarity, crowd=crowd), "verified")
+    return _of_documents(found.select("doc_id", "fp"), classes(sets.select("fp", "first"), edges))
 
 
-def deduplicate(docs: DataFrame, *, size: int = 3, crowd: int = 2048) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id. Rows that
-    repeat a doc_id inside a component count as copies too; one of them stays."""
-    found = materialize(near_duplicates(docs, size=size, crowd=crowd), "near-duplicates")
+def deduplicate(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, crowd: int = 1024) -> DataFrame:
+    """``docs`` with one document of each component of near copies: that with the smallest doc_id.
+    Rows that repeat a doc_id inside a component count as copies too; one of them stays."""
+    found = materialize(near_duplicates(docs, size=size, similarity=similarity, crowd=crowd), "near-duplicates")
     keepers = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     plain = found.agg(F.count("doc_id") == F.count("*")).first()[0] and not keepers.groupBy("doc_id").count().where("count > 1").head(1)
     if plain:
@@ -224,13 +228,14 @@ def deduplicate(docs: DataFrame, *, size: int = 3, crowd: int = 2048) -> DataFra
     own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     rows = renamed(docs, own).withColumns({"doc_id": F.col(own["doc_id"]), "text": F.col(own["text"])})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    rows = rows.mapInArrow(_fingerprints(size), f"{schema}, fp long")
-    classes = found.select(F.col("fp").alias("of"), "root", "component_id").distinct()
-    kept = rows.join(classes, rows["fp"] == classes["of"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = rows.mapInArrow(resemblance.digests(size), f"{schema}, fp long")
+    of_fp = found.select(F.col("fp").alias("of"), "root", "component_id").distinct()
+    kept = rows.join(of_fp, rows["fp"] == of_fp["of"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.dropDuplicates(["root"])
     return kept.select(*[F.col(o).alias(c) for c, o in own.items()])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint as 16 lower-case hex digits, component_id)."""
-    return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = materialize(fingerprints(docs), "fingerprints")
+    return _of_documents(found, by_fingerprint(found)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

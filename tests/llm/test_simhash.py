@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from tessella.llm import simhash
-from tests.llm.data import DOC_SCHEMA, awkward_documents, documents
+from tests.llm.data import DOC_SCHEMA, awkward_documents, documents, words
 
 
 def brute_fingerprint(text):
@@ -82,3 +82,59 @@ def test_deduplicate_keeps_one_of_each(spark):
     kept = simhash.deduplicate(frame)
     assert kept.columns == frame.columns
     assert kept.count() == len(set(classes.values()))
+
+
+def brute_near_copies(rows, size=5, least=0.8):
+    """The component_id of each row, by the Jaccard similarity of all pairs."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s or {None}:
+            holders.setdefault(g, []).append(i)
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    n_links = 0
+    for i, s in enumerate(sets):
+        both = {}
+        for g in s or {None}:
+            for j in holders[g]:
+                if j < i:
+                    both[j] = both.get(j, 0) + 1
+        for j, n in both.items():
+            if not s or n / (len(s) + len(sets[j]) - n) >= least - 1e-12:
+                n_links += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    firsts = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            firsts[find(i)] = min(firsts.get(find(i), doc), doc)
+    return [firsts.get(find(i)) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("make, crowd", [(documents, 1024), (awkward_documents, 1024), (awkward_documents, 2)])
+def test_near_copies_match_brute_force(spark, make, crowd):
+    frame = make(spark)
+    rows = [(r.doc_id, r.text) for r in frame.collect()]
+    want = sorted((str(d), str(c)) for (d, _), c in zip(rows, brute_near_copies(rows)))
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(frame, crowd=crowd).collect()) == want
+
+
+def test_edited_copies_go(spark):
+    """Copies of which one word in 60 differs share over 0.8 of their 5-word shingles."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(40):
+        text = words(rng, 120).split()
+        edited = [*text[:30], "new", *text[31:90], "word", *text[91:]]
+        rows += [(2 * i, " ".join(text), "en", "a", 1), (2 * i + 1, " ".join(edited), "en", "a", 1)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, DOC_SCHEMA))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
