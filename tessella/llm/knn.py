@@ -2,8 +2,8 @@
 
 Data go to the cell of their nearest pivot; each cell is summed up by its size and radius. For a
 query q and a vector v of a cell with pivot p and radius r, the score q.v lies within |q| r of q.p.
-The cells with the highest lower bounds that together hold enough vectors give each query a score
-that its k-th result reaches at least; only cells whose upper bound reaches it are searched. Cells
+The cells with the highest lower bounds that together hold k vectors besides all of the query's own
+rows give each query a score that its k-th result reaches at least; only cells whose upper bound reaches it are searched. Cells
 are dealt into parts and queries into blocks of bounded size; a part is copied only to the blocks
 with a query that needs its cell, every (part, block) is solved by one matrix product, and the best
 k of all parts are merged.
@@ -13,7 +13,7 @@ Bounds are computed in floating point with a margin above its error; scores are
 
 Cases: vectors that are null or hold null or non-finite components, and rows with null vec_id, take
 no part; shorter vectors count as filled up with zeros; rows that share a query's vec_id are its own;
-equal rows are one query, but as candidates they stay apart; ties go to the smaller vec_id; an empty
+equal rows are one query, but as candidates they stay apart (k of them, as no result holds more); ties go to the smaller vec_id; an empty
 table gives an empty result; further columns are ignored. Scores outside 64 bits, of components that
 no embedding has, are held at the end of that range.
 """
@@ -69,7 +69,7 @@ def _assign(pivots, width: int):
             far = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)
             cell = far.argmin(1)
             r = np.sqrt(((x - p[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["mark"], _rows(v), pa.array(cell.astype(np.int32)), pa.array(r)], names=["vec_id", "mark", "v", "cell", "r"])
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["mark"], batch["copies"], _rows(v), pa.array(cell.astype(np.int32)), pa.array(r)], names=["vec_id", "mark", "copies", "v", "cell", "r"])
 
     return run
 
@@ -91,7 +91,7 @@ def _needed(pivots, cells, width: int, k: int):
                 slack = 1e-9 * (np.abs(q) @ np.abs(p[held]).T + norm[:, None] * radius[held]) + 1
                 low, high = middle - norm[:, None] * radius[held] - slack, middle + norm[:, None] * radius[held] + slack
                 order = np.argsort(-low, axis=1)
-                enough = np.cumsum(size[held][order], axis=1) > k
+                enough = np.cumsum(size[held][order], axis=1) >= k + batch["own"].to_numpy()[:, None]
                 least = np.where(enough.any(1), np.take_along_axis(np.take_along_axis(low, order, 1), enough.argmax(1)[:, None], 1)[:, 0], -np.inf)
                 row, cell = np.nonzero(high >= least[:, None])
                 n = parts[held][cell]
@@ -133,6 +133,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, vector: str = "e
     spark = vectors.sparkSession
     base = vectors.where(F.col("vec_id").isNotNull() & valid(F.col(vector)))
     base = base.select("vec_id", scaled(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    base = base.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("copies"), F.max("asks").alias("asks"))
     base = materialize(base.withColumn("mark", F.xxhash64("v")), "vectors")
     n, asking, width = base.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
     width = max(1, width or 1)
@@ -142,17 +143,20 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, vector: str = "e
         p[i, : len(row.v)] = row.v
     pivots = spark.sparkContext.broadcast(p)
 
-    placed = materialize(base.select("vec_id", "mark", "v").mapInArrow(_assign(pivots, width), "vec_id long, mark long, v array<long>, cell int, r double"), "cells")
+    rows = base.select("vec_id", "mark", "v", "copies")
+    placed = materialize(rows.mapInArrow(_assign(pivots, width), "vec_id long, mark long, copies long, v array<long>, cell int, r double"), "cells")
     size, radius = np.zeros(len(p), np.int64), np.zeros(len(p))
-    for cell, count, r in placed.groupBy("cell").agg(F.count("*"), F.max("r")).collect():
+    for cell, count, r in placed.groupBy("cell").agg(F.sum("copies"), F.max("r")).collect():
         size[cell], radius[cell] = count, r
     parts = -(-size // part_rows)
     cells = spark.sparkContext.broadcast((size, radius, parts))
     blocks = max(1, -(-asking // block_rows))
 
     per_cell = F.element_at(F.array(*[F.lit(int(max(1, x))) for x in parts]), F.col("cell") + 1)
-    data = placed.select("cell", F.pmod(F.xxhash64("vec_id", "mark"), per_cell).cast("int").alias("part"), "vec_id", "v")
-    queries = base.where("asks").select("vec_id", "mark", "v").distinct().withColumn("block", F.pmod(F.xxhash64("vec_id", "mark"), F.lit(blocks)).cast("int"))
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    data = placed.select("cell", F.pmod(F.xxhash64("vec_id", "mark", "copy"), per_cell).cast("int").alias("part"), "vec_id", "v")
+    own = base.groupBy("vec_id").agg(F.sum("copies").alias("own"))
+    queries = base.where("asks").select("vec_id", "mark", "v").join(own, "vec_id").withColumn("block", F.pmod(F.xxhash64("vec_id", "mark"), F.lit(blocks)).cast("int"))
     queries = materialize(queries.mapInArrow(_needed(pivots, cells, width, k), "vec_id long, mark long, v array<long>, block int, cell int, part int"), "queries")
     wanted = queries.select(F.col("cell").alias("c"), F.col("part").alias("p"), F.col("block").alias("b")).distinct()
     copies = data.join(wanted, (F.col("cell") == F.col("c")) & (F.col("part") == F.col("p"))).select("cell", "part", F.col("b").alias("block"), "vec_id", "v")

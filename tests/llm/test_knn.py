@@ -33,3 +33,18 @@ def test_empty_and_tiny_tables(spark):
     assert knn.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).count() == 0
     one = spark.createDataFrame([(0, [1.0], 1, 1, 1)], SCHEMA)
     assert knn.top_k(one, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_repeated_ids_match_brute_force(spark):
+    """A query id with many rows in one tight cell, equal ones and different ones."""
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(i % 5, 0.1) for _ in range(6)]) for i in range(300)]
+    rows += [(20, [50.0 + rng.gauss(0, 0.01) for _ in range(6)]) for _ in range(40)] + [(40, [60.0] * 6)] * 50 + [(7, [30.0] * 6)] * 30
+    frame = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], SCHEMA)
+    got = sorted(map(tuple, knn.top_k(frame, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()))
+    want = []
+    ok = [(i, [floor(x * 1024) for x in v]) for i, v in rows]
+    for q, v in {(q, tuple(v)) for q, v in ok if q % 20 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:10])]
+    assert got == sorted(want)
