@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import first_by_hash, renamed, slices, text_bytes
+from tessella.llm.common import first_by_hash, materialize, renamed, slices, text_bytes
 
 GOOD, BAD, NONE = 0, 1, 2
 LABELLERS = 9
@@ -59,21 +60,22 @@ def votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     )
 
 
-def shape(word: bytes) -> str:
-    """Runs of capitals, letters and digits become one sign each; marks stay."""
+def shape(word: bytes) -> list[str]:
+    """Runs of capitals, letters and digits become one sign each; marks stay. Six signs are a shape:
+    a longer word has several, up to its end."""
     out = []
-    for c in word.decode("utf-8", "replace")[:64]:
+    for c in word.decode("utf-8", "replace"):
         sign = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not (out and out[-1] == sign and sign in "Aa0"):
             out.append(sign)
-    return "".join(out[:6])
+    return ["".join(out[i : i + 6]) for i in range(0, len(out), 6)]
 
 
 class Shapes(dict):
     """Numbers of token shapes by token, remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
-        n = 2 + crc32(shape(word).encode()) % (WIDTH // 2 - 2)
+    def __missing__(self, word: bytes) -> list[int]:
+        n = [2 + crc32(x.encode()) % (WIDTH // 2 - 2) for x in shape(word)]
         if len(word) <= 64:
             if len(self) >= 300_000:
                 self.clear()
@@ -84,12 +86,12 @@ class Shapes(dict):
 def vector(text: bytes, words: list[bytes], shapes: Shapes) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and values: square roots of the shares of token shapes and of pairs of them;
     feature 0: tokens equal to the one before, 1: share of repeated words."""
-    own = np.fromiter(map(shapes.__getitem__, text.split()), np.int64, len(words))
+    own = np.fromiter(chain.from_iterable(map(shapes.__getitem__, text.split())), np.int64)
     pairs = WIDTH // 2 + (own[:-1] * 31 + own[1:]) % (WIDTH // 2)
     n = max(1, len(words))
     same = sum(map(operator.eq, words, words[1:]))
     some, counts = np.unique(np.concatenate([own, pairs]), return_counts=True)
-    values = np.sqrt(np.concatenate([[same / n, 1 - len(set(words)) / n], counts / n]))
+    values = np.sqrt(np.concatenate([[same / n, 1 - len(set(words)) / n], counts / max(1, len(own))]))
     return np.concatenate([[0, 1], some]).astype(np.int32), values.astype(np.float32)
 
 
@@ -192,7 +194,8 @@ def train(docs: DataFrame, *, train_rows: int = 4000) -> Scorer:
         return Scorer(np.zeros(WIDTH, np.float32), 0.0)
     weak = estimate(np.array([r.pattern for r in counted]), np.array([r.n for r in counted], np.float64))
     # Distinct texts up to the train_rows-th hash; the hashes come first, without the texts.
-    hashes = first_by_hash(texts.select(F.xxhash64("text").alias("h")).distinct(), sum(r.n for r in counted), train_rows, "h")
+    distinct = materialize(texts.select(F.xxhash64("text").alias("h")).distinct(), "hashes")
+    hashes = first_by_hash(distinct, distinct.count(), train_rows, "h")
     last = hashes.agg(F.max(F.xxhash64("h"))).first()[0]
     sample = texts.withColumn("h", F.xxhash64("text")).where(F.xxhash64("h") <= last).dropDuplicates(["h"]).select("text")
     rows = sample.mapInArrow(_vectors, "pattern array<int>, some binary, values binary").collect()

@@ -49,3 +49,19 @@ def test_vector_counts_repeats():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert quality.score(empty).count() == 0 and quality.keep_good(empty).count() == 0
+
+
+def test_many_copies_leave_a_training_sample(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect()]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i in range(300) for t in texts], DOC_SCHEMA)
+    once = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOC_SCHEMA)
+    many, few = quality.train(frame, train_rows=len(texts)), quality.train(once, train_rows=len(texts))
+    assert many.weights.any()
+    assert ((many.weights != 0) == (few.weights != 0)).all()
+
+
+def test_shapes_cover_the_whole_word():
+    assert "".join(quality.shape(b"Ab-" * 40)) == "Aa-" * 40
+    ends = [b"a" * 100 + b"#$" * 3, b"a" * 100 + b"0A" * 3]
+    one, other = (quality.vector(t, [t.lower()], quality.Shapes())[0].tolist() for t in ends)
+    assert one != other
