@@ -39,6 +39,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of all rows is dealt with by itself; there are fewer such keys.
+HEAVY = 1000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, whose rows are unique by ``on`` and have in ``n`` how many rows
+    of ``rows`` have that key (for ``left_semi``, ``inner`` and ``left``; keys are never null).
+
+    Keys that hold more than 1 / HEAVY of all rows are broadcast: fewer than HEAVY rows, whatever the
+    data. The others are shuffled, and none of them can fill a task. Both are written tables."""
+    total = rows.count()
+    heavy = F.broadcast(table.where(F.col("n") * HEAVY > total))
+    light = table.where(F.col("n") * HEAVY <= total)
+    first = rows.join(heavy, on, "inner" if how == "left" else how)
+    return first.unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on, how))
+
+
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """All renamings at once; a new name may equal an old one."""
     return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])

@@ -1,10 +1,11 @@
 """Suffix-array dedup: repeated 200-byte strings, found by bucket-pointer refinement.
 
 Bucket-pointer refinement first sorts suffixes into q-gram buckets and then refines each bucket by
-the bucket identifiers of later offsets; what one refinement has found is used by the next. Here
-bucket identifiers are 64-bit numbers that every task computes alike, so no table of ranks is passed
-around: the identifier of a 2q-gram is made from those of the q-gram at the same offset and of the
-q-gram q bytes later, from bytes up to 128-grams, over and over.
+the bucket identifiers of later offsets; what one refinement has found is used by the next. The
+identifier of a 2q-gram is made from those of the q-gram at the same offset and of the q-gram q bytes
+later, from bytes up to 128-grams, over and over, so every task computes it alike and no table of
+ranks is passed around. Each refinement gives its buckets numbers (pointers), and the next one
+compares only what is new below such a pointer.
 
 Sorting every suffix of the corpus would shuffle many times its size. Only sampled suffixes are
 dealt out: each ``length``-byte string is represented by the one 32-gram in it with the smallest
@@ -13,14 +14,19 @@ in the bucket of an anchor. Then, bucket by bucket:
 
 1. q-gram buckets: anchors whose 32-gram is unique are done.
 2. Refinement by the whole surroundings, i.e. by all strings that hold the anchor: where equal, all
-   those strings repeat. Buckets in which all surroundings are equal are done.
-3. The others are refined for each run of 13 offsets of the anchor inside the string: by what all
+   those strings repeat. Buckets in which all surroundings are equal are done; the others get pointers.
+3. Refinement below those, for each run of 13 offsets of the anchor inside the string: by what all
    strings of the run have in common (a bucket with one member is done, nothing repeats) and by what
-   they span together (where equal, all of them repeat).
-4. What is left is refined for each offset, i.e. string, alone.
+   they span together (where equal, all of them repeat). What is left gets pointers again.
+4. Refinement below those, for each offset, i.e. string, alone: by the 12 bytes that it has besides
+   what its run has in common. These are compared as they are.
+
+Surroundings, common parts and spans are compared by two independent 64-bit identifiers (128 bits)
+inside the bucket that they refine; a 32-gram is a bucket only and proves nothing.
 
 Equal members of a bucket are counted by partial aggregates and only one of each goes on to the next
-refinement, so large groups of copies cost no more than their own rows.
+refinement, so large groups of copies cost no more than their own rows. Joins back to members go by
+``join_counted``: keys with many rows are broadcast (their number is bounded), so none is one task.
 
 Cases: null text is empty; texts shorter than ``length`` bytes lose nothing; rows with a repeated
 doc_id are documents of their own, and equal rows are copies of each other; null doc_ids take part;
@@ -38,16 +44,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, renamed, slices, text_bytes
+from tessella.llm.common import join_counted, materialize, renamed, slices, text_bytes
 
 GRAM = 32
 BLOCK = 128
-PIECE = 1 << 20
-MARGIN = 1024
+PIECE = 1 << 18
+RUN = 13
 U = np.uint64
-#: Identifiers of single bytes, and multipliers: any fixed random numbers.
-BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Identifiers of single bytes, for either kind, and multipliers: any fixed random numbers.
+BYTE, OTHER = (np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1) for seed in (20, 21))
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
+BASE = 0x2545F4914F6CDD1D
+#: Powers of an odd base, and of its inverse modulo 2**64.
+POWERS, INVERSE = (np.cumprod(np.concatenate([[U(1)], np.full(PIECE + 4096, U(x))]), dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,6 +88,21 @@ def spanned(blocks: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return joined(joined(joined(a, b), c), size.astype(np.uint64))
 
 
+def sums(raw: np.ndarray) -> np.ndarray:
+    """Running sums over the last axis that give the second identifier of any string of it."""
+    out = np.zeros((*raw.shape[:-1], raw.shape[-1] + 1), np.uint64)
+    np.cumsum(OTHER[raw] * POWERS[: raw.shape[-1]], axis=-1, dtype=np.uint64, out=out[..., 1:])
+    return out
+
+
+def summed(running: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The second identifiers of strings of ``size`` bytes at ``start`` of the flat running sums;
+    ``at``: their offsets inside their own rows."""
+    flat = running.reshape(-1)
+    x = (flat[start + size] - flat[start]) * INVERSE[at]
+    return x ^ (x >> U(32))
+
+
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
     span, out = 1, keys
@@ -90,8 +114,8 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """The anchors of a text: place, 32-gram identifier, identifier of the span of all strings of
-    which it is the anchor, and the least and greatest offset of the anchor inside those strings."""
+    """The anchors of a text: place, 32-gram identifier, the two identifiers of the span of all strings
+    of which it is the anchor, and the least and greatest offset of the anchor inside those strings."""
     n, back = len(text), length - GRAM
     raw = np.frombuffer(text, np.uint8)
     found = []
@@ -107,10 +131,12 @@ def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, ...]:
         own = (at + lo >= s) & (at + lo < s + PIECE)
         at, first, last = at[own], first[own], last[own]
         low, high = at - last, at - first
-        hull = joined(spanned(blocks, first, last - first + length), (low * 1024 + high).astype(np.uint64))
-        found.append((at + lo, grams[at], hull, low, high))
+        size, offsets = last - first + length, (low * 1024 + high).astype(np.uint64)
+        hull = joined(spanned(blocks, first, size), offsets)
+        other = summed(sums(raw[lo:hi]), first, size, first) + offsets * M2
+        found.append((at + lo, grams[at], hull, other, low, high))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -119,20 +145,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("k"), F.xxhash64("doc_id", "text").alias("s"), "text")
 
 
-def _anchors(length: int, grams_only: bool):
+def _cut_to(x: np.ndarray, bits: int) -> pa.Array:
+    return pa.array((x & U((1 << bits) - 1)).view(np.int64))
+
+
+def _anchors(length: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 parts = [anchors_of(t, length) for t in text_bytes(batch["text"])]
-                grams = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
-                if grams_only:
-                    some, n = np.unique(grams, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n)], names=["gram", "n"])
+                if not parts:
                     continue
                 rows = pa.array(np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts]))
-                at, _, hull, low, high = (np.concatenate([p[x] for p in parts]) for x in range(5))
+                at, grams, hull, other, low, high = (np.concatenate([p[x] for p in parts]) for x in range(6))
                 place = at * 65536 + low * 256 + high
-                yield pa.RecordBatch.from_arrays([batch["k"].take(rows), batch["s"].take(rows), pa.array(place), pa.array(grams.view(np.int64)), pa.array(hull.view(np.int64))], names=["k", "s", "place", "gram", "hull"])
+                columns = [batch["k"].take(rows), batch["s"].take(rows), pa.array(place), _cut_to(grams, bits), _cut_to(hull, bits), pa.array(other.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "s", "place", "gram", "hull", "hull2"])
 
     return run
 
@@ -148,109 +176,135 @@ def _strings(length: int):
                 for i, text in enumerate(text_bytes(batch["text"])):
                     for a in lists[i]:
                         at, low, high = a["place"] >> 16, a["place"] >> 8 & 255, a["place"] & 255
-                        rows.append((k[i], s[i], a["place"], a["gram"], a["alone"], text[at - high : at - low + length]))
+                        rows.append((k[i], s[i], a["place"], a["bucket"], a["alone"], text[at - high : at - low + length]))
                 columns = list(zip(*rows)) if rows else [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "s", "place", "gram", "alone", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "s", "place", "bucket", "alone", "span"])
 
     return run
 
 
-RUN = 13
+def _spans(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of a batch as rows of bytes with the anchor at one place, and the least and greatest
+    offset of each anchor."""
+    back, place = length - GRAM, batch["place"].to_numpy()
+    raw = np.zeros((batch.num_rows, back + length), np.uint8)
+    least, most = place >> 8 & 255, place & 255
+    for i, (span, high) in enumerate(zip(batch["span"].to_pylist(), most.tolist())):
+        raw[i, back - high : back - high + len(span)] = np.frombuffer(span, np.uint8)
+    return raw, least, most
 
 
-def _refined(length: int, run_of: int):
-    """One row for each run of ``run_of`` offsets of each anchor: identifiers of what the run's
-    strings have in common (bucket) and of what those strings that the anchor is of span (hull).
-
-    ``ref`` holds the anchor's number, the run's first offset and whether the anchor is open. Where
-    a list of ``runs`` comes along, an anchor is refined inside those 13 offsets only."""
+def _runs(length: int, bits: int):
+    """One row for each run of offsets of each anchor: below the pointer of its bucket, the two
+    identifiers of what the run's strings have in common, and of what those strings that the anchor
+    is of span. ``ref`` holds the anchor's number and whether it is open, ``first`` the first offset."""
     back = length - GRAM
-    wide = back + length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                m, place = batch.num_rows, batch["place"].to_numpy()
-                least, most = (place >> 8 & 255)[:, None], (place & 255)[:, None]
-                raw = np.zeros((m, wide), np.uint8)
-                for i, (span, high) in enumerate(zip(batch["span"].to_pylist(), most[:, 0].tolist())):
-                    raw[i, back - high : back - high + len(span)] = np.frombuffer(span, np.uint8)
-                blocks = doubled(raw, (BLOCK,))[BLOCK]
-                low = np.broadcast_to(np.arange(0, back + 1, run_of), (m, (back + run_of) // run_of))
-                fits = (low <= most) & (low + run_of - 1 >= least)
-                if "runs" in batch.schema.names:
-                    allowed = np.zeros((m, back + RUN), bool)
-                    for i, runs in enumerate(batch["runs"].to_pylist()):
-                        for first in runs:
-                            allowed[i, first : first + RUN] = True
-                    fits &= allowed[:, : low.shape[1]]
-                row, _ = np.nonzero(fits)
+                raw, least, most = _spans(batch, length)
+                blocks, running = doubled(raw, (BLOCK,))[BLOCK], sums(raw)
+                low = np.broadcast_to(np.arange(0, back + 1, RUN), (len(raw), back // RUN + 1))
+                row, _ = np.nonzero(fits := (low <= most[:, None]) & (low + RUN - 1 >= least[:, None]))
                 low = low[fits]
-                a, b = np.maximum(low, least[row, 0]), np.minimum(low + run_of - 1, most[row, 0])
-                flat = row * blocks.shape[1] + back
-                size = np.full(len(row), length - run_of + 1)
-                gram = batch["gram"].to_numpy().view(np.uint64)[row]
-                bucket = joined(joined(gram, spanned(blocks, flat - low, size)), low.astype(np.uint64))
-                ref = (batch["nid"].to_numpy()[row] << 9) | (low << 1) | batch["alone"].to_numpy(zero_copy_only=False)[row]
-                out = [pa.array(bucket.view(np.int64)), pa.array(ref.astype(np.int64))]
-                if run_of > 1:
-                    hull = joined(spanned(blocks, flat - b, b - a + length), (a * 1024 + b).astype(np.uint64))
-                    out.append(pa.array(hull.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(out, names=["bucket", "ref", "hull"][: len(out)])
+                a, b = np.maximum(low, least[row]), np.minimum(low + RUN - 1, most[row])
+
+                def both(start: np.ndarray, size: np.ndarray) -> list[pa.Array]:
+                    first = spanned(blocks, row * blocks.shape[1] + start, size)
+                    return [_cut_to(first, bits), pa.array(summed(running, row * running.shape[1] + start, size, start).view(np.int64))]
+
+                common = both(back - low, np.full(len(row), length - RUN + 1))
+                # Of equal common parts, spans are alike if they reach equally far and are equal.
+                hull = both(back - b, b - a + length)
+                reach = pa.array((a * 1024 + b).astype(np.int32))
+                ref = (batch["nid"].to_numpy()[row] << 1) | batch["alone"].to_numpy(zero_copy_only=False)[row]
+                columns = [batch["bucket"].take(pa.array(row)), pa.array(low.astype(np.int32)), *common, reach, *hull, pa.array(ref.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "first", "c1", "c2", "reach", "h1", "h2", "ref"])
+
+    return run
+
+
+def _singles(length: int):
+    """One row for each offset in the listed runs of each anchor: below the run's pointer, the 12 bytes
+    that the string has before and after what the run has in common."""
+    back, rest = length - GRAM, RUN - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                raw, least, most = _spans(batch, length)
+                lists = batch["runs"].to_pylist()
+                row = np.repeat(np.arange(len(raw)), [len(x) for x in lists])
+                first = np.array([x["first"] for runs in lists for x in runs], np.int64)
+                pointer = np.array([x["run"] for runs in lists for x in runs], np.int64)
+                row, first, pointer = (np.repeat(x, RUN) for x in (row, first, pointer))
+                j = np.tile(np.arange(RUN), len(row) // RUN)
+                own = (first + j >= least[row]) & (first + j <= most[row])
+                row, first, pointer, j = row[own], first[own], pointer[own], j[own]
+                t = np.arange(rest)
+                column = (back - first - j)[:, None] + t + np.where(t >= j[:, None], length - rest, 0)
+                found = np.zeros((len(row), 16), np.uint8)
+                found[:, :rest] = raw[row[:, None], column]
+                words = found.view(np.int64)
+                ref = (batch["nid"].to_numpy()[row] << 1) | batch["alone"].to_numpy(zero_copy_only=False)[row]
+                columns = [pa.array(pointer), pa.array((first + j).astype(np.int32)), pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(ref.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["run", "offset", "w1", "w2", "ref"])
 
     return run
 
 
-def repeats(docs: DataFrame, *, length: int = 200) -> DataFrame:
+def repeats(docs: DataFrame, *, length: int = 200, bits: int = 64) -> DataFrame:
     """(k, s, spans) for documents, as ``keyed`` names them, with bytes that a repeated string of
-    ``length`` bytes covers; spans: (start, end) that cover them, in no order."""
+    ``length`` bytes covers; spans: (start, end) that cover them, in no order. ``bits``: how much of the
+    first of the two identifiers is used (tests force collisions by it)."""
     if not 160 <= length <= 200:
         raise ValueError("length is between 160 and 200")
     long = keyed(docs).where(F.octet_length("text") >= length)
 
     # Buckets by 32-gram, and by all strings of the anchor.
-    # Counts are written before they are joined: Spark can then split a partition with a hot key.
-    grams = long.mapInArrow(_anchors(length, True), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    grams = materialize(grams.select(F.col("gram").alias("g")), "grams")
-    anchors = long.mapInArrow(_anchors(length, False), "k long, s long, place long, gram long, hull long")
-    anchors = materialize(anchors.join(grams, anchors["gram"] == F.col("g"), "left_semi"), "anchors")
-    hulls = materialize(anchors.groupBy("gram", "hull").agg(F.count("*").alias("n"), F.min(F.struct("k", "s", "place")).alias("one")), "hulls")
-    mixed = hulls.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("hulls")).where("hulls > 1")
-    mixed = materialize(mixed.select("g"), "mixed")
-    twins = hulls.where("n > 1").select(F.col("gram").alias("g"), F.col("hull").alias("h"))
-    whole = anchors.join(twins, (anchors["gram"] == F.col("g")) & (anchors["hull"] == F.col("h")), "left_semi")
+    anchors = materialize(long.mapInArrow(_anchors(length, bits), "k long, s long, place long, gram long, hull long, hull2 long"), "anchors")
+    grams = materialize(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    anchors = materialize(join_counted(anchors, grams, ["gram"], "left_semi"), "shared-anchors")
+    whole = ["gram", "hull", "hull2"]
+    hulls = materialize(anchors.groupBy(*whole).agg(F.count("*").alias("n"), F.min(F.struct("k", "s", "place")).alias("one")), "hulls")
+    twins = join_counted(anchors, hulls.where("n > 1").select(*whole, "n"), whole, "left_semi")
     at, low, high = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
-    covered = whole.select("k", "s", (at - high).alias("start"), (at - low + length).alias("end"))
+    covered = twins.select("k", "s", (at - high).alias("start"), (at - low + length).alias("end"))
 
-    # The strings of the anchors that are left, one of equal ones.
-    unsure = hulls.join(mixed, hulls["gram"] == mixed["g"], "left_semi").select("one.*", "gram", (F.col("n") == 1).alias("alone"))
-    listed = unsure.groupBy(F.col("k").alias("lk"), F.col("s").alias("ls")).agg(F.collect_list(F.struct("place", "gram", "alone")).alias("anchors"))
+    # Pointers for the buckets that are left, and the strings of their anchors, one of equal ones.
+    mixed = hulls.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").withColumn("bucket", F.monotonically_increasing_id())
+    mixed = materialize(mixed, "mixed")
+    unsure = join_counted(hulls.select("gram", "one", (F.col("n") == 1).alias("alone")), mixed, ["gram"])
+    listed = unsure.select("one.*", "bucket", "alone").groupBy(F.col("k").alias("lk"), F.col("s").alias("ls")).agg(F.collect_list(F.struct("place", "bucket", "alone")).alias("anchors"))
     once = long.join(listed, (long["k"] == F.col("lk")) & (long["s"] == F.col("ls"))).select("k", "s", "text", "anchors")
-    near = once.mapInArrow(_strings(length), "k long, s long, place long, gram long, alone boolean, span binary")
+    near = once.mapInArrow(_strings(length), "k long, s long, place long, bucket long, alone boolean, span binary")
     near = materialize(near.withColumn("nid", F.monotonically_increasing_id()), "near")
 
-    # Buckets by runs of offsets. A bucket counts if it has two members and an open one.
-    runs = materialize(near.mapInArrow(_refined(length, RUN), "bucket long, ref long, hull long"), "runs")
-    is_open = F.max(F.col("ref").bitwiseAND(1))
-    kinds = runs.groupBy("bucket").agg(F.count("*").alias("n"), is_open.alias("open"), F.min("hull").alias("a"), F.max("hull").alias("b")).where("n > 1 AND open = 1")
-    kinds = materialize(kinds.select(F.col("bucket").alias("of"), (F.col("a") != F.col("b")).alias("mixed")), "kinds")
-    runs = materialize(runs.join(kinds, runs["bucket"] == F.col("of")).drop("of"), "shared-runs")
-    alike = runs.groupBy(F.col("bucket").alias("ab"), F.col("hull").alias("ah")).agg(F.count("*").alias("m"), F.min("ref").alias("one")).where("m > 1")
-    alike = materialize(alike, "alike")
-    runs = materialize(runs.join(alike, (runs["bucket"] == F.col("ab")) & (runs["hull"] == F.col("ah")), "left").select("ref", "mixed", "m", "one"), "known-runs")
-    nid, first = F.shiftright("ref", 9), F.shiftright("ref", 1).bitwiseAND(255)
-    whole_runs = runs.where("m IS NOT NULL AND ref % 2 = 1").select(nid.alias("id"), first.alias("first"), F.lit(RUN).alias("span"))
-
-    # Buckets by single offsets, for runs that are in part alike; of equal runs, one goes on.
-    split = runs.where("mixed AND (m IS NULL OR ref = one)").select(nid.alias("id"), first.alias("first"), (F.col("m").isNull() & (F.col("ref") % 2 == 1)).alias("still"))
-    split = split.groupBy("id").agg(F.collect_list("first").alias("runs"), F.collect_list(F.when(F.col("still"), F.col("first"))).alias("open_runs"))
-    single = near.join(split, near["nid"] == split["id"]).select("nid", "place", "gram", "alone", "span", "runs")
-    single = materialize(single.mapInArrow(_refined(length, 1), "bucket long, ref long"), "single")
-    twice = single.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n"), is_open.alias("open")).where("n > 1 AND open = 1")
-    twice = materialize(twice.select("b"), "twice")
-    ones = single.where("ref % 2 = 1").join(twice, F.col("bucket") == F.col("b"), "left_semi").select(nid.alias("id"), first.alias("first"), F.lit(1).alias("span"))
+    # Buckets by runs of offsets, below those. A bucket counts if it has two members and an open one.
+    runs = materialize(near.mapInArrow(_runs(length, bits), "bucket long, first int, c1 long, c2 long, reach int, h1 long, h2 long, ref long"), "runs")
+    is_open = F.max(F.col("ref").bitwiseAND(1)) == 1
+    of, hull = ["bucket", "first", "c1", "c2"], ["run", "reach", "h1", "h2"]
+    differs = F.min(F.struct(*hull[1:])) != F.max(F.struct(*hull[1:]))
+    kinds = runs.groupBy(*of).agg(F.count("*").alias("n"), is_open.alias("open"), differs.alias("mixed")).where("n > 1 AND open")
+    kinds = materialize(kinds.select(*of, "n", "mixed", F.monotonically_increasing_id().alias("run")), "kinds")
+    runs = materialize(join_counted(runs, kinds, of).select(*hull, "first", "ref", "mixed"), "shared-runs")
+    alike = runs.groupBy(*hull).agg(F.count("*").alias("n"), F.min("ref").alias("one")).where("n > 1")
+    runs = materialize(join_counted(runs, materialize(alike, "alike"), hull, "left"), "known-runs").withColumnRenamed("n", "m")
+    nid = F.shiftright("ref", 1)
+    whole_runs = runs.where("m IS NOT NULL AND ref % 2 = 1").select(nid.alias("id"), "first", F.lit(RUN).alias("span"))
+
+    # Buckets by single offsets, below runs that are in part alike; of equal runs, one goes on.
+    split = runs.where("mixed AND (m IS NULL OR ref = one)").groupBy(nid.alias("id")).agg(F.collect_list(F.struct("first", "run")).alias("runs"))
+    single = near.join(split, near["nid"] == split["id"]).select("nid", "place", "alone", "span", "runs")
+    single = materialize(single.mapInArrow(_singles(length), "run long, offset int, w1 long, w2 long, ref long"), "single")
+    of = ["run", "offset", "w1", "w2"]
+    twice = single.groupBy(*of).agg(F.count("*").alias("n"), is_open.alias("open")).where("n > 1 AND open")
+    twice = materialize(twice.select(*of, "n"), "twice")
+    ones = join_counted(single, twice, of, "left_semi").where("ref % 2 = 1").select(nid.alias("id"), F.col("offset").alias("first"), F.lit(1).alias("span"))
 
     found = whole_runs.unionByName(ones).groupBy("id").agg(F.collect_list(F.struct("first", "span")).alias("parts"))
     more = near.join(found, near["nid"] == found["id"]).select("k", "s", at.alias("at"), low.alias("low"), high.alias("high"), F.explode("parts").alias("p"))

@@ -41,6 +41,20 @@ def test_shifted_overlaps(spark):
     check(spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOC_SCHEMA))
 
 
+def test_first_identifiers_that_collide(spark):
+    """Three bits of the first identifier: all buckets hold different strings, none is taken for a repeat."""
+    frame = documents(spark)
+    spans = lambda **o: {(r.k, r.s): sorted(substrings.merged([(x.start, x.end) for x in r.spans], 1 << 40)) for r in substrings.repeats(frame, **o).collect()}
+    assert spans(bits=3) == spans() != {}
+
+
+def test_one_line_in_most_documents(spark):
+    """A passage that nearly every row holds, at many places: its keys are dealt with by themselves."""
+    rng = random.Random(6)
+    line = words(rng, 60)
+    check(spark.createDataFrame([(i, (line + "\n") * (1 + i % 4) + words(rng, 40), "", "", 0) for i in range(300)], DOC_SCHEMA))
+
+
 def test_text_pieces(spark, monkeypatch):
     monkeypatch.setattr(substrings, "PIECE", 700)
     text = words(random.Random(4), 800).encode()
