@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices, text_bytes
+from tessella.llm.common import join_counted, materialize, slices, text_bytes
 
 BANDS, ROWS = 32, 4
 _RNG = np.random.default_rng(42)
@@ -104,15 +104,15 @@ def sketches(docs: DataFrame, *, size: int = 5) -> DataFrame:
 
 
 def distinct_sets(found: DataFrame) -> DataFrame:
-    """(fp, first, one, bands) for each distinct set: its smallest doc_id, and one of its texts."""
-    return found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("bytes", "h", "h2")).alias("one"), F.min("bands").alias("bands"))
+    """(fp, n, first, one, bands) for each distinct set: its rows, its smallest doc_id, one of its texts."""
+    return found.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min(F.struct("bytes", "h", "h2")).alias("one"), F.min("bands").alias("bands"))
 
 
 def candidates(sets: DataFrame) -> DataFrame:
     """Edges (a, b) between the sets that share a band and the smallest of them."""
-    rows = sets.select("fp", F.explode("bands").alias("place"))
-    hubs = rows.groupBy("place").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a < most").select("place", "a")
-    return rows.hint("merge").join(hubs.hint("merge"), "place").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    rows = materialize(sets.select("fp", F.explode("bands").alias("place")), "places")
+    hubs = materialize(rows.groupBy("place").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    return join_counted(rows, hubs, ["place"]).where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -171,9 +171,9 @@ def _verify(size: int, similarity: float):
 
 def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, *, size: int = 5, similarity: float = 0.8, crowd: int = 1024) -> DataFrame:
     """Edges (a, b) whose components are those of all similar pairs inside ``groups`` (node, root)."""
-    members = groups.join(sets, groups["node"] == sets["fp"]).select("fp", "root", "one.*")
+    members = materialize(groups.join(sets, groups["node"] == sets["fp"]).select("fp", "root", "one.*"), "members")
     blocks = F.greatest(F.ceil(F.count("*") / crowd), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    members = members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root")
+    members = join_counted(members, materialize(members.groupBy("root").agg(F.count("*").alias("n"), blocks.alias("blocks")), "blocks"), ["root"])
     members = members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     texts = docs.select(*_keys(), "text").dropDuplicates(["h", "h2"])
     rows = texts.hint("merge").join(members.select("h", "h2", "fp", "root", "blocks", "own").hint("merge"), ["h", "h2"])

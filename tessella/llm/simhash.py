@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import resemblance
-from tessella.llm.common import materialize, renamed, slices, text_bytes
+from tessella.llm.common import join_counted, materialize, renamed, slices, text_bytes
 from tessella.llm.resemblance import shingle_hashes
 
 RADIUS = 3
@@ -80,7 +80,9 @@ def fingerprints(docs: DataFrame, *, size: int = 3) -> DataFrame:
 
 def _meet(crowd: int):
     """Edges (a, b) of a spanning forest of the links at each place, and (fp, fp) for each member of
-    a crowded one. Rows come sorted by place, distinct."""
+    a crowded one. Rows come sorted by place, distinct. Of a place at the end of a batch, a task holds
+    ``crowd`` members at most: those of a larger one pass on as they come."""
+    none = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
 
     def solve(fps: np.ndarray, out: list[np.ndarray]) -> None:
         if len(fps) > crowd:
@@ -97,38 +99,46 @@ def _meet(crowd: int):
                 left &= ~front
                 front = near[front].any(axis=0) & left
 
+    def places(columns: list[np.ndarray]) -> np.ndarray:
+        mask, variant, fps = columns
+        starts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (variant[1:] != variant[:-1])]))
+        sizes = np.diff(np.append(starts, len(fps)))
+        two = starts[sizes == 2]
+        pairs = np.stack([fps[two], fps[two + 1]], 1)
+        out = [pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= RADIUS]]
+        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            solve(fps[s : s + n], out)
+        return np.unique(np.concatenate(out), axis=0)
+
+    def rows(found: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found[:, i].view(np.int64)) for i in range(2)], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-        last = object()
-
-        def places(columns: list[np.ndarray]) -> Iterator[np.ndarray]:
-            mask, variant, fps = columns
-            starts = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (variant[1:] != variant[:-1])]))
-            sizes = np.diff(np.append(starts, len(fps)))
-            out: list[np.ndarray] = []
-            two = starts[sizes == 2]
-            pairs = np.stack([fps[two], fps[two + 1]], 1)
-            out.append(pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= RADIUS])
-            for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-                solve(fps[s : s + n], out)
-            yield np.unique(np.concatenate(out), axis=0)
-
-        def rows() -> Iterator[object]:
-            yield from batches
-            yield last
-
-        for batch in rows():
-            if batch is last:
-                columns, rest = rest, None
-            else:
-                new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-                columns = [np.concatenate([a, b]) for a, b in zip(rest, [new[0].astype(np.int64), new[1], new[2].view(np.uint64)])]
-                # The last place may go on in the next batch.
-                cut = int(np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))[-1] + 1) if len(columns[0]) and ((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1])).any() else 0
-                columns, rest = [c[:cut] for c in columns], [c[cut:] for c in columns]
-            if len(columns[0]):
-                for edges in places(columns):
-                    yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].view(np.int64)), pa.array(edges[:, 1].view(np.int64))], names=["a", "b"])
+        rest, passing = none, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            new = [new[0].astype(np.int64), new[1], new[2].view(np.uint64)]
+            if passing is not None:
+                same = np.append((new[0] == passing[0]) & (new[1] == passing[1]), False)
+                n = int(same.argmin())
+                yield rows(np.stack([new[2][:n]] * 2, 1))
+                new = [c[n:] for c in new]
+                if not len(new[0]):
+                    continue
+                passing = None
+            columns = [np.concatenate([a, b]) for a, b in zip(rest, new)]
+            before = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+            cut = int(before[-1]) + 1 if len(before) else 0  # the last place may go on in the next batch
+            rest = [c[cut:] for c in columns]
+            if cut:
+                yield rows(places([c[:cut] for c in columns]))
+            if len(rest[0]) > crowd:
+                yield rows(np.stack([rest[2]] * 2, 1))
+                rest, passing = none, (rest[0][0], rest[1][0])
+        if len(rest[0]):
+            yield rows(places(rest))
 
     return run
 
@@ -160,23 +170,23 @@ def components(edges: DataFrame, *, most_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root: the smallest node of its component.
 
     Alternates large-star and small-star until the edge table no longer changes. A node's smallest
-    neighbour is a partial aggregate and goes back to its edges by a join, so that no node's
+    neighbour is a partial aggregate and goes back to its edges by ``join_counted``, so that no node's
     neighbours are gathered in one place."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if not large:
             both = both.where("b <= a")
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        joined = both.join(low, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count("*").alias("n"))
+        joined = join_counted(both, low, ["a"])
         if large:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         return joined.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
 
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    edges, before = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
+    edges, before = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
     for _ in range(most_rounds):
-        edges = materialize(star(star(edges, True), False), "stars")
+        edges = materialize(star(materialize(star(edges, True), "stars"), False), "stars")
         now = mark(edges)
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -185,25 +195,24 @@ def components(edges: DataFrame, *, most_rounds: int = 100) -> DataFrame:
 
 
 def classes(firsts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for ``firsts`` (fp, first: its smallest doc_id) and the links
-    ``edges`` (a, b); root: the smallest fp of the component, as a signed number."""
+    """(fp, n, root, component_id) for ``firsts`` (fp, n: its rows, first: its smallest doc_id) and the
+    links ``edges`` (a, b); root: the smallest fp of the component, as a signed number."""
     roots = materialize(components(edges), "roots")
     linked = firsts.join(roots, firsts["fp"] == roots["node"]).select("fp", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = materialize(linked.join(least, "root").select("fp", "root", "component_id"), "linked").withColumnRenamed("fp", "node")
     joined = firsts.join(linked, firsts["fp"] == linked["node"], "left")
-    return joined.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
+    return joined.select("fp", "n", F.coalesce("root", "fp").alias("root"), F.when(F.col("node").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def by_fingerprint(found: DataFrame, *, crowd: int = 2048) -> DataFrame:
-    """(fp, root, component_id) for the distinct fingerprints of ``found`` (doc_id, fp)."""
-    firsts = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    """(fp, n, root, component_id) for the distinct fingerprints of ``found`` (doc_id, fp)."""
+    firsts = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
     return classes(firsts, links(firsts.select("fp"), crowd=crowd))
 
 
 def _of_documents(found: DataFrame, of_fp: DataFrame) -> DataFrame:
-    of_fp = materialize(of_fp, "classes").withColumnRenamed("fp", "of")
-    return found.join(of_fp, found["fp"] == of_fp["of"]).select("doc_id", "fp", "root", "component_id")
+    return join_counted(found, materialize(of_fp, "classes"), ["fp"]).select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, crowd: int = 1024) -> DataFrame:
@@ -214,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     pairs = materialize(resemblance.candidates(sets), "candidates")
     groups = materialize(components(pairs), "groups")
     edges = materialize(resemblance.verified(docs, sets, groups, size=size, similarity=similarity, crowd=crowd), "verified")
-    return _of_documents(found.select("doc_id", "fp"), classes(sets.select("fp", "first"), edges))
+    return _of_documents(found.select("doc_id", "fp"), classes(sets.select("fp", "first", "n"), edges))
 
 
 def deduplicate(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, crowd: int = 1024) -> DataFrame:
@@ -228,9 +237,9 @@ def deduplicate(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, crow
     own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
     rows = renamed(docs, own).withColumns({"doc_id": F.col(own["doc_id"]), "text": F.col(own["text"])})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    rows = rows.mapInArrow(resemblance.digests(size), f"{schema}, fp long")
-    of_fp = found.select(F.col("fp").alias("of"), "root", "component_id").distinct()
-    kept = rows.join(of_fp, rows["fp"] == of_fp["of"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = materialize(rows.mapInArrow(resemblance.digests(size), f"{schema}, fp long"), "digests")
+    of_fp = found.groupBy("fp", "root", "component_id").agg(F.count("*").alias("n"))
+    kept = join_counted(rows, materialize(of_fp, "of-fp"), ["fp"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.dropDuplicates(["root"])
     return kept.select(*[F.col(o).alias(c) for c, o in own.items()])
 
