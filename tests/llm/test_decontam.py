@@ -64,6 +64,33 @@ def test_real_documents(spark):
     assert sorted(str(tuple(r)) for r in got) == brute(rows, [(r.item_id, r.text) for r in bench.collect()])
 
 
+def test_index_is_small(spark):
+    """Under 8 bytes a byte of text on the given items, and never above what blocks are planned with."""
+    items = [(r.item_id, decontam.words_of((r.text or "").encode())) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    raw = sum(len(w) + 1 for _, words in items for w in words)
+    many = [(i, [(w + b"%d" % j if j else w) for w in words]) for i, words in items for j in range(20)]
+    assert decontam.NgramIndex([(i, w) for i, words in items for w in [words] * 40], 10).size() < 8 * 40 * raw
+    assert decontam.NgramIndex(many, 10).size() < decontam.WORD_BYTES * sum(len(w) for _, w in many)
+    long = [(0, [b"%d" % i for i in range(50_000)])]
+    assert decontam.NgramIndex(long, 10).size() < decontam.WORD_BYTES * 50_000
+
+
+def test_long_items_go_by_pieces(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(3000)), 0)], BENCH)
+    texts = [" ".join(f"w{i}" for i in range(a, b)) for a, b in ((0, 3000), (395, 425), (2990, 3000), (2991, 3000), (399, 409))]
+    docs = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], DOC_SCHEMA)
+    pieces = decontam._pieces(bench, 10, 400)
+    assert pieces.count() == 8
+    got = decontam.report(docs, bench, block_bytes=400 * 16 * decontam.WORD_BYTES // 16)
+    assert sorted((r.doc_id, r.n_hit) for r in got.collect()) == [(0, 3000), (1, 30), (2, 10), (3, 0), (4, 10)]
+
+
+def test_decontaminate_empty(spark):
+    empty = spark.createDataFrame([], BENCH)
+    assert decontam.decontaminate(spark.createDataFrame([], DOC_SCHEMA), empty).count() == 0
+    assert decontam.decontaminate(documents(spark), empty).count() == documents(spark).count()
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], BENCH)
     assert decontam.report(documents(spark), empty).where("contaminated").count() == 0
