@@ -88,7 +88,8 @@ FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)""",
     "op9_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) || '|'
+                || (row_number() OVER (PARTITION BY doc_id, source, text) - 1)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
          / coalesce(greatest(0.1::DOUBLE, 1.0 - 4.0::DOUBLE * (length(text) - length(translate(text, '!#$%&*|', ''))) / greatest(length(text), 1)), 0.1::DOUBLE) AS key
   FROM documents),
 sums AS (

@@ -67,10 +67,32 @@ def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
 
 
+def test_null_and_equal_ids_do_not_share_a_bucket(spark):
+    ids = {"null": F.lit(None).cast("long"), "one": F.lit(7).cast("long")}
+    frame = spark.range(5000).select(ids["null"].alias("doc_id"), F.concat(F.lit("w "), F.col("id") % 4000).alias("text"), F.lit("s").alias("source"))
+    frame = frame.unionByName(spark.range(3000).select(ids["one"].alias("doc_id"), F.lit("same row").alias("text"), F.lit("s").alias("source")))
+    frame = frame.unionByName(spark.range(2000).select((F.col("id") + 100).alias("doc_id"), F.lit("a b c").alias("text"), F.lit("t").alias("source")))
+    keys, repeated = mixing._keyed_rows(frame, F.lit(1.0), "", 1024)
+    assert repeated.count() == 1001 and keys.count() == 10_000
+    assert keys.select("h", "number").distinct().count() == 10_000
+    assert keys.groupBy("source", "bucket").count().agg(F.max("count")).first()[0] < 40
+    out, again = (sorted(map(str, mixing.mix(frame.repartition(n)).collect())) for n in (3, 7))
+    assert out == again
+    taken = mixing.mix(frame).where("doc_id = 7").agg(F.count_if(F.expr("taken % size = 0 AND taken > 0")), F.count_if(F.expr("taken = 0"))).first()
+    assert min(taken) > 300  # about half of the equal rows are taken
+
+
+def copies_of(frame):
+    found = mixing.mixed_documents(frame)
+    assert found.where(mixing.word_count(F.col("text")) != F.col("words")).count() == 0
+    words = found.groupBy("source", "doc_id").agg(F.sum("words").alias("w")).collect()
+    own = mixing.mix(frame).groupBy("source", "doc_id").agg(F.sum("taken").alias("t")).where("t > 0").collect()
+    assert sorted(map(str, map(tuple, words))) == sorted(map(str, map(tuple, own)))
+    whole = {(r.doc_id, r.text) for r in frame.collect()}
+    assert all((r.doc_id, r.text) in whole for r in found.where("words = size").collect())
+
+
 def test_mixed_documents(spark):
-    docs = documents(spark)
-    mixed = mixing.mix(docs)
-    copies = mixing.mixed_documents(docs, mixed)
-    sums = {r.source: r.w for r in copies.groupBy("source").agg(F.sum("words").alias("w")).collect()}
-    assert sums == {r.source: r.t for r in mixed.groupBy("source").agg(F.sum("taken").alias("t")).collect() if r.t}
-    assert copies.where(mixing.word_count(F.col("text")) != F.col("words")).count() == 0
+    copies_of(documents(spark))
+    copies_of(awkward_documents(spark))
+    assert mixing.mixed_documents(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
