@@ -1,10 +1,19 @@
 """Quality classifier by weak labels.
 
 Nine heuristic labellers vote on each document: good, bad, or no vote. Expectation-maximisation
-estimates how each of them errs when it votes (no vote says nothing), from the counts of all vote patterns of the whole corpus (there are
-3**9 at most, so the counts are small whatever the corpus), and gives each pattern its probability
-of being good. With those as soft labels a logistic model over hashed token shapes is fitted, on the
-``train_rows`` distinct texts that come first in the order of a hash; it scores every document.
+estimates how each of them errs when it votes (no vote says nothing), from the counts of all vote
+patterns of the whole corpus (there are 3**9 at most, so the counts are small whatever the corpus), and
+gives each pattern its probability of being good. With those as soft labels a logistic model over hashed
+token shapes is fitted, on the ``train_rows`` distinct texts that come first in the order of a hash; it
+scores every document.
+
+The estimation has one prior: ``least_miss``. Bad texts are bad in several ways and each labeller knows
+some of them, so none is believed to find more than a share of 1 - least_miss. Without it, labellers
+that look at one kind of fault agree with each other so well that this kind alone becomes the bad class
+and good votes on the other kinds outvote those that know them.
+
+The texts are read three times: for votes and hashes (written as 12 bytes a document), for the sample,
+and for the scores.
 
 Cases: null and empty texts, and texts without words, have score 0 and are rejected; very long texts
 are judged whole; repeated rows are judged one by one (and count in the statistics); null doc_ids
@@ -110,10 +119,9 @@ class WeakLabels:
         return 1 / (1 + np.exp(np.clip(per[1] - per[0], -50, 50)))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, least_miss: float = 0.6) -> WeakLabels:
+def estimate(patterns: np.ndarray, counts: np.ndarray, *, rounds: int = 100, least_miss: float = 0.5) -> WeakLabels:
     """Expectation-maximisation over counted vote patterns. It starts from labellers that seldom
-    call a good text bad. Bad texts are bad in several ways, of which each labeller knows some, so it
-    is held to miss ``least_miss`` of them at least: good votes cannot outvote those that do know."""
+    call a good text bad, and each is held to miss ``least_miss`` of the bad texts at least."""
     m = patterns.shape[1]
     model = WeakLabels(0.15, np.tile(np.array([[0.99, 0.01], [max(0.5, least_miss), 1 - max(0.5, least_miss)]]), (m, 1, 1)))
     for _ in range(rounds):
@@ -172,11 +180,17 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], *, ridge: float = 1e-4
     return Scorer(weights, float(w[-1]))
 
 
-def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PLACES = 3 ** np.arange(LABELLERS)
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each text with words, and its votes as one number."""
     for whole in batches:
         for batch in slices(whole, "text", 4 << 20):
-            counts = Counter(votes(t, w) for t in text_bytes(batch["text"]) if (w := t.lower().split()))
-            yield pa.RecordBatch.from_arrays([pa.array([list(p) for p in counts], pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())], names=["pattern", "n"])
+            found = [votes(t, w) if (w := t.lower().split()) else None for t in text_bytes(batch["text"])]
+            held = np.array([v is not None for v in found], bool)
+            codes = np.array([v for v in found if v is not None], np.int64).reshape(-1, LABELLERS) @ PLACES
+            yield pa.RecordBatch.from_arrays([batch["h"].filter(pa.array(held)), pa.array(codes.astype(np.int32))], names=["h", "code"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,16 +202,18 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, *, train_rows: int = 4000) -> Scorer:
-    texts = docs.select("text")
-    counted = texts.mapInArrow(_patterns, "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    texts = docs.select(F.xxhash64("text").alias("h"), "text")
+    found = materialize(texts.mapInArrow(_votes, "h long, code int"), "votes")
+    counted = found.groupBy("code").count().orderBy("code").collect()
     if not counted:
         return Scorer(np.zeros(WIDTH, np.float32), 0.0)
-    weak = estimate(np.array([r.pattern for r in counted]), np.array([r.n for r in counted], np.float64))
+    patterns = np.array([r.code for r in counted])[:, None] // PLACES % 3
+    weak = estimate(patterns, np.array([r["count"] for r in counted], np.float64))
     # Distinct texts up to the train_rows-th hash; the hashes come first, without the texts.
-    distinct = materialize(texts.select(F.xxhash64("text").alias("h")).distinct(), "hashes")
+    distinct = materialize(found.select("h").distinct(), "hashes")
     hashes = first_by_hash(distinct, distinct.count(), train_rows, "h")
     last = hashes.agg(F.max(F.xxhash64("h"))).first()[0]
-    sample = texts.withColumn("h", F.xxhash64("text")).where(F.xxhash64("h") <= last).dropDuplicates(["h"]).select("text")
+    sample = texts.where(F.xxhash64("h") <= last).dropDuplicates(["h"]).select("text")
     rows = sample.mapInArrow(_vectors, "pattern array<int>, some binary, values binary").collect()
     if not rows:
         return Scorer(np.zeros(WIDTH, np.float32), 0.0)

@@ -20,6 +20,23 @@ def test_em_finds_the_labellers_accuracies():
     assert ((model.good(votes) < 0.5) == bad).mean() > 0.93
 
 
+def test_the_shipped_prior_with_several_kinds_of_bad_texts():
+    """Three labellers know the first kind and agree; two know the second, each a part of it. As shipped,
+    more of the second kind is found than without the prior, and good texts are left alone."""
+    rng = np.random.default_rng(2)
+    for knows, least, free_most in ((0.9, 0.95, 0.9), (0.7, 0.45, 0.05)):
+        kind = rng.choice(3, 20_000, p=[0.89, 0.06, 0.05])
+        known = np.zeros((3, 6))
+        known[1, :3], known[2, 3:5] = 0.98, knows
+        says = np.where(rng.random((len(kind), 6)) < np.maximum(known[kind], 0.0003), quality.BAD, quality.GOOD)
+        votes = np.where((says == quality.GOOD) & (rng.random(says.shape) < 0.3), quality.NONE, says)
+        patterns, counts = np.unique(votes, axis=0, return_counts=True)
+        found = lambda **o: quality.estimate(patterns, counts.astype(float), **o).good(votes) < 0.3  # noqa: B023, E731
+        shipped, free = found(), found(least_miss=0.0)
+        assert shipped[kind == 0].mean() < 0.01 and shipped[kind == 1].mean() > 0.99
+        assert shipped[kind == 2].mean() > least and free[kind == 2].mean() < free_most
+
+
 def test_accuracy_against_labels_that_it_never_sees(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -60,6 +77,15 @@ def test_many_copies_leave_a_training_sample(spark):
     assert ((many.weights != 0) == (few.weights != 0)).all()
 
 
+def test_twenty_thousand_rows_of_forty_texts(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) BETWEEN 100 AND 2000").limit(40).collect()]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").crossJoin(spark.range(500)).drop("id")
+    for rows in (40, 400, 4000):
+        assert quality.train(frame, train_rows=rows).weights.any()
+    kept = quality.score(frame).groupBy("keep").count().collect()
+    assert sum(r["count"] for r in kept if r.keep) > 10_000
+
+
 def test_shapes_cover_the_whole_word():
     assert "".join(quality.shape(b"Ab-" * 40)) == "Aa-" * 40
     ends = [b"a" * 100 + b"#$" * 3, b"a" * 100 + b"0A" * 3]
