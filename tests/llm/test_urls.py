@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 from tessella.llm import urls
 
 SCHEMA = "page_id long, url string, html string, host string, rule int, score int"
@@ -46,5 +47,33 @@ def test_trees_learn(spark):
     assert right > 470
 
 
+def held_out(frame):
+    """(verdict, blocked, score) of labelled urls that were not learned: a quarter, by url."""
+    learn = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 4 != 2
+    rows = urls.judge(frame, learn=learn).join(frame.where(~learn).select("page_id"), "page_id").where("rule IS NOT NULL").collect()
+    return [(r.score >= 0.5, r.verdict == "block", r.score) for r in rows]
+
+
+def test_held_out_urls_are_judged_right(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = held_out(pages)
+    assert len(rows) > 200 and {truth for _, truth, _ in rows} == {True, False}
+    assert sum(said == truth for said, truth, _ in rows) / len(rows) >= 0.95
+    pos, neg = ([score for _, truth, score in rows if truth == k] for k in (True, False))
+    assert sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) > 0.97
+    found = {(r.rule is None, r.verdict): r["count"] for r in urls.judge(pages).groupBy("rule", "verdict").count().collect()}
+    assert found[(True, "allow")] > 50 and found[(True, "block")] > 50
+
+
+def test_statistics_leave_out_the_own_fold(spark):
+    rows = [(i, i % 2, i % 3) for i in range(12)]
+    frame = spark.createDataFrame(rows, "page_id long, blocked int, fold int").withColumns({k: F.lit(5).cast("long") if k == "suffix" else F.lit(6).cast("long") for k in urls.KINDS})
+    got = {r.in_fold: (round(r.share, 9), round(2.718281828459045**r.known - 1)) for r in urls.statistics(frame).where("of = 5").collect()}
+    for fold in (0, 1, 2):
+        others = [b for _, b, f in rows if f != fold]
+        assert got[fold] == (round((sum(others) + 1) / (len(others) + 2), 9), len(others))
+    assert got[urls.FOLDS] == (round(7 / 14, 9), 12)
+
+
 def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], SCHEMA)).count() == 0
