@@ -9,7 +9,8 @@ fallback, one for each of its bytes. Words start at the space mark, before which
 each distinct word is cut once per task; the memory of words is emptied when it is full.
 
 The vocabulary comes from a sentencepiece model file, whose path is a parameter; driver and tasks
-share it as a broadcast of bounded size (it is no corpus data).
+share it as a broadcast of bounded size (it is no corpus data). Its normal and user-defined pieces are
+matched; control, unknown, unused and byte pieces are never found in a text (bytes serve the fallback).
 
 Cases: null and empty texts have 0 pieces; very long words are cut like others but not remembered;
 repeated rows and null doc_ids are counted one by one; an empty table gives an empty result; further
@@ -19,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import ahocorasick
@@ -33,25 +35,33 @@ SPACE = "▁"
 PENALTY = 10.0
 
 
-def vocabulary(model_file: str = MODEL) -> list[tuple[str, float]]:
-    """(piece, score) of a model file, in the order of ids."""
+@dataclass
+class Vocabulary:
+    """Pieces that occur in texts, with scores, and whether unknown characters fall back to bytes."""
+
+    pieces: list[tuple[str, float]]
+    fallback: bool
+
+
+def vocabulary(model_file: str = MODEL) -> Vocabulary:
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i)
+    return Vocabulary([(model.id_to_piece(i), model.get_score(i)) for i in ids if not special(i)], sum(map(model.is_byte, ids)) == 256)
 
 
 class Counter(dict):
     """Pieces of a word (without its space mark), remembered up to ``most`` words."""
 
-    def __init__(self, pieces: list[tuple[str, float]], most: int = 300_000) -> None:
+    def __init__(self, own: Vocabulary, most: int = 300_000) -> None:
         self.most = most
         self.finder = ahocorasick.Automaton()
-        for piece, score in pieces:
+        for piece, score in own.pieces:
             if piece:
                 self.finder.add_word(piece, (len(piece), score))
         self.finder.make_automaton()
-        self.unknown = min((s for _, s in pieces), default=0.0) - PENALTY
-        known = {p for p, _ in pieces}
-        self.bytes = all(f"<0x{b:02X}>" in known for b in range(256))
+        self.unknown = min((s for _, s in own.pieces), default=0.0) - PENALTY
+        self.bytes = own.fallback
 
     def cut(self, word: str) -> int:
         n, unknown = len(word), self.unknown
@@ -99,10 +109,10 @@ class Counter(dict):
 
 def count_tokens(docs: DataFrame, *, model_file: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, n_chars) for every document."""
-    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file))
+    own = docs.sparkSession.sparkContext.broadcast(vocabulary(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(pieces.value)
+        counter = Counter(own.value)
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 texts = batch["text"].to_pylist()

@@ -1,12 +1,17 @@
 import random
 
 import pytest
+import sentencepiece
 from tessella.llm import tokencount
 from tests.llm.data import DOC_SCHEMA, awkward_documents, documents
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 
-def exact(pieces, unk, fallback):
+def exact(own):
+    """The unigram encoder of an independent library on the same pieces, its byte and unknown pieces under
+    names that no text has."""
+    pieces = [("\ue000unk", 0.0)] + ([(f"<0x{b:02X}>", 0.0) for b in range(256)] if own.fallback else []) + own.pieces
+    unk, fallback = 0, own.fallback
     t = Tokenizer(models.Unigram(pieces, unk_id=unk, byte_fallback=fallback))
     t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
     return t
@@ -14,8 +19,7 @@ def exact(pieces, unk, fallback):
 
 def test_documents_match_the_encoder(spark):
     for frame in (documents(spark), awkward_documents(spark)):
-        pieces = tokencount.vocabulary()
-        encoder = exact(pieces, 0, True)
+        encoder = exact(tokencount.vocabulary())
         rows = [(r.doc_id, r.text) for r in frame.collect()]
         got = sorted((str(r.doc_id), r.n_tokens) for r in tokencount.count_tokens(frame).collect())
         assert got == sorted((str(d), len(encoder.encode(t or "", add_special_tokens=False).ids) if t else 0) for d, t in rows)
@@ -24,13 +28,26 @@ def test_documents_match_the_encoder(spark):
 @pytest.mark.parametrize("fallback", [True, False])
 def test_ties_and_unknown_characters(fallback):
     rng = random.Random(2)
-    pieces = [("<unk>", 0.0)] + ([(f"<0x{b:02X}>", 0.0) for b in range(256)] if fallback else [])
-    pieces += [(p, -float(rng.randrange(3))) for p in {"".join(rng.choice("ab▁c") for _ in range(rng.randrange(1, 5))) for _ in range(60)} if p != "c" and "▁" not in p[1:]]
-    encoder, counter = exact(pieces, 0, fallback), tokencount.Counter(pieces, most=50)
+    pieces = [(p, -float(rng.randrange(3))) for p in {"".join(rng.choice("ab▁c") for _ in range(rng.randrange(1, 5))) for _ in range(60)} if p != "c" and "▁" not in p[1:]]
+    own = tokencount.Vocabulary(pieces, fallback)
+    encoder, counter = exact(own), tokencount.Counter(own, most=50)
     for _ in range(3000):
         text = "".join(rng.choice("abbaac é漢\n") for _ in range(rng.randrange(1, 25)))
         assert counter.of(text) == len(encoder.encode(text, add_special_tokens=False).ids), repr(text)
 
 
+def test_control_and_byte_pieces_are_text(spark):
+    """As the model file's own encoder has it, which never finds them in a text."""
+    own = tokencount.vocabulary()
+    counter, encoder = tokencount.Counter(own), exact(own)
+    model = sentencepiece.SentencePieceProcessor(model_file=tokencount.MODEL)
+    assert own.fallback and not {"<s>", "</s>", "<unk>", "<0x0A>"} & {p for p, _ in own.pieces}
+    for text in ("a<s>b", "</s>", "<unk> x", "<s><s>"):
+        assert counter.of(text) == len(encoder.encode(text, add_special_tokens=False).ids)
+        assert counter.of(text) > 1 and len(model.encode(text)) > 1
+    assert counter.of("a<s>b") == len(model.encode("a<s>b")) == 5
+    assert counter.of("<0x0A>") == len(model.encode("<0x0A>"))
+
+
 def test_empty_table(spark):
     assert tokencount.count_tokens(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
