@@ -1,6 +1,7 @@
 import random
 from math import floor, isfinite
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessella.llm import knn
@@ -48,3 +49,29 @@ def test_repeated_ids_match_brute_force(spark):
         scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:10])]
     assert got == sorted(want)
+
+
+def test_queries_of_a_block_need_few_cells(spark):
+    """Four clusters far apart in direction: a block meets its own cluster's parts, not all of them."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        middle = [0.0] * 4
+        middle[i // 20 % 4] = 10.0
+        rows.append((i, [m + rng.gauss(0, 0.02) for m in middle], 1, 2, 3))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert knn.copied_share(frame, F.col("vec_id") % 20 == 0, k=3, block_rows=20, part_rows=400) < 0.5
+    got = {tuple(r) for r in knn.top_k(frame, F.col("vec_id") % 20 == 0, k=3, block_rows=20, part_rows=400).collect()}
+    assert got == brute([(i, v) for i, v, *_ in rows], 3)
+
+
+def test_packed_blocks():
+    rng = np.random.default_rng(1)
+    p, queries = rng.integers(0, 100, (60, 3)), rng.integers(0, 30, 60)
+    queries[[3, 9]] = 250, 0
+    first, blocks = knn.packed(p, queries, 100)
+    held = {}
+    for f, b, n in zip(first.tolist(), blocks.tolist(), queries.tolist()):
+        for i in range(b):
+            held[f + i] = held.get(f + i, 0) + n / b
+    assert max(held.values()) <= 100 and sum(held.values()) == queries.sum() and len(held) < 20
