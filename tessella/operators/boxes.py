@@ -23,15 +23,19 @@ def parsed(bbox: Column) -> Column:
     ``a b c d`` holds corners, ``[x, y, w, h]`` a corner and a size."""
     parts = F.when(bbox.isNull() | F.trim(bbox).isin("", "[]", "no_box"), F.array().cast("array<string>")).otherwise(F.split(bbox, ";"))
 
-    def box(part: Column) -> Column:
-        n = F.transform(F.regexp_extract_all(part, F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double"))
-        sized = F.startswith(F.trim(part), F.lit("["))
-        corner = lambda i: F.get(n, F.lit(i))
-        whole = F.regexp_like(F.trim(part), F.lit(rf"^\[?\s*{NUMBER}(\s*[,\s]\s*{NUMBER}){{3}}\s*\]?$"))
-        end = lambda i: F.when(sized, corner(i - 2) + corner(i)).otherwise(corner(i))
-        return F.when(whole, F.struct(corner(0).alias("xmin"), corner(1).alias("ymin"), end(2).alias("xmax"), end(3).alias("ymax")))
-
-    return F.filter(F.transform(parts, box), lambda b: b.isNotNull())
+    def numbers(part: Column) -> Column:
+        text = F.trim(part)
+        n = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: x.cast("double"))
+        return F.struct(F.startswith(text, F.lit("[")).alias("sized"), n.alias("n"))
+
+    def box(found: Column) -> Column:
+        corner = lambda i: F.get(found["n"], F.lit(i))
+        end = lambda i: corner(i) + F.when(found["sized"], corner(i - 2)).otherwise(0.0)
+        return F.struct(corner(0).alias("xmin"), corner(1).alias("ymin"), end(2).alias("xmax"), end(3).alias("ymax"))
+
+    # The numbers of a part are extracted once, by the inner transform.
+    whole = lambda part: F.regexp_like(F.trim(part), F.lit(rf"^\[?\s*{NUMBER}(\s*[,\s]\s*{NUMBER}){{3}}\s*\]?$"))
+    return F.transform(F.transform(F.filter(parts, whole), numbers), box)
 
 
 def covered_cells(df: DataFrame, image: str, boxes: str, grid: int = 16, size: int = 64) -> DataFrame:

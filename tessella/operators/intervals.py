@@ -24,14 +24,14 @@ def logistic_normal(eta: Column, var: Column, alpha: float = 0.05) -> tuple[Colu
     return sigmoid(low), sigmoid(high)
 
 
-def critical_value(df: DataFrame, keys: Sequence[str], y: str, eta: str, var: str, alpha: float = 0.05, *, exact_up_to: int = 1_000_000, bins: int = 4096) -> DataFrame:
+def critical_value(df: DataFrame, keys: Sequence[str], y: str, eta: str, var: str, alpha: float = 0.05, *, exact_up_to: int = 100_000, bins: int = 4096) -> DataFrame:
     """(keys..., q_hat, n): the linear-interpolated quantile of |y - eta| / sd at
-    min((1 - alpha)(1 + 1 / n), 1). ``percentile`` counts distinct values, in one task for each
-    group; above ``exact_up_to`` rows a group's two order statistics are narrowed down by histograms
-    first, and only the bins that hold them are sorted."""
+    min((1 - alpha)(1 + 1 / n), 1). Groups of up to ``exact_up_to`` rows are sorted whole; above that the two
+    order statistics are narrowed down first, by a histogram with ``bins`` bins for each factor e of the
+    scores (however far the largest are out), and only the bins that hold them are sorted."""
     score = F.abs(F.col(y) - F.col(eta)) / F.greatest(_sd(F.col(var)), F.lit(1e-12))
     rows = df.select(*keys, score.alias("score")).where("score IS NOT NULL")
-    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("score").alias("top"))
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     largest = sums.agg(F.max("n")).first()[0] or 0
     level = F.least(F.lit(1.0), F.lit(1 - alpha) * (1 + F.lit(1.0) / F.col("n")))
     at = level * (F.col("n") - 1)
@@ -40,9 +40,9 @@ def critical_value(df: DataFrame, keys: Sequence[str], y: str, eta: str, var: st
         low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
         q = F.get("s", low) + (F.get("s", high) - F.get("s", low)) * (at - F.floor(at))
         return both.select(*keys, q.alias("q_hat"), "n")
-    sums = sums.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "n", "top")
+    sums = sums.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "n")
     joined = rows.join(sums, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys]) if keys else rows.join(sums)
-    binned = joined.select(*keys, "score", "n", F.least(F.lit(bins - 1), F.floor(F.col("score") / F.greatest("top", F.lit(1e-300)) * bins)).alias("bin"), at.alias("at"))
+    binned = joined.select(*keys, "score", "n", F.floor(F.log(F.greatest("score", F.lit(1e-300))) * bins).alias("bin"), at.alias("at"))
     counts = binned.groupBy(*keys, "bin").agg(F.count("*").alias("m"), F.first("at").alias("at"), F.first("n").alias("n"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("before", before).where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("m") > F.floor("at")))

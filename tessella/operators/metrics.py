@@ -63,7 +63,8 @@ def by_split(df: DataFrame, keys: Sequence[str], y: str = "y_true", p: str = "y_
 
 
 def confusion(y: Column, logit: Column) -> dict[str, Column]:
-    truth, said = y > 0.5, sigmoid(logit) > 0.5
+    """Labels and probabilities of exactly 0.5 count as positive."""
+    truth, said = y >= 0.5, sigmoid(logit) >= 0.5
     hit, false, miss = (F.count_if(c) for c in (truth & said, ~truth & said, truth & ~said))
     return {"accuracy": F.avg((truth == said).cast("double")), "f1": F.coalesce(2.0 * hit / F.nullif(2 * hit + false + miss, F.lit(0)), F.lit(0.0))}
 
@@ -71,7 +72,7 @@ def confusion(y: Column, logit: Column) -> dict[str, Column]:
 def auc(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
     """Area under the ROC curve, ties counted half, 0.5 if one kind is missing. Rows are counted by
     score first; the window runs over distinct scores only."""
-    counts = df.groupBy(*keys, score).agg(F.count_if(F.col(y) > 0.5).alias("pos"), F.count_if(F.col(y) <= 0.5).alias("neg"))
+    counts = df.groupBy(*keys, score).agg(F.count_if(F.col(y) >= 0.5).alias("pos"), F.count_if(F.col(y) < 0.5).alias("neg"))
     below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     return parts.groupBy(*keys).agg(F.coalesce(F.sum("won") / F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0)), F.lit(0.5)).alias("auc"))

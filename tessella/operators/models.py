@@ -15,7 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import logit
+from tessella.functions.storage import written
+from tessella.functions.tasks import in_task
 from tessella.operators.moments import LowRank, Moments, spectrum
+from tessella.operators.panel import index_of
 
 # ---------------------------------------------------------------- regression
 
@@ -73,7 +76,8 @@ def interpolate_basis(new_sites: DataFrame, xy: np.ndarray, phi: np.ndarray, coo
     """(site_id, phi array<double>) at new sites, by a thin-plate spline through the basis."""
     if len(xy) != len(phi):
         raise ValueError("one basis row for each site")
-    shared = new_sites.sparkSession.sparkContext.broadcast((xy, spline_weights(xy, phi)))
+    spark = new_sites.sparkSession
+    shared = spark.sparkContext.broadcast((xy, in_task(spark, spline_weights, xy, phi)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, w = shared.value
@@ -317,8 +321,11 @@ def predicted_at(conditionals: DataFrame, targets: dict[int, np.ndarray], noise:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, b = shared.value
         for f in frames:
-            for t, eta, cov in zip(f["t"], f["eta"], f["cov"]):
-                yield pd.DataFrame({"t": t, "site_id": ids, "mean": b @ np.asarray(eta), "var": predictive_variance(b, np.stack(list(cov)), noise)})
+            for at in range(0, len(f), 256):
+                own = f.iloc[at : at + 256]
+                mean = np.stack([np.asarray(x) for x in own["eta"]]) @ b.T
+                var = [predictive_variance(b, np.stack(list(c)), noise) for c in own["cov"]]
+                yield pd.DataFrame({"t": np.repeat(own["t"].to_numpy(), len(ids)), "site_id": np.tile(ids, len(own)), "mean": mean.ravel(), "var": np.concatenate(var)})
 
     return conditionals.mapInPandas(run, "t long, site_id long, mean double, var double")
 
@@ -347,6 +354,23 @@ def kriging(panel: DataFrame, phi: DataFrame, fit: LowRank, targets: dict[int, n
     return packed.mapInPandas(run, "t long, site_id long, mean double"), dict(zip(names, variance.tolist()))
 
 
+def kriging_at(panel: DataFrame, phi: DataFrame, fit: LowRank, new_basis: DataFrame, value: str = "r") -> tuple[DataFrame, DataFrame]:
+    """Means (t, site_id, mean) for all times of a complete panel, and (site_id, var), at the sites of
+    ``new_basis`` (site_id, phi array). Only K x K matrices are solved here; neither sites nor times are
+    collected: scores are one aggregate, and means are their product with the new sites' basis rows."""
+    b = fit.phi @ fit.rotation
+    lam, g = np.diag(fit.eigenvalues), b.T @ b
+    x = np.linalg.lstsq(fit.noise * np.eye(len(lam)) + lam @ g, lam, rcond=None)[0]
+    weights, inner = fit.rotation @ x @ fit.rotation.T, fit.rotation @ (lam - lam @ g @ x) @ fit.rotation.T
+    k = len(lam)
+    table = panel.sparkSession.createDataFrame([(i, j, float(weights[i, j])) for i in range(k) for j in range(k)], "k long, to long, w double")
+    turned = scores(panel, phi, value).join(F.broadcast(table), "k").groupBy("t", F.col("to").alias("k")).agg(F.sum(F.col("eta") * F.col("w")).alias("eta"))
+    long = new_basis.select("site_id", F.posexplode("phi").alias("k", "phi"))
+    mean = reconstructed(turned, long).withColumnRenamed("fitted", "mean")
+    square = sum((float(inner[i, j]) * F.col("phi")[i] * F.col("phi")[j] for i in range(k) for j in range(k)), F.lit(float(fit.noise)))
+    return mean, new_basis.select("site_id", F.greatest(square, F.lit(0.0)).alias("var"))
+
+
 # ---------------------------------------------------------------- forecasts
 
 
@@ -364,15 +388,15 @@ class Forecaster:
 
 
 def fit_forecaster(eta: DataFrame, ridge: float = 1e-4) -> Forecaster:
-    """First-order vector autoregression of scores (t, k, eta): one row for each time is small, so
-    its lags come from one ordered window; products are added up in tasks."""
+    """First-order vector autoregression of scores (t, k, eta). Times are numbered in order (one number for
+    each), and each meets the one before by a join on that; products are added up in tasks."""
     rows = eta.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("k", "eta"))).alias("c")).select("t", F.col("c.eta").alias("eta"))
-    pairs = rows.withColumn("before", F.lag("eta").over(Window.orderBy("t")))
+    placed = written(rows.join(index_of(rows, ["t"], "place"), "t").select("place", "eta"))
+    pairs = placed.join(placed.select((F.col("place") + 1).alias("place"), F.col("eta").alias("before")), "place")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xx = xy = None
         for f in frames:
-            f = f[f["before"].notna()]
             if len(f):
                 x, y = np.stack(f["before"].to_numpy()), np.stack(f["eta"].to_numpy())
                 xx, xy = (x.T @ x, x.T @ y) if xx is None else (xx + x.T @ x, xy + x.T @ y)

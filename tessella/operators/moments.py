@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.tasks import in_task
 from tessella.operators.panel import index_of
 
 MOST_SITES = 4000
@@ -82,28 +83,51 @@ def moments(panel: DataFrame, value: str = "z", where=None) -> Moments:
     return Moments(found[0].n, np.concatenate([np.frombuffer(r.sums) for r in found]), np.concatenate([np.frombuffer(r.block).reshape(-1, n) for r in found]), names)
 
 
-def long_matrix(spark, matrix: np.ndarray, names: Sequence) -> DataFrame:
-    """(i, j, v)"""
-    rows = [(a, b, float(matrix[x, y])) for x, a in enumerate(names) for y, b in enumerate(names)]
-    return spark.createDataFrame(rows, "i long, j long, v double")
+# ---------------------------------------------------------------- long forms
 
 
-# ---------------------------------------------------------------- long forms
+def pair_sums(panel: DataFrame, value: str = "z", block: int = 256, span: int = 1024) -> DataFrame:
+    """(i, j, v, n, a, b) for every two sites with common times: the sum of products, the number of those times,
+    and the sums of either site's values over them.
+
+    Sites go to blocks and times to spans; every two blocks meet in one task for each span, which is two
+    matrices of block x span, so a task's size does not grow with the panel, and the sums of spans are added
+    up. Every site's rows are copied once for each block, as a matrix of all pairs needs them."""
+    own = panel.where(F.col(value).isNotNull()).groupBy("site_id", "t").agg(F.avg(value).alias("v"))
+    blocks = max(1, -(-own.select("site_id").distinct().count() // block))
+    own = own.select("site_id", "t", "v", F.pmod(F.xxhash64("site_id"), F.lit(blocks)).cast("int").alias("own"), F.floor(F.col("t") / span).alias("span"))
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        names, row = np.unique(f["site_id"].to_numpy(), return_inverse=True)
+        times, column = np.unique(f["t"].to_numpy(), return_inverse=True)
+        z, seen = np.zeros((len(names), len(times))), np.zeros((len(names), len(times)))
+        z[row, column], seen[row, column] = f["v"].to_numpy(), 1
+        side = np.zeros(len(names), np.int64)
+        side[row] = f["own"].to_numpy()
+        x, y = (np.flatnonzero(side == f[c].iloc[0]) for c in ("first", "second"))
+        v, n, a, b = z[x] @ z[y].T, seen[x] @ seen[y].T, z[x] @ seen[y].T, seen[x] @ z[y].T
+        at, to = np.nonzero(n)
+        out = {"i": names[x][at], "j": names[y][to], "v": v[at, to], "n": n[at, to].astype(np.int64), "a": a[at, to], "b": b[at, to]}
+        back = {"i": out["j"], "j": out["i"], "v": out["v"], "n": out["n"], "a": out["b"], "b": out["a"]}
+        parts = [out] if f["first"].iloc[0] == f["second"].iloc[0] else [out, back]
+        return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in out})
+
+    parts = rows.groupBy("first", "second", "span").applyInPandas(one, "i long, j long, v double, n long, a double, b double")
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("v", "n", "a", "b")])
 
 
 def gram_long(panel: DataFrame, value: str = "z") -> DataFrame:
-    """(i, j, v, n): sums of products over the times that both sites have; a join on t, for panels
-    of few sites."""
-    own = panel.where(F.col(value).isNotNull())
-    a, b = own.select("t", F.col("site_id").alias("i"), F.col(value).alias("a")), own.select("t", F.col("site_id").alias("j"), F.col(value).alias("b"))
-    return a.join(b, "t").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"), F.count("*").alias("n"))
+    """(i, j, v, n): sums of products over the times that both sites have."""
+    return pair_sums(panel, value).select("i", "j", "v", "n")
 
 
 def covariance_long(panel: DataFrame, value: str = "z", least: int = 2) -> DataFrame:
-    """(i, j, v): sample covariance over common times; null for fewer than ``least`` of them."""
-    own = panel.where(F.col(value).isNotNull())
-    a, b = own.select("t", F.col("site_id").alias("i"), F.col(value).alias("a")), own.select("t", F.col("site_id").alias("j"), F.col(value).alias("b"))
-    return a.join(b, "t").groupBy("i", "j").agg(F.when(F.count("*") >= least, F.covar_samp("a", "b")).alias("v"))
+    """(i, j, v): sample covariance over common times; null for fewer than ``least`` of them. Values are
+    taken less their mean over all, which changes no covariance and keeps the sums small."""
+    level = panel.agg(F.avg(value).alias("_level"))
+    sums = pair_sums(panel.join(level).withColumn("_v", F.col(value) - F.col("_level")), "_v")
+    return sums.select("i", "j", F.when(F.col("n") >= least, (F.col("v") - F.col("a") * F.col("b") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0))).alias("v"))
 
 
 def frobenius_distance(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -114,7 +138,7 @@ def frobenius_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def covariance_error(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Relative Frobenius error of (i, j, v) against the truth's."""
+    """Relative Frobenius error of (i, j, v) against the truth's, over the entries that both have."""
     both = truth.select("i", "j", F.col("v").alias("a")).join(predicted.select("i", "j", F.col("v").alias("b")), ["i", "j"])
     d = F.col("b") - F.col("a")
     return both.agg((F.sqrt(F.sum(d * d)) / (F.sqrt(F.sum(F.col("a") * F.col("a"))) + 1e-12)).alias("error"))
@@ -132,7 +156,7 @@ def spectrum(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spectrum_table(spark, matrix: np.ndarray) -> DataFrame:
-    values, _ = spectrum(matrix)
+    values, _ = in_task(spark, spectrum, matrix)
     shares = np.cumsum(values) / values.sum() if values.sum() else np.zeros_like(values)
     return spark.createDataFrame([(k + 1, float(v), float(s)) for k, (v, s) in enumerate(zip(values, shares))], "component int, eigenvalue double, cumulative_explained_variance double")
 
@@ -201,6 +225,12 @@ def alignment(a: DataFrame, b: DataFrame) -> DataFrame:
     return dots.groupBy("k").agg(F.max_by("other", F.struct(F.abs(F.col("c")), -F.col("other"))).alias("best"), F.max(F.abs(F.col("c"))).alias("cosine"))
 
 
+def eigenvector_alignment(spark, truth: np.ndarray, estimate: np.ndarray, k: int) -> DataFrame:
+    """(component, cosine): absolute cosines of the first k eigenvectors of two covariances."""
+    (_, a), (_, b) = (in_task(spark, spectrum, m) for m in (truth, estimate))
+    return spark.createDataFrame([(i + 1, float(abs(a[:, i] @ b[:, i]))) for i in range(min(k, a.shape[1]))], "component int, cosine double")
+
+
 def residual_moments(m: Moments, phi: np.ndarray | None = None) -> dict[str, float]:
     s = m.gram / max(1, m.n)
     return {"trace": float(np.trace(s)), "norm": float(np.linalg.norm(s)), "basis_norm": float(np.linalg.norm(phi)) if phi is not None else 0.0}

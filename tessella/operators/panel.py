@@ -193,6 +193,11 @@ def standardised(df: DataFrame, column: str, where: Column) -> DataFrame:
     return df.join(stats).withColumn(column, (F.col(column) - F.col("_mean")) / F.col("_sd"))
 
 
+def variance_to_raw(column: Column) -> Column:
+    """A variance of the standardised target, on the target's own scale."""
+    return column * F.col("_sd") * F.col("_sd")
+
+
 def to_raw(column: Column) -> Column:
     return column * F.col("_sd") + F.col("_mean")
 

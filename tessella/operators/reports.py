@@ -184,3 +184,16 @@ def selected_rank(spectrum: DataFrame, trace: float, sites: int) -> DataFrame:
     rows = spectrum.withColumn("left", left).where("left IS NOT NULL AND eigenvalue > left")
     return rows.agg(F.coalesce(F.max("component"), F.lit(0)).alias("rank"), F.coalesce(F.max_by("left", "component"), F.lit(trace / sites)).alias("noise"))
 
+
+def energy_means(eta: DataFrame) -> DataFrame:
+    """(split, k, value): the mean over seeds of the mean square score (seed, split, k, eta)."""
+    each = eta.groupBy("seed", "split", "k").agg(F.avg(F.col("eta") * F.col("eta")).alias("value"))
+    return each.groupBy("split", "k").agg(F.avg("value").alias("value"))
+
+
+def alignment_means(fields: DataFrame, phi: DataFrame) -> DataFrame:
+    """(split, rank, value): the mean over seeds of the absolute cosine of a field (seed, split, site_id, m)
+    with each column of a basis (site_id, k, phi)."""
+    m, p = F.col("m"), F.col("phi")
+    each = fields.join(phi, "site_id").groupBy("seed", "split", "k").agg((F.abs(F.sum(m * p)) / F.sqrt(F.sum(m * m) * F.sum(p * p))).alias("value"))
+    return each.groupBy("split", F.col("k").alias("rank")).agg(F.avg("value").alias("value"))

@@ -9,9 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tessella.functions.scalars import distance
+from tessella.functions.storage import written
 
 XY = ("x", "y")
 
@@ -29,22 +29,38 @@ def pairs_within(sites: DataFrame, most: float, coordinates: Sequence[str] = XY,
 
 
 def nearest(sites: DataFrame, k: int = 4, coordinates: Sequence[str] = XY, key: str = "site_id", reach: float | None = None) -> DataFrame:
-    """(i, j, h, rank): the k nearest other sites. Pairs are searched within a reach that starts
-    where k neighbours are expected and doubles for sites that have not found k yet."""
+    """(i, j, h, rank): the k nearest other sites. Neighbours are searched within a reach that starts where
+    k of them are expected; sites that have not found k yet, and only these, go on with twice the reach.
+    Each round's rows are written, so no round is computed again."""
     stats = sites.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in coordinates]).first()
     n = stats["n"]
     wanted = min(k, max(0, n - 1))
     span = max([1e-9, *[float(stats[c] or 0) for c in coordinates]])
     reach = reach or span * min(1.0, 2.0 * ((wanted + 1) / max(1, n)) ** (1 / len(coordinates)))
+    asking, out = sites.select(key, *coordinates), None
     while True:
-        half = pairs_within(sites, reach, coordinates, key)
-        both = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "h"))
-        short = sites.join(both.groupBy("i").count(), F.col(key) == F.col("i"), "left").where(F.coalesce("count", F.lit(0)) < wanted).limit(1).count()
-        if not short or reach >= 4 * span:
-            break
+        rows = neighbours_within(asking, sites, reach, coordinates, key)
+        best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("h", "j"))).where(F.col("rank") <= wanted)
+        best = written(best.withColumn("found", F.count("*").over(Window.partitionBy("i"))))
+        last = reach >= 4 * span
+        done = best if last else best.where(F.col("found") >= wanted)
+        out = done if out is None else out.unionByName(done)
+        asking = asking.join(done.select(F.col("i").alias(key)).distinct(), key, "left_anti")
+        if last or not wanted or not asking.head(1):
+            return out.drop("found")
         reach *= 2
-    order = Window.partitionBy("i").orderBy("h", "j")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
+
+
+def neighbours_within(asking: DataFrame, sites: DataFrame, most: float, coordinates: Sequence[str] = XY, key: str = "site_id") -> DataFrame:
+    """(i, j, h): for each asking site the other sites at a distance of at most ``most``; a join on grid
+    cells as wide as that, into whose neighbours the asking sites look."""
+    cells = [F.floor(F.col(c) / most) for c in coordinates]
+    left = asking.select(F.col(key).alias("i"), *[F.col(c).alias(f"a_{c}") for c in coordinates], *[c.alias(f"_c{n}") for n, c in enumerate(cells)])
+    right = sites.select(F.col(key).alias("j"), *[F.col(c).alias(f"b_{c}") for c in coordinates], *[c.alias(f"_c{n}") for n, c in enumerate(cells)])
+    for n in range(len(cells)):
+        left = left.withColumn(f"_c{n}", F.explode(F.array(*[F.col(f"_c{n}") + step for step in (-1, 0, 1)])))
+    h = distance([F.col(f"a_{c}") for c in coordinates], [F.col(f"b_{c}") for c in coordinates])
+    return left.join(right, [f"_c{n}" for n in range(len(cells))]).where("i <> j").select("i", "j", h.alias("h")).where(F.col("h") <= most)
 
 
 def neighbour_distance(sites: DataFrame, k: int = 4) -> DataFrame:
@@ -79,33 +95,61 @@ def lag_bin(h: Column, edges: Sequence[float]) -> Column:
     return out
 
 
-def semivariogram(panel: DataFrame, sites: DataFrame, edges: Sequence[float], value: str = "z", estimator: str = "matheron") -> DataFrame:
-    """(bin, lag, gamma, n) over all pairs of sites in a bin and all times that both have."""
+def semivariogram(panel: DataFrame, sites: DataFrame, edges: Sequence[float], value: str = "z", estimator: str = "matheron", coordinates: Sequence[str] = XY, block: int = 256, span: int = 1024) -> DataFrame:
+    """(bin, lag, gamma, n) over all pairs of sites in a bin and all times that both have.
+
+    Sites go to blocks and times to spans; every two blocks meet in one task for each span and give three sums
+    a bin, so pairs of sites and times are never rows."""
     if estimator not in ("matheron", "cressie"):
         raise ValueError("estimator is 'matheron' or 'cressie'")
-    pairs = pairs_within(sites, edges[-1]).withColumn("bin", lag_bin(F.col("h"), edges)).where("bin IS NOT NULL")
-    own = panel.where(F.col(value).isNotNull())
-    a = own.select(F.col("site_id").alias("i"), "t", F.col(value).alias("a"))
-    b = own.select(F.col("site_id").alias("j"), "t", F.col(value).alias("b"))
-    rows = pairs.join(a, "i").join(b, ["j", "t"])
-    d = F.col("a") - F.col("b")
-    sums = rows.groupBy("bin").agg(F.avg(d * d).alias("m"), F.avg(F.sqrt(F.abs(d))).alias("r"), F.count("*").alias("n"))
+    cells = panel.where(F.col(value).isNotNull()).groupBy("site_id", "t").agg(F.avg(value).alias("v"))
+    blocks = max(1, -(-sites.count() // block))
+    at = F.array(*[F.col(c).cast("double") for c in coordinates]).alias("at")
+    own = cells.join(sites.select("site_id", at), "site_id").withColumns({"own": F.pmod(F.xxhash64("site_id"), F.lit(blocks)).cast("int"), "span": F.floor(F.col("t") / span)})
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
+    limits = np.asarray(edges, float)
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        names, lead, row = np.unique(f["site_id"].to_numpy(), return_index=True, return_inverse=True)
+        times, column = np.unique(f["t"].to_numpy(), return_inverse=True)
+        z = np.full((len(names), len(times)), np.nan)
+        z[row, column] = f["v"].to_numpy()
+        xy, side = np.stack(f["at"].to_numpy()[lead]), f["own"].to_numpy()[lead]
+        a, b = (np.flatnonzero(side == f[c].iloc[0]) for c in ("first", "second"))
+        h = np.sqrt(((xy[a][:, None] - xy[b][None]) ** 2).sum(-1))
+        bins = np.searchsorted(limits, h, side="right") - 1
+        ok = (bins >= 0) & (h < limits[-1])
+        if f["first"].iloc[0] == f["second"].iloc[0]:
+            ok &= a[:, None] < b[None]
+        i, j = np.nonzero(ok)
+        k, bins, sums = len(limits) - 1, bins[i, j], np.zeros((3, len(limits) - 1))
+        for t in range(len(times)):
+            d = np.abs(z[a[i], t] - z[b[j], t])
+            seen = ~np.isnan(d)
+            d, of = d[seen], bins[seen]
+            sums += [np.bincount(of, w, k) for w in (d * d, np.sqrt(d), np.ones(len(d)))]
+        found = np.flatnonzero(sums[2])
+        return pd.DataFrame({"bin": found.astype(np.int32), "square": sums[0][found], "root": sums[1][found], "n": sums[2][found].astype(np.int64)})
+
+    parts = rows.groupBy("first", "second", "span").applyInPandas(one, "bin int, square double, root double, n long")
+    n = F.sum("n")
+    sums = parts.groupBy("bin").agg((F.sum("square") / n).alias("m"), (F.sum("root") / n).alias("r"), n.alias("n"))
     n = F.col("n")
     gamma_of = F.col("m") / 2 if estimator == "matheron" else 0.5 * F.pow("r", 4) / (0.457 + 0.494 / n + 0.045 / (n * n))
     middle = F.element_at(F.array(*[F.lit((lo + hi) / 2) for lo, hi in zip(edges, edges[1:])]), F.col("bin") + 1)
     return sums.select("bin", middle.alias("lag"), gamma_of.alias("gamma"), "n")
 
 
-def variogram_match(truth: DataFrame, predicted: DataFrame, weighted: bool = False, normalised: bool = False) -> DataFrame:
-    """Root mean square difference of two variograms over the bins that both have; weights are the
-    smaller counts; ``normalised``: relative to the truth's root mean square."""
+def variogram_match(truth: DataFrame, predicted: DataFrame, weighted: bool = True, normalised: bool = False, eps: float = 1e-8) -> DataFrame:
+    """Mean square difference of two variograms over the bins that both have, weighted by the smaller
+    counts; ``normalised``: each bin's difference relative to the truth in it. No such bin: null."""
     both = truth.select("bin", F.col("gamma").alias("a"), F.col("n").alias("na")).join(predicted.select("bin", F.col("gamma").alias("b"), F.col("n").alias("nb")), "bin")
     both = both.where("a IS NOT NULL AND b IS NOT NULL AND na > 0 AND nb > 0")
     w = F.least("na", "nb").cast("double") if weighted else F.lit(1.0)
     d = F.col("a") - F.col("b")
-    loss = F.sqrt(F.sum(w * d * d) / F.sum(w))
     if normalised:
-        loss = loss / (F.sqrt(F.sum(w * F.col("a") * F.col("a")) / F.sum(w)) + 1e-12)
+        d = d / (F.col("a") + eps)
+    loss = F.sum(w * d * d) / F.sum(w)
     return both.agg(loss.alias("loss"), F.count("*").alias("bins"))
 
 
@@ -127,14 +171,44 @@ def matern(h: np.ndarray, nu: float, scale: float = 1.0) -> np.ndarray:
     return out
 
 
-def matern_pairs(sites: DataFrame, nu: float = 1.0, scale: float = 0.08, coordinates: Sequence[str] = XY) -> DataFrame:
-    """(i, j, v): correlation of every pair of sites, in blocks of Arrow rows; the matrix is what is
-    asked for, so its size is the result's."""
-    @F.pandas_udf(DoubleType())
-    def of(h: pd.Series) -> pd.Series:
-        return pd.Series(matern(h.to_numpy(), nu, scale))
+def matern_table(nu: float, most: float, steps: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Correlations at ``steps`` + 1 distances from 0 to ``most`` in units of the scale, denser near 0."""
+    r = most * (np.arange(steps + 1) / steps) ** 2
+    return r, matern(r, nu)
 
-    a = sites.select(F.col("site_id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in coordinates])
-    b = sites.select(F.col("site_id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in coordinates])
-    h = distance([F.col(f"a_{c}") for c in coordinates], [F.col(f"b_{c}") for c in coordinates])
-    return a.crossJoin(b).select("i", "j", of(h).alias("v"))
+
+def matern_pairs(sites: DataFrame, nu: float = 1.0, scale: float = 0.08, coordinates: Sequence[str] = XY, block: int = 512) -> DataFrame:
+    """(i, j, v): correlation of every pair of sites with i <= j. The matrix is what is asked for, so its size is
+    the result's. Sites go to blocks; every two blocks meet in one task of block x block distances, whose
+    correlations come from a table of the function (cubic interpolation, error below 1e-7)."""
+    stats = sites.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in coordinates]).first()
+    blocks = max(1, -(-stats["n"] // block))
+    far = float(np.sqrt(sum(float(stats[c] or 0) ** 2 for c in coordinates))) / scale + 1e-9
+    shared = sites.sparkSession.sparkContext.broadcast(matern_table(nu, far))
+    own = sites.select("site_id", F.array(*[F.col(c).cast("double") for c in coordinates]).alias("at"), F.pmod(F.xxhash64("site_id"), F.lit(blocks)).cast("int").alias("own"))
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        r, table = shared.value
+        ids, at, side = f["site_id"].to_numpy(), np.stack(f["at"].to_numpy()), f["own"].to_numpy()
+        left, right = np.flatnonzero(side == f["a"].iloc[0]), np.flatnonzero(side == f["b"].iloc[0])
+        h = np.sqrt(((at[left][:, None] - at[right][None]) ** 2).sum(-1)) / scale
+        i, j = (x.ravel() for x in np.broadcast_arrays(ids[left][:, None], ids[right][None]))
+        v = np.where(h < 1e-12, 1.0, cubic(h, r, table)).ravel()
+        keep = (i <= j) if f["a"].iloc[0] == f["b"].iloc[0] else np.ones(len(i), bool)
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "v": v[keep]})
+
+    return rows.groupBy("a", "b").applyInPandas(one, "i long, j long, v double")
+
+
+def cubic(x: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Cubic interpolation through the four nearest places of a table."""
+    k = np.clip(np.searchsorted(at, x) - 2, 0, len(at) - 4)
+    out = np.zeros_like(x, float)
+    for m in range(4):
+        part = values[k + m]
+        for n in range(4):
+            if n != m:
+                part = part * (x - at[k + n]) / (at[k + m] - at[k + n])
+        out = out + part
+    return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
+from tessella.functions.storage import new_folder, written
+from tessella.functions.tasks import in_task
 from tessella.operators import boxes as B
 from tessella.operators import intervals as I
 from tessella.operators import metrics as M
@@ -36,11 +36,6 @@ def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | Non
         ORACLE[name] = V.oracle(sql, views, doubles)
 
 
-def _folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='spark-tessella-')}/{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- the flagship, and accuracy
 
 
@@ -53,6 +48,19 @@ RAW = "sqrt(avg((y_true - y_pred) ** 2)) AS rmse, avg(abs(y_true - y_pred)) AS m
 BY_SPLIT = f"SELECT seed, model, CASE WHEN grouping(split) = 1 THEN 'full' ELSE split END AS split, {RAW} FROM scored GROUP BY GROUPING SETS ((seed, model, split), (seed, model))"
 add("flagship_accuracy_records", accuracy, f"SELECT seed, model, split, metric, round_even(value, 6) AS value FROM (UNPIVOT ({BY_SPLIT}) ON rmse, mae, r2 INTO NAME metric VALUE value)", "scored", "value")
 add("ag5_accuracy_by_split", lambda s, d: M.by_split(V.scored(s, d), ["seed", "model"]), BY_SPLIT, "scored", "rmse mae r2")
+
+
+def _both_scales(s: SparkSession, d: str) -> DataFrame:
+    """Metrics on the target's own scale and on that of the fit, standardised by train rows."""
+    rows = P.standardised(V.scored(s, d).withColumn("y", Y()), "y", C("split") == "train")
+    fit = rows.select("seed", "model", "split", C("y").alias("y_true"), ((HAT() - C("_mean")) / C("_sd")).alias("y_pred"))
+    parts = [M.by_split(x, ["seed", "model"]).withColumn("scale", F.lit(n)) for n, x in (("raw", rows), ("fit", fit))]
+    return parts[0].unionByName(parts[1])
+
+
+SCALE = "(SELECT avg(y_true) AS m, stddev_pop(y_true) + 1e-12 AS sd FROM scored WHERE split = 'train')"
+ON_FIT = f"(SELECT seed, model, split, (y_true - m) / sd AS y_true, (y_pred - m) / sd AS y_pred FROM scored, {SCALE})"
+add("ag5_accuracy_on_both_scales", _both_scales, f"SELECT *, 'raw' AS scale FROM ({BY_SPLIT}) UNION ALL SELECT *, 'fit' AS scale FROM ({BY_SPLIT.replace('FROM scored', f'FROM {ON_FIT}')})", "scored", "rmse mae r2")
 MASK = lambda: (C("t") % 2 == 0) & HAT().isNotNull()
 for n, f, q in (
     ("ag1_rmse", M.rmse, "sqrt(avg((y_true - y_pred) ** 2) FILTER (t % 2 = 0))"),
@@ -66,10 +74,22 @@ add("ag6_corrected_rmse", lambda s, d: P.of_split(V.scored(s, d), "test").groupB
     "SELECT model, sqrt(avg((y_true - (y_pred + 0.1 * (y_true - y_pred))) ** 2)) AS rmse FROM scored WHERE split = 'test' GROUP BY model", "scored", "rmse")
 add("ag7_fusion_score", lambda s, d: V.trials(s, d).select("seed", "trial", S.fusion_score(C("rmse"), C("covfrob"), (C("trial") % 4).cast("double")).alias("score")),
     "SELECT seed, trial, CASE WHEN trial % 4 = 0 THEN rmse ELSE rmse + covfrob / (trial % 4) END AS score FROM trials", "trials", "score")
-add("ag8_binary_accuracy", lambda s, d: V.binary(s, d).groupBy("seed").agg(*[c.alias(n) for n, c in M.confusion(C("y"), C("z")).items()]),
-    "SELECT seed, avg(((y > 0.5) = (p > 0.5))::INT) AS accuracy, coalesce(2.0 * count(*) FILTER (y > 0.5 AND p > 0.5) / nullif(2 * count(*) FILTER (y > 0.5 AND p > 0.5) + count(*) FILTER ((y > 0.5) <> (p > 0.5)), 0), 0) AS f1 FROM bin GROUP BY seed", "bin", "accuracy f1")
-add("ag9_auc", lambda s, d: M.auc(V.binary(s, d), ["seed"], "y", "z"),
-    "SELECT seed, sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY seed ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT seed, z, count(*) FILTER (y > 0.5) AS pos, count(*) FILTER (y <= 0.5) AS neg FROM bin GROUP BY ALL)) GROUP BY seed", "bin", "auc")
+
+
+def _soft(s: SparkSession, d: str) -> DataFrame:
+    """Labels and logits with values right at the threshold."""
+    rows = V.binary(s, d)
+    return rows.withColumns({"y": F.when(C("site_id") % 5 == 0, 0.5).otherwise(C("y")), "z": F.when(C("site_id") % 7 == 0, 0.0).otherwise(C("z"))})
+
+
+SOFT = "(SELECT seed, CASE WHEN site_id % 5 = 0 THEN 0.5 ELSE y END AS y, CASE WHEN site_id % 7 = 0 THEN 0 ELSE z END AS z FROM bin)"
+HITS = "count(*) FILTER (y >= 0.5 AND z >= 0)"
+CONFUSION = f"avg(((y >= 0.5) = (z >= 0))::INT) AS accuracy, coalesce(2.0 * {HITS} / nullif(2 * {HITS} + count(*) FILTER ((y >= 0.5) <> (z >= 0)), 0), 0) AS f1"
+BY_SCORE = "SELECT seed, z, count(*) FILTER (y >= 0.5) AS pos, count(*) FILTER (y < 0.5) AS neg FROM {rows} GROUP BY ALL"
+BELOW = "coalesce(sum(neg) OVER (PARTITION BY seed ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+AUC = f"SELECT seed, sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT *, {BELOW} AS below FROM ({BY_SCORE})) GROUP BY seed"
+add("ag8_binary_accuracy", lambda s, d: _soft(s, d).groupBy("seed").agg(*[c.alias(n) for n, c in M.confusion(C("y"), C("z")).items()]), f"SELECT seed, {CONFUSION} FROM {SOFT} GROUP BY seed", "bin", "accuracy f1")
+add("ag9_auc", lambda s, d: M.auc(_soft(s, d), ["seed"], "y", "z"), AUC.format(rows=SOFT), "bin", "auc")
 add("ag10_cross_entropy", lambda s, d: V.binary(s, d).groupBy("seed").agg(M.bce(C("y"), C("z")).alias("mean"), M.bce(C("y"), C("z"), mean=False, clamp=1e-7).alias("total")),
     "SELECT seed, avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) AS mean, sum(greatest(z, 0) - z * least(greatest(y, 1e-7), 1 - 1e-7) + ln(1 + exp(-abs(z)))) AS total FROM bin GROUP BY seed", "bin", "mean total")
 add("ag11_calibration_error", lambda s, d: M.calibration_error(V.binary(s, d), ["seed"], "y", "p"),
@@ -107,7 +127,15 @@ SITE_ROWS = "SELECT seed, method, site_id, count(z) AS n, sqrt(avg((y_true - y_p
 add("ag22_site_diagnostics", lambda s, d: M.site_rows(P.of_split(V.intervals(s, d), "test"), ["seed", "method"]), SITE_ROWS, "intervals", "rmse pred_sd z_mean z_sd z_rms z_abs cp")
 add("ag23_method_summary", lambda s, d: M.time_rows(V.intervals(s, d), ["seed", "method"]).groupBy("method").agg(*[x for c in ("rmse", "cp", "mpiw") for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"))]),
     "SELECT method, " + ", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_sd" for c in ("rmse", "cp", "mpiw")) + f" FROM ({TIME_ROWS}) GROUP BY method", "intervals", "rmse_mean rmse_sd cp_mean cp_sd mpiw_mean mpiw_sd")
-add("ag24_raw_variance", lambda s, d: P.standardised(V.intervals(s, d), "y_true", C("split") == "train").groupBy("method").agg(F.avg(C("var") / C("_sd") / C("_sd") * C("_sd") * C("_sd")).alias("var")), "SELECT method, avg(var) AS var FROM intervals GROUP BY method", "intervals", "var")
+
+
+def _raw_variance(s: SparkSession, d: str) -> DataFrame:
+    """Variances of the standardised target at each site, brought back to its own scale."""
+    rows = P.standardised(V.split_panel(s, d), "z", C("split") == "train")
+    return rows.where("split = 'train'").groupBy("site_id").agg(F.var_samp("z").alias("var"), F.first("_sd").alias("_sd")).select("site_id", P.variance_to_raw(C("var")).alias("var"))
+
+
+add("ag24_raw_variance", _raw_variance, "SELECT site_id, var_samp(z) AS var FROM split_panel WHERE split = 'train' GROUP BY site_id", "split_panel", "var")
 add("ag25_feature_correlation", lambda s, d: V.binary(s, d).unpivot(["seed", "y"], ["z", "p", "var"], "feature", "x").groupBy("feature").agg(F.corr("y", "x").alias("r")),
     "SELECT feature, corr(y, x) AS r FROM (UNPIVOT (SELECT y, z, p, var FROM bin) ON z, p, var INTO NAME feature VALUE x) GROUP BY feature", "bin", "r")
 
@@ -160,8 +188,8 @@ add("sp9_at_most", lambda s, d: P.at_most(V.annotations(s, d), "image_id", 40, 5
 # ---------------------------------------------------------------- joins, tables, windows, top-k
 
 add("jn1_aligned", lambda s, d: P.align(V.panel(s, d), V.panel(s, d).where("t % 4 <> 0").withColumnRenamed("z", "p")), "SELECT site_id, t, z, CASE WHEN t % 4 <> 0 THEN z END AS p FROM panel", "panel", "z p")
-_half = lambda s, d, k: V.trials(s, d).groupBy("seed").agg(F.avg(C("rmse") * k).alias("rmse"), F.avg("covfrob").alias("covfrob"))
-add("jn2_largest_difference", lambda s, d: R.largest_difference(_half(s, d, 1), _half(s, d, 1.25), ["rmse", "covfrob"]), "SELECT max(abs(0.25 * m)) AS rmse, 0.0::DOUBLE AS covfrob FROM (SELECT avg(rmse) AS m FROM trials GROUP BY seed)", "trials", "rmse covfrob")
+_half = lambda s, d, k: V.trials(s, d).groupBy("seed").agg(F.avg(C("rmse") * k).alias("rmse"), F.avg(C("covfrob") * C("seed") * k).alias("covfrob"))
+add("jn2_largest_difference", lambda s, d: R.largest_difference(_half(s, d, 1), _half(s, d, 1.25), ["rmse", "covfrob"]), "SELECT max(abs(0.25 * m)) AS rmse, max(abs(0.25 * c)) AS covfrob FROM (SELECT avg(rmse) AS m, avg(covfrob * seed) AS c FROM trials GROUP BY seed)", "trials", "rmse covfrob")
 add("jn3_backfill", lambda s, d: R.backfill(V.trials(s, d), _half(s, d, 2), ["rmse"]).select("seed", "trial", "rmse"), "SELECT seed, trial, m AS rmse FROM trials JOIN (SELECT seed, avg(rmse * 2) AS m FROM trials GROUP BY seed) USING (seed)", "trials", "rmse")
 add("jn4_seed_counts", lambda s, d: R.seed_counts(V.trials(s, d).where("seed > 2"), V.trials(s, d)), "SELECT seed, count(*) FILTER (seed > 2) AS n FROM trials GROUP BY seed", "trials")
 add("jn5_pairs_within", lambda s, d: X.pairs_within(V.sites(s, d), 0.1), "SELECT i, j, h FROM (SELECT a.site_id AS i, b.site_id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS h FROM sites a JOIN sites b ON a.site_id < b.site_id) WHERE h <= 0.1", "sites", "h")
@@ -182,9 +210,10 @@ def _cells(s: SparkSession, d: str) -> DataFrame:
 
 
 add("jn9_rt3_report_table", _cells, f"SELECT place, r.model, {TEXT}, coalesce(max(n_seeds), 0) AS n_seeds FROM (VALUES {', '.join(map(str, ROWS))}) r(place, model) LEFT JOIN ({MEANS}) m USING (model) LEFT JOIN (SELECT model, count(DISTINCT seed) AS n_seeds FROM results WHERE split = 'test' GROUP BY model) USING (model) GROUP BY place, r.model", "results")
-COV = "SELECT a.site_id AS i, b.site_id AS j, CASE WHEN count(*) >= 2 THEN covar_samp(a.z, b.z) END AS v FROM panel a JOIN panel b USING (t) WHERE a.site_id < 40 AND b.site_id < 40 GROUP BY ALL"
-_few = lambda s, d: V.panel(s, d).where("site_id < 40")
-add("jn10_frobenius_distance", lambda s, d: G.frobenius_distance(G.covariance_long(_few(s, d)).where("i < j"), G.gram_long(_few(s, d)).where("i > j")), f"SELECT sqrt(sum((coalesce(a.v, 0) - coalesce(b.v, 0)) ** 2)) AS distance FROM (SELECT * FROM ({COV}) WHERE i < j) a FULL JOIN (SELECT a.site_id AS i, b.site_id AS j, sum(a.z * b.z) AS v FROM panel a JOIN panel b USING (t) WHERE a.site_id < 40 AND b.site_id < 40 AND a.site_id > b.site_id GROUP BY ALL) b USING (i, j)", "panel", "distance")
+COVARIANCE = "SELECT a.site_id AS i, b.site_id AS j, CASE WHEN count(*) >= 2 THEN covar_samp(a.z, b.z) END AS v FROM {a} a JOIN {b} b USING (t) GROUP BY ALL"
+GRAM = "SELECT a.site_id AS i, b.site_id AS j, sum(a.z * b.z) AS v, count(*) AS n FROM panel a JOIN panel b USING (t) GROUP BY ALL"
+COV = COVARIANCE.format(a="panel", b="panel")
+add("jn10_frobenius_distance", lambda s, d: G.frobenius_distance(G.covariance_long(V.panel(s, d)), G.gram_long(V.panel(s, d)).where("i >= j")), f"SELECT sqrt(sum((coalesce(a.v, 0) - coalesce(b.v, 0)) ** 2)) AS distance FROM ({COV}) a FULL JOIN (SELECT * FROM ({GRAM}) WHERE i >= j) b USING (i, j)", "panel", "distance")
 add("rt1_mean_and_error", lambda s, d: R.mean_and_error(R.test_rows(V.results(s, d)), ["model", "metric"]), MEANS, "results", "mean se")
 add("rt2_mean_and_deviation", lambda s, d: R.mean_and_deviation(V.results(s, d), ["model", "metric"]).withColumn("text", S.mean_sd_text(C("mean"), C("sd"), 2)), "SELECT model, metric, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sd, printf('%.2f ± %.2f', avg(value), coalesce(stddev_samp(value), 0)) AS text FROM results GROUP BY ALL", "results", "mean sd")
 PAIR = [(i, b, g) for i, (b, g) in enumerate((b, g) for b in ("res_net", "vit") for g in ("base", "full"))]
@@ -196,14 +225,17 @@ add("rt6_test_rows", lambda s, d: R.test_rows(V.results(s, d)), "SELECT * FROM r
 _wide = lambda s, d: V.results(s, d).groupBy("seed", "model").pivot("metric", ["rmse", "mae"]).agg(F.avg("value"))
 WIDE = "SELECT seed, model, avg(value) FILTER (metric = 'rmse') AS rmse, avg(value) FILTER (metric = 'mae') AS mae FROM results GROUP BY ALL"
 add("rt7_gain_over_baseline", lambda s, d: R.against_baseline(_wide(s, d), "vit_base", ["rmse"]), f"SELECT model, rmse, 100 * (b - rmse) / b AS rmse_gain FROM (SELECT model, avg(rmse) AS rmse FROM ({WIDE}) GROUP BY model), (SELECT avg(rmse) AS b FROM ({WIDE}) WHERE model = 'vit_base')", "results", "rmse rmse_gain")
-add("rt8_paired_t", lambda s, d: R.paired_test(_wide(s, d), "res_net_base", "vit_base", "rmse").select("n", "t"), f"SELECT count(*) AS n, avg(x.rmse - y.rmse) / (stddev_samp(x.rmse - y.rmse) / sqrt(count(*))) AS t FROM (SELECT * FROM ({WIDE}) WHERE model = 'res_net_base') x JOIN (SELECT * FROM ({WIDE}) WHERE model = 'vit_base') y USING (seed)", "results", "t")
+T_STAT = f"SELECT count(*) AS n, avg(x.rmse - y.rmse) / (stddev_samp(x.rmse - y.rmse) / sqrt(count(*))) AS t FROM (SELECT * FROM ({WIDE}) WHERE model = 'res_net_base') x JOIN (SELECT * FROM ({WIDE}) WHERE model = 'vit_base') y USING (seed)"
+# The closed form of Student's distribution with 9 degrees of freedom, as there are ten seeds.
+P_VALUE = "1 - 2 / pi() * (a + sin(a) * (cos(a) + 2.0::DOUBLE / 3 * cos(a) ** 3 + 8.0::DOUBLE / 15 * cos(a) ** 5 + 48.0::DOUBLE / 105 * cos(a) ** 7))"
+add("rt8_paired_t", lambda s, d: R.paired_test(_wide(s, d), "res_net_base", "vit_base", "rmse"), f"SELECT n, t, {P_VALUE} AS p, {P_VALUE} < 0.05 AS significant FROM (SELECT *, atan(abs(t) / 3) AS a FROM ({T_STAT}))", "results", "t p")
 add("rt9_time_summary", lambda s, d: R.time_summary(V.read(s, d, "orders").select(C("o_orderpriority").alias("function"), C("o_orderstatus").alias("model"), (C("o_totalprice") / 1000).alias("wall_time_s"))), "SELECT o_orderpriority AS function, o_orderstatus AS model, avg(o_totalprice / 1000) AS mean, stddev_pop(o_totalprice / 1000) AS sd, count(*) AS n FROM orders GROUP BY ALL", "", "mean sd")
 add("rt10_time_per_trial", lambda s, d: R.per_trial(V.trials(s, d).groupBy("seed").agg(F.sum("rmse").alias("total_s"), F.count("*").alias("n_trials"))), "SELECT seed, sum(rmse) AS total_s, count(*) AS n_trials, sum(rmse) / count(*) AS time_per_trial FROM trials GROUP BY seed", "trials", "total_s time_per_trial")
 add("rt11_quartiles", lambda s, d: R.quartiles(V.trials(s, d), "tau1", "rmse"), "SELECT tau1, quantile_cont(rmse, 0.25) AS q25, quantile_cont(rmse, 0.5) AS median, quantile_cont(rmse, 0.75) AS q75 FROM trials GROUP BY tau1", "trials", "tau1 q25 median q75")
 add("rt11_best_penalty", lambda s, d: R.best_of(R.quartiles(V.trials(s, d), "tau1", "rmse"), "tau1", "median").select("tau1"), "SELECT tau1 FROM trials GROUP BY tau1 ORDER BY quantile_cont(rmse, 0.5) DESC, tau1 LIMIT 1", "trials")
 add("rt12_representative_seed", lambda s, d: R.representative_seed(V.trials(s, d), "rmse"), "SELECT seed FROM (SELECT seed, avg(rmse) AS m FROM trials GROUP BY seed), (SELECT median(m) AS mid FROM (SELECT avg(rmse) AS m FROM trials GROUP BY seed)) ORDER BY round(abs(m - mid), 9), seed LIMIT 1", "trials")
-add("rt13_off_diagonal", lambda s, d: R.off_diagonal(G.covariance_long(_few(s, d)), 0.95), f"SELECT quantile_cont(abs(v), 0.95) AS value FROM ({COV}) WHERE i <> j", "panel", "value")
-add("rt14_energy_means", lambda s, d: V.results(s, d).groupBy("split", "metric").agg(F.avg("value").alias("value")), "SELECT split, metric, avg(value) AS value FROM results GROUP BY ALL", "results", "value")
+add("rt13_off_diagonal", lambda s, d: R.off_diagonal(G.covariance_long(V.panel(s, d)), 0.95), f"SELECT quantile_cont(abs(v), 0.95) AS value FROM ({COV}) WHERE i <> j", "panel", "value")
+add("rt14_means_by_split", lambda s, d: V.results(s, d).groupBy("split", "metric").agg(F.avg("value").alias("value")), "SELECT split, metric, avg(value) AS value FROM results GROUP BY ALL", "results", "value")
 add("wn1_site_and_time_index", lambda s, d: P.with_index(P.with_index(V.monthly(s, d), ["t"], "t_idx"), ["site_id"], "site_idx").select("site_id", "t", "t_idx", "site_idx"), "SELECT site_id, t, dense_rank() OVER (ORDER BY t) - 1 AS t_idx, dense_rank() OVER (ORDER BY site_id) - 1 AS site_idx FROM monthly", "monthly")
 _spec = lambda s, d: V.trials(s, d).groupBy("seed").agg(F.sum("rmse").alias("eigenvalue")).select((F.row_number().over(Window.orderBy(C("eigenvalue").desc()))).alias("component"), "eigenvalue")
 SPEC = "(SELECT row_number() OVER (ORDER BY e DESC) AS component, e AS eigenvalue FROM (SELECT seed, sum(rmse) AS e FROM trials GROUP BY seed))"
@@ -233,21 +265,28 @@ add("sf6_block_means", lambda s, d: B.block_means(B.label_map(_boxes(s, d), "ima
 add("sf7_distances", lambda s, d: V.sites(s, d).select("site_id", S.distance([C("x")], [F.lit(0.5)]).alias("d1"), S.distance([C("x"), C("y")], [F.lit(0.5), F.lit(0.5)]).alias("d2")), "SELECT site_id, abs(x - 0.5) AS d1, sqrt((x - 0.5) ** 2 + (y - 0.5) ** 2) AS d2 FROM sites", "sites", "d1 d2")
 add("sf8_links", lambda s, d: V.binary(s, d).groupBy("seed").agg(F.avg(S.sigmoid(C("z"))).alias("p"), F.avg(S.logit(C("p"))).alias("z")), "SELECT seed, avg(1 / (1 + exp(-z))) AS p, avg(ln(p / (1 - p))) AS z FROM bin GROUP BY seed", "bin", "p z")
 add("sf9_texts", lambda s, d: V.trials(s, d).select("seed", "trial", S.mean_se_text(C("rmse") + 1e-9, C("covfrob") + 1e-9, 4).alias("cell"), S.minutes_text(F.floor(C("rmse") * 100).cast("double")).alias("minutes")), "SELECT seed, trial, printf('%.4f (%.4f)', rmse + 1e-9, covfrob + 1e-9) AS cell, printf('%dm %.1fs', (floor(rmse * 100)::BIGINT // 60), floor(rmse * 100) % 60) AS minutes FROM trials", "trials")
-add("rs1_wide", lambda s, d: P.wide(V.panel(s, d), [1, 2, 3]), "SELECT t, avg(z) FILTER (site_id = 1) AS \"1\", avg(z) FILTER (site_id = 2) AS \"2\", avg(z) FILTER (site_id = 3) AS \"3\" FROM panel GROUP BY t", "panel", '"1" "2" "3"')
+_matrix = lambda s, d: P.packed(P.full_frame(*[V.panel(s, d).unionByName(V.panel(s, d).withColumn("z", C("z") + 1).where("t % 2 = 0"))] * 3))
+add("rs1_matrix_rows", lambda s, d: _matrix(s, d).select("t", F.posexplode("vals").alias("place", "z")), "SELECT t, (dense_rank() OVER (ORDER BY site_id) - 1)::INT AS place, z + CASE WHEN t % 2 = 0 THEN 0.5 ELSE 0 END AS z FROM (SELECT t, site_id FROM (SELECT DISTINCT t FROM panel), (SELECT DISTINCT site_id FROM panel)) LEFT JOIN panel USING (t, site_id)", "panel", "z")
 add("rs2_unpacked", lambda s, d: P.unpacked(P.packed(V.panel(s, d))), "SELECT t, site_id, z FROM panel", "panel", "z")
 add("rs3_full_frame", lambda s, d: P.full_frame(V.panel(s, d), V.panel(s, d), V.panel(s, d)).select("t", "site_id", "z"), "SELECT t, site_id, z FROM (SELECT DISTINCT t FROM panel), (SELECT DISTINCT site_id FROM panel) LEFT JOIN panel USING (t, site_id)".replace("(SELECT DISTINCT t FROM panel), (SELECT DISTINCT site_id FROM panel)", "(SELECT t, site_id FROM (SELECT DISTINCT t FROM panel), (SELECT DISTINCT site_id FROM panel))"), "panel", "z")
 
 # ---------------------------------------------------------------- moments and variograms
 
-add("cv1_gram", lambda s, d: G.gram_long(_few(s, d)), "SELECT a.site_id AS i, b.site_id AS j, sum(a.z * b.z) AS v, count(*) AS n FROM panel a JOIN panel b USING (t) WHERE a.site_id < 40 AND b.site_id < 40 GROUP BY ALL", "panel", "v")
-add("cv2_cv3_covariance", lambda s, d: G.covariance_long(_few(s, d)), COV, "panel", "v")
-_pred_cov = lambda s, d: G.covariance_long(_few(s, d).withColumn("z", 0.5 * C("z")))
-add("cv4_covariance_error", lambda s, d: G.covariance_error(G.covariance_long(_few(s, d)), _pred_cov(s, d)), f"SELECT sqrt(sum((0.75 * v) ** 2)) / (sqrt(sum(v * v)) + 1e-12) AS error FROM ({COV})", "panel", "error")
-EDGES = [0.0, 0.05, 0.1, 0.15, 0.2]
-GAMMA = "SELECT (floor(h / 0.05)::INT) AS bin, (floor(h / 0.05) + 0.5) * 0.05 AS lag, {g} AS gamma, count(*) AS n FROM (SELECT a.site_id AS i, b.site_id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS h FROM sites a JOIN sites b ON a.site_id < b.site_id) p JOIN panel a ON a.site_id = p.i JOIN panel b ON b.site_id = p.j AND a.t = b.t WHERE h < 0.2 GROUP BY ALL"
+add("cv1_gram", lambda s, d: G.gram_long(V.panel(s, d)), GRAM, "panel", "v")
+add("cv2_cv3_covariance", lambda s, d: G.covariance_long(V.panel(s, d)), COV, "panel", "v")
+_damped = lambda df: df.withColumn("z", C("z") * (0.5 + 0.1 * (C("site_id") % 3)))
+DAMPED = "(SELECT site_id, t, z * (0.5 + 0.1 * (site_id % 3)) AS z FROM {rows})"
+ERROR = "SELECT sqrt(sum((b.v - a.v) ** 2)) / (sqrt(sum(a.v ** 2)) + 1e-12) AS error FROM ({a}) a JOIN ({b}) b USING (i, j)"
+DAMPED_COV = COVARIANCE.format(a=DAMPED.format(rows="panel"), b=DAMPED.format(rows="panel"))
+add("cv4_covariance_error", lambda s, d: G.covariance_error(G.covariance_long(V.panel(s, d)), G.covariance_long(_damped(V.panel(s, d)))), ERROR.format(a=COV, b=DAMPED_COV), "panel", "error")
+BINS = "(SELECT *, most / bins AS width FROM (SELECT ceil(2 * log2(count(*)) + 1)::INT AS bins, sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) / 3 AS most FROM sites))"
+LAGS = f"(SELECT i, j, floor(h / width)::INT AS bin, width FROM (SELECT a.site_id AS i, b.site_id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS h FROM sites a JOIN sites b ON a.site_id < b.site_id), {BINS} WHERE h < most)"
+GAMMA = f"SELECT bin, any_value((bin + 0.5) * width) AS lag, {{g}} AS gamma, count(*) AS n FROM {LAGS} p JOIN {{rows}} a ON a.site_id = p.i JOIN {{rows}} b ON b.site_id = p.j AND a.t = b.t GROUP BY bin"
 MATHERON = "avg((a.z - b.z) ** 2) / 2"
-add("cv12_semivariogram", lambda s, d: X.semivariogram(V.panel(s, d), V.sites(s, d), EDGES), GAMMA.format(g=MATHERON), "panel sites", "lag gamma")
-add("cv12_semivariogram_cressie", lambda s, d: X.semivariogram(V.panel(s, d), V.sites(s, d), EDGES, estimator="cressie"), GAMMA.format(g="0.5 * avg(sqrt(abs(a.z - b.z))) ** 4 / (0.457 + 0.494 / count(*) + 0.045 / (count(*) * count(*)))"), "panel sites", "lag gamma")
+CRESSIE = "0.5 * avg(sqrt(abs(a.z - b.z))) ** 4 / (0.457 + 0.494 / count(*) + 0.045 / (count(*) * count(*)))"
+_gamma = lambda s, d, rows, **o: X.semivariogram(rows, V.sites(s, d), X.bin_edges(V.sites(s, d)), **o)
+add("cv12_semivariogram", lambda s, d: _gamma(s, d, V.panel(s, d)), GAMMA.format(g=MATHERON, rows="panel"), "panel sites", "lag gamma")
+add("cv12_semivariogram_cressie", lambda s, d: _gamma(s, d, V.panel(s, d), estimator="cressie"), GAMMA.format(g=CRESSIE, rows="panel"), "panel sites", "lag gamma")
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -256,7 +295,16 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 
 
 add("cv13_lag_bins", _edges, "SELECT unnest(range(k + 1)) AS bin, unnest(range(k + 1)) * most / k AS edge FROM (SELECT ceil(2 * log2(count(*)) + 1)::INT AS k, sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) / 3 AS most FROM sites)", "sites", "edge")
-add("cv14_variogram_match", lambda s, d: X.variogram_match(X.semivariogram(V.panel(s, d), V.sites(s, d), EDGES), X.semivariogram(V.panel(s, d).withColumn("z", 0.5 * C("z")), V.sites(s, d), EDGES), weighted=True), f"SELECT sqrt(sum(n * (0.75 * gamma) ** 2) / sum(n)) AS loss, count(*) AS bins FROM ({GAMMA.format(g=MATHERON)})", "panel sites", "loss")
+
+
+def _match(s: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """The weighted loss, and the same with each bin's difference relative to the truth in it."""
+    own, other = written(_gamma(s, d, rows)), written(_gamma(s, d, _damped(rows)))
+    return X.variogram_match(own, other).join(X.variogram_match(own, other, normalised=True).select(C("loss").alias("relative")))
+
+
+LOSS = "SELECT sum(least(a.n, b.n) * (b.gamma - a.gamma) ** 2) / sum(least(a.n, b.n)) AS loss, count(*) AS bins, sum(least(a.n, b.n) * ((b.gamma - a.gamma) / (a.gamma + 1e-8)) ** 2) / sum(least(a.n, b.n)) AS relative FROM ({a}) a JOIN ({b}) b USING (bin)"
+add("cv14_variogram_match", lambda s, d: _match(s, d, V.panel(s, d)), LOSS.format(a=GAMMA.format(g=MATHERON, rows="panel"), b=GAMMA.format(g=MATHERON, rows=DAMPED.format(rows="panel"))), "panel sites", "loss relative")
 add("cv11_basis_alignment", lambda s, d: G.alignment(V.phi(s, d), V.phi(s, d).withColumn("phi", -C("phi")).where("k < 2")), "SELECT k, arg_max(o, abs(c)) AS best, max(abs(c)) AS cosine FROM (SELECT a.k, b.k AS o, sum(a.phi * b.phi) / sqrt(sum(a.phi ** 2) * sum(b.phi ** 2)) AS c FROM phi a JOIN phi b USING (site_id) WHERE b.k < 2 GROUP BY a.k, b.k) GROUP BY k", "phi", "cosine")
 
 
@@ -277,8 +325,7 @@ def _moments(s: SparkSession, d: str, **options) -> G.Moments:
 
 def _orthonormal(s: SparkSession, d: str, names: list, k: int = 3) -> np.ndarray:
     """The view's basis at the panel's sites, with orthonormal columns."""
-    rows = {(r.site_id, r.k): r.phi for r in P.only(V.phi(s, d, k), V.panel(s, d), ["site_id"]).collect()}
-    return D.retracted(np.array([[rows.get((i, j), 0.0) for j in range(k)] for i in names]))
+    return D.retracted(_basis_matrix(s, d, names, k))
 
 
 def _long_basis(s: SparkSession, names: list, phi: np.ndarray) -> DataFrame:
@@ -298,17 +345,29 @@ def _gram_trace(s: SparkSession, d: str) -> DataFrame:
 add("cv1_gram_one_pass", _gram_trace, f"SELECT a.site_id, sum(a.r * a.r) AS own, sum(a.r * b.s) AS row FROM {FULL} a JOIN (SELECT t, sum(r) AS s FROM {FULL} GROUP BY t) b USING (t) GROUP BY a.site_id", "panel splits", "own row")
 
 
-def _matern(s: SparkSession, d: str) -> DataFrame:
-    return X.matern_pairs(V.sites(s, d).where("site_id < 60")).where("i < j").groupBy("i").agg(F.avg("v").alias("v"))
+def _matern(s: SparkSession, d: str, panel_only: bool = False) -> DataFrame:
+    """Every pair of sites in both orders, for nu = 1.5, which SQL can write down."""
+    sites = V.sites(s, d)
+    half = written(X.matern_pairs(P.only(sites, V.panel(s, d), ["site_id"]) if panel_only else sites, nu=1.5))
+    return half.unionByName(half.where("i < j").select(C("j").alias("i"), C("i").alias("j"), "v"))
 
 
-add("cv5_matern_correlation", _matern)
-add("cv6_error_against_matern", lambda s, d: G.covariance_error(X.matern_pairs(V.sites(s, d).where("site_id < 40")), G.covariance_long(_few(s, d))))
+MATERN = "SELECT a.site_id AS i, b.site_id AS j, (1 + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.08) * exp(-sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.08) AS v FROM sites a, sites b"
+add("cv5_matern_correlation", lambda s, d: _matern(s, d).groupBy("i").agg(F.avg("v").alias("v")), f"SELECT i, avg(v) AS v FROM ({MATERN}) GROUP BY i", "sites", "v")
+add("cv6_error_against_matern", lambda s, d: G.covariance_error(_matern(s, d, True), G.covariance_long(V.panel(s, d))), ERROR.format(a=MATERN, b=COV), "panel sites", "error")
 add("cv7_low_rank_covariance", lambda s, d: G.model_row(s, G.low_rank(m := _moments(s, d), _orthonormal(s, d, m.sites))))
 add("cv8_plug_in_covariance", lambda s, d: G.model_row(s, G.plug_in(m := _moments(s, d), _orthonormal(s, d, m.sites))))
 add("cv9_spectrum", lambda s, d: G.spectrum_table(s, _moments(s, d).covariance()))
 add("cv10_spectrum_errors", lambda s, d: G.spectrum_errors(G.spectrum_table(s, _moments(s, d, where=C("split") == "train").covariance()), G.spectrum_table(s, _moments(s, d, where=C("split") != "train").covariance()), 5))
-add("cv15_residual_moments", lambda s, d: s.createDataFrame([G.residual_moments(_moments(s, d))]), f"SELECT 0.0::DOUBLE AS basis_norm, sqrt(sum(v * v)) / max(n) AS norm, sum(v) FILTER (i = j) / max(n) AS trace FROM (SELECT a.site_id AS i, b.site_id AS j, sum(a.r * b.r) AS v, count(*) AS n FROM {FULL} a JOIN {FULL} b USING (t) GROUP BY ALL)", "panel splits", "basis_norm norm trace")
+
+
+def _basis_matrix(s: SparkSession, d: str, names: list, k: int = 3) -> np.ndarray:
+    rows = {(r.site_id, r.k): r.phi for r in P.only(V.phi(s, d, k), V.panel(s, d), ["site_id"]).collect()}
+    return np.array([[rows.get((i, j), 0.0) for j in range(k)] for i in names])
+
+
+add("cv10_eigenvector_alignment", lambda s, d: G.eigenvector_alignment(s, *[_moments(s, d, where=x).covariance() for x in (C("split") == "train", C("split") != "train")], 5))
+add("cv15_residual_moments", lambda s, d: s.createDataFrame([G.residual_moments(m := _moments(s, d), _basis_matrix(s, d, m.sites))]), f"SELECT (SELECT sqrt(sum(phi ** 2)) FROM phi SEMI JOIN panel USING (site_id)) AS basis_norm, sqrt(sum(v * v)) / max(n) AS norm, sum(v) FILTER (i = j) / max(n) AS trace FROM (SELECT a.site_id AS i, b.site_id AS j, sum(a.r * b.r) AS v, count(*) AS n FROM {FULL} a JOIN {FULL} b USING (t) GROUP BY ALL)", "panel splits phi", "basis_norm norm trace")
 
 # ---------------------------------------------------------------- models
 
@@ -324,7 +383,7 @@ add("md1_md2_least_squares", _ols, "SELECT seed, avg(a + b * z) AS fit, sqrt(avg
 
 def _penalised(s: SparkSession, d: str) -> DataFrame:
     m = _moments(s, d, where=C("split") == "train")
-    phi = D.penalised_basis(m.gram, D.smoothing_matrix(_coords(s, d, m.sites)), 1.0, 3)
+    phi = in_task(s, L.penalised, m.gram, _coords(s, d, m.sites), 1.0, 3)
     return _long_basis(s, m.sites, phi)
 
 
@@ -333,9 +392,9 @@ add("md3_md5_penalised_basis", _penalised)
 
 def _fit(s: SparkSession, d: str) -> tuple[G.Moments, G.Moments, np.ndarray, D.BasisFit]:
     train, val = (_moments(s, d, where=C("split") == n) for n in ("train", "val"))
-    omega = D.smoothing_matrix(_coords(s, d, train.sites))
+    xy = _coords(s, d, train.sites)
     y = complete_panel(s, d).where("split = 'train'").agg(F.stddev_samp("z"), F.avg(C("z") * C("z"))).first()
-    return train, val, omega, D.fit_basis(train, val, omega, 3, 1.0, 0.1, y[0], y[1])
+    return train, val, in_task(s, D.smoothing_matrix, xy), in_task(s, L.fitted, train, val, xy, 3, 1.0, 0.1, y[0], y[1])
 
 
 add("md4_basis_fit", lambda s, d: s.createDataFrame(_fit(s, d)[3].history))
@@ -362,18 +421,56 @@ def _diagnostics(s: SparkSession, d: str) -> DataFrame:
 
 
 add("md10_fit_diagnostics", _diagnostics)
-add("md11_validation_metrics", lambda s, d: M.by_split(V.scored(s, d).where("split = 'val'"), ["model"]).join(M.auc(V.binary(s, d), [], "y", "z")), f"SELECT model, CASE WHEN grouping(split) = 1 THEN 'full' ELSE split END AS split, {RAW}, max(auc) AS auc FROM scored, (SELECT sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT z, count(*) FILTER (y > 0.5) AS pos, count(*) FILTER (y <= 0.5) AS neg FROM bin GROUP BY ALL))) WHERE split = 'val' GROUP BY GROUPING SETS ((model, split), (model))", "scored bin", "rmse mae r2 auc")
+
+
+def _bundle(s: SparkSession, d: str) -> DataFrame:
+    """Every criterion at once, on val rows: a damped panel against the panel, and soft labels."""
+    val = written(P.of_split(V.split_panel(s, d), "val").select("site_id", "t", "z"))
+    both = P.align(val.withColumnRenamed("z", "y"), _damped(val))
+    parts = both.agg(M.rmse(C("y"), C("z")).alias("rmse")).join(G.covariance_error(G.covariance_long(val), G.covariance_long(_damped(val))).select(C("error").alias("cov_frob")))
+    parts = parts.join(_match(s, d, val).select(C("loss").alias("sv_score")))
+    return parts.join(M.auc(_soft(s, d), [], "y", "z")).join(_soft(s, d).agg(M.confusion(C("y"), C("z"))["accuracy"].alias("accuracy")))
+
+
+VAL = "(SELECT site_id, t, z FROM split_panel WHERE split = 'val')"
+VAL_DAMPED = DAMPED.format(rows=VAL)
+ALL_AUC = AUC.replace("SELECT seed, sum(pos", "SELECT sum(pos").replace("PARTITION BY seed ", "").replace("SELECT seed, z, count", "SELECT z, count").replace(" GROUP BY seed", "")
+add("md11_validation_bundle", _bundle,
+    f"SELECT (SELECT sqrt(avg((a.z - b.z) ** 2)) FROM {VAL} a JOIN {VAL_DAMPED} b USING (site_id, t)) AS rmse, ({ERROR.format(a=COVARIANCE.format(a=VAL, b=VAL), b=COVARIANCE.format(a=VAL_DAMPED, b=VAL_DAMPED))}) AS cov_frob, "
+    f"(SELECT loss FROM ({LOSS.format(a=GAMMA.format(g=MATHERON, rows=VAL), b=GAMMA.format(g=MATHERON, rows=VAL_DAMPED))})) AS sv_score, ({ALL_AUC.format(rows=SOFT)}) AS auc, (SELECT accuracy FROM (SELECT {CONFUSION} FROM {SOFT})) AS accuracy",
+    "split_panel bin sites", "rmse cov_frob sv_score auc accuracy")
+add("md11_validation_metrics", lambda s, d: M.by_split(V.scored(s, d).where("split = 'val'"), ["model"]), f"SELECT model, CASE WHEN grouping(split) = 1 THEN 'full' ELSE split END AS split, {RAW} FROM scored WHERE split = 'val' GROUP BY GROUPING SETS ((model, split), (model))", "scored", "rmse mae r2")
+# Energy of the scores and alignment of mean residuals with the basis, by split over seeds (here: every fifth day).
+SEED_ETA = f"(SELECT split, t % 5 AS seed, k, eta FROM {ETA} JOIN splits USING (t))"
+ENERGY = f"SELECT split, k, avg(value) AS value FROM (SELECT seed, split, k, avg(eta * eta) AS value FROM {SEED_ETA} GROUP BY ALL) GROUP BY ALL"
+MEANS_AT = f"(SELECT t % 5 AS seed, split, site_id, avg(r) AS m FROM {FULL} GROUP BY ALL)"
+ALIGNED = f"SELECT split, k AS rank, avg(value) AS value FROM (SELECT seed, split, k, abs(sum(m * phi)) / sqrt(sum(m * m) * sum(phi * phi)) AS value FROM {MEANS_AT} JOIN phi USING (site_id) GROUP BY ALL) GROUP BY ALL"
+
+
+def _energies(s: SparkSession, d: str) -> DataFrame:
+    rows = complete_panel(s, d)
+    eta = D.scores(rows, V.phi(s, d)).join(rows.select("t", "split").distinct(), "t")
+    return R.energy_means(eta.select((C("t") % 5).alias("seed"), "split", "k", "eta"))
+
+
+add("rt14_eigen_energy", _energies, ENERGY, "panel splits phi", "value")
+add("rt14_alignment", lambda s, d: R.alignment_means(complete_panel(s, d).groupBy((C("t") % 5).alias("seed"), "split", "site_id").agg(F.avg("r").alias("m")), V.phi(s, d)), ALIGNED, "panel splits phi", "value")
 
 
 def _trials(s: SparkSession, d: str) -> DataFrame:
-    train, val, omega, _ = _fit(s, d)
-    grid = D.trial_grid(s, [0.1, 10.0], [0.0, 1.0], [0, 1])
-    out = D.run_trials(grid, {i: (train, val, 30.0 + i, 3000.0) for i in (0, 1)}, omega, 2, D.FitOptions(rounds=30, least_rounds=10))
-    return D.best_trial(out)
+    """Two seeds, each with the moments and scales of its own days."""
+    rows = written(complete_panel(s, d))
+    by_seed, sites = {}, None
+    for seed in (0, 1):
+        own = rows.where(C("t") % 2 == seed)
+        train, val = (G.moments(own, "r", C("split") == n) for n in ("train", "val"))
+        y = own.where("split = 'train'").agg(F.stddev_samp("z"), F.avg(C("z") * C("z"))).first()
+        by_seed[seed], sites = (train, val, y[0], y[1]), train.sites
+    omega = in_task(s, D.smoothing_matrix, _coords(s, d, sites))
+    return D.best_trial(D.run_trials(D.trial_grid(s, [0.1, 10.0], [0.0, 1.0], [0, 1]), by_seed, omega, 2))
 
 
 add("md12_md13_trials", _trials)
-TARGETS = 20
 
 
 def _new_basis(s: SparkSession, d: str) -> DataFrame:
@@ -395,15 +492,15 @@ def _conditional(s: SparkSession, d: str) -> DataFrame:
 add("md15_md16_conditional_scores", lambda s, d: _conditional(s, d).select("t", F.posexplode("eta").alias("k", "eta")))
 
 
-def _kriged(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _kriged(s: SparkSession, d: str) -> DataFrame:
+    """Means for all times and the variance at every site without data."""
     m = _moments(s, d, where=C("split") == "train")
     phi = _orthonormal(s, d, m.sites)
-    targets = {r.site_id: np.array(r.phi) for r in _new_basis(s, d).orderBy("site_id").limit(TARGETS).collect()}
-    mean, var = D.kriging(complete_panel(s, d), _long_basis(s, m.sites, phi), G.low_rank(m, phi), targets)
-    return mean, s.createDataFrame([(int(i), v) for i, v in var.items()], "site_id long, var double")
+    mean, var = D.kriging_at(complete_panel(s, d), _long_basis(s, m.sites, phi), G.low_rank(m, phi), written(_new_basis(s, d)))
+    return mean.join(var, "site_id")
 
 
-add("md17_md18_kriging", lambda s, d: (k := _kriged(s, d))[0].join(k[1], "site_id"))
+add("md17_md18_kriging", _kriged)
 
 
 def _forecast(s: SparkSession, d: str) -> DataFrame:
@@ -444,8 +541,8 @@ add("pi3_critical_value_by_histogram", lambda s, d: _q(s, d, exact_up_to=10), QH
 add("pi4_pi5_calibrated_interval", lambda s, d: V.intervals(s, d).join(_q(s, d), "seed").select("site_id", "t", *[c.alias(n) for n, c in zip(("lo", "hi"), I.interval(HAT(), C("var"), q_hat=C("q_hat")))]), f"SELECT site_id, t, y_pred - q_hat * sqrt(var) AS lo, y_pred + q_hat * sqrt(var) AS hi FROM intervals JOIN ({QHAT}) USING (seed)", "intervals", "lo hi")
 
 
-def _held_out(s: SparkSession, d: str) -> DataFrame:
-    """Plug-in and calibrated coverage and width at held-out sites: calibrated on val, scored on test."""
+def _site_means(s: SparkSession, d: str) -> DataFrame:
+    """Plug-in and calibrated coverage and width of site means at some sites: calibrated on val, scored on test."""
     rows = V.intervals(s, d).where("var IS NOT NULL")
     held = P.only(rows, P.held_out_sites(rows, 0.3, 3), ["site_id"])
     q = I.critical_value(P.of_split(held, "val"), ["method"], "y_true", "y_pred", "var")
@@ -454,18 +551,19 @@ def _held_out(s: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-add("pi6_held_out_intervals", _held_out)
-add("workload_reconstruction", lambda s, d: L.reconstruction(V.panel(s, d), V.sites(s, d), options=D.FitOptions(rounds=60, least_rounds=20)))
+add("pi6_site_mean_intervals", _site_means)
+add("pi6_held_out_intervals", lambda s, d: L.held_out_prediction(V.panel(s, d), V.sites(s, d)))
+add("workload_reconstruction", lambda s, d: L.reconstruction(V.panel(s, d), V.sites(s, d)))
 PATCH_Z = "(r * 3 + c * 5 + 0.1 * (r * c % 7)) / 40.0::DOUBLE - 1.6"
 PATCHES = f"(SELECT split, h, {PATCH_Z} AS z FROM (SELECT f.image_id, f.r, f.c, (x.image_id IS NOT NULL)::INT::DOUBLE AS h FROM (SELECT * FROM {FRAME}) f LEFT JOIN cells x USING (image_id, r, c)) JOIN (SELECT image_id, CASE WHEN place < floor(n * 0.7::DOUBLE) THEN 'train' WHEN place < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM {IMG.replace('FROM (SELECT DISTINCT image_id FROM ann)', 'FROM (SELECT DISTINCT image_id FROM keyed)')}) USING (image_id))"
 add("workload_patch_scores", lambda s, d: L.patch_scores(V.annotations(s, d), (C("r") * 3 + C("c") * 5 + 0.1 * (C("r") * C("c") % 7)) / 40.0 - 1.6).drop("auc", "ece"),
-    f"SELECT split, count(*) AS cells, avg(((h > 0.5) = (z > 0))::INT) AS accuracy, coalesce(2.0 * count(*) FILTER (h > 0.5 AND z > 0) / nullif(2 * count(*) FILTER (h > 0.5 AND z > 0) + count(*) FILTER ((h > 0.5) <> (z > 0)), 0), 0) AS f1 FROM {PATCHES} GROUP BY split", "ann cells keyed", "accuracy f1")
+    f"SELECT split, count(*) AS cells, avg(((h >= 0.5) = (z >= 0))::INT) AS accuracy, coalesce(2.0 * count(*) FILTER (h >= 0.5 AND z >= 0) / nullif(2 * count(*) FILTER (h >= 0.5 AND z >= 0) + count(*) FILTER ((h >= 0.5) <> (z >= 0)), 0), 0) AS f1 FROM {PATCHES} GROUP BY split", "ann cells keyed", "accuracy f1")
 
 # ---------------------------------------------------------------- sources and sinks
 
 
 def _observations(s: SparkSession, d: str) -> DataFrame:
-    path = _folder(s)
+    path = new_folder(s)
     V.panel(s, d).join(V.sites(s, d), "site_id").select(F.lit("extra").alias("note"), "z", "t", "y", "x").write.option("header", True).csv(path)
     return T.read_observations(s, path)
 
@@ -474,7 +572,7 @@ add("io1_observations_csv", _observations, "SELECT x, y, t, z FROM panel JOIN si
 
 
 def _partitioned(s: SparkSession, d: str) -> DataFrame:
-    path = _folder(s)
+    path = new_folder(s)
     T.write_predictions(V.scored(s, d), path)
     return s.read.parquet(path).groupBy("seed", "model").agg(F.count("*").alias("n"), F.avg("y_pred").alias("m"))
 
@@ -483,7 +581,7 @@ add("io8_predictions_by_seed", _partitioned, "SELECT seed, model, count(*) AS n,
 
 
 def _trial_files(s: SparkSession, d: str) -> DataFrame:
-    folder = _folder(s)
+    folder = new_folder(s)
     for i, columns in enumerate((["seed", "trial", "rmse"], ["seed", "trial", "rmse", "covfrob"])):
         T.write_table(V.trials(s, d).where(C("seed") % 2 == i).select(*columns), f"{folder}/{i}")
     return T.read_trials(s, [f"{folder}/0", f"{folder}/1"]).groupBy("seed").agg(F.count("*").alias("n"), F.count("covfrob").alias("m"))
@@ -493,18 +591,18 @@ add("io6_io11_trial_files", _trial_files, "SELECT seed, count(*) AS n, CASE WHEN
 
 
 def _appended(s: SparkSession, d: str) -> DataFrame:
-    path = _folder(s)
+    path = new_folder(s)
     for i in range(2):
         T.append_metrics(V.trials(s, d).where(C("seed") % 2 == i), path)
     return s.read.parquet(path).groupBy("seed").agg(F.count("*").alias("n"))
 
 
 add("io12_appended_metrics", _appended, "SELECT seed, count(*) AS n FROM trials GROUP BY seed", "trials")
-add("io14_feature_cache", lambda s, d: T.cached(s, _folder(s), {"k": 3, "of": "phi"}, lambda: V.phi(s, d)).groupBy("k").agg(F.count("*").alias("n"), F.avg("phi").alias("m")), "SELECT k, count(*) AS n, avg(phi) AS m FROM phi GROUP BY k", "phi", "m")
+add("io14_feature_cache", lambda s, d: T.cached(s, new_folder(s), {"k": 3, "of": "phi"}, lambda: V.phi(s, d)).groupBy("k").agg(F.count("*").alias("n"), F.avg("phi").alias("m")), "SELECT k, count(*) AS n, avg(phi) AS m FROM phi GROUP BY k", "phi", "m")
 
 
 def _annotation_file(s: SparkSession, d: str) -> DataFrame:
-    path = _folder(s)
+    path = new_folder(s)
     T.write_table(V.annotations(s, d).select(C("image_id").alias("image_name"), F.lit("x").alias("domain"), C("bbox").alias("BoxesString")), path)
     return T.read_annotations(s, path).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.length(F.coalesce("bbox", F.lit("")))).alias("chars"))
 
@@ -513,7 +611,7 @@ add("io4_annotation_csv", _annotation_file, r"SELECT regexp_replace(image_id, '\
 
 
 def _result_files(s: SparkSession, d: str) -> DataFrame:
-    root = _folder(s)
+    root = new_folder(s)
     for name, model in (("one", "vit_base"), ("fast_two", "vit_full")):
         T.write_results(V.results(s, d).where(C("model") == model), f"{root}/{name}.csv")
     found, missing = T.read_results(s, root, ["one", "two", "three"], ["", "fast_"])
@@ -524,7 +622,7 @@ add("io5_io9_result_files", _result_files, "SELECT CASE model WHEN 'vit_base' TH
 
 
 def _timing_file(s: SparkSession, d: str) -> DataFrame:
-    path = _folder(s)
+    path = new_folder(s)
     rows = V.read(s, d, "orders").select(C("o_orderpriority").alias("function"), C("o_totalprice").alias("wall_time_s"), C("o_orderstatus").alias("model"))
     T.write_timings([rows.where("wall_time_s < 1e5").drop("model"), rows.where("wall_time_s >= 1e5")], path)
     return s.read.option("header", True).schema("function string, wall_time_s double, model string").csv(path).groupBy("function").agg(F.count("*").alias("n"), F.count("model").alias("m"), F.avg("wall_time_s").alias("mean"))
@@ -534,7 +632,7 @@ add("io10_timing_file", _timing_file, "SELECT o_orderpriority AS function, count
 
 
 def _eigenvalue_file(s: SparkSession, d: str) -> DataFrame:
-    path = _folder(s)
+    path = new_folder(s)
     T.write_table(R.explained(_spec(s, d)).select("component", "eigenvalue", C("explained").alias("cumulative_explained_variance")), path)
     return T.read_eigenvalues(s, path)
 

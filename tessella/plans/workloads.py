@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.storage import written
+from tessella.functions.tasks import in_task
 from tessella.operators import boxes, intervals, metrics, models, moments, panel, reports
 
 C = F.col
@@ -28,6 +30,14 @@ def long_basis(spark, names: list, phi: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(int(i), k, float(v)) for i, row in zip(names, phi) for k, v in enumerate(row)], "site_id long, k long, phi double")
 
 
+def penalised(gram: np.ndarray, xy: np.ndarray, tau1: float, k: int) -> np.ndarray:
+    return models.penalised_basis(gram, models.smoothing_matrix(xy), tau1, k)
+
+
+def fitted(train: moments.Moments, val: moments.Moments, xy: np.ndarray, *args) -> models.BasisFit:
+    return models.fit_basis(train, val, models.smoothing_matrix(xy), *args)
+
+
 def reconstruction(observed: DataFrame, sites: DataFrame, k: int = 3, tau1: float = 1.0, tau2: float = 0.0, options: models.FitOptions | None = None) -> DataFrame:
     """Long records (model, split, metric, value) of a first stage (site means over train times) and
     of the same with the projection of its residuals on the fitted basis. Two passes for moments,
@@ -38,8 +48,7 @@ def reconstruction(observed: DataFrame, sites: DataFrame, k: int = 3, tau1: floa
     rows = panel.centred_by_site(rows.withColumn("r", C("z")), "r", C("split") == "train")
     train, val = (moments.moments(rows, "r", C("split") == n) for n in ("train", "val"))
     y = rows.where("split = 'train'").agg(F.stddev_samp("z"), F.avg(C("z") * C("z"))).first()
-    omega = models.smoothing_matrix(coordinates(sites, train.sites))
-    fit = models.fit_basis(train, val, omega, k, tau1, tau2, y[0], y[1], options)
+    fit = in_task(spark, fitted, train, val, coordinates(sites, train.sites), k, tau1, tau2, y[0], y[1], options)
     out = models.projected(rows, long_basis(spark, train.sites, fit.phi))
     both = F.explode(F.array(F.struct(F.lit("trend").alias("model"), (C("z") - C("r")).alias("y_pred")), F.struct(F.lit("trend_basis").alias("model"), (C("z") - C("r") + C("fitted")).alias("y_pred"))))
     scored = out.select("split", C("z").alias("y_true"), both.alias("m")).select("split", "y_true", "m.*")
@@ -52,12 +61,13 @@ def held_out_prediction(observed: DataFrame, sites: DataFrame, share: float = 0.
 
     Means and the basis come from observed sites at train times; the basis goes to the held-out
     sites by a spline; scores at each time are conditional on what is seen there."""
-    rows = panel.attach_split(observed, panel.split_contiguous(observed)).cache()
-    seen, held = (part.cache() for part in panel.split_sites(rows, share, seed))
+    spark = observed.sparkSession
+    rows = written(panel.attach_split(observed, panel.split_contiguous(observed)))
+    seen, held = (written(part) for part in panel.split_sites(rows, share, seed))
     level = seen.where("split = 'train'").agg(F.avg("z")).first()[0]
     stats = moments.moments(filled(seen.where("split = 'train'").withColumn("r", C("z") - level), "r"), "r")
     xy = coordinates(sites, stats.sites)
-    phi = models.penalised_basis(stats.gram, models.smoothing_matrix(xy), tau1, k)
+    phi = in_task(spark, penalised, stats.gram, xy, tau1, k)
     fit = moments.plug_in(stats, phi, rotate=True)
     basis = phi @ fit.rotation
     there = models.interpolate_basis(sites.join(held.select("site_id").distinct(), "site_id", "left_semi"), xy, basis)
@@ -65,7 +75,8 @@ def held_out_prediction(observed: DataFrame, sites: DataFrame, share: float = 0.
     packed = panel.packed(seen.where("split <> 'train'").withColumn("r", C("z") - level), "r")
     scores = models.conditional(packed, dict(zip(stats.sites, basis)), fit.eigenvalues, fit.noise)
     found = held.where("split <> 'train'").join(models.predicted_at(scores, targets, fit.noise), ["t", "site_id"])
-    found = found.select("split", C("z").alias("y"), (C("mean") + level).alias("eta"), "var").cache()
+    found = found.select("split", C("z").alias("y"), (C("mean") + level).alias("eta"), "var")
+    found = written(found)
     q = intervals.critical_value(found.where("split = 'val'").withColumn("g", F.lit(1)), ["g"], "y", "eta", "var", alpha)
     test = found.where("split = 'test'").withColumn("g", F.lit(1)).join(q.select("g", "q_hat"), "g")
 

@@ -41,6 +41,6 @@ def test_matches_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE) - {"md4_basis_fit", "md10_fit_diagnostics", "md12_md13_trials"}))
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE)))
 def test_runs(spark, name):
     assert Q.QUERIES[name](spark, DIR).count() > 0
