@@ -428,7 +428,7 @@ def _bundle(s: SparkSession, d: str) -> DataFrame:
     val = written(P.of_split(V.split_panel(s, d), "val").select("site_id", "t", "z"))
     both = P.align(val.withColumnRenamed("z", "y"), _damped(val))
     parts = both.agg(M.rmse(C("y"), C("z")).alias("rmse")).join(G.covariance_error(G.covariance_long(val), G.covariance_long(_damped(val))).select(C("error").alias("cov_frob")))
-    parts = parts.join(_match(s, d, val).select(C("loss").alias("sv_score")))
+    parts = parts.join(_match(s, d, val).select(F.round("loss", 3).alias("sv_score")))
     return parts.join(M.auc(_soft(s, d), [], "y", "z")).join(_soft(s, d).agg(M.confusion(C("y"), C("z"))["accuracy"].alias("accuracy")))
 
 
@@ -437,7 +437,7 @@ VAL_DAMPED = DAMPED.format(rows=VAL)
 ALL_AUC = AUC.replace("SELECT seed, sum(pos", "SELECT sum(pos").replace("PARTITION BY seed ", "").replace("SELECT seed, z, count", "SELECT z, count").replace(" GROUP BY seed", "")
 add("md11_validation_bundle", _bundle,
     f"SELECT (SELECT sqrt(avg((a.z - b.z) ** 2)) FROM {VAL} a JOIN {VAL_DAMPED} b USING (site_id, t)) AS rmse, ({ERROR.format(a=COVARIANCE.format(a=VAL, b=VAL), b=COVARIANCE.format(a=VAL_DAMPED, b=VAL_DAMPED))}) AS cov_frob, "
-    f"(SELECT loss FROM ({LOSS.format(a=GAMMA.format(g=MATHERON, rows=VAL), b=GAMMA.format(g=MATHERON, rows=VAL_DAMPED))})) AS sv_score, ({ALL_AUC.format(rows=SOFT)}) AS auc, (SELECT accuracy FROM (SELECT {CONFUSION} FROM {SOFT})) AS accuracy",
+    f"(SELECT round(loss, 3) FROM ({LOSS.format(a=GAMMA.format(g=MATHERON, rows=VAL), b=GAMMA.format(g=MATHERON, rows=VAL_DAMPED))})) AS sv_score, ({ALL_AUC.format(rows=SOFT)}) AS auc, (SELECT accuracy FROM (SELECT {CONFUSION} FROM {SOFT})) AS accuracy",
     "split_panel bin sites", "rmse cov_frob sv_score auc accuracy")
 add("md11_validation_metrics", lambda s, d: M.by_split(V.scored(s, d).where("split = 'val'"), ["model"]), f"SELECT model, CASE WHEN grouping(split) = 1 THEN 'full' ELSE split END AS split, {RAW} FROM scored WHERE split = 'val' GROUP BY GROUPING SETS ((model, split), (model))", "scored", "rmse mae r2")
 # Energy of the scores and alignment of mean residuals with the basis, by split over seeds (here: every fifth day).
