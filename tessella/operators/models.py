@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tessella.functions.scalars import logit
 from tessella.functions.storage import written
 from tessella.functions.tasks import in_task
-from tessella.operators.moments import LowRank, Moments, spectrum
+from tessella.operators.moments import LowRank, Moments, crossed, spectrum
 from tessella.operators.panel import index_of
 
 # ---------------------------------------------------------------- regression
@@ -98,6 +98,18 @@ def retracted(matrix: np.ndarray) -> np.ndarray:
     return u @ vt
 
 
+def orthonormal(phi: DataFrame) -> DataFrame:
+    """The nearest long basis (site_id, k, phi) with orthonormal columns, phi (phi'phi)^-1/2: one k x k aggregate
+    and a join with its inverse root, whatever the number of sites."""
+    values, vectors = np.linalg.eigh(crossed(phi, "site_id", "phi"))
+    if not len(values) or values[0] <= 1e-12 * values[-1]:
+        raise ValueError("the basis needs independent columns")
+    root = (vectors / np.sqrt(values)) @ vectors.T
+    k = len(root)
+    table = phi.sparkSession.createDataFrame([(i, j, float(root[i, j])) for i in range(k) for j in range(k)], "k long, to long, w double")
+    return phi.join(F.broadcast(table), "k").groupBy("site_id", F.col("to").alias("k")).agg(F.sum(F.col("phi") * F.col("w")).alias("phi"))
+
+
 def basis_from(matrix: np.ndarray, n: int, k: int) -> np.ndarray:
     if matrix.shape != (n, k) or k > n:
         raise ValueError(f"the basis has shape ({n}, {k})")
@@ -279,33 +291,32 @@ def fit_diagnostics(m: Moments, phi: np.ndarray, omega: np.ndarray, tau1: float,
 # ---------------------------------------------------------------- kriging
 
 
-def conditional(rows: DataFrame, phi: dict[int, np.ndarray], eigenvalues: np.ndarray, noise: float) -> DataFrame:
-    """(t, eta, cov) given what is seen at each time (packed rows: t, ids, vals); nothing seen: the
-    prior. Tasks keep the inverse of each set of sites that they have met."""
-    k = len(eigenvalues)
-    shared = rows.sparkSession.sparkContext.broadcast(phi)
+def conditional(panel: DataFrame, phi: DataFrame, eigenvalues: np.ndarray, noise: float, value: str = "r", block: int = 4096) -> DataFrame:
+    """(t, eta, cov) given what a panel (t, site_id, value) shows at each time, on a long basis; nothing seen
+    (no finite value, or none at a site of the basis): the prior.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        precision = np.diag(1 / (np.asarray(eigenvalues) + 1e-12))
-        for f in frames:
-            eta, cov = [], []
-            for ids, vals in zip(f["ids"], f["vals"]):
-                seen = np.array([i for i, v in zip(ids, vals) if v is not None and np.isfinite(v) and i in shared.value], np.int64)
-                key = seen.tobytes()
-                if key not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    b = np.stack([shared.value[i] for i in seen.tolist()]) if len(seen) else np.zeros((0, k))
-                    known[key] = (np.linalg.inv(precision + b.T @ b / noise + 1e-12 * np.eye(k)) if len(seen) else np.diag(eigenvalues), b)
-                c, b = known[key]
-                own = dict(zip(ids, vals))
-                r = np.array([own[i] for i in seen.tolist()], float)
-                eta.append(c @ (b.T @ r) / noise if len(seen) else np.zeros(k))
-                cov.append([list(x) for x in c])
-            yield pd.DataFrame({"t": f["t"], "eta": eta, "cov": cov})
-
-    return rows.select("t", "ids", "vals").mapInPandas(run, "t long, eta array<double>, cov array<array<double>>")
+    A time's sites meet in blocks, each of which leaves a k x k sum, so neither sites nor times are bounded."""
+    k, lam = len(eigenvalues), np.asarray(eigenvalues, float)
+    rows = phi.groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("k", "phi"))).alias("c")).select("site_id", F.col("c.phi").alias("b"))
+    blocks = max(1, -(-rows.count() // block))
+    cells = panel.groupBy("t", "site_id").agg(F.avg(value).alias("v")).join(rows, "site_id", "left")
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("site_id"), F.lit(blocks)))
+
+    def partial(f: pd.DataFrame) -> pd.DataFrame:
+        own = f[np.isfinite(f["v"].to_numpy(float)) & f["b"].notna().to_numpy()]
+        b = np.stack(own["b"].to_numpy()) if len(own) else np.zeros((0, k))
+        return pd.DataFrame({"t": f["t"].iloc[:1], "n": [len(own)], "inner": [(b.T @ b).tobytes()], "side": [(b.T @ own["v"].to_numpy(float)).tobytes()]})
+
+    def solved(f: pd.DataFrame) -> pd.DataFrame:
+        inner, side = (sum(np.frombuffer(x) for x in f[c]) for c in ("inner", "side"))
+        cov, eta = np.diag(lam), np.zeros(k)
+        if f["n"].sum():
+            cov = np.linalg.inv(np.diag(1 / (lam + 1e-12)) + inner.reshape(k, k) / noise + 1e-12 * np.eye(k))
+            eta = cov @ side / noise
+        return pd.DataFrame({"t": f["t"].iloc[:1], "eta": [eta], "cov": [[list(x) for x in cov]]})
+
+    parts = cells.groupBy("t", "block").applyInPandas(partial, "t long, n long, inner binary, side binary")
+    return parts.groupBy("t").applyInPandas(solved, "t long, eta array<double>, cov array<array<double>>")
 
 
 def predictive_variance(phi: np.ndarray, cov: np.ndarray, noise: float) -> np.ndarray:
@@ -333,8 +344,7 @@ def predicted_at(conditionals: DataFrame, targets: dict[int, np.ndarray], noise:
 def kriging(panel: DataFrame, phi: DataFrame, fit: LowRank, targets: dict[int, np.ndarray], value: str = "r") -> tuple[DataFrame, dict[int, float]]:
     """Means (t, site_id, mean) at target sites for all times of a complete panel, and the variance
     at each of them. K x K only: scores on the basis by one join, then a narrow product."""
-    b = fit.phi @ fit.rotation
-    lam, g = np.diag(fit.eigenvalues), b.T @ b
+    lam, g = np.diag(fit.eigenvalues), fit.rotation.T @ fit.inner @ fit.rotation
     x = np.linalg.lstsq(fit.noise * np.eye(len(lam)) + lam @ g, lam, rcond=None)[0]
     names = sorted(targets)
     there = np.stack([targets[i] for i in names]) @ fit.rotation
@@ -358,8 +368,7 @@ def kriging_at(panel: DataFrame, phi: DataFrame, fit: LowRank, new_basis: DataFr
     """Means (t, site_id, mean) for all times of a complete panel, and (site_id, var), at the sites of
     ``new_basis`` (site_id, phi array). Only K x K matrices are solved here; neither sites nor times are
     collected: scores are one aggregate, and means are their product with the new sites' basis rows."""
-    b = fit.phi @ fit.rotation
-    lam, g = np.diag(fit.eigenvalues), b.T @ b
+    lam, g = np.diag(fit.eigenvalues), fit.rotation.T @ fit.inner @ fit.rotation
     x = np.linalg.lstsq(fit.noise * np.eye(len(lam)) + lam @ g, lam, rcond=None)[0]
     weights, inner = fit.rotation @ x @ fit.rotation.T, fit.rotation @ (lam - lam @ g @ x) @ fit.rotation.T
     k = len(lam)

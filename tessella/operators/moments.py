@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.storage import written
 from tessella.functions.tasks import in_task
 from tessella.operators.panel import index_of
 
@@ -167,7 +168,9 @@ class LowRank:
     rotation: np.ndarray
     noise: float
     rank: int
-    phi: np.ndarray
+    #: phi'phi, and phi where it came as a matrix.
+    inner: np.ndarray
+    phi: np.ndarray | None = None
 
     def matrix(self) -> np.ndarray:
         b = self.phi @ self.rotation
@@ -178,33 +181,82 @@ class LowRank:
         return (b * b) @ self.eigenvalues + self.noise
 
 
-def low_rank(m: Moments, phi: np.ndarray) -> LowRank:
+@dataclass
+class BasisMoments:
+    """What complete rows leave on a basis phi (sites x k): their number, the sites, the trace of R'R / n, the
+    second moments of the scores R phi, and phi'phi. Only k x k matrices, so there is no bound on sites."""
+
+    n: int
+    sites: int
+    trace: float
+    second: np.ndarray
+    inner: np.ndarray
+    phi: np.ndarray | None = None
+
+    @staticmethod
+    def of(m: Moments, phi: np.ndarray) -> BasisMoments:
+        if not m.n or len(phi) != len(m.gram):
+            raise ValueError("basis and moments must be non-empty and of the same sites")
+        s = m.gram / m.n
+        return BasisMoments(m.n, len(phi), float(np.trace(s)), phi.T @ s @ phi, phi.T @ phi, phi)
+
+
+def crossed(rows: DataFrame, by: str, value: str) -> np.ndarray:
+    """The k x k sums of products of long rows (by, k, value) that share ``by``."""
+    pairs = rows.select(by, F.col("k").alias("i"), F.col(value).alias("a")).join(rows.select(by, F.col("k").alias("j"), F.col(value).alias("b")), by)
+    found = pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v")).collect()
+    k = 1 + max((r.i for r in found), default=-1)
+    out = np.zeros((k, k))
+    for r in found:
+        out[r.i, r.j] = r.v
+    return out
+
+
+def complete_cells(panel: DataFrame, value: str, where=None) -> tuple[DataFrame, DataFrame, int]:
+    """(t, site_id, v) and (t, squares) of the times with ``where`` at which every site of the panel has a value,
+    and the number of sites."""
+    n = panel.select("site_id").distinct().count()
+    own = panel.where(where) if where is not None else panel
+    cells = written(own.groupBy("t", "site_id").agg(F.avg(value).alias("v")).where("v IS NOT NULL AND NOT isnan(v)"))
+    times = cells.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("v")).alias("squares")).where(F.col("n") == n).drop("n")
+    return cells.join(times.select("t"), "t", "left_semi"), times, n
+
+
+def basis_moments(panel: DataFrame, phi: DataFrame, value: str = "r", where=None) -> BasisMoments:
+    """Of a panel on a long basis (site_id, k, phi), by aggregates: scores are added up before they are paired."""
+    cells, times, n = complete_cells(panel, value, where)
+    row = times.agg(F.count("*").alias("n"), F.sum("squares").alias("squares")).first()
+    if not row.n:
+        raise ValueError("there is no complete row")
+    eta = written(cells.join(phi, "site_id").groupBy("t", "k").agg(F.sum(F.col("v") * F.col("phi")).alias("eta")))
+    own = phi.join(panel.select("site_id").distinct(), "site_id", "left_semi")
+    return BasisMoments(row.n, n, row.squares / row.n, crossed(eta, "t", "eta") / row.n, crossed(own, "site_id", "phi"))
+
+
+def low_rank(m: Moments | BasisMoments, phi: np.ndarray | None = None) -> LowRank:
     """Projected spectrum of the uncentred covariance; the rank is the largest L whose eigenvalue is
     above the mean variance left beyond it, and the kept eigenvalues are shrunk by that noise. No
     such L: no component, all variance is noise."""
-    p, k = phi.shape
-    if not m.n or p != len(m.gram):
-        raise ValueError("basis and moments must be non-empty and of the same sites")
-    s = m.gram / m.n
-    values, rotation = spectrum(phi.T @ s @ phi)
-    trace = float(np.trace(s))
-    left = np.array([max(0.0, (trace - values[: i + 1].sum()) / (p - i - 1)) if p > i + 1 else np.inf for i in range(k)])
+    own = m if isinstance(m, BasisMoments) else BasisMoments.of(m, phi)
+    p, k = own.sites, len(own.second)
+    values, rotation = spectrum(own.second)
+    left = np.array([max(0.0, (own.trace - values[: i + 1].sum()) / (p - i - 1)) if p > i + 1 else np.inf for i in range(k)])
     above = np.flatnonzero(values > left)
     rank = int(above[-1]) + 1 if len(above) else 0
-    noise = float(left[rank - 1]) if rank else trace / p
+    noise = float(left[rank - 1]) if rank else own.trace / p
     kept = np.where(np.arange(k) < rank, np.maximum(values - noise, 0), 0.0)
-    return LowRank(kept, rotation, noise, rank, phi)
+    return LowRank(kept, rotation, noise, rank, own.inner, own.phi)
 
 
-def plug_in(m: Moments, phi: np.ndarray, rotate: bool = False) -> LowRank:
+def plug_in(m: Moments | BasisMoments, phi: np.ndarray | None = None, rotate: bool = False) -> LowRank:
     """Noise from the variance outside the basis, 1e-6 at least; eigenvalues less the noise. With
     ``rotate=False`` they go to the basis columns in order."""
-    n, k = phi.shape
-    s = m.gram / max(1, m.n)
-    values, rotation = spectrum(phi.T @ s @ phi)
-    noise = max(1e-6, (float(np.trace(s)) - float(values.sum())) / max(1, n - k))
+    own = m if isinstance(m, BasisMoments) else BasisMoments.of(m, phi)
+    k = len(own.second)
+    values, rotation = spectrum(own.second)
+    noise = max(1e-6, (own.trace - float(values.sum())) / max(1, own.sites - k))
     kept = np.maximum(values - noise, 0)
-    return LowRank(kept, rotation if rotate else np.eye(k), noise, int((kept > 0).sum()), phi)
+    return LowRank(kept, rotation if rotate else np.eye(k), noise, int((kept > 0).sum()), own.inner, own.phi)
 
 
 def model_row(spark, fit: LowRank) -> DataFrame:
@@ -231,6 +283,12 @@ def eigenvector_alignment(spark, truth: np.ndarray, estimate: np.ndarray, k: int
     return spark.createDataFrame([(i + 1, float(abs(a[:, i] @ b[:, i]))) for i in range(min(k, a.shape[1]))], "component int, cosine double")
 
 
-def residual_moments(m: Moments, phi: np.ndarray | None = None) -> dict[str, float]:
-    s = m.gram / max(1, m.n)
-    return {"trace": float(np.trace(s)), "norm": float(np.linalg.norm(s)), "basis_norm": float(np.linalg.norm(phi)) if phi is not None else 0.0}
+def residual_moments(panel: DataFrame, phi: DataFrame | None = None, value: str = "r") -> DataFrame:
+    """(trace, norm, basis_norm): trace and Frobenius norm of R'R / n over complete rows, and the norm of a long
+    basis (0 without one), by aggregates over pairs of sites in blocks."""
+    cells, times, _ = complete_cells(panel, value)
+    n = times.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.coalesce(F.sum("squares"), F.lit(0.0)).alias("trace"))
+    norm = pair_sums(cells, "v").agg(F.sqrt(F.coalesce(F.sum(F.col("v") * F.col("v")), F.lit(0.0))).alias("norm"))
+    basis = F.lit(0.0) if phi is None else F.col("basis_norm")
+    out = n.join(norm) if phi is None else n.join(norm).join(phi.agg(F.sqrt(F.coalesce(F.sum(F.col("phi") * F.col("phi")), F.lit(0.0))).alias("basis_norm")))
+    return out.select((F.col("trace") / F.col("n")).alias("trace"), (F.col("norm") / F.col("n")).alias("norm"), basis.alias("basis_norm"))

@@ -72,8 +72,8 @@ def held_out_prediction(observed: DataFrame, sites: DataFrame, share: float = 0.
     basis = phi @ fit.rotation
     there = models.interpolate_basis(sites.join(held.select("site_id").distinct(), "site_id", "left_semi"), xy, basis)
     targets = {r.site_id: np.array(r.phi) for r in there.collect()}
-    packed = panel.packed(seen.where("split <> 'train'").withColumn("r", C("z") - level), "r")
-    scores = models.conditional(packed, dict(zip(stats.sites, basis)), fit.eigenvalues, fit.noise)
+    later = seen.where("split <> 'train'").withColumn("r", C("z") - level)
+    scores = models.conditional(later, long_basis(spark, stats.sites, basis), fit.eigenvalues, fit.noise)
     found = held.where("split <> 'train'").join(models.predicted_at(scores, targets, fit.noise), ["t", "site_id"])
     found = found.select("split", C("z").alias("y"), (C("mean") + level).alias("eta"), "var")
     found = written(found)

@@ -45,6 +45,31 @@ def test_low_rank_covariance(panel):
     assert np.allclose(np.diag(s), fit.variance())
 
 
+def test_basis_moments_are_those_of_the_matrix(spark, panel):
+    holes = panel.where("NOT (t = 4 AND site_id = 2)")
+    m, long = G.moments(holes, "r"), G.basis_moments(holes, basis(spark, PHI))
+    of = G.BasisMoments.of(m, PHI)
+    assert (long.n, long.sites) == (of.n, of.sites) == (T - 1, N)
+    assert np.isclose(long.trace, of.trace) and np.allclose(long.second, of.second) and np.allclose(long.inner, of.inner)
+    for f in (G.low_rank, G.plug_in):
+        a, b = f(m, PHI), f(long)
+        assert a.rank == b.rank and np.isclose(a.noise, b.noise) and np.allclose(a.eigenvalues, b.eigenvalues) and np.allclose(a.rotation, b.rotation)
+    row = G.residual_moments(holes, basis(spark, 2 * PHI)).first()
+    s = m.gram / m.n
+    assert np.allclose([row.trace, row.norm, row.basis_norm], [np.trace(s), np.linalg.norm(s), 2 * np.sqrt(K)])
+    with pytest.raises(ValueError):
+        G.basis_moments(panel.where("site_id <> t"), basis(spark, PHI), where=F.col("t") < 0)
+
+
+def test_orthonormal_basis_is_the_nearest(spark):
+    raw = RNG.normal(size=(N, K))
+    got = {(r.site_id, r.k): r.phi for r in D.orthonormal(basis(spark, raw)).collect()}
+    want = D.retracted(raw)
+    assert len(got) == N * K and all(abs(want[i] - v) < 1e-9 for i, v in got.items())
+    with pytest.raises(ValueError):
+        D.orthonormal(basis(spark, np.ones((N, K))))
+
+
 def test_orthogonal_data_have_no_component():
     other = np.linalg.svd(PHI)[0][:, K:]
     y = RNG.normal(size=(200, N - K)) @ other.T
@@ -68,8 +93,10 @@ def test_kriging_equals_the_full_form(spark, panel):
 
 def test_conditional_scores(spark, panel):
     lam, noise = np.array([9.0, 4.0, 1.0]), 0.1
-    rows = P.packed(panel.withColumn("r", F.when((F.col("t") > 0) & ((F.col("t") + F.col("site_id")) % 4 != 0), F.col("r"))).where("r IS NOT NULL OR t = 0"), "r")
-    got = {r.t: (np.array(r.eta), np.array(r["cov"])) for r in D.conditional(rows, dict(enumerate(PHI)), lam, noise).collect()}
+    rows = panel.withColumn("r", F.when((F.col("t") > 0) & ((F.col("t") + F.col("site_id")) % 4 != 0), F.col("r"))).where("r IS NOT NULL OR t = 0")
+    found = [{r.t: (np.array(r.eta), np.array(r["cov"])) for r in D.conditional(rows, basis(spark, PHI), lam, noise, block=b).collect()} for b in (4096, 5)]
+    got = found[0]
+    assert all(np.allclose(x, y) for t in got for x, y in zip(got[t], found[1][t]))
     seen = [s for s in range(N) if (5 + s) % 4]
     b = PHI[seen]
     cov = np.linalg.inv(np.diag(1 / lam) + b.T @ b / noise)
