@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.functions.storage import new_folder, written
+from tessella.functions.storage import mounted, new_folder, written
 from tessella.functions.tasks import in_task
 from tessella.operators import boxes as B
 from tessella.operators import intervals as I
@@ -328,6 +329,11 @@ def _orthonormal(s: SparkSession, d: str, names: list, k: int = 3) -> np.ndarray
     return D.retracted(_basis_matrix(s, d, names, k))
 
 
+def _basis(s: SparkSession, d: str) -> DataFrame:
+    """The same as a long table, which no bound on sites applies to."""
+    return written(D.orthonormal(P.only(V.phi(s, d), V.panel(s, d), ["site_id"])))
+
+
 def _long_basis(s: SparkSession, names: list, phi: np.ndarray) -> DataFrame:
     return s.createDataFrame([(int(i), j, float(v)) for i, row in zip(names, phi) for j, v in enumerate(row)], "site_id long, k long, phi double")
 
@@ -355,8 +361,8 @@ def _matern(s: SparkSession, d: str, panel_only: bool = False) -> DataFrame:
 MATERN = "SELECT a.site_id AS i, b.site_id AS j, (1 + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.08) * exp(-sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.08) AS v FROM sites a, sites b"
 add("cv5_matern_correlation", lambda s, d: _matern(s, d).groupBy("i").agg(F.avg("v").alias("v")), f"SELECT i, avg(v) AS v FROM ({MATERN}) GROUP BY i", "sites", "v")
 add("cv6_error_against_matern", lambda s, d: G.covariance_error(_matern(s, d, True), G.covariance_long(V.panel(s, d))), ERROR.format(a=MATERN, b=COV), "panel sites", "error")
-add("cv7_low_rank_covariance", lambda s, d: G.model_row(s, G.low_rank(m := _moments(s, d), _orthonormal(s, d, m.sites))))
-add("cv8_plug_in_covariance", lambda s, d: G.model_row(s, G.plug_in(m := _moments(s, d), _orthonormal(s, d, m.sites))))
+add("cv7_low_rank_covariance", lambda s, d: G.model_row(s, G.low_rank(G.basis_moments(complete_panel(s, d), _basis(s, d)))))
+add("cv8_plug_in_covariance", lambda s, d: G.model_row(s, G.plug_in(G.basis_moments(complete_panel(s, d), _basis(s, d)))))
 add("cv9_spectrum", lambda s, d: G.spectrum_table(s, _moments(s, d).covariance()))
 add("cv10_spectrum_errors", lambda s, d: G.spectrum_errors(G.spectrum_table(s, _moments(s, d, where=C("split") == "train").covariance()), G.spectrum_table(s, _moments(s, d, where=C("split") != "train").covariance()), 5))
 
@@ -367,7 +373,7 @@ def _basis_matrix(s: SparkSession, d: str, names: list, k: int = 3) -> np.ndarra
 
 
 add("cv10_eigenvector_alignment", lambda s, d: G.eigenvector_alignment(s, *[_moments(s, d, where=x).covariance() for x in (C("split") == "train", C("split") != "train")], 5))
-add("cv15_residual_moments", lambda s, d: s.createDataFrame([G.residual_moments(m := _moments(s, d), _basis_matrix(s, d, m.sites))]), f"SELECT (SELECT sqrt(sum(phi ** 2)) FROM phi SEMI JOIN panel USING (site_id)) AS basis_norm, sqrt(sum(v * v)) / max(n) AS norm, sum(v) FILTER (i = j) / max(n) AS trace FROM (SELECT a.site_id AS i, b.site_id AS j, sum(a.r * b.r) AS v, count(*) AS n FROM {FULL} a JOIN {FULL} b USING (t) GROUP BY ALL)", "panel splits phi", "basis_norm norm trace")
+add("cv15_residual_moments", lambda s, d: G.residual_moments(complete_panel(s, d), P.only(V.phi(s, d), V.panel(s, d), ["site_id"])), f"SELECT (SELECT sqrt(sum(phi ** 2)) FROM phi SEMI JOIN panel USING (site_id)) AS basis_norm, sqrt(sum(v * v)) / max(n) AS norm, sum(v) FILTER (i = j) / max(n) AS trace FROM (SELECT a.site_id AS i, b.site_id AS j, sum(a.r * b.r) AS v, count(*) AS n FROM {FULL} a JOIN {FULL} b USING (t) GROUP BY ALL)", "panel splits phi", "basis_norm norm trace")
 
 # ---------------------------------------------------------------- models
 
@@ -482,11 +488,9 @@ add("md14_interpolated_basis", lambda s, d: _new_basis(s, d).select("site_id", F
 
 
 def _conditional(s: SparkSession, d: str) -> DataFrame:
-    m = _moments(s, d, where=C("split") == "train")
-    phi = _orthonormal(s, d, m.sites)
-    fit = G.plug_in(m, phi)
-    rows = P.packed(V.panel(s, d))
-    return D.conditional(rows, dict(zip(m.sites, phi)), fit.eigenvalues, fit.noise)
+    phi = _basis(s, d)
+    fit = G.plug_in(G.basis_moments(complete_panel(s, d), phi, where=C("split") == "train"))
+    return D.conditional(V.panel(s, d), phi, fit.eigenvalues, fit.noise, "z")
 
 
 add("md15_md16_conditional_scores", lambda s, d: _conditional(s, d).select("t", F.posexplode("eta").alias("k", "eta")))
@@ -494,9 +498,9 @@ add("md15_md16_conditional_scores", lambda s, d: _conditional(s, d).select("t",
 
 def _kriged(s: SparkSession, d: str) -> DataFrame:
     """Means for all times and the variance at every site without data."""
-    m = _moments(s, d, where=C("split") == "train")
-    phi = _orthonormal(s, d, m.sites)
-    mean, var = D.kriging_at(complete_panel(s, d), _long_basis(s, m.sites, phi), G.low_rank(m, phi), written(_new_basis(s, d)))
+    phi = _basis(s, d)
+    fit = G.low_rank(G.basis_moments(complete_panel(s, d), phi, where=C("split") == "train"))
+    mean, var = D.kriging_at(complete_panel(s, d), phi, fit, written(_new_basis(s, d)))
     return mean.join(var, "site_id")
 
 
@@ -504,15 +508,14 @@ add("md17_md18_kriging", _kriged)
 
 
 def _forecast(s: SparkSession, d: str) -> DataFrame:
-    m = _moments(s, d, where=C("split") == "train")
-    basis = _long_basis(s, m.sites, _orthonormal(s, d, m.sites))
+    basis = _basis(s, d)
     model = D.fit_forecaster(D.scores(complete_panel(s, d).where("split = 'train'"), basis))
     mu = V.panel(s, d).groupBy("site_id").agg(F.avg("z").alias("mu")).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(3))))
     return D.forecast(model, basis, mu)
 
 
 add("md19_md20_forecast", _forecast)
-add("md21_retracted_basis", lambda s, d: _long_basis(s, (m := _moments(s, d)).sites, D.basis_from(_orthonormal(s, d, m.sites) * 2, len(m.sites), 3)))
+add("md21_retracted_basis", lambda s, d: D.orthonormal(_basis(s, d).withColumn("phi", 2 * C("phi"))))
 RBF = "greatest(1 - least(r, 1), 0) ** 6 * (35 * least(r, 1) ** 2 + 18 * least(r, 1) + 3) / 3"
 GRID = "(SELECT level, id, (id // side) * gap AS cx, (id % side) * gap AS cy, 2.5 * gap AS bw FROM (SELECT level, unnest(range(side * side)) AS id, side, 1.0::DOUBLE / (side - 1) AS gap FROM (VALUES (0, 5), (1, 9)) v(level, side)))"
 add("md22_md23_spatial_features", lambda s, d: D.spatial_features(V.sites(s, d), D.uniform_centres(s, (25, 81))).select("site_id", F.posexplode("features").alias("k", "v")).where("v > 0.01"), f"SELECT site_id, k, v FROM (SELECT site_id, level * 25 + id AS k, {RBF} AS v FROM (SELECT site_id, level, id, sqrt((x - cx) ** 2 + (y - cy) ** 2) / bw AS r FROM sites, {GRID})) WHERE v > 0.01", "sites", "v")
@@ -638,3 +641,40 @@ def _eigenvalue_file(s: SparkSession, d: str) -> DataFrame:
 
 
 add("io13_eigenvalue_file", _eigenvalue_file, f"SELECT component::INT AS component, eigenvalue, explained AS cumulative_explained_variance FROM {EXPL}", "trials", "eigenvalue cumulative_explained_variance")
+
+
+def _cube(s: SparkSession, d: str) -> str:
+    """The panel as a cube file: latitude, longitude and value of each site, sites in order."""
+    rows = V.panel(s, d).join(V.sites(s, d), "site_id")
+    rows = written(rows.join(P.index_of(rows, ["site_id"], "i"), "site_id"))
+    place = rows.select("i", F.lit(0).alias("t"), F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), C(c).alias("value")) for v, c in enumerate(("y", "x"))])).alias("p")).distinct()
+    cells = rows.select("i", F.lit(2).alias("variable"), "t", C("z").alias("value")).unionByName(place.select("i", "p.variable", "t", "p.value"))
+    size = rows.agg(F.max("i") + 1, F.max("t") + 1).first()
+    folder = mounted(new_folder(s))
+    os.makedirs(folder)
+    T.write_cube(cells, f"{folder}/cube.npy", (size[0], 3, size[1]))
+    return f"{folder}/cube.npy"
+
+
+CUBE = "(SELECT dense_rank() OVER (ORDER BY site_id) - 1 AS site_id, x, y, t, z FROM panel JOIN sites USING (site_id))"
+LAST = 10
+
+
+def _cube_part(s: SparkSession, d: str) -> DataFrame:
+    path = new_folder(s)
+    T.save_cube_part(s, _cube(s, d), path, 2, LAST)
+    return s.read.parquet(path)
+
+
+add("io2_cube", lambda s, d: T.read_cube(s, _cube(s, d), 2), f"SELECT * FROM {CUBE}", "panel sites", "x y z")
+add("io3_cube_part", _cube_part, f"SELECT site_id, x, y, t - first AS t, z FROM {CUBE}, (SELECT max(t) - {LAST - 1} AS first FROM {CUBE}) WHERE t >= first", "panel sites", "x y z")
+
+
+def _archives(s: SparkSession, d: str) -> DataFrame:
+    folder = new_folder(s)
+    T.write_archives(V.scored(s, d), mounted(folder), times=16, sites=64)
+    rows = T.read_archives(s, folder).where("y_true IS NOT NULL")
+    return rows.withColumn("seed", C("seed").cast("long"))
+
+
+add("io7_prediction_archives", _archives, "SELECT seed, model, site_id, t, y_true, y_pred FROM scored", "scored", "y_true y_pred")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import os
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -56,6 +58,24 @@ def read_cube(spark: SparkSession, path: str, variable: int, lat: int = 0, lon:
     return spark.range(0, n_sites, 1, partitions).mapInPandas(run, "site_id long, x double, y double, t long, z double")
 
 
+def write_cube(cells: DataFrame, path: str, shape: tuple[int, int, int]) -> None:
+    """(i, variable, t, value) as a (site, variable, time) array file of doubles on storage that driver and
+    executors mount; cells that are not given are NaN. A task writes whole sites in place, so one that runs
+    again writes the same; every site from 0 on needs a cell."""
+    np.lib.format.open_memmap(path, mode="w+", dtype=np.float64, shape=shape).flush()
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        site = np.full(shape[1:], np.nan)
+        site[f["variable"].to_numpy(), f["t"].to_numpy()] = f["value"].to_numpy(float)
+        cube = np.lib.format.open_memmap(path, mode="r+")
+        cube[int(f["i"].iloc[0])] = site
+        cube.flush()
+        return f[["i"]].iloc[:1]
+
+    if cells.select("i", "variable", "t", "value").groupBy("i").applyInPandas(run, "i long").count() != shape[0]:
+        raise ValueError("a site has no cell")
+
+
 def save_cube_part(spark: SparkSession, path: str, out: str, variable: int, keep: int, **options) -> None:
     read_cube(spark, path, variable, keep=keep, **options).write.mode("overwrite").parquet(out)
 
@@ -96,14 +116,17 @@ def read_trials(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, folder: str, pattern: str = "seed_*.npz") -> DataFrame:
-    """Predictions (seed, model, site, t, y_true, y_pred) of small archives of (T, N) matrices:
-    y_true and one matrix for each model; a file is a row."""
+    """Predictions (seed, model, site, t, y_true, y_pred) of small archives of (time, site) matrices:
+    y_true and one matrix for each model; a file is a row. Vectors t and site_id name times and sites;
+    without them both are numbered. NaN comes out as null."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, content in zip(f["path"], f["content"]):
                 data = np.load(io.BytesIO(content), allow_pickle=False)
                 truth = data["y_true"]
                 t, s = np.indices(truth.shape)
+                if "t" in data and "site_id" in data:
+                    t, s = data["t"][t], data["site_id"][s]
                 seed = int(data["seed"]) if "seed" in data else int("".join(c for c in path.rsplit("/", 1)[-1] if c.isdigit()) or 0)
                 for name in data.files:
                     if name not in ("y_true", "seed") and data[name].shape == truth.shape:
@@ -113,6 +136,33 @@ def read_archives(spark: SparkSession, folder: str, pattern: str = "seed_*.npz")
     return files.mapInPandas(run, "seed int, model string, site_id long, t long, y_true double, y_pred double")
 
 
+def write_archives(df: DataFrame, folder: str, times: int = 256, sites: int = 1024) -> int:
+    """Predictions as archives on storage that driver and executors mount, and how many. A seed's matrix is cut
+    into parts of so many times and about so many sites, so no task holds a whole one; cells that are not given
+    are NaN. Parts are renamed into place, so a task that runs again leaves the same files."""
+    os.makedirs(folder, exist_ok=True)
+    blocks = max(1, -(-df.select("site_id").distinct().count() // sites))
+    rows = df.select("seed", "model", "site_id", "t", "y_true", "y_pred", F.floor(F.col("t") / times).alias("span"), F.pmod(F.xxhash64("site_id"), F.lit(blocks)).alias("block"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        (t, row), (site, column) = (np.unique(f[c].to_numpy(), return_inverse=True) for c in ("t", "site_id"))
+        seed = int(f["seed"].iloc[0])
+
+        def matrix(at: np.ndarray, values: pd.Series) -> np.ndarray:
+            out = np.full((len(t), len(site)), np.nan)
+            out[row[at], column[at]] = values.to_numpy(float)[at]
+            return out
+
+        models = {m: matrix((f["model"] == m).to_numpy(), f["y_pred"]) for m in sorted(f["model"].unique())}
+        name = f"{folder}/seed_{seed}_{int(f['span'].iloc[0])}_{int(f['block'].iloc[0])}"
+        own = f"{folder}/.{uuid.uuid4().hex}.npz"
+        np.savez(own, seed=seed, t=t, site_id=site, y_true=matrix(np.ones(len(f), bool), f["y_true"]), **models)
+        os.replace(own, f"{name}.npz")
+        return f[["seed"]].iloc[:1]
+
+    return rows.groupBy("seed", "span", "block").applyInPandas(run, "seed long").count()
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("seed").parquet(path)
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from tessella.functions.storage import mounted
 from tessella.sources import tables as T
 
 
@@ -18,6 +19,17 @@ def test_cube(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "part")).count() == 49
 
 
+def test_cube_is_written_by_sites(spark, tmp_path):
+    cells = spark.createDataFrame([(0, 1, 2, 5.0), (1, 0, 0, -1.0), (1, 1, 1, 7.0)], "i long, variable int, t long, value double")
+    path = str(tmp_path / "w.npy")
+    T.write_cube(cells, path, (2, 2, 3))
+    want = np.full((2, 2, 3), np.nan)
+    want[0, 1, 2], want[1, 0, 0], want[1, 1, 1] = 5, -1, 7
+    assert np.array_equal(np.load(path), want, equal_nan=True)
+    with pytest.raises(ValueError):
+        T.write_cube(cells, path, (3, 2, 3))
+
+
 def test_annotation_dialects(spark, tmp_path):
     (tmp_path / "a.csv").write_text('image_id,width,bbox\na.jpg,3,"[1, 2, 3, 4]"\n')
     (tmp_path / "b.csv").write_text("image_name,BoxesString,domain\nb.png,0 0 1 1;2 2 3 3,x\n")
@@ -43,6 +55,22 @@ def test_archives(spark, tmp_path):
     assert len(rows) == 12 and {(r.seed, r.model, r.y_pred - r.y_true) for r in rows} == {(7, "first", 1.0), (7, "second", -1.0)}
 
 
+def test_archives_in_parts(spark, tmp_path):
+    rows = [(7 + s % 2, m, s, t, float(t + s), None if (s, t) == (3, 5) else float(t - s)) for m in ("a", "b") for s in range(6) for t in range(9) if (s, t) != (4, 4)]
+    df = spark.createDataFrame(rows, "seed long, model string, site_id long, t long, y_true double, y_pred double")
+    for times, sites in ((256, 1024), (4, 2)):
+        folder = str(tmp_path / f"a{times}")
+        assert T.write_archives(df, folder, times, sites) == (2 if times == 256 else len(list((tmp_path / "a4").glob("*.npz"))))
+        got = T.read_archives(spark, folder).where("y_true IS NOT NULL").collect()
+        assert sorted(map(tuple, got), key=lambda r: r[:5]) == sorted(rows, key=lambda r: r[:5])
+
+
+def test_storage_of_array_files_is_mounted():
+    assert mounted("file:///tmp/a%20b") == "/tmp/a b" and mounted("/tmp/c%20d") == "/tmp/c%20d"
+    with pytest.raises(ValueError):
+        mounted("hdfs://host/a")
+
+
 def test_writers(spark, tmp_path):
     empty = spark.createDataFrame([], T.RESULTS)
     assert not T.write_results(empty, str(tmp_path / "none")) and not (tmp_path / "none").exists()
