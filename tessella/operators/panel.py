@@ -91,10 +91,17 @@ def without(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def draw(entities: DataFrame, key: str, seed: int) -> DataFrame:
-    """The distinct entities in a seeded order: (key, place from 0, n). Two engines draw alike."""
+    """The distinct entities in a seeded order: (key, place from 0, n). Two engines draw alike.
+
+    Entities are ordered inside buckets of the hash's first four digits, and only the 65,536 counts of buckets
+    are added up in one task."""
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    every = entities.select(key).distinct()
-    return every.withColumns({"place": F.row_number().over(Window.orderBy(order, key)) - 1, "n": F.count("*").over(Window.partitionBy())})
+    every = entities.select(key).distinct().withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 4))
+    counts = every.groupBy("_bucket").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_start"), F.sum("m").over(Window.partitionBy()).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", key)) - 1
+    return every.withColumn("_inside", inside).join(starts, "_bucket").select(key, (F.col("_start") + F.col("_inside")).alias("place"), "n")
 
 
 def sample_sites(panel: DataFrame, keep: float, seed: int, site: str = "site_id") -> DataFrame:

@@ -1,5 +1,7 @@
 """Identities: one-pass moments, low-rank fits, kriging and the basis fit against plain row forms."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +174,11 @@ def test_ols_on_rank_loss(spark):
 def test_best_trial_takes_the_first(spark):
     df = spark.createDataFrame([(0, 0, 2.0), (0, 1, 1.0), (0, 2, 1.0), (1, 0, None), (1, 1, 3.0)], "seed int, trial int, val_rmse double")
     assert {(r.seed, r.trial) for r in D.best_trial(df).collect()} == {(0, 1), (1, 1)}
+
+
+def test_draw_is_the_order_of_all_hashes(spark):
+    got = P.draw(spark.range(5000), "id", 7).collect()
+    want = sorted(range(5000), key=lambda i: hashlib.md5(f"7|{i}".encode()).hexdigest())
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == want
+    assert sorted(r.place for r in got) == list(range(5000)) and {r.n for r in got} == {5000}
+    assert P.draw(spark.range(0), "id", 7).count() == 0
