@@ -28,51 +28,25 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import first_by_hash, materialize
+from tessella.llm.vectors import as_lists, matrix, scaled, valid
 
 RESULT = "query_id long, mark long, vec_id long, score long"
 
 
-def scaled(vector: Column, scale: int = 1024) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
-
-
-def valid(vector: Column) -> Column:
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return F.coalesce(F.forall(vector, lambda x: finite(x.cast("double"))), F.lit(False))
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows of equal length ``width``; shorter ones are filled up with zeros."""
-    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    if (sizes == width).all():
-        return values.reshape(len(sizes), width)
-    out = np.zeros((len(sizes), width), np.int64)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    out[row, np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = values
-    return out
-
-
-def _rows(matrix: np.ndarray) -> pa.Array:
-    n, width = matrix.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(matrix).reshape(-1)))
-
-
 def _assign(pivots, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pivots.value.astype(np.float64)
         for batch in batches:
-            v = _matrix(batch["v"], width)
+            v = matrix(batch["v"], width)
             x = v.astype(np.float64)
             far = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)
             cell = far.argmin(1)
             r = np.sqrt(((x - p[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["mark"], batch["copies"], batch["asks"], _rows(v), pa.array(cell.astype(np.int32)), pa.array(r)], names=["vec_id", "mark", "copies", "asks", "v", "cell", "r"])
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["mark"], batch["copies"], batch["asks"], as_lists(v), pa.array(cell.astype(np.int32)), pa.array(r)], names=["vec_id", "mark", "copies", "asks", "v", "cell", "r"])
 
     return run
 
@@ -87,7 +61,7 @@ def _needed(pivots, cells, width: int, k: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                v = _matrix(batch["v"], width)
+                v = matrix(batch["v"], width)
                 q = v.astype(np.float64)
                 norm = np.sqrt((q * q).sum(1))
                 middle = q @ p[held].T
@@ -102,7 +76,7 @@ def _needed(pivots, cells, width: int, k: int):
                 part = np.repeat(first[cell], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 row, part = np.unique(np.stack([np.repeat(row, n), part]), axis=1)  # cells may share a part
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch["vec_id"].take(take), batch["mark"].take(take), _rows(v).take(take), batch["block"].take(take), pa.array(part.astype(np.int32))], names=["vec_id", "mark", "v", "block", "part"])
+                yield pa.RecordBatch.from_arrays([batch["vec_id"].take(take), batch["mark"].take(take), as_lists(v).take(take), batch["block"].take(take), pa.array(part.astype(np.int32))], names=["vec_id", "mark", "v", "block", "part"])
 
     return run
 
@@ -137,7 +111,7 @@ def _solve(width: int, k: int):
         qid, mark = queries["q_vec_id"].to_numpy(), queries["q_mark"].to_numpy()
         out = [np.zeros((0, 4), np.int64)]
         if len(ids) and len(qid):
-            scores = products(_matrix(queries["q_v"].combine_chunks(), width), _matrix(data["v"].combine_chunks(), width)[order])
+            scores = products(matrix(queries["q_v"].combine_chunks(), width), matrix(data["v"].combine_chunks(), width)[order])
             for i in range(len(qid)):
                 other = np.flatnonzero(ids != qid[i])
                 best = other[np.argsort(-scores[i][other], kind="stable")[:k]]

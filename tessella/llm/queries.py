@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, decontam, knn, mixing, quality, simhash, substrings, tokencount, toxicity, urls
+from tessella.llm import chat, chunks, clusters, codes, decontam, knn, mixing, quality, simhash, substrings, tokencount, toxicity, urls
 from tessella.llm.common import read
 
 
@@ -49,17 +49,77 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.groups(read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _cluster_sql(rounds: int = 3) -> str:
+    """Every round as two tables: a<i>, each vector's nearest centroid, and c<i + 1>, the new ones."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+  SELECT r, min({{'d': (list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c))::BIGINT, 'e': e}}) AS m
+  FROM ok CROSS JOIN c{i} GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT m.e AS e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{i} JOIN ok USING (r) CROSS JOIN range(1, 65) AS g(i) GROUP BY 1, 2),
+n{i} AS (SELECT e, list(((s - ((s % n + n) % n)) // n)::DOUBLE ORDER BY i) AS c FROM s{i} GROUP BY e),
+c{i + 1} AS (SELECT c{i}.e, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (e))""")
+    return f"""
+WITH ok AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS e, v AS c FROM ok QUALIFY e < 16),
+{(", " + chr(10)).join(steps)},
+found AS (SELECT vec_id, m.e AS cluster, m.d AS distance FROM a{rounds} JOIN ok USING (r))
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM found JOIN c{rounds} ON e = cluster"""
+
+
+def _code_sql(rounds: int = 4) -> str:
+    """Every round as two tables: a<i>, each part's nearest entry, and b<i + 1>, the new codebooks."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, p, min({{'d': (list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT, 'e': e}}) AS m
+  FROM parts JOIN b{i} USING (p) GROUP BY r, p)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT p, m.e AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{i} JOIN parts USING (r, p) CROSS JOIN range(1, 17) AS g(i) GROUP BY 1, 2, 3),
+n{i} AS (SELECT p, e, list(((s - ((s % n + n) % n)) // n)::DOUBLE ORDER BY i) AS c FROM s{i} GROUP BY p, e),
+b{i + 1} AS MATERIALIZED (SELECT b{i}.p, b{i}.e, coalesce(n{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN n{i} USING (p, e))""")
+    return f"""
+WITH ok AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[16 * p + 1:16 * p + 16] AS x FROM ok CROSS JOIN range(4) AS g(p)),
+b0 AS (SELECT p, r::INTEGER AS e, x AS c FROM parts WHERE r < 256),
+{(", " + chr(10)).join(steps)},
+found AS (SELECT r, string_agg(lower(lpad(to_hex(m.e), 2, '0')), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256, label
+FROM found JOIN ok USING (r) CROSS JOIN books"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_suffix_array_dedup, op3_benchmark_decontamination, op4_simhash_near_dedup, op5_toxicity, op6_chat_formatting,
-        op7_token_counts, op8_exact_top_k, op9_mixing, op10_quality_classifier, pipeline,
+        op7_token_counts, op8_exact_top_k, op9_mixing, op10_quality_classifier,
+        op11_centroid_clustering, op12_exact_dedup, op13_vector_codes, pipeline,
     )
 }
 
@@ -117,11 +177,19 @@ SELECT a.conv_id, len(a.turns)::BIGINT AS n_turns, a.n_copies, a.text FROM alike
 WHERE NOT EXISTS (SELECT 1 FROM alike b WHERE len(b.turns) > len(a.turns) AND b.turns[1:len(a.turns)] = a.turns)""",
     "op8_exact_top_k": """
 WITH ok AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM ok q JOIN ok c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op11_centroid_clustering": _cluster_sql(),
+    "op12_exact_dedup": r"""
+WITH plain AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+placed AS (
+  SELECT doc_id, t, row_number() OVER w AS place, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size
+  FROM plain WINDOW w AS (PARTITION BY t ORDER BY length(text) DESC, doc_id NULLS LAST, text))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(t) AS text_sha256 FROM placed""",
+    "op13_vector_codes": _code_sql(),
 }
