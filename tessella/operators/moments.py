@@ -156,12 +156,6 @@ def spectrum(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, vectors * np.where(signs == 0, 1, signs)
 
 
-def spectrum_table(spark, matrix: np.ndarray) -> DataFrame:
-    values, _ = in_task(spark, spectrum, matrix)
-    shares = np.cumsum(values) / values.sum() if values.sum() else np.zeros_like(values)
-    return spark.createDataFrame([(k + 1, float(v), float(s)) for k, (v, s) in enumerate(zip(values, shares))], "component int, eigenvalue double, cumulative_explained_variance double")
-
-
 @dataclass
 class LowRank:
     eigenvalues: np.ndarray
@@ -222,6 +216,14 @@ def complete_cells(panel: DataFrame, value: str, where=None) -> tuple[DataFrame,
     return cells.join(times.select("t"), "t", "left_semi"), times, n
 
 
+def gram_sums(panel: DataFrame, value: str, where=None) -> DataFrame:
+    """(site_id, own, row): the diagonal and the row sums of R'R over complete rows, without the matrix: a row of it
+    adds up to the site's values times the sums of all sites at their times."""
+    cells, times, _ = complete_cells(panel, value, where)
+    total = cells.groupBy("t").agg(F.sum("v").alias("s"))
+    return cells.join(total, "t").groupBy("site_id").agg(F.sum(F.col("v") * F.col("v")).alias("own"), F.sum(F.col("v") * F.col("s")).alias("row"))
+
+
 def basis_moments(panel: DataFrame, phi: DataFrame, value: str = "r", where=None) -> BasisMoments:
     """Of a panel on a long basis (site_id, k, phi), by aggregates: scores are added up before they are paired."""
     cells, times, n = complete_cells(panel, value, where)
@@ -277,12 +279,6 @@ def alignment(a: DataFrame, b: DataFrame) -> DataFrame:
     return dots.groupBy("k").agg(F.max_by("other", F.struct(F.abs(F.col("c")), -F.col("other"))).alias("best"), F.max(F.abs(F.col("c"))).alias("cosine"))
 
 
-def eigenvector_alignment(spark, truth: np.ndarray, estimate: np.ndarray, k: int) -> DataFrame:
-    """(component, cosine): absolute cosines of the first k eigenvectors of two covariances."""
-    (_, a), (_, b) = (in_task(spark, spectrum, m) for m in (truth, estimate))
-    return spark.createDataFrame([(i + 1, float(abs(a[:, i] @ b[:, i]))) for i in range(min(k, a.shape[1]))], "component int, cosine double")
-
-
 def residual_moments(panel: DataFrame, phi: DataFrame | None = None, value: str = "r") -> DataFrame:
     """(trace, norm, basis_norm): trace and Frobenius norm of R'R / n over complete rows, and the norm of a long
     basis (0 without one), by aggregates over pairs of sites in blocks."""

@@ -20,6 +20,7 @@ from tessella.operators import moments as G
 from tessella.operators import panel as P
 from tessella.operators import reports as R
 from tessella.operators import spatial as X
+from tessella.operators import spectra as E
 from tessella.plans import views as V
 from tessella.plans import workloads as L
 from tessella.sources import tables as T
@@ -343,12 +344,7 @@ def _coords(s: SparkSession, d: str, names: list) -> np.ndarray:
     return np.array([rows[i] for i in names])
 
 
-def _gram_trace(s: SparkSession, d: str) -> DataFrame:
-    m = _moments(s, d)
-    return s.createDataFrame([(int(n), float(m.gram[i, i]), float(m.gram[i].sum())) for i, n in enumerate(m.sites)], "site_id long, own double, row double")
-
-
-add("cv1_gram_one_pass", _gram_trace, f"SELECT a.site_id, sum(a.r * a.r) AS own, sum(a.r * b.s) AS row FROM {FULL} a JOIN (SELECT t, sum(r) AS s FROM {FULL} GROUP BY t) b USING (t) GROUP BY a.site_id", "panel splits", "own row")
+add("cv1_gram_one_pass", lambda s, d: G.gram_sums(complete_panel(s, d), "r"), f"SELECT a.site_id, sum(a.r * a.r) AS own, sum(a.r * b.s) AS row FROM {FULL} a JOIN (SELECT t, sum(r) AS s FROM {FULL} GROUP BY t) b USING (t) GROUP BY a.site_id", "panel splits", "own row")
 
 
 def _matern(s: SparkSession, d: str, panel_only: bool = False) -> DataFrame:
@@ -363,8 +359,19 @@ add("cv5_matern_correlation", lambda s, d: _matern(s, d).groupBy("i").agg(F.avg(
 add("cv6_error_against_matern", lambda s, d: G.covariance_error(_matern(s, d, True), G.covariance_long(V.panel(s, d))), ERROR.format(a=MATERN, b=COV), "panel sites", "error")
 add("cv7_low_rank_covariance", lambda s, d: G.model_row(s, G.low_rank(G.basis_moments(complete_panel(s, d), _basis(s, d)))))
 add("cv8_plug_in_covariance", lambda s, d: G.model_row(s, G.plug_in(G.basis_moments(complete_panel(s, d), _basis(s, d)))))
-add("cv9_spectrum", lambda s, d: G.spectrum_table(s, _moments(s, d).covariance()))
-add("cv10_spectrum_errors", lambda s, d: G.spectrum_errors(G.spectrum_table(s, _moments(s, d, where=C("split") == "train").covariance()), G.spectrum_table(s, _moments(s, d, where=C("split") != "train").covariance()), 5))
+
+
+def _spectrum(s: SparkSession, d: str, k: int, where=None) -> tuple[DataFrame, E.Leading]:
+    return E.covariance_spectrum(G.complete_cells(complete_panel(s, d), "r", where)[0], k)
+
+
+def _halves(s: SparkSession, d: str) -> list[tuple[DataFrame, E.Leading]]:
+    return [_spectrum(s, d, 5, x) for x in (C("split") == "train", C("split") != "train")]
+
+
+add("cv9_spectrum", lambda s, d: _spectrum(s, d, 10)[0])
+add("cv10_spectrum_errors", lambda s, d: G.spectrum_errors(*[table for table, _ in _halves(s, d)], 5))
+add("cv10_eigenvector_alignment", lambda s, d: E.cosines(*[found.long() for _, found in _halves(s, d)]))
 
 
 def _basis_matrix(s: SparkSession, d: str, names: list, k: int = 3) -> np.ndarray:
@@ -372,7 +379,6 @@ def _basis_matrix(s: SparkSession, d: str, names: list, k: int = 3) -> np.ndarra
     return np.array([[rows.get((i, j), 0.0) for j in range(k)] for i in names])
 
 
-add("cv10_eigenvector_alignment", lambda s, d: G.eigenvector_alignment(s, *[_moments(s, d, where=x).covariance() for x in (C("split") == "train", C("split") != "train")], 5))
 add("cv15_residual_moments", lambda s, d: G.residual_moments(complete_panel(s, d), P.only(V.phi(s, d), V.panel(s, d), ["site_id"])), f"SELECT (SELECT sqrt(sum(phi ** 2)) FROM phi SEMI JOIN panel USING (site_id)) AS basis_norm, sqrt(sum(v * v)) / max(n) AS norm, sum(v) FILTER (i = j) / max(n) AS trace FROM (SELECT a.site_id AS i, b.site_id AS j, sum(a.r * b.r) AS v, count(*) AS n FROM {FULL} a JOIN {FULL} b USING (t) GROUP BY ALL)", "panel splits phi", "basis_norm norm trace")
 
 # ---------------------------------------------------------------- models
@@ -434,7 +440,7 @@ def _bundle(s: SparkSession, d: str) -> DataFrame:
     val = written(P.of_split(V.split_panel(s, d), "val").select("site_id", "t", "z"))
     both = P.align(val.withColumnRenamed("z", "y"), _damped(val))
     parts = both.agg(M.rmse(C("y"), C("z")).alias("rmse")).join(G.covariance_error(G.covariance_long(val), G.covariance_long(_damped(val))).select(C("error").alias("cov_frob")))
-    parts = parts.join(_match(s, d, val).select(F.round("loss", 3).alias("sv_score")))
+    parts = parts.join(_match(s, d, val).select(C("loss").alias("sv_score")))
     return parts.join(M.auc(_soft(s, d), [], "y", "z")).join(_soft(s, d).agg(M.confusion(C("y"), C("z"))["accuracy"].alias("accuracy")))
 
 
@@ -443,7 +449,7 @@ VAL_DAMPED = DAMPED.format(rows=VAL)
 ALL_AUC = AUC.replace("SELECT seed, sum(pos", "SELECT sum(pos").replace("PARTITION BY seed ", "").replace("SELECT seed, z, count", "SELECT z, count").replace(" GROUP BY seed", "")
 add("md11_validation_bundle", _bundle,
     f"SELECT (SELECT sqrt(avg((a.z - b.z) ** 2)) FROM {VAL} a JOIN {VAL_DAMPED} b USING (site_id, t)) AS rmse, ({ERROR.format(a=COVARIANCE.format(a=VAL, b=VAL), b=COVARIANCE.format(a=VAL_DAMPED, b=VAL_DAMPED))}) AS cov_frob, "
-    f"(SELECT round(loss, 3) FROM ({LOSS.format(a=GAMMA.format(g=MATHERON, rows=VAL), b=GAMMA.format(g=MATHERON, rows=VAL_DAMPED))})) AS sv_score, ({ALL_AUC.format(rows=SOFT)}) AS auc, (SELECT accuracy FROM (SELECT {CONFUSION} FROM {SOFT})) AS accuracy",
+    f"(SELECT loss FROM ({LOSS.format(a=GAMMA.format(g=MATHERON, rows=VAL), b=GAMMA.format(g=MATHERON, rows=VAL_DAMPED))})) AS sv_score, ({ALL_AUC.format(rows=SOFT)}) AS auc, (SELECT accuracy FROM (SELECT {CONFUSION} FROM {SOFT})) AS accuracy",
     "split_panel bin sites", "rmse cov_frob sv_score auc accuracy")
 add("md11_validation_metrics", lambda s, d: M.by_split(V.scored(s, d).where("split = 'val'"), ["model"]), f"SELECT model, CASE WHEN grouping(split) = 1 THEN 'full' ELSE split END AS split, {RAW} FROM scored WHERE split = 'val' GROUP BY GROUPING SETS ((model, split), (model))", "scored", "rmse mae r2")
 # Energy of the scores and alignment of mean residuals with the basis, by split over seeds (here: every fifth day).
@@ -518,7 +524,7 @@ add("md19_md20_forecast", _forecast)
 add("md21_retracted_basis", lambda s, d: D.orthonormal(_basis(s, d).withColumn("phi", 2 * C("phi"))))
 RBF = "greatest(1 - least(r, 1), 0) ** 6 * (35 * least(r, 1) ** 2 + 18 * least(r, 1) + 3) / 3"
 GRID = "(SELECT level, id, (id // side) * gap AS cx, (id % side) * gap AS cy, 2.5 * gap AS bw FROM (SELECT level, unnest(range(side * side)) AS id, side, 1.0::DOUBLE / (side - 1) AS gap FROM (VALUES (0, 5), (1, 9)) v(level, side)))"
-add("md22_md23_spatial_features", lambda s, d: D.spatial_features(V.sites(s, d), D.uniform_centres(s, (25, 81))).select("site_id", F.posexplode("features").alias("k", "v")).where("v > 0.01"), f"SELECT site_id, k, v FROM (SELECT site_id, level * 25 + id AS k, {RBF} AS v FROM (SELECT site_id, level, id, sqrt((x - cx) ** 2 + (y - cy) ** 2) / bw AS r FROM sites, {GRID})) WHERE v > 0.01", "sites", "v")
+add("md22_md23_spatial_features", lambda s, d: D.spatial_features(V.sites(s, d), D.uniform_centres(s, (25, 81))).select("site_id", F.posexplode("features").alias("k", "v")), f"SELECT site_id, k, v FROM (SELECT site_id, level * 25 + id AS k, {RBF} AS v FROM (SELECT site_id, level, id, sqrt((x - cx) ** 2 + (y - cy) ** 2) / bw AS r FROM sites, {GRID}))", "sites", "v")
 DRAWN = "(SELECT site_id, x, y FROM sites ORDER BY md5('11|0|' || site_id), site_id LIMIT 25)"
 add("md24_drawn_centres", lambda s, d: D.drawn_centres(V.sites(s, d), (25,), 11, key="site_id"), f"SELECT 0 AS level, i AS id, any_value(x) AS x, any_value(y) AS y, 2.5 * avg(h) AS bandwidth FROM (SELECT a.site_id AS i, a.x, a.y, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS h, row_number() OVER (PARTITION BY a.site_id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.site_id) AS r FROM {DRAWN} a JOIN {DRAWN} b ON a.site_id <> b.site_id) WHERE r <= 4 GROUP BY i", "sites", "x y bandwidth")
 add("md25_temporal_features", lambda s, d: P.normalised_time(V.panel(s, d)).select("t", "t_norm").distinct().select("t", F.posexplode(D.temporal_features(C("t_norm"), (10, 15))).alias("k", "v")), "SELECT t, k, exp(-0.5 * ((t_norm - c * gap) / (2.5 * gap)) ** 2) AS v FROM (SELECT DISTINCT t, (t - min(t) OVER ()) / (max(t) OVER () - min(t) OVER () + 1e-12) AS t_norm FROM panel), (SELECT off + c AS k, c, gap FROM (SELECT off, unnest(range(n)) AS c, 1.0::DOUBLE / (n - 1) AS gap FROM (VALUES (0, 10), (10, 15)) v(off, n)))", "panel", "v")
