@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import normal_z, sigmoid
+from tessella.operators.metrics import below
 
 
 def _sd(var: Column) -> Column:
@@ -28,7 +29,7 @@ def critical_value(df: DataFrame, keys: Sequence[str], y: str, eta: str, var: st
     """(keys..., q_hat, n): the linear-interpolated quantile of |y - eta| / sd at
     min((1 - alpha)(1 + 1 / n), 1). Groups of up to ``exact_up_to`` rows are sorted whole; above that the two
     order statistics are narrowed down first, by a histogram with ``bins`` bins for each factor e of the
-    scores (however far the largest are out), and only the bins that hold them are sorted."""
+    scores (however far the largest are out), and only the distinct scores of bins that hold them are ordered."""
     score = F.abs(F.col(y) - F.col(eta)) / F.greatest(_sd(F.col(var)), F.lit(1e-12))
     rows = df.select(*keys, score.alias("score")).where("score IS NOT NULL")
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -48,9 +49,12 @@ def critical_value(df: DataFrame, keys: Sequence[str], y: str, eta: str, var: st
     counts = counts.withColumn("before", before).where((F.col("before") <= F.ceil("at")) & (F.col("before") + F.col("m") > F.floor("at")))
     wanted = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("bin").alias("_bin"), "before")
     near = binned.join(wanted, [F.col("bin") == F.col("_bin"), *[F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]])
-    place = F.row_number().over(Window.partitionBy(*keys, "bin").orderBy("score")) - 1 + F.col("before")
-    near = near.withColumn("place", place)
-    return near.groupBy(*keys).agg(F.max("n").alias("n"), F.max("at").alias("at"), F.max(F.when(F.col("place") == F.floor("at"), F.col("score"))).alias("a"), F.max(F.when(F.col("place") == F.ceil("at"), F.col("score"))).alias("b")).select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("q_hat"), "n")
+    # Equal scores are one row, so a bin of them is none that a task has to sort.
+    held = near.groupBy(*keys, "bin", "score").agg(F.count("*").alias("m"), *[F.first(c).alias(c) for c in ("at", "n", "before")])
+    held = below(held, [*keys, "bin"], "score", "m", "lower").withColumn("lower", F.col("lower") + F.col("before"))
+    there = lambda place: F.max(F.when((F.col("lower") <= place) & (place < F.col("lower") + F.col("m")), F.col("score")))
+    found = held.groupBy(*keys).agg(F.max("n").alias("n"), F.max("at").alias("at"), there(F.floor("at")).alias("a"), there(F.ceil("at")).alias("b"))
+    return found.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("q_hat"), "n")
 
 
 def calibrated(eta: Column, var: Column, q_hat: Column | float, task: str = "regression") -> tuple[Column, Column]:

@@ -1,7 +1,7 @@
 """Accuracy, interval and probability metrics as aggregate expressions.
 
-All are sums and averages, so groups of any size are combined before the shuffle. An empty group
-gives null."""
+All are sums and averages, so groups of any size are combined before the shuffle; the ROC area
+orders distinct scores inside of buckets. An empty group gives null."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.scalars import bce_with_logits, check_loss, number, sigmoid
+from tessella.functions.storage import written
 
 
 def _of(mask: Column | None, *values: Column) -> Column:
@@ -69,13 +70,34 @@ def confusion(y: Column, logit: Column) -> dict[str, Column]:
     return {"accuracy": F.avg((truth == said).cast("double")), "f1": F.coalesce(2.0 * hit / F.nullif(2 * hit + false + miss, F.lit(0)), F.lit(0.0))}
 
 
-def auc(df: DataFrame, keys: Sequence[str], y: str, score: str) -> DataFrame:
+def below(counts: DataFrame, keys: Sequence[str], score: str, value: str, name: str, bucket: int = 200_000) -> DataFrame:
+    """``counts`` (one row for each key and score) with ``name``: the sum of ``value`` at the key's lower scores.
+
+    Rows are dealt to buckets by sampled bounds of (key, score), about ``bucket`` rows each and equal scores
+    together. Sums of buckets, added up over a key's buckets, are what a bucket starts with; only inside of
+    a bucket are rows ordered."""
+    counts = written(counts)
+    parts = max(1, -(-counts.count() // bucket))
+    before = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if parts == 1:
+        return counts.withColumn(name, before(Window.partitionBy(*keys).orderBy(score)))
+    placed = written(counts.repartitionByRange(parts, *keys, score).withColumn("_b", F.spark_partition_id()))
+    start = placed.groupBy(*keys, "_b").agg(F.sum(value).alias(value))
+    start = start.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_c"), before(Window.partitionBy(*keys).orderBy("_b")).alias("_start"))
+    on = F.col("_b") == F.col("_c")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = before(Window.partitionBy(*keys, "_b").orderBy(score))
+    return placed.withColumn("_in", inside).join(start, on).withColumn(name, F.col("_in") + F.col("_start")).select(*counts.columns, name)
+
+
+def auc(df: DataFrame, keys: Sequence[str], y: str, score: str, bucket: int = 200_000) -> DataFrame:
     """Area under the ROC curve, ties counted half, 0.5 if one kind is missing. Rows are counted by
-    score first; the window runs over distinct scores only."""
-    counts = df.groupBy(*keys, score).agg(F.count_if(F.col(y) >= 0.5).alias("pos"), F.count_if(F.col(y) < 0.5).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-    return parts.groupBy(*keys).agg(F.coalesce(F.sum("won") / F.nullif((F.sum("pos") * F.sum("neg")).cast("double"), F.lit(0.0)), F.lit(0.5)).alias("auc"))
+    score first; running sums over distinct scores are those of ``below``, so no group is one task."""
+    counts = df.groupBy(*keys, F.col(score).alias("_score")).agg(F.count_if(F.col(y) >= 0.5).alias("_pos"), F.count_if(F.col(y) < 0.5).alias("_neg"))
+    parts = below(counts, keys, "_score", "_neg", "_below", bucket)
+    won = F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)
+    return parts.groupBy(*keys).agg(F.coalesce(F.sum(won) / F.nullif((F.sum("_pos") * F.sum("_neg")).cast("double"), F.lit(0.0)), F.lit(0.5)).alias("auc"))
 
 
 def bce(y: Column, logit: Column, mean: bool = True, clamp: float | None = None) -> Column:

@@ -196,33 +196,6 @@ def fit_basis(train: Moments, val: Moments, omega: np.ndarray, k: int, tau1: flo
     return BasisFit(phi, best, history)
 
 
-def binary_target(rows: DataFrame, variant: str, n: int) -> np.ndarray:
-    """The matrix whose leading eigenvectors are the basis for binary data, from packed rows (z, y
-    arrays): variance_only, full_taylor or irls. Tasks add up partial matrices."""
-    if variant not in ("variance_only", "full_taylor", "irls"):
-        raise ValueError("unknown variant")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count, total, gram, cross = 0, np.zeros(n), np.zeros((n, n)), np.zeros((n, n))
-        for f in frames:
-            if len(f):
-                z, y = np.stack(f["z"].to_numpy()), np.stack(f["y"].to_numpy())
-                if variant == "irls":
-                    p = 1 / (1 + np.exp(-z))
-                    z = z + (y - p) / (p * (1 - p) + 1e-4)
-                count, total, gram, cross = count + len(z), total + z.sum(0), gram + z.T @ z, cross + (0.5 - y).T @ z
-        if count:
-            yield pd.DataFrame({"n": [count], "total": [total.tobytes()], "gram": [gram.tobytes()], "cross": [cross.tobytes()]})
-
-    parts = rows.select("z", "y").mapInPandas(run, "n long, total binary, gram binary, cross binary").collect()
-    count = sum(r.n for r in parts)
-    add = lambda c, shape: sum((np.frombuffer(r[c]).reshape(shape) for r in parts), np.zeros(shape))
-    gram, cross, mean = add("gram", (n, n)), add("cross", (n, n)), add("total", n) / max(1, count)
-    if variant == "full_taylor":
-        return (cross + cross.T) / 2 + gram / 8
-    return gram - count * np.outer(mean, mean)
-
-
 def trial_grid(spark, tau1: Sequence[float], tau2: Sequence[float], seeds: Sequence[int] = (0,)) -> DataFrame:
     rows = [(s, i, float(a), float(b)) for s in seeds for i, (a, b) in enumerate((a, b) for a in tau1 for b in tau2)]
     return spark.createDataFrame(rows, "seed int, trial int, tau1 double, tau2 double")
@@ -259,15 +232,50 @@ def scores(panel: DataFrame, phi: DataFrame, value: str = "r") -> DataFrame:
     return panel.join(phi, "site_id").groupBy("t", "k").agg(F.sum(F.col(value) * F.col("phi")).alias("eta"))
 
 
-def reconstructed(eta: DataFrame, phi: DataFrame) -> DataFrame:
-    """(t, site_id, fitted)"""
-    return eta.join(phi, "k").groupBy("t", "site_id").agg(F.sum(F.col("eta") * F.col("phi")).alias("fitted"))
+def _packed(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, ks, vs): the entries of each row of a long table (by, k, value)."""
+    own = rows.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("k", value))).alias("c"))
+    return own.select(by, F.col("c.k").alias("ks"), F.col(f"c.{value}").alias("vs"))
+
+
+def _dense(frame: pd.DataFrame, width: int) -> np.ndarray:
+    out = np.zeros((len(frame), width))
+    for i, (ks, vs) in enumerate(zip(frame["ks"], frame["vs"])):
+        out[i, np.asarray(ks, int)] = vs
+    return out
+
+
+def reconstructed(eta: DataFrame, phi: DataFrame, times: int = 1024, sites: int = 512) -> DataFrame:
+    """(t, site_id, fitted): the product of long scores (t, k, eta) and a long basis (site_id, k, phi).
+
+    Scores are packed by time and basis rows by site; both are dealt to tasks of a block of times and one of
+    sites, each of which is a matrix product. No row has a k of its own on the way."""
+    left, right = written(_packed(eta, "t", "eta")), written(_packed(phi, "site_id", "phi"))
+    counts = (left.count(), right.count())
+    tb, sb = (max(1, -(-n // size)) for n, size in zip(counts, (times, sites)))
+    deal = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"t": [], "site_id": [], "fitted": []})
+        width = 1 + int(max(max(max(ks, default=-1) for ks in f["ks"]) for f in (a, b)))
+        out = _dense(a, width) @ _dense(b, width).T
+        return pd.DataFrame({"t": np.repeat(a["t"].to_numpy(), len(b)), "site_id": np.tile(b["site_id"].to_numpy(), len(a)), "fitted": out.ravel()})
+
+    own, other = deal(left, "t", "tb", tb, "sb", sb), deal(right, "site_id", "sb", sb, "tb", tb)
+    return own.groupBy("tb", "sb").cogroup(other.groupBy("tb", "sb")).applyInPandas(one, "t long, site_id long, fitted double")
 
 
 def projected(panel: DataFrame, phi: DataFrame, value: str = "r") -> DataFrame:
     """The panel with ``fitted``, the projection of its own rows: for evaluation, as it uses the
-    true values of the rows that it is compared with."""
-    return panel.join(reconstructed(scores(panel, phi, value), phi), ["t", "site_id"], "left")
+    true values of the rows that it is compared with. Each row meets its time's scores and its site's
+    basis row, and their inner product is its value; null at sites without a basis row."""
+    eta, rows = _packed(scores(panel, phi, value), "t", "eta"), _packed(phi, "site_id", "phi")
+    width = rows.agg(F.max(F.array_max("ks"))).first()[0]
+    full = lambda df, key, name: df.select(key, F.transform(F.sequence(F.lit(0), F.lit(int(width or 0))), lambda k: F.coalesce(F.element_at(F.map_from_arrays("ks", "vs"), k.cast("long")), F.lit(0.0))).alias(name))
+    out = panel.join(full(eta, "t", "_eta"), "t", "left").join(full(rows, "site_id", "_phi"), "site_id", "left")
+    fitted = F.aggregate(F.zip_with("_eta", "_phi", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("fitted", fitted).drop("_eta", "_phi")
 
 
 def off_basis(panel: DataFrame, phi: DataFrame, value: str = "r") -> DataFrame:
@@ -426,8 +434,8 @@ def forecast(model: Forecaster | None, phi: DataFrame, mu: DataFrame) -> DataFra
         return mu.select("h", "site_id", F.col("mu").alias("value"))
     steps = mu.agg(F.max("h")).first()[0] or 0
     rows = [(h + 1, k, float(v)) for h, eta in enumerate(model.states(steps)) for k, v in enumerate(eta)]
-    eta = mu.sparkSession.createDataFrame(rows, "h int, k int, eta double")
-    added = eta.join(phi, "k").groupBy("h", "site_id").agg(F.sum(F.col("eta") * F.col("phi")).alias("s"))
+    eta = mu.sparkSession.createDataFrame(rows, "t long, k long, eta double")
+    added = reconstructed(eta, phi).select(F.col("t").alias("h"), "site_id", F.col("fitted").alias("s"))
     return mu.join(added, ["h", "site_id"], "left").select("h", "site_id", (F.col("mu") + F.coalesce("s", F.lit(0.0))).alias("value"))
 
 

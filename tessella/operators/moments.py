@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.storage import written
-from tessella.functions.tasks import in_task
+from tessella.operators.blocks import pair_sums
 from tessella.operators.panel import index_of
 
 MOST_SITES = 4000
@@ -87,37 +87,6 @@ def moments(panel: DataFrame, value: str = "z", where=None) -> Moments:
 # ---------------------------------------------------------------- long forms
 
 
-def pair_sums(panel: DataFrame, value: str = "z", block: int = 256, span: int = 1024) -> DataFrame:
-    """(i, j, v, n, a, b) for every two sites with common times: the sum of products, the number of those times,
-    and the sums of either site's values over them.
-
-    Sites go to blocks and times to spans; every two blocks meet in one task for each span, which is two
-    matrices of block x span, so a task's size does not grow with the panel, and the sums of spans are added
-    up. Every site's rows are copied once for each block, as a matrix of all pairs needs them."""
-    own = panel.where(F.col(value).isNotNull()).groupBy("site_id", "t").agg(F.avg(value).alias("v"))
-    blocks = max(1, -(-own.select("site_id").distinct().count() // block))
-    own = own.select("site_id", "t", "v", F.pmod(F.xxhash64("site_id"), F.lit(blocks)).cast("int").alias("own"), F.floor(F.col("t") / span).alias("span"))
-    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")})
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        names, row = np.unique(f["site_id"].to_numpy(), return_inverse=True)
-        times, column = np.unique(f["t"].to_numpy(), return_inverse=True)
-        z, seen = np.zeros((len(names), len(times))), np.zeros((len(names), len(times)))
-        z[row, column], seen[row, column] = f["v"].to_numpy(), 1
-        side = np.zeros(len(names), np.int64)
-        side[row] = f["own"].to_numpy()
-        x, y = (np.flatnonzero(side == f[c].iloc[0]) for c in ("first", "second"))
-        v, n, a, b = z[x] @ z[y].T, seen[x] @ seen[y].T, z[x] @ seen[y].T, seen[x] @ z[y].T
-        at, to = np.nonzero(n)
-        out = {"i": names[x][at], "j": names[y][to], "v": v[at, to], "n": n[at, to].astype(np.int64), "a": a[at, to], "b": b[at, to]}
-        back = {"i": out["j"], "j": out["i"], "v": out["v"], "n": out["n"], "a": out["b"], "b": out["a"]}
-        parts = [out] if f["first"].iloc[0] == f["second"].iloc[0] else [out, back]
-        return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in out})
-
-    parts = rows.groupBy("first", "second", "span").applyInPandas(one, "i long, j long, v double, n long, a double, b double")
-    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("v", "n", "a", "b")])
-
-
 def gram_long(panel: DataFrame, value: str = "z") -> DataFrame:
     """(i, j, v, n): sums of products over the times that both sites have."""
     return pair_sums(panel, value).select("i", "j", "v", "n")
@@ -138,13 +107,6 @@ def frobenius_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sqrt(F.sum(d * d)), F.lit(0.0)).alias("distance"))
 
 
-def covariance_error(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Relative Frobenius error of (i, j, v) against the truth's, over the entries that both have."""
-    both = truth.select("i", "j", F.col("v").alias("a")).join(predicted.select("i", "j", F.col("v").alias("b")), ["i", "j"])
-    d = F.col("b") - F.col("a")
-    return both.agg((F.sqrt(F.sum(d * d)) / (F.sqrt(F.sum(F.col("a") * F.col("a"))) + 1e-12)).alias("error"))
-
-
 # ---------------------------------------------------------------- spectra and low-rank fits
 
 

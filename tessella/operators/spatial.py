@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import gamma
+from math import factorial, gamma
 
 import numpy as np
 import pandas as pd
@@ -163,8 +163,40 @@ def bessel_k(nu: float, x: np.ndarray) -> np.ndarray:
     return np.trapezoid(f, t, axis=1)
 
 
+def bessel_k1_times_x(x: np.ndarray) -> np.ndarray:
+    """x K_1(x), 1 at 0: the power series below 1, above it the integral of exp(-x cosh t) cosh t by the trapezoid
+    rule with steps that follow the integrand's width; both are right to about 1e-14."""
+    x = np.asarray(x, float)
+    out = np.ones_like(x)
+    low, high = (x > 1e-12) & (x < 1), x >= 1
+    a, b = k1_series()
+    q = x[low] ** 2 / 4
+    power = q[..., None] ** np.arange(len(a))
+    out[low] = 1 + 2 * q * (np.log(x[low] / 2) * (power @ np.array(a)) - (power @ np.array(b)) / 2)
+    step = 0.5 / np.sqrt(np.maximum(x[high], 4))
+    t = step[..., None] * np.arange(1, K1_NODES + 1)
+    tail = np.exp(-2 * x[high][..., None] * np.sinh(t / 2) ** 2) * np.cosh(t)
+    out[high] = x[high] * np.exp(-x[high]) * step * (0.5 + tail.sum(-1))
+    return out
+
+
+K1_NODES = 18
+
+
+def k1_series(terms: int = 10) -> tuple[list[float], list[float]]:
+    """1 / (k! (k + 1)!), and these times psi(k + 1) + psi(k + 2)."""
+    a, b, psi = [], [], -np.euler_gamma
+    for k in range(terms):
+        a.append(1 / (factorial(k) * factorial(k + 1)))
+        b.append(a[-1] * (2 * psi + 1 / (k + 1)))
+        psi += 1 / (k + 1)
+    return a, [float(x) for x in b]
+
+
 def matern(h: np.ndarray, nu: float, scale: float = 1.0) -> np.ndarray:
     r = np.asarray(h, float) / scale
+    if nu == 1:
+        return bessel_k1_times_x(r)
     out = np.ones_like(r)
     far = r >= 1e-12
     out[far] = 2 ** (1 - nu) / gamma(nu) * r[far] ** nu * bessel_k(nu, r[far])
@@ -177,30 +209,59 @@ def matern_table(nu: float, most: float, steps: int = 4096) -> tuple[np.ndarray,
     return r, matern(r, nu)
 
 
-def matern_pairs(sites: DataFrame, nu: float = 1.0, scale: float = 0.08, coordinates: Sequence[str] = XY, block: int = 512) -> DataFrame:
-    """(i, j, v): correlation of every pair of sites with i <= j. The matrix is what is asked for, so its size is
-    the result's. Sites go to blocks; every two blocks meet in one task of block x block distances, whose
-    correlations come from a table of the function (cubic interpolation, error below 1e-7)."""
+def _by_blocks(sites: DataFrame, coordinates: Sequence[str], block: int) -> tuple[DataFrame, float]:
+    """Every two blocks of sites (a, b, own, site_id, at), and the box's diagonal."""
     stats = sites.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in coordinates]).first()
     blocks = max(1, -(-stats["n"] // block))
-    far = float(np.sqrt(sum(float(stats[c] or 0) ** 2 for c in coordinates))) / scale + 1e-9
-    shared = sites.sparkSession.sparkContext.broadcast(matern_table(nu, far))
     own = sites.select("site_id", F.array(*[F.col(c).cast("double") for c in coordinates]).alias("at"), F.pmod(F.xxhash64("site_id"), F.lit(blocks)).cast("int").alias("own"))
     rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    return rows, float(np.sqrt(sum(float(stats[c] or 0) ** 2 for c in coordinates)))
+
+
+def _correlations(f: pd.DataFrame, table, nu: float, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of both sides, and their correlations."""
+    ids, at, side = f["site_id"].to_numpy(), np.stack(f["at"].to_numpy()), f["own"].to_numpy()
+    left, right = np.flatnonzero(side == f["a"].iloc[0]), np.flatnonzero(side == f["b"].iloc[0])
+    h = np.sqrt(((at[left][:, None] - at[right][None]) ** 2).sum(-1)) / scale
+    v = matern(h.ravel(), nu).reshape(h.shape) if table is None else np.where(h < 1e-12, 1.0, cubic(h, *table))
+    return ids[left], ids[right], v
+
+
+def matern_pairs(sites: DataFrame, nu: float = 1.0, scale: float = 0.08, coordinates: Sequence[str] = XY, block: int = 512) -> DataFrame:
+    """(i, j, v): correlation of every pair of sites with i <= j. The matrix is what is asked for, so its size is
+    the result's. Sites go to blocks; every two blocks meet in one task of block x block distances. For nu = 1
+    correlations are exact, else they come from a table of the function (cubic interpolation, error below 1e-7)."""
+    rows, far = _by_blocks(sites, coordinates, block)
+    shared = sites.sparkSession.sparkContext.broadcast(None if nu == 1 else matern_table(nu, far / scale + 1e-9))
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
-        r, table = shared.value
-        ids, at, side = f["site_id"].to_numpy(), np.stack(f["at"].to_numpy()), f["own"].to_numpy()
-        left, right = np.flatnonzero(side == f["a"].iloc[0]), np.flatnonzero(side == f["b"].iloc[0])
-        h = np.sqrt(((at[left][:, None] - at[right][None]) ** 2).sum(-1)) / scale
-        i, j = (x.ravel() for x in np.broadcast_arrays(ids[left][:, None], ids[right][None]))
-        v = np.where(h < 1e-12, 1.0, cubic(h, r, table)).ravel()
+        left, right, v = _correlations(f, shared.value, nu, scale)
+        i, j = (x.ravel() for x in np.broadcast_arrays(left[:, None], right[None]))
         keep = (i <= j) if f["a"].iloc[0] == f["b"].iloc[0] else np.ones(len(i), bool)
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "v": v[keep]})
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "v": v.ravel()[keep]})
 
     return rows.groupBy("a", "b").applyInPandas(one, "i long, j long, v double")
 
 
+def matern_by_site(sites: DataFrame, nu: float = 1.0, scale: float = 0.08, coordinates: Sequence[str] = XY, block: int = 512) -> DataFrame:
+    """(site_id, mean, square, nearest): of each row of the correlation matrix the mean, the sum of squares, and the
+    largest correlation with another site; blocks leave one row for each site, never one for each pair."""
+    rows, far = _by_blocks(sites, coordinates, block)
+    shared = sites.sparkSession.sparkContext.broadcast(None if nu == 1 else matern_table(nu, far / scale + 1e-9))
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        left, right, v = _correlations(f, shared.value, nu, scale)
+        other = np.where(left[:, None] == right[None], -np.inf, v)
+        part = lambda ids, v, other: pd.DataFrame({"site_id": ids, "n": v.shape[1], "total": v.sum(1), "square": (v * v).sum(1), "nearest": other.max(1, initial=-np.inf)})
+        if f["a"].iloc[0] == f["b"].iloc[0]:
+            return part(left, v, other)
+        return pd.concat([part(left, v, other), part(right, v.T, other.T)])
+
+    parts = rows.groupBy("a", "b").applyInPandas(one, "site_id long, n long, total double, square double, nearest double")
+    nearest = F.max("nearest")
+    return parts.groupBy("site_id").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("square").alias("square"), F.when(nearest > float("-inf"), nearest).alias("nearest"))
+
+
 def cubic(x: np.ndarray, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Cubic interpolation through the four nearest places of a table."""
     k = np.clip(np.searchsorted(at, x) - 2, 0, len(at) - 4)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella.functions import scalars as S
 from tessella.functions.storage import mounted, new_folder, written
 from tessella.functions.tasks import in_task
+from tessella.operators import blocks as K
 from tessella.operators import boxes as B
 from tessella.operators import intervals as I
 from tessella.operators import metrics as M
@@ -276,11 +277,12 @@ add("rs3_full_frame", lambda s, d: P.full_frame(V.panel(s, d), V.panel(s, d), V.
 
 add("cv1_gram", lambda s, d: G.gram_long(V.panel(s, d)), GRAM, "panel", "v")
 add("cv2_cv3_covariance", lambda s, d: G.covariance_long(V.panel(s, d)), COV, "panel", "v")
+_both = lambda df: df.withColumn("damped", C("z") * (0.5 + 0.1 * (C("site_id") % 3)))
 _damped = lambda df: df.withColumn("z", C("z") * (0.5 + 0.1 * (C("site_id") % 3)))
 DAMPED = "(SELECT site_id, t, z * (0.5 + 0.1 * (site_id % 3)) AS z FROM {rows})"
 ERROR = "SELECT sqrt(sum((b.v - a.v) ** 2)) / (sqrt(sum(a.v ** 2)) + 1e-12) AS error FROM ({a}) a JOIN ({b}) b USING (i, j)"
 DAMPED_COV = COVARIANCE.format(a=DAMPED.format(rows="panel"), b=DAMPED.format(rows="panel"))
-add("cv4_covariance_error", lambda s, d: G.covariance_error(G.covariance_long(V.panel(s, d)), G.covariance_long(_damped(V.panel(s, d)))), ERROR.format(a=COV, b=DAMPED_COV), "panel", "error")
+add("cv4_covariance_error", lambda s, d: K.covariance_error(_both(V.panel(s, d)), "z", "damped"), ERROR.format(a=COV, b=DAMPED_COV), "panel", "error")
 BINS = "(SELECT *, most / bins AS width FROM (SELECT ceil(2 * log2(count(*)) + 1)::INT AS bins, sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2) / 3 AS most FROM sites))"
 LAGS = f"(SELECT i, j, floor(h / width)::INT AS bin, width FROM (SELECT a.site_id AS i, b.site_id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS h FROM sites a JOIN sites b ON a.site_id < b.site_id), {BINS} WHERE h < most)"
 GAMMA = f"SELECT bin, any_value((bin + 0.5) * width) AS lag, {{g}} AS gamma, count(*) AS n FROM {LAGS} p JOIN {{rows}} a ON a.site_id = p.i JOIN {{rows}} b ON b.site_id = p.j AND a.t = b.t GROUP BY bin"
@@ -347,16 +349,18 @@ def _coords(s: SparkSession, d: str, names: list) -> np.ndarray:
 add("cv1_gram_one_pass", lambda s, d: G.gram_sums(complete_panel(s, d), "r"), f"SELECT a.site_id, sum(a.r * a.r) AS own, sum(a.r * b.s) AS row FROM {FULL} a JOIN (SELECT t, sum(r) AS s FROM {FULL} GROUP BY t) b USING (t) GROUP BY a.site_id", "panel splits", "own row")
 
 
-def _matern(s: SparkSession, d: str, panel_only: bool = False) -> DataFrame:
-    """Every pair of sites in both orders, for nu = 1.5, which SQL can write down."""
-    sites = V.sites(s, d)
-    half = written(X.matern_pairs(P.only(sites, V.panel(s, d), ["site_id"]) if panel_only else sites, nu=1.5))
-    return half.unionByName(half.where("i < j").select(C("j").alias("i"), C("i").alias("j"), "v"))
+def _k1_sql() -> str:
+    """x K_1(x) by the same sums as the operator's: a power series below 1, the trapezoid rule above."""
+    a, b = X.k1_series()
+    series = lambda w: " + ".join(f"{v!r}::DOUBLE * (x * x / 4) ** {k}" for k, v in enumerate(w))
+    step = "(0.5::DOUBLE / sqrt(greatest(x, 4)))"
+    nodes = " + ".join(f"cosh({j} * {step}) * exp(-2 * x * sinh({j / 2}::DOUBLE * {step}) ** 2)" for j in range(1, X.K1_NODES + 1))
+    return f"CASE WHEN x < 1e-12 THEN 1 WHEN x < 1 THEN 1 + x * x / 2 * (ln(x / 2) * ({series(a)}) - ({series(b)}) / 2) ELSE x * exp(-x) * {step} * (0.5::DOUBLE + {nodes}) END"
 
 
-MATERN = "SELECT a.site_id AS i, b.site_id AS j, (1 + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.08) * exp(-sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.08) AS v FROM sites a, sites b"
-add("cv5_matern_correlation", lambda s, d: _matern(s, d).groupBy("i").agg(F.avg("v").alias("v")), f"SELECT i, avg(v) AS v FROM ({MATERN}) GROUP BY i", "sites", "v")
-add("cv6_error_against_matern", lambda s, d: G.covariance_error(_matern(s, d, True), G.covariance_long(V.panel(s, d))), ERROR.format(a=MATERN, b=COV), "panel sites", "error")
+MATERN = f"(SELECT i, j, {_k1_sql()} AS v FROM (SELECT a.site_id AS i, b.site_id AS j, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 0.08::DOUBLE AS x FROM sites a, sites b))"
+add("cv5_matern_correlation", lambda s, d: X.matern_by_site(V.sites(s, d)), f"SELECT i AS site_id, avg(v) AS mean, sum(v * v) AS square, max(v) FILTER (i <> j) AS nearest FROM {MATERN} GROUP BY i", "sites", "mean square nearest")
+add("cv6_error_against_matern", lambda s, d: K.covariance_error_against(V.panel(s, d), V.sites(s, d), lambda h: X.matern(h.ravel(), 1.0, 0.08).reshape(h.shape)), ERROR.format(a=MATERN, b=COV), "panel sites", "error")
 add("cv7_low_rank_covariance", lambda s, d: G.model_row(s, G.low_rank(G.basis_moments(complete_panel(s, d), _basis(s, d)))))
 add("cv8_plug_in_covariance", lambda s, d: G.model_row(s, G.plug_in(G.basis_moments(complete_panel(s, d), _basis(s, d)))))
 
@@ -413,13 +417,15 @@ add("md4_basis_fit", lambda s, d: s.createDataFrame(_fit(s, d)[3].history))
 
 
 def _binary_target(s: SparkSession, d: str) -> DataFrame:
-    rows = V.binary(s, d).groupBy(C("site_id").alias("t"), (C("seed") + 0).alias("g")).agg(F.avg("z").alias("z"), F.avg("y").alias("y"))
-    packed = rows.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("g", "z", "y"))).alias("c")).where(F.size("c") == 3).select(C("c.z").alias("z"), C("c.y").alias("y"))
-    found = [(v, i, j, float(x)) for v in ("variance_only", "full_taylor", "irls") for i, row in enumerate(D.binary_target(packed, v, 3)) for j, x in enumerate(row)]
-    return s.createDataFrame(found, "variant string, i int, j int, v double")
+    """All suppliers by months; a month's label is its most frequent one."""
+    rows = V.binary_panel(s, d)
+    parts = [K.binary_target(rows, v).withColumn("variant", F.lit(v)) for v in ("variance_only", "full_taylor", "irls")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-add("md6_binary_targets", _binary_target)
+CENTRED = "SELECT '{v}' AS variant, a.site_id AS i, b.site_id AS j, sum(a.z * b.z) - sum(a.z) * sum(b.z) / count(*) AS v FROM {rows} a JOIN {rows} b USING (t) GROUP BY ALL"
+WORKING = "(SELECT t, site_id, z + (y - p) / (p * (1 - p) + 1e-4) AS z FROM (SELECT *, 1 / (1 + exp(-z)) AS p FROM bin_panel))"
+add("md6_binary_targets", _binary_target, f"{CENTRED.format(v='variance_only', rows='bin_panel')} UNION ALL {CENTRED.format(v='irls', rows=WORKING)} UNION ALL SELECT 'full_taylor', a.site_id, b.site_id, sum((0.5::DOUBLE - a.y) * b.z + (0.5::DOUBLE - b.y) * a.z) / 2 + sum(a.z * b.z) / 8 FROM bin_panel a JOIN bin_panel b USING (t) GROUP BY ALL", "bin_panel", "v")
 ETA = "(SELECT t, k, sum(r * phi) AS eta FROM {full} JOIN phi USING (site_id) GROUP BY ALL)".format(full=FULL)
 add("md7_scores", lambda s, d: D.scores(complete_panel(s, d), V.phi(s, d)), f"SELECT * FROM {ETA}", "panel splits phi", "eta")
 FITTED = f"(SELECT t, site_id, sum(eta * phi) AS fitted FROM {ETA} JOIN phi USING (k) GROUP BY ALL)"
@@ -436,15 +442,17 @@ add("md10_fit_diagnostics", _diagnostics)
 
 
 def _bundle(s: SparkSession, d: str) -> DataFrame:
-    """Every criterion at once, on val rows: a damped panel against the panel, and soft labels."""
-    val = written(P.of_split(V.split_panel(s, d), "val").select("site_id", "t", "z"))
+    """Every criterion at once, on val rows of the standardised target: a damped panel against the panel, and soft
+    labels."""
+    own = P.standardised(V.split_panel(s, d), "z", C("split") == "train")
+    val = written(P.of_split(own, "val").select("site_id", "t", "z"))
     both = P.align(val.withColumnRenamed("z", "y"), _damped(val))
-    parts = both.agg(M.rmse(C("y"), C("z")).alias("rmse")).join(G.covariance_error(G.covariance_long(val), G.covariance_long(_damped(val))).select(C("error").alias("cov_frob")))
+    parts = both.agg(M.rmse(C("y"), C("z")).alias("rmse")).join(K.covariance_error(_both(val), "z", "damped").select(C("error").alias("cov_frob")))
     parts = parts.join(_match(s, d, val).select(C("loss").alias("sv_score")))
     return parts.join(M.auc(_soft(s, d), [], "y", "z")).join(_soft(s, d).agg(M.confusion(C("y"), C("z"))["accuracy"].alias("accuracy")))
 
 
-VAL = "(SELECT site_id, t, z FROM split_panel WHERE split = 'val')"
+VAL = "(SELECT site_id, t, (z - m) / s AS z FROM split_panel, (SELECT avg(z) AS m, stddev_pop(z) + 1e-12 AS s FROM split_panel WHERE split = 'train') WHERE split = 'val')"
 VAL_DAMPED = DAMPED.format(rows=VAL)
 ALL_AUC = AUC.replace("SELECT seed, sum(pos", "SELECT sum(pos").replace("PARTITION BY seed ", "").replace("SELECT seed, z, count", "SELECT z, count").replace(" GROUP BY seed", "")
 add("md11_validation_bundle", _bundle,
@@ -565,8 +573,11 @@ add("pi6_held_out_intervals", lambda s, d: L.held_out_prediction(V.panel(s, d),
 add("workload_reconstruction", lambda s, d: L.reconstruction(V.panel(s, d), V.sites(s, d)))
 PATCH_Z = "(r * 3 + c * 5 + 0.1 * (r * c % 7)) / 40.0::DOUBLE - 1.6"
 PATCHES = f"(SELECT split, h, {PATCH_Z} AS z FROM (SELECT f.image_id, f.r, f.c, (x.image_id IS NOT NULL)::INT::DOUBLE AS h FROM (SELECT * FROM {FRAME}) f LEFT JOIN cells x USING (image_id, r, c)) JOIN (SELECT image_id, CASE WHEN place < floor(n * 0.7::DOUBLE) THEN 'train' WHEN place < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM {IMG.replace('FROM (SELECT DISTINCT image_id FROM ann)', 'FROM (SELECT DISTINCT image_id FROM keyed)')}) USING (image_id))"
-add("workload_patch_scores", lambda s, d: L.patch_scores(V.annotations(s, d), (C("r") * 3 + C("c") * 5 + 0.1 * (C("r") * C("c") % 7)) / 40.0 - 1.6).drop("auc", "ece"),
-    f"SELECT split, count(*) AS cells, avg(((h >= 0.5) = (z >= 0))::INT) AS accuracy, coalesce(2.0 * count(*) FILTER (h >= 0.5 AND z >= 0) / nullif(2 * count(*) FILTER (h >= 0.5 AND z >= 0) + count(*) FILTER ((h >= 0.5) <> (z >= 0)), 0), 0) AS f1 FROM {PATCHES} GROUP BY split", "ann cells keyed", "accuracy f1")
+PATCH_AUC = AUC.replace("seed", "split").replace("y >=", "h >=").replace("y <", "h <").format(rows=PATCHES)
+assert "{rows}" not in PATCH_AUC
+PATCH_ECE = f"SELECT split, sum(abs(p - o)) / sum(n) AS ece FROM (SELECT split, greatest(ceil(p * 15), 1) AS b, count(*) AS n, sum(p) AS p, sum(h) AS o FROM (SELECT split, h, 1 / (1 + exp(-z)) AS p FROM {PATCHES}) GROUP BY ALL) GROUP BY split"
+PATCH_MAIN = f"SELECT split, count(*) AS cells, avg(((h >= 0.5) = (z >= 0))::INT) AS accuracy, coalesce(2.0 * count(*) FILTER (h >= 0.5 AND z >= 0) / nullif(2 * count(*) FILTER (h >= 0.5 AND z >= 0) + count(*) FILTER ((h >= 0.5) <> (z >= 0)), 0), 0) AS f1 FROM {PATCHES} GROUP BY split"
+add("workload_patch_scores", lambda s, d: L.patch_scores(V.annotations(s, d), (C("r") * 3 + C("c") * 5 + 0.1 * (C("r") * C("c") % 7)) / 40.0 - 1.6), f"SELECT * FROM ({PATCH_MAIN}) JOIN ({PATCH_ECE}) USING (split) JOIN ({PATCH_AUC}) USING (split)", "ann cells keyed", "accuracy f1 ece auc")
 
 # ---------------------------------------------------------------- sources and sinks
 

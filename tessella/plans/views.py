@@ -69,6 +69,14 @@ def binary(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select((F.col("l_orderkey") % 3).alias("seed"), F.col("l_suppkey").alias("site_id"), (F.col("l_returnflag") == "R").cast("double").alias("y"), z.alias("z"), (1 / (1 + F.exp(-z))).alias("p"), (F.col("l_tax") + 0.01).alias("var"))
 
 
+def binary_panel(spark: SparkSession, d: str) -> DataFrame:
+    """site = supplier, t = month of shipping, y = whether half of the lines or more are returned, z = mean logit."""
+    z = 0.5 + 4 * F.col("l_discount") - F.col("l_quantity") / 40
+    t = (F.year("l_shipdate") * 12 + F.month("l_shipdate") - 1995 * 12 - 1).cast("long")
+    label = F.avg((F.col("l_returnflag") == "R").cast("double")) >= 0.5
+    return read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("site_id"), t.alias("t")).agg(label.cast("double").alias("y"), F.avg(z).alias("z"))
+
+
 def quantile_predictions(spark: SparkSession, d: str) -> DataFrame:
     rows = scored(spark, d).where("model = 'climatology' AND y_pred IS NOT NULL")
     return rows.select("seed", "y_true", *[(F.col("y_pred") + o).alias(f"q{i}") for i, o in enumerate(OFFSETS)])
@@ -121,6 +129,7 @@ SQL = {
     "scored": "SELECT site_id % 3 AS seed, model, split, site_id, t, z AS y_true, CASE WHEN model = 'climatology' THEN mu ELSE prev END AS y_pred FROM split_panel LEFT JOIN (SELECT site_id, avg(z) AS mu FROM split_panel WHERE split = 'train' GROUP BY site_id) USING (site_id) LEFT JOIN (SELECT t, lag(z) OVER (ORDER BY t) AS prev FROM (SELECT t, avg(z) AS z FROM panel GROUP BY t)) USING (t), (SELECT unnest(['climatology', 'previous']) AS model)",
     "intervals": "SELECT site_id % 3 AS seed, 'climatology' AS method, split, site_id, t, z AS y_true, y_pred, var, y_pred - 1.96 * sqrt(var) AS lower, y_pred + 1.96 * sqrt(var) AS upper FROM split_panel JOIN (SELECT site_id, avg(z) AS y_pred, var_samp(z) AS var FROM split_panel WHERE split = 'train' GROUP BY site_id) USING (site_id)",
     "bin": "SELECT l_orderkey % 3 AS seed, l_suppkey AS site_id, (l_returnflag = 'R')::INT::DOUBLE AS y, 0.5 + 4 * l_discount - l_quantity / 40 AS z, 1 / (1 + exp(-(0.5 + 4 * l_discount - l_quantity / 40))) AS p, l_tax + 0.01 AS var FROM lineitem",
+    "bin_panel": "SELECT l_suppkey AS site_id, (year(l_shipdate) * 12 + month(l_shipdate) - 1995 * 12 - 1)::BIGINT AS t, (avg((l_returnflag = 'R')::INT::DOUBLE) >= 0.5)::INT::DOUBLE AS y, avg(0.5 + 4 * l_discount - l_quantity / 40) AS z FROM lineitem GROUP BY ALL",
     "quant": "SELECT seed, y_true, y_pred - 60 AS q0, y_pred - 25 AS q1, y_pred AS q2, y_pred + 25 AS q3, y_pred + 60 AS q4 FROM scored WHERE model = 'climatology' AND y_pred IS NOT NULL",
     "ann": "SELECT (l_orderkey % 500)::VARCHAR || CASE WHEN l_orderkey % 2 = 0 THEN '.jpg' ELSE '.png' END AS image_id, CASE (l_orderkey + l_linenumber) % 7 WHEN 0 THEN '' WHEN 1 THEN 'no_box' WHEN 2 THEN 'garbage' WHEN 3 THEN NULL WHEN 4 THEN '[' || x || ', ' || y || ', ' || w || ', ' || w || ']' ELSE x || ' ' || y || ' ' || (x + 70) || ' ' || (y + 40) END AS bbox FROM (SELECT *, l_partkey % 1024 AS x, l_suppkey * 7 % 1024 AS y, l_quantity::BIGINT AS w FROM lineitem)",
     "keyed": "SELECT DISTINCT regexp_replace(image_id, '\\.(jpg|png)$', '') AS image_id FROM ann",

@@ -3,8 +3,10 @@
 import math
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 from tessella.functions import scalars as S
+from tessella.operators import blocks as K
 from tessella.operators import boxes as B
 from tessella.operators import intervals as I
 from tessella.operators import metrics as M
@@ -67,11 +69,42 @@ def test_auc_ties_and_single_class(spark):
     assert M.auc(frame(spark, (1.0, 1.0), (0.1, 0.2)), [], "y", "p").first().auc == 0.5
 
 
+@pytest.mark.parametrize("bucket", [200_000, 40])
+def test_auc_by_buckets(spark, bucket):
+    """Many distinct scores with ties, two groups (one of a null key) and one class only in a third: as by ranks."""
+    rng = np.random.default_rng(1)
+    rows = [(k, float(rng.random() < 0.4) if k != "one" else 1.0, float(rng.integers(0, 300)) / 7) for k in ("a", None, "one") for _ in range(1500)]
+    df = spark.createDataFrame(rows, "g string, y double, p double")
+    got = {r.g: r.auc for r in M.auc(df, ["g"], "y", "p", bucket=bucket).collect()}
+    for g in ("a", None):
+        y, p = (np.array([r[i] for r in rows if r[0] == g]) for i in (1, 2))
+        pos, neg = p[y > 0.5], p[y < 0.5]
+        assert abs(got[g] - ((pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2)) < 1e-12
+    assert got["one"] == 0.5
+
+
+def test_auc_of_a_million_scores(spark):
+    df = spark.range(1_000_000).select(F.col("id").alias("i"), (F.xxhash64("id") / 1e18).alias("p"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("double").alias("y"))
+    rows = df.orderBy("p").toPandas()
+    rank, pos = np.arange(1, len(rows) + 1), rows["y"].to_numpy() > 0.5
+    want = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert rows["p"].nunique() == len(rows) and abs(M.auc(df, [], "y", "p").first().auc - want) < 1e-9
+
+
+def test_critical_value_of_equal_scores(spark):
+    """The histogram's path with nearly all scores equal, as by sorting."""
+    rows = [(0, float(i % 3 == 0) * 2, 0.0, 1.0) for i in range(300)] + [(1, 5.0, 0.0, 1.0)] * 50 + [(1, float(i), 0.0, 1.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "g int, y double, e double, v double")
+    for alpha in (0.05, 0.5, 0.66, 0.9):
+        a, b = (sorted(map(tuple, I.critical_value(df, ["g"], "y", "e", "v", alpha, exact_up_to=n).collect())) for n in (10_000, 5))
+        assert np.allclose(a, b)
+
+
 def test_covariance_error_of_a_doubled_field(spark):
     rows = [(t, s, float((t * 7 + s * 3) % 5)) for t in range(20) for s in range(4)]
     df = spark.createDataFrame(rows, "t long, site_id long, z double")
     double = df.withColumn("z", 2 * F.col("z"))
-    assert abs(G.covariance_error(G.covariance_long(df), G.covariance_long(double)).first().error - 3.0) < 1e-9
+    assert abs(K.covariance_error(df.join(double.withColumnRenamed("z", "w"), ["site_id", "t"]), "z", "w").first().error - 3.0) < 1e-9
     assert [r.v for r in G.covariance_long(df.where("t = 0")).collect()] == [None] * 16
 
 

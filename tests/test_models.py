@@ -93,6 +93,28 @@ def test_kriging_equals_the_full_form(spark, panel):
     assert np.allclose([var[100 + i] for i in range(4)], np.diag(cov))
 
 
+@pytest.mark.parametrize("times, sites", [(1024, 512), (7, 5)])
+def test_products_of_tall_tables(spark, panel, times, sites):
+    """Also with blocks that are not full, entries that are missing, and sites without a basis row."""
+    eta = spark.createDataFrame([(t, k, float(v)) for t, row in enumerate(R @ PHI) for k, v in enumerate(row) if (t + k) % 5], "t long, k long, eta double")
+    dense = (R @ PHI) * [[(t + k) % 5 > 0 for k in range(K)] for t in range(T)]
+    got = {(r.t, r.site_id): r.fitted for r in D.reconstructed(eta, basis(spark, PHI), times, sites).collect()}
+    assert len(got) == T * N and all(abs((dense @ PHI.T)[t, i] - v) < 1e-9 for (t, i), v in got.items())
+    some = basis(spark, PHI).where("site_id <> 3")
+    rows = D.projected(panel, some).collect()
+    left = np.delete(PHI, 3, 0)
+    want = np.delete(R, 3, 1) @ left @ PHI.T
+    assert len(rows) == T * N
+    assert all(r.fitted is None if r.site_id == 3 else abs(want[r.t, r.site_id] - r.fitted) < 1e-9 for r in rows)
+
+
+def test_no_exchange_by_component(spark, panel):
+    """Neither form deals rows by k."""
+    long = basis(spark, PHI)
+    for df in (D.projected(panel, long), D.reconstructed(D.scores(panel, long), long)):
+        assert "hashpartitioning(k#" not in df._jdf.queryExecution().toString()
+
+
 def test_conditional_scores(spark, panel):
     lam, noise = np.array([9.0, 4.0, 1.0]), 0.1
     rows = panel.withColumn("r", F.when((F.col("t") > 0) & ((F.col("t") + F.col("site_id")) % 4 != 0), F.col("r"))).where("r IS NOT NULL OR t = 0")
