@@ -1,12 +1,16 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-Each distinct set of shingles gets 128 min-hashes in 32 bands of four; sets that share a band are
-candidates. A pair at 0.8 shares none with a probability of (1 - 0.8**4)**32, 5e-8, and less above.
-Candidates are joined to groups, and inside a group all pairs are compared by their whole sets, so no
-link stands on a sketch; a text is moved once. A group of more than ``crowd`` sets, or of long texts,
-is dealt into blocks, and every two of its blocks meet in one task. A search that starts from one text
-compares each found one with those not yet found only, which gives the edges of a spanning forest: a
-large group of near copies costs about one comparison for each of them.
+Each distinct set of shingles gets 128 min-hashes in 32 bands of four; sets that share a band's hash
+meet in a place. A pair at 0.8 shares none with a probability of (1 - 0.8**4)**32, 5e-8, and less above.
+No link stands on a sketch: pairs are compared by their whole sets, and no groups are formed but by
+links that are verified.
+
+1. Each place has a hub, its smallest set. Each set is compared with one hub, that with which it shares
+   most places: one comparison a set, however many meet in a place. Verified links make components.
+2. A place whose sets are in one component by now can add nothing. In each other place (one of those with
+   the same sets) all sets are compared. A search that starts from one compares each found one with
+   those not yet found only. A place of more than ``crowd`` sets, or of long texts, is dealt into blocks,
+   and every two of its blocks meet in one task.
 
 Cases: texts without words have the empty set, digest 0, and are copies of each other and of nothing
 else; a text of fewer words than a shingle is one shingle.
@@ -108,11 +112,28 @@ def distinct_sets(found: DataFrame) -> DataFrame:
     return found.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min(F.struct("bytes", "h", "h2")).alias("one"), F.min("bands").alias("bands"))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between the sets that share a band and the smallest of them."""
+def shared_places(sets: DataFrame) -> DataFrame:
+    """(place, a, fp): the sets of each place that has more than one, and the smallest of them."""
     rows = materialize(sets.select("fp", F.explode("bands").alias("place")), "places")
     hubs = materialize(rows.groupBy("place").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    return join_counted(rows, hubs, ["place"]).where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    return materialize(join_counted(rows, hubs, ["place"]).select("place", "a", "fp"), "shared-places")
+
+
+def best_hubs(places: DataFrame) -> DataFrame:
+    """(a, b): for each set the hub with which it shares most places, the smaller one of equals."""
+    pairs = places.where("a <> fp").groupBy("fp", "a").agg(F.count("*").alias("n"))
+    return pairs.groupBy(F.col("fp").alias("b")).agg(F.min(F.struct(-F.col("n"), "a")).getField("a").alias("a")).select("a", "b")
+
+
+def open_places(places: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root): the sets of each place that is in more than one component of ``roots`` (node, root); the place
+    is the root here. Of places with the same sets (by 128 bits of hashes) one is enough."""
+    of = F.coalesce("root", "fp")
+    known = places.join(roots, places["fp"] == roots["node"], "left")
+    marks = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    each = known.groupBy("place").agg((F.min(of) < F.max(of)).alias("open"), F.count("*").alias("n"), *marks).where("open")
+    one = materialize(each.groupBy("n", "m0", "m1").agg(F.min("place").alias("place")).select("place", "n"), "open-places")
+    return join_counted(places, one, ["place"]).select(F.col("fp").alias("node"), F.col("place").alias("root"))
 
 
 def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -169,14 +190,60 @@ def _verify(size: int, similarity: float):
     return run
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-9
+
+
+def _against_hubs(size: int, similarity: float):
+    """Rows come sorted by (root, own, member), each root's own text first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, hub = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for key, member, fp, text in zip(batch["root"].to_pylist(), batch["member"].to_pylist(), batch["fp"].to_pylist(), batch["text"].cast(pa.binary())):
+                own = shingles(text.as_py() or b"", size)
+                if not member:
+                    root, hub = key, own
+                elif key == root and similar(hub, own, similarity):
+                    a.append(root)
+                    b.append(fp)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _texts(docs: DataFrame, members: DataFrame, *more: str) -> DataFrame:
+    """``members`` (h, h2, fp, root, ...) with their texts."""
+    texts = docs.select(*_keys(), "text").dropDuplicates(["h", "h2"])
+    return texts.hint("merge").join(members.select("h", "h2", "fp", "root", *more).hint("merge"), ["h", "h2"])
+
+
+def _sized(groups: DataFrame, sets: DataFrame, crowd: int, *more: str) -> DataFrame:
+    """``groups`` (node, root) with their sets' ``one`` text, and ``blocks`` for each root."""
+    members = materialize(groups.join(sets, groups["node"] == sets["fp"]).select("fp", "root", *more, "one.*"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / crowd), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    counted = materialize(members.groupBy("root").agg(F.count("*").alias("n"), blocks.alias("blocks")), "blocks")
+    return join_counted(members, counted, ["root"])
+
+
+def verified_stars(docs: DataFrame, sets: DataFrame, stars: DataFrame, *, size: int = 5, similarity: float = 0.8, crowd: int = 1024) -> DataFrame:
+    """Those of ``stars`` (a, b) that are similar. A hub's members are dealt into blocks, and the hub goes to each."""
+    rows = stars.select(F.col("b").alias("node"), F.col("a").alias("root"), F.lit(True).alias("member"))
+    hubs = stars.select(F.col("a").alias("node"), F.col("a").alias("root"), F.lit(False).alias("member")).distinct()
+    members = _sized(rows.unionByName(hubs), sets, crowd, "member")
+    own = F.when(F.col("member"), F.array(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = _texts(docs, members, "member", "blocks").withColumn("own", F.explode(own)).select("root", "own", "member", "fp", "text")
+    rows = rows.repartition("root", "own").sortWithinPartitions("root", "own", "member")
+    return rows.mapInArrow(_against_hubs(size, similarity), "a long, b long")
+
+
 def verified(docs: DataFrame, sets: DataFrame, groups: DataFrame, *, size: int = 5, similarity: float = 0.8, crowd: int = 1024) -> DataFrame:
     """Edges (a, b) whose components are those of all similar pairs inside ``groups`` (node, root)."""
-    members = materialize(groups.join(sets, groups["node"] == sets["fp"]).select("fp", "root", "one.*"), "members")
-    blocks = F.greatest(F.ceil(F.count("*") / crowd), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    members = join_counted(members, materialize(members.groupBy("root").agg(F.count("*").alias("n"), blocks.alias("blocks")), "blocks"), ["root"])
+    members = _sized(groups, sets, crowd)
     members = members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    texts = docs.select(*_keys(), "text").dropDuplicates(["h", "h2"])
-    rows = texts.hint("merge").join(members.select("h", "h2", "fp", "root", "blocks", "own").hint("merge"), ["h", "h2"])
+    rows = _texts(docs, members, "blocks", "own")
     rows = rows.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("own")))))
     rows = rows.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "text")
     rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")

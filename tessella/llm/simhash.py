@@ -220,9 +220,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     component_id: the smallest doc_id that is reachable over links, the document's own included."""
     found = materialize(resemblance.sketches(docs, size=size), "sketches")
     sets = materialize(resemblance.distinct_sets(found), "sets")
-    pairs = materialize(resemblance.candidates(sets), "candidates")
-    groups = materialize(components(pairs), "groups")
-    edges = materialize(resemblance.verified(docs, sets, groups, size=size, similarity=similarity, crowd=crowd), "verified")
+    options = {"size": size, "similarity": similarity, "crowd": crowd}
+    places = resemblance.shared_places(sets)
+    stars = materialize(resemblance.best_hubs(places), "stars")
+    edges = materialize(resemblance.verified_stars(docs, sets, stars, **options), "verified")
+    left = materialize(resemblance.open_places(places, components(edges)), "open")
+    if left.head(1):
+        edges = edges.unionByName(materialize(resemblance.verified(docs, sets, left, **options), "verified-places"))
     return _of_documents(found.select("doc_id", "fp"), classes(sets.select("fp", "first", "n"), edges))
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from tessella.llm import simhash
+from tessella.llm import resemblance, simhash
 from tests.llm.data import DOC_SCHEMA, awkward_documents, documents, words
 
 
@@ -138,3 +138,37 @@ def test_edited_copies_go(spark):
         rows += [(2 * i, " ".join(text), "en", "a", 1), (2 * i + 1, " ".join(edited), "en", "a", 1)]
     kept = simhash.deduplicate(spark.createDataFrame(rows, DOC_SCHEMA))
     assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
+
+
+def test_a_chain_is_verified_link_by_link(spark):
+    """Texts that are each like the next, the ends with nothing in common: one comparison each, and some in small
+    places, of 4.5 million pairs."""
+    rng = random.Random(11)
+    stream = words(rng, 3000 * 12 + 200).split()
+    texts = [" ".join(stream[12 * i : 12 * i + 150]) for i in range(3000)]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOC_SCHEMA)
+    sets = resemblance.distinct_sets(resemblance.sketches(frame))
+    places = resemblance.shared_places(sets)
+    stars = resemblance.best_hubs(places)
+    assert stars.count() < 3000
+    edges = resemblance.verified_stars(frame, sets, stars)
+    left = resemblance.open_places(places, simhash.components(edges)).groupBy("root").count().collect()
+    assert max(r["count"] for r in left) < 20 and sum(r["count"] * (r["count"] - 1) // 2 for r in left) < 75_000
+    assert {r.component_id for r in simhash.near_duplicates(frame).collect()} == {0}
+
+
+def test_places_of_unlike_sets(spark):
+    """Families that share half of their shingles meet in places, but stay apart; crowded places go by blocks."""
+    rng = random.Random(12)
+    base, rows = words(rng, 200).split(), []
+    for f in range(12):
+        own = [*base[:100], *words(rng, 100).split()]
+        for i in range(6):
+            edited = [*own]
+            edited[rng.randrange(200)] = f"w{f}x{i}"
+            rows.append((6 * f + i, " ".join(edited), "en", "a", 1))
+    frame = spark.createDataFrame(rows, DOC_SCHEMA)
+    for crowd in (1024, 4):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, crowd=crowd).collect()}
+        assert got == {i: c for (i, *_), c in zip(rows, brute_near_copies([(r[0], r[1]) for r in rows]))}
+    assert len(set(got.values())) == 12
