@@ -6,10 +6,12 @@ one is a snapshot of it and goes (anti-join); of equal ones the smallest conv_id
 is rendered with role marks. The rolling hash of a prefix is the bitwise exclusive or of two 64-bit
 hashes of (place, role, text) of its turns: 128 bits that depend on the order.
 
-Only hashes are shuffled to find the snapshots; texts move once, and only those that are rendered.
-Copies and shared prefixes are reduced to distinct hashes before the anti-join, so a common first
-turn or a conversation with many copies is no hot key. A conversation is one output value, so its
-turns are expected to fit one task.
+Only hashes are shuffled to find the snapshots, and the prefix hashes are written once for all that is
+read from them. Copies and shared prefixes are reduced to distinct hashes before the anti-join, so a
+common first turn or a conversation with many copies is no hot key. Then turns with their texts move
+once, by conversation: the same exchange serves the join with the kept conversations and the rendering
+(if those are few, they are broadcast and only turns that are rendered move). A conversation is one
+output value, so its turns are expected to fit one task.
 
 Cases: turns go by ``turn`` (nulls last), then by the hash of role and text, so ties and repeated
 rows have a fixed order and count as turns; null role and null text differ from empty ones in hashes
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.common import materialize
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
@@ -42,7 +46,7 @@ def prefix_hashes(conversations: DataFrame) -> DataFrame:
 
 def maximal(conversations: DataFrame) -> DataFrame:
     """(conv_id, copies) of the conversations that no longer one starts with, one of each."""
-    hashed = prefix_hashes(conversations)
+    hashed = materialize(prefix_hashes(conversations), "prefixes")
     whole = hashed.where("place = turns").groupBy("turns", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
     starts = hashed.where("place < turns").select(F.col("place").alias("p"), F.col("a").alias("pa"), F.col("b").alias("pb")).distinct()
     return whole.join(starts, (F.col("turns") == F.col("p")) & (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti").select("conv_id", "copies")
@@ -55,10 +59,18 @@ def _plain(c: str) -> Column:
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, text): the maximal conversations, rendered turn by turn."""
-    kept = maximal(conversations).select(F.col("conv_id").alias("kept"), "copies")
+    kept = materialize(maximal(conversations), "maximal")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumns({"x": _turn_hash(1), "y": _turn_hash(2)})
-    rows = rows.join(kept, F.col("conv_id").eqNullSafe(F.col("kept")))
     line = F.concat(F.lit(OPEN), _plain("role"), F.lit("\n"), _plain("text"), F.lit(CLOSE + "\n"))
     turn = F.struct(F.col("turn").isNull().alias("last"), "turn", "x", "y", line.alias("line"))
-    chats = rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("copies").alias("n_copies"), F.sort_array(F.collect_list(turn)).alias("all"))
-    return chats.select("conv_id", "n_turns", "n_copies", F.array_join(F.col("all.line"), "").alias("text"))
+
+    def rendered(rows: DataFrame) -> DataFrame:
+        chats = rows.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max("copies").alias("n_copies"), F.sort_array(F.collect_list(turn)).alias("all"))
+        return chats.select("conv_id", "n_turns", "n_copies", F.array_join(F.col("all.line"), "").alias("text"))
+
+    named = rendered(rows.where("conv_id IS NOT NULL").join(kept.where("conv_id IS NOT NULL"), "conv_id"))
+    unnamed = kept.where("conv_id IS NULL")
+    if not unnamed.head(1):
+        return named
+    # One row: the conversation of all rows without a conv_id.
+    return named.unionByName(rendered(rows.where("conv_id IS NULL").join(F.broadcast(unnamed.select("copies")))))

@@ -38,3 +38,15 @@ def test_repeated_rows_and_order(spark):
 
 def test_empty_table(spark):
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_turns_move_once(spark):
+    """Without broadcasts, turns and kept conversations are dealt by conv_id, once each; grouping needs no more."""
+    rows = [(c, t, "user", f"{c % 3} {t}", 1, 2) for c in range(30) for t in range(3)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = chat.format_chats(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2 and "coalesce(conv_id" not in plan
