@@ -42,6 +42,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove written tables that no later step reads, so that the shared folder holds what is in use."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: A key with more than this share of all rows is dealt with by itself; there are fewer such keys.
 HEAVY = 1000
 

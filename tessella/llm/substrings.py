@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_counted, materialize, renamed, slices, text_bytes
+from tessella.llm.common import join_counted, materialize, release, renamed, slices, text_bytes
 
 GRAM = 32
 BLOCK = 128
@@ -266,9 +266,10 @@ def repeats(docs: DataFrame, *, length: int = 200, bits: int = 64) -> DataFrame:
     long = keyed(docs).where(F.octet_length("text") >= length)
 
     # Buckets by 32-gram, and by all strings of the anchor.
-    anchors = materialize(long.mapInArrow(_anchors(length, bits), "k long, s long, place long, gram long, hull long, hull2 long"), "anchors")
-    grams = materialize(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
-    anchors = materialize(join_counted(anchors, grams, ["gram"], "left_semi"), "shared-anchors")
+    every = materialize(long.mapInArrow(_anchors(length, bits), "k long, s long, place long, gram long, hull long, hull2 long"), "anchors")
+    grams = materialize(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    anchors = materialize(join_counted(every, grams, ["gram"], "left_semi"), "shared-anchors")
+    release(every, grams)
     whole = ["gram", "hull", "hull2"]
     hulls = materialize(anchors.groupBy(*whole).agg(F.count("*").alias("n"), F.min(F.struct("k", "s", "place")).alias("one")), "hulls")
     twins = join_counted(anchors, hulls.where("n > 1").select(*whole, "n"), whole, "left_semi")
@@ -285,15 +286,17 @@ def repeats(docs: DataFrame, *, length: int = 200, bits: int = 64) -> DataFrame:
     near = materialize(near.withColumn("nid", F.monotonically_increasing_id()), "near")
 
     # Buckets by runs of offsets, below those. A bucket counts if it has two members and an open one.
-    runs = materialize(near.mapInArrow(_runs(length, bits), "bucket long, first int, c1 long, c2 long, reach int, h1 long, h2 long, ref long"), "runs")
+    cut = materialize(near.mapInArrow(_runs(length, bits), "bucket long, first int, c1 long, c2 long, reach int, h1 long, h2 long, ref long"), "runs")
     is_open = F.max(F.col("ref").bitwiseAND(1)) == 1
     of, hull = ["bucket", "first", "c1", "c2"], ["run", "reach", "h1", "h2"]
     differs = F.min(F.struct(*hull[1:])) != F.max(F.struct(*hull[1:]))
-    kinds = runs.groupBy(*of).agg(F.count("*").alias("n"), is_open.alias("open"), differs.alias("mixed")).where("n > 1 AND open")
+    kinds = cut.groupBy(*of).agg(F.count("*").alias("n"), is_open.alias("open"), differs.alias("mixed")).where("n > 1 AND open")
     kinds = materialize(kinds.select(*of, "n", "mixed", F.monotonically_increasing_id().alias("run")), "kinds")
-    runs = materialize(join_counted(runs, kinds, of).select(*hull, "first", "ref", "mixed"), "shared-runs")
-    alike = runs.groupBy(*hull).agg(F.count("*").alias("n"), F.min("ref").alias("one")).where("n > 1")
-    runs = materialize(join_counted(runs, materialize(alike, "alike"), hull, "left"), "known-runs").withColumnRenamed("n", "m")
+    shared = materialize(join_counted(cut, kinds, of).select(*hull, "first", "ref", "mixed"), "shared-runs")
+    release(cut, kinds)
+    alike = materialize(shared.groupBy(*hull).agg(F.count("*").alias("n"), F.min("ref").alias("one")).where("n > 1"), "alike")
+    runs = materialize(join_counted(shared, alike, hull, "left"), "known-runs").withColumnRenamed("n", "m")
+    release(shared, alike)
     nid = F.shiftright("ref", 1)
     whole_runs = runs.where("m IS NOT NULL AND ref % 2 = 1").select(nid.alias("id"), "first", F.lit(RUN).alias("span"))
 
