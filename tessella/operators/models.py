@@ -303,28 +303,52 @@ def conditional(panel: DataFrame, phi: DataFrame, eigenvalues: np.ndarray, noise
     """(t, eta, cov) given what a panel (t, site_id, value) shows at each time, on a long basis; nothing seen
     (no finite value, or none at a site of the basis): the prior.
 
-    A time's sites meet in blocks, each of which leaves a k x k sum, so neither sites nor times are bounded."""
+    The covariance depends on the sites that are seen only, so it is solved once for each such pattern, which
+    128 bits of hashes stand for, at one of its times. Sites meet in blocks, each of which leaves a k x k
+    or a k sum, so neither sites nor times are bounded."""
+    parts, times = _seen(panel, phi, value, block)
     k, lam = len(eigenvalues), np.asarray(eigenvalues, float)
+
+    def inner(f: pd.DataFrame) -> pd.DataFrame:
+        b = np.stack(f["b"].to_numpy())
+        return pd.DataFrame({"t": f["t"].iloc[:1], "x": [(b.T @ b).tobytes()]})
+
+    def solved(f: pd.DataFrame) -> pd.DataFrame:
+        cov = np.linalg.inv(np.diag(1 / (lam + 1e-12)) + sum(np.frombuffer(x) for x in f["x"]).reshape(k, k) / noise + 1e-12 * np.eye(k))
+        return pd.DataFrame({"rep": f["t"].iloc[:1], "cov": [[list(x) for x in cov]]})
+
+    def side(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"t": f["t"].iloc[:1], "k": [list(range(k))], "x": [np.stack(f["b"].to_numpy()).T @ f["v"].to_numpy(float)]})
+
+    patterns = patterns_of(times)
+    one = parts.join(patterns.select(F.col("rep").alias("t")), "t", "left_semi")
+    covariances = one.groupBy("t", "block").applyInPandas(inner, "t long, x binary").groupBy("t").applyInPandas(solved, "rep long, cov array<array<double>>")
+    sums = parts.groupBy("t", "block").applyInPandas(side, "t long, k array<int>, x array<double>")
+    sums = sums.groupBy("t").agg(F.array(*[F.sum(F.col("x")[i]) for i in range(k)]).alias("side"))
+    known = times.join(patterns, ["p", "q", "n"]).join(covariances, "rep").join(sums, "t")
+    zero, none = F.lit(0.0), times.where("n = 0")
+    inner_product = lambda row: F.aggregate(F.zip_with(row, "side", lambda a, b: a * b), zero, lambda a, x: a + x)
+    prior = F.array(*[F.array(*[F.lit(float(lam[i]) if i == j else 0.0) for j in range(k)]) for i in range(k)])
+    seen = known.select("t", F.transform("cov", lambda row: inner_product(row) / noise).alias("eta"), "cov")
+    return seen.unionByName(none.select("t", F.array(*[zero] * k).alias("eta"), prior.alias("cov")))
+
+
+def _seen(panel: DataFrame, phi: DataFrame, value: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(t, site_id, v, b, block) of what is seen at sites of the basis, and (t, n, p, q) for every time: how many
+    sites those are, and two hashes of which ones."""
     rows = phi.groupBy("site_id").agg(F.sort_array(F.collect_list(F.struct("k", "phi"))).alias("c")).select("site_id", F.col("c.phi").alias("b"))
     blocks = max(1, -(-rows.count() // block))
     cells = panel.groupBy("t", "site_id").agg(F.avg(value).alias("v")).join(rows, "site_id", "left")
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("site_id"), F.lit(blocks)))
+    own = F.col("b").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < float("inf"))
+    cells = written(cells.withColumns({"own": own, "block": F.pmod(F.xxhash64("site_id"), F.lit(blocks))}))
+    mark = lambda salt: F.coalesce(F.bit_xor(F.when(F.col("own"), F.xxhash64(F.lit(salt), "site_id"))), F.lit(0).cast("long"))
+    times = written(cells.groupBy("t").agg(F.count_if("own").alias("n"), mark(1).alias("p"), mark(2).alias("q")))
+    return cells.where("own"), times
 
-    def partial(f: pd.DataFrame) -> pd.DataFrame:
-        own = f[np.isfinite(f["v"].to_numpy(float)) & f["b"].notna().to_numpy()]
-        b = np.stack(own["b"].to_numpy()) if len(own) else np.zeros((0, k))
-        return pd.DataFrame({"t": f["t"].iloc[:1], "n": [len(own)], "inner": [(b.T @ b).tobytes()], "side": [(b.T @ own["v"].to_numpy(float)).tobytes()]})
-
-    def solved(f: pd.DataFrame) -> pd.DataFrame:
-        inner, side = (sum(np.frombuffer(x) for x in f[c]) for c in ("inner", "side"))
-        cov, eta = np.diag(lam), np.zeros(k)
-        if f["n"].sum():
-            cov = np.linalg.inv(np.diag(1 / (lam + 1e-12)) + inner.reshape(k, k) / noise + 1e-12 * np.eye(k))
-            eta = cov @ side / noise
-        return pd.DataFrame({"t": f["t"].iloc[:1], "eta": [eta], "cov": [[list(x) for x in cov]]})
 
-    parts = cells.groupBy("t", "block").applyInPandas(partial, "t long, n long, inner binary, side binary")
-    return parts.groupBy("t").applyInPandas(solved, "t long, eta array<double>, cov array<array<double>>")
+def patterns_of(times: DataFrame) -> DataFrame:
+    """(p, q, n, rep): each pattern of seen sites, and the first time that has it."""
+    return times.where("n > 0").groupBy("p", "q", "n").agg(F.min("t").alias("rep"))
 
 
 def predictive_variance(phi: np.ndarray, cov: np.ndarray, noise: float) -> np.ndarray:
@@ -427,9 +451,54 @@ def fit_forecaster(eta: DataFrame, ridge: float = 1e-4) -> Forecaster:
     return Forecaster(np.linalg.solve(add("xx") + ridge * np.eye(k), add("xy")).T, last)
 
 
+def save_forecaster(spark, path: str, model: Forecaster, version: int = 0, steps: int = 0) -> None:
+    """One row of a model table: version, matrix, last state, and by how many steps it came from the version before."""
+    row = [(version, [list(map(float, x)) for x in model.matrix], list(map(float, model.last)), steps)]
+    spark.createDataFrame(row, "version long, matrix array<array<double>>, last array<double>, steps int").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version:012d}")
+
+
+def model_versions(spark, path: str) -> DataFrame:
+    return spark.read.schema("version long, matrix array<array<double>>, last array<double>, steps int").option("recursiveFileLookup", True).parquet(path)
+
+
+def load_forecaster(spark, path: str, version: int | None = None) -> tuple[int, Forecaster]:
+    """The newest version, or the one that is named."""
+    rows = model_versions(spark, path)
+    row = (rows if version is None else rows.where(F.col("version") == version)).orderBy(F.col("version").desc()).first()
+    if row is None:
+        raise ValueError("there is no such version of the model")
+    return row.version, Forecaster(np.array(row.matrix), np.array(row["last"]))
+
+
+def claimed(spark, path: str) -> bool:
+    """Whether this call made the file ``path``; of several calls, one does."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(place)
+
+
+def carried_forecast(path: str, phi: DataFrame, mu: DataFrame, version: int | None = None, take_over: bool = False) -> tuple[DataFrame, int]:
+    """The forecast of the model table at ``path``, and the version that holds the state it ends with, from which the
+    next call goes on. ``version``: the state to start from, the newest one if it is not named.
+
+    The next version is claimed by making a file that is not there yet, so of two calls from one state one writes
+    it. A call from a version that has been gone on from is a rerun: the same rows, and nothing is written; it
+    is an error if it asks for another number of steps. So is a version that is claimed and not written;
+    ``take_over`` writes it in place of a call that was lost."""
+    spark = mu.sparkSession
+    at, model = load_forecaster(spark, path, version)
+    steps = mu.agg(F.max("h")).first()[0] or 0
+    if claimed(spark, f"{path}/_claim-{at + 1:012d}") or take_over:
+        states = model.states(steps)
+        save_forecaster(spark, path, Forecaster(model.matrix, states[-1] if states else model.last), at + 1, steps)
+    row = model_versions(spark, path).where(F.col("version") == at + 1).select("steps").first()
+    if row is None or row.steps != steps:
+        raise ValueError(f"version {at + 1} is claimed by a call that is not done" if row is None else f"version {at + 1} is {row.steps} steps on, not {steps}")
+    return forecast(model, phi, mu), at + 1
+
+
 def forecast(model: Forecaster | None, phi: DataFrame, mu: DataFrame) -> DataFrame:
     """(h, site_id, value) for the horizon table ``mu`` (h from 1, site_id, mu); without a model,
-    the trend alone. The state is the model's: the next call may go on from ``states``."""
+    the trend alone. ``carried_forecast`` keeps the state between calls."""
     if model is None:
         return mu.select("h", "site_id", F.col("mu").alias("value"))
     steps = mu.agg(F.max("h")).first()[0] or 0

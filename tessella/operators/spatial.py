@@ -67,13 +67,30 @@ def neighbour_distance(sites: DataFrame, k: int = 4) -> DataFrame:
     return nearest(sites, k).groupBy(F.col("i").alias("site_id")).agg(F.avg("h").alias("distance"))
 
 
-def nearest_key(keys: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (tau1, tau2), the stored pair that is nearest in logarithms. Trials are few:
-    every stored key is compared."""
+def nearest_key(keys: DataFrame, wanted: DataFrame, most: int = 10_000) -> DataFrame:
+    """(w1, w2, tau1, tau2): for each wanted (tau1, tau2), the stored pair that is nearest in logarithms, the smaller
+    one of equally near ones.
+
+    Up to ``most`` stored pairs are broadcast, and each is compared. More of them are searched by cells of the
+    plane of logarithms, within a reach that is doubled for those that have found nothing yet."""
     log = lambda c: F.log10(F.col(c) + 1e-12)
-    d = (log("tau1") - log("w1")) * (log("tau1") - log("w1")) + (log("tau2") - log("w2")) * (log("tau2") - log("w2"))
-    asked = wanted.select(F.col("tau1").alias("w1"), F.col("tau2").alias("w2"))
-    return keys.join(asked).groupBy("w1", "w2").agg(F.min_by(F.struct("tau1", "tau2"), F.struct(d, "tau1", "tau2")).alias("b")).select("w1", "w2", "b.tau1", "b.tau2")
+    own = written(keys.select("tau1", "tau2").distinct().select("tau1", "tau2", log("tau1").alias("x"), log("tau2").alias("y")).withColumn("id", 2 * F.monotonically_increasing_id()))
+    asked = written(wanted.select(F.col("tau1").alias("w1"), F.col("tau2").alias("w2")).distinct().select("w1", "w2", log("w1").alias("x"), log("w2").alias("y")).withColumn("id", 2 * F.monotonically_increasing_id() + 1))
+    stats = own.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in XY]).first()
+    best = lambda d: F.min_by(F.struct("tau1", "tau2"), F.struct(d, "tau1", "tau2")).alias("b")
+    if stats["n"] <= most:
+        near = F.broadcast(own.select("tau1", "tau2", F.col("x").alias("kx"), F.col("y").alias("ky")))
+        d = (F.col("kx") - F.col("x")) * (F.col("kx") - F.col("x")) + (F.col("ky") - F.col("y")) * (F.col("ky") - F.col("y"))
+        return asked.join(near).groupBy("w1", "w2").agg(best(d)).select("w1", "w2", "b.tau1", "b.tau2")
+    reach, left, parts = 2 * max(1e-9, stats["x"], stats["y"]) / stats["n"] ** 0.5, asked, []
+    while left.head(1):
+        found = neighbours_within(left, own, reach, key="id").join(own.select(F.col("id").alias("j"), "tau1", "tau2"), "j")
+        parts.append(written(found.groupBy("i").agg(best(F.col("h"))).select(F.col("i").alias("id"), "b.tau1", "b.tau2")))
+        left, reach = written(left.join(parts[-1], "id", "left_anti")), 2 * reach
+    everything = parts[0]
+    for part in parts[1:]:
+        everything = everything.unionByName(part)
+    return asked.join(everything, "id").select("w1", "w2", "tau1", "tau2")
 
 
 # ---------------------------------------------------------------- variograms

@@ -529,6 +529,18 @@ def _forecast(s: SparkSession, d: str) -> DataFrame:
 
 
 add("md19_md20_forecast", _forecast)
+
+
+def _carried(s: SparkSession, d: str) -> DataFrame:
+    """Two calls of two steps each, the second from the state that the first one left."""
+    basis, path = _basis(s, d), new_folder(s)
+    D.save_forecaster(s, path, D.fit_forecaster(D.scores(complete_panel(s, d).where("split = 'train'"), basis)))
+    mu = V.panel(s, d).groupBy("site_id").agg(F.avg("z").alias("mu")).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    first, second = (D.carried_forecast(path, basis, mu)[0] for _ in range(2))
+    return first.unionByName(second.withColumn("h", C("h") + 2))
+
+
+add("md20_carried_forecast", _carried)
 add("md21_retracted_basis", lambda s, d: D.orthonormal(_basis(s, d).withColumn("phi", 2 * C("phi"))))
 RBF = "greatest(1 - least(r, 1), 0) ** 6 * (35 * least(r, 1) ** 2 + 18 * least(r, 1) + 3) / 3"
 GRID = "(SELECT level, id, (id // side) * gap AS cx, (id % side) * gap AS cy, 2.5 * gap AS bw FROM (SELECT level, unnest(range(side * side)) AS id, side, 1.0::DOUBLE / (side - 1) AS gap FROM (VALUES (0, 5), (1, 9)) v(level, side)))"

@@ -176,6 +176,53 @@ def test_forecast_follows_the_autoregression(spark):
     assert np.allclose(model.states(3)[2], want @ want @ want @ eta[-1])
 
 
+def test_carried_forecasts_go_on(spark, tmp_path):
+    """Two calls of two steps are one of four; a rerun of a version gives the same rows and writes nothing."""
+    a = np.array([[0.9, 0.1, 0.0], [0.0, 0.5, 0.2], [0.1, 0.0, 0.7]])
+    model, long = D.Forecaster(a, np.array([1.0, -2.0, 0.5])), basis(spark, PHI)
+    mu = lambda steps: spark.createDataFrame([(h, s, float(s)) for h in range(1, steps + 1) for s in range(N)], "h int, site_id long, mu double")
+    rows = lambda df, off=0: {(r.h + off, r.site_id): r.value for r in df.collect()}
+    path = "file://" + str(tmp_path / "model")
+    D.save_forecaster(spark, path, model)
+    first, v1 = D.carried_forecast(path, long, mu(2))
+    second, v2 = D.carried_forecast(path, long, mu(2))
+    both, whole = rows(first) | rows(second, 2), rows(D.forecast(model, long, mu(4)))
+    assert (v1, v2) == (1, 2) and both.keys() == whole.keys() and all(abs(both[k] - whole[k]) < 1e-12 for k in whole)
+    again, v = D.carried_forecast(path, long, mu(2), version=0)
+    assert v == 1 and rows(again) == rows(first) and D.model_versions(spark, path).count() == 3
+    with pytest.raises(ValueError):
+        D.carried_forecast(path, long, mu(3), version=1)
+    assert D.claimed(spark, f"{path}/_claim-{3:012d}")
+    with pytest.raises(ValueError):
+        D.carried_forecast(path, long, mu(2))
+    assert D.carried_forecast(path, long, mu(2), take_over=True)[1] == 3
+
+
+def test_one_covariance_for_each_pattern(spark, panel):
+    """Times with the same holes share a covariance, and it is that of each time by itself."""
+    rows = panel.where("(t % 3 <> 1 OR site_id <> 2) AND (t % 3 <> 2 OR site_id < 5)")
+    lam, noise = np.array([9.0, 4.0, 1.0]), 0.1
+    _, times = D._seen(rows, basis(spark, PHI), "r", 4096)
+    assert D.patterns_of(times).count() == 3
+    got = {r.t: (np.array(r.eta), np.array(r["cov"])) for r in D.conditional(rows, basis(spark, PHI), lam, noise, block=5).collect()}
+    seen = [range(N), [i for i in range(N) if i != 2], range(5)]
+    for t in range(T):
+        b = PHI[list(seen[t % 3])]
+        cov = np.linalg.inv(np.diag(1 / (lam + 1e-12)) + b.T @ b / noise + 1e-12 * np.eye(K))
+        assert np.allclose(got[t][1], cov) and np.allclose(got[t][0], cov @ b.T @ R[t, list(seen[t % 3])] / noise)
+
+
+def test_nearest_keys_by_cells(spark):
+    rng = np.random.default_rng(5)
+    keys = [(float(10 ** a), float(10 ** b)) for a, b in rng.uniform(-3, 3, (400, 2))] + [(0.0, 1.0), (0.0, 0.0)]
+    wanted = [(float(10 ** a), float(10 ** b)) for a, b in rng.uniform(-4, 4, (60, 2))] + [(0.0, 0.0), keys[3]]
+    k, w = (spark.createDataFrame(x, "tau1 double, tau2 double") for x in (keys, wanted))
+    got = [sorted(map(tuple, X.nearest_key(k, w, most=m).collect())) for m in (10_000, 10)]
+    log = lambda x: np.log10(np.array(x) + 1e-12)
+    want = sorted((*x, *min(keys, key=lambda y: (((log(x) - log(y)) ** 2).sum(), y))) for x in wanted)
+    assert got[0] == got[1] == want
+
+
 def test_matern_against_known_values():
     assert abs(X.bessel_k(1.0, np.array([1.0]))[0] - 0.60190723) < 1e-7
     assert X.matern(np.array([0.0]), 1.0)[0] == 1 and abs(X.matern(np.array([2.0]), 0.5)[0] - np.exp(-2)) < 1e-6
