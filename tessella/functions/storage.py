@@ -39,3 +39,13 @@ def written(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove written tables that no later step reads."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -19,6 +19,7 @@ from tessella.functions.storage import written
 from tessella.functions.tasks import in_task
 from tessella.operators.moments import LowRank, Moments, crossed, spectrum
 from tessella.operators.panel import index_of
+from tessella.operators.splines import distances, spline_kernel
 
 # ---------------------------------------------------------------- regression
 
@@ -41,21 +42,9 @@ def ols_predict(features: Sequence[str], w: Sequence[float], b: float) -> Column
 # ---------------------------------------------------------------- smoothing and interpolation
 
 
-def spline_kernel(r: np.ndarray, d: int) -> np.ndarray:
-    if d not in (1, 2, 3):
-        raise ValueError("coordinates have 1, 2 or 3 dimensions")
-    safe = np.where(r < 1e-8, 1.0, r)
-    k = {1: safe**3 / 12, 2: safe**2 * np.log(safe) / (8 * np.pi), 3: -safe / (8 * np.pi)}[d]
-    return np.where(r < 1e-8, 0.0, k)
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
-
-
 def _spline_system(xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, d = xy.shape
-    kernel = spline_kernel(_distances(xy, xy), d)
+    kernel = spline_kernel(distances(xy, xy), d)
     side = np.column_stack([np.ones(n), xy])
     return kernel, np.block([[kernel, side], [side.T, np.zeros((d + 1, d + 1))]]) + 1e-8 * np.eye(n + d + 1)
 
@@ -67,28 +56,6 @@ def smoothing_matrix(xy: np.ndarray) -> np.ndarray:
     return inner.T @ kernel @ inner
 
 
-def spline_weights(xy: np.ndarray, phi: np.ndarray) -> np.ndarray:
-    _, system = _spline_system(xy)
-    return np.linalg.solve(system, np.vstack([phi, np.zeros((xy.shape[1] + 1, phi.shape[1]))]))
-
-
-def interpolate_basis(new_sites: DataFrame, xy: np.ndarray, phi: np.ndarray, coordinates: Sequence[str] = ("x", "y")) -> DataFrame:
-    """(site_id, phi array<double>) at new sites, by a thin-plate spline through the basis."""
-    if len(xy) != len(phi):
-        raise ValueError("one basis row for each site")
-    spark = new_sites.sparkSession
-    shared = spark.sparkContext.broadcast((xy, in_task(spark, spline_weights, xy, phi)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, w = shared.value
-        for f in frames:
-            at = f[list(coordinates)].to_numpy(float)
-            out = spline_kernel(_distances(at, own), own.shape[1]) @ w[: len(own)] + np.column_stack([np.ones(len(at)), at]) @ w[len(own) :]
-            yield pd.DataFrame({"site_id": f["site_id"], "phi": list(out)})
-
-    return new_sites.select("site_id", *coordinates).mapInPandas(run, "site_id long, phi array<double>")
-
-
 # ---------------------------------------------------------------- basis fits
 
 
@@ -98,16 +65,20 @@ def retracted(matrix: np.ndarray) -> np.ndarray:
     return u @ vt
 
 
+def rotated(phi: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """A long basis (site_id, k, phi) times a k x k matrix."""
+    k, m = matrix.shape
+    table = phi.sparkSession.createDataFrame([(i, j, float(matrix[i, j])) for i in range(k) for j in range(m)], "k long, to long, w double")
+    return phi.join(F.broadcast(table), "k").groupBy("site_id", F.col("to").alias("k")).agg(F.sum(F.col("phi") * F.col("w")).alias("phi"))
+
+
 def orthonormal(phi: DataFrame) -> DataFrame:
     """The nearest long basis (site_id, k, phi) with orthonormal columns, phi (phi'phi)^-1/2: one k x k aggregate
     and a join with its inverse root, whatever the number of sites."""
     values, vectors = np.linalg.eigh(crossed(phi, "site_id", "phi"))
     if not len(values) or values[0] <= 1e-12 * values[-1]:
         raise ValueError("the basis needs independent columns")
-    root = (vectors / np.sqrt(values)) @ vectors.T
-    k = len(root)
-    table = phi.sparkSession.createDataFrame([(i, j, float(root[i, j])) for i in range(k) for j in range(k)], "k long, to long, w double")
-    return phi.join(F.broadcast(table), "k").groupBy("site_id", F.col("to").alias("k")).agg(F.sum(F.col("phi") * F.col("w")).alias("phi"))
+    return rotated(phi, (vectors / np.sqrt(values)) @ vectors.T)
 
 
 def basis_from(matrix: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -351,49 +322,13 @@ def patterns_of(times: DataFrame) -> DataFrame:
     return times.where("n > 0").groupBy("p", "q", "n").agg(F.min("t").alias("rep"))
 
 
-def predictive_variance(phi: np.ndarray, cov: np.ndarray, noise: float) -> np.ndarray:
-    return np.einsum("ik,kl,il->i", phi, cov, phi) + noise
-
-
-def predicted_at(conditionals: DataFrame, targets: dict[int, np.ndarray], noise: float) -> DataFrame:
-    """(t, site_id, mean, var) at target sites, from ``conditional``'s rows: a narrow product with
-    the targets' basis rows, which are broadcast (one for each site)."""
-    names = sorted(targets)
-    shared = conditionals.sparkSession.sparkContext.broadcast((names, np.stack([targets[i] for i in names])))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, b = shared.value
-        for f in frames:
-            for at in range(0, len(f), 256):
-                own = f.iloc[at : at + 256]
-                mean = np.stack([np.asarray(x) for x in own["eta"]]) @ b.T
-                var = [predictive_variance(b, np.stack(list(c)), noise) for c in own["cov"]]
-                yield pd.DataFrame({"t": np.repeat(own["t"].to_numpy(), len(ids)), "site_id": np.tile(ids, len(own)), "mean": mean.ravel(), "var": np.concatenate(var)})
-
-    return conditionals.mapInPandas(run, "t long, site_id long, mean double, var double")
-
-
-def kriging(panel: DataFrame, phi: DataFrame, fit: LowRank, targets: dict[int, np.ndarray], value: str = "r") -> tuple[DataFrame, dict[int, float]]:
-    """Means (t, site_id, mean) at target sites for all times of a complete panel, and the variance
-    at each of them. K x K only: scores on the basis by one join, then a narrow product."""
-    lam, g = np.diag(fit.eigenvalues), fit.rotation.T @ fit.inner @ fit.rotation
-    x = np.linalg.lstsq(fit.noise * np.eye(len(lam)) + lam @ g, lam, rcond=None)[0]
-    names = sorted(targets)
-    there = np.stack([targets[i] for i in names]) @ fit.rotation
-    weights = fit.rotation @ x @ there.T
-    inner = lam - lam @ g @ x
-    variance = np.maximum(np.einsum("ik,kl,il->i", there, inner, there) + fit.noise, 0)
-    shared = panel.sparkSession.sparkContext.broadcast((names, weights))
-    packed = scores(panel, phi, value).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("k", "eta"))).alias("c")).select("t", F.col("c.eta").alias("eta"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, w = shared.value
-        for f in frames:
-            if len(f):
-                out = np.stack(f["eta"].to_numpy()) @ w
-                yield pd.DataFrame({"t": np.repeat(f["t"].to_numpy(), len(ids)), "site_id": np.tile(ids, len(f)), "mean": out.ravel()})
-
-    return packed.mapInPandas(run, "t long, site_id long, mean double"), dict(zip(names, variance.tolist()))
+def predicted_at(rows: DataFrame, conditionals: DataFrame, basis: DataFrame, noise: float) -> DataFrame:
+    """``rows`` (t, site_id, ...) with their ``mean`` and ``var``, from ``conditional``'s rows and the basis rows (site_id,
+    phi array) of the sites: each row meets its time and its site, so only what is asked for is computed."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    out = rows.join(conditionals.select("t", F.col("eta").alias("_eta"), F.col("cov").alias("_cov")), "t").join(basis.select("site_id", F.col("phi").alias("_phi")), "site_id")
+    spread = dot(F.transform("_cov", lambda row: dot(row, F.col("_phi"))), F.col("_phi"))
+    return out.withColumns({"mean": dot(F.col("_eta"), F.col("_phi")), "var": spread + noise}).drop("_eta", "_cov", "_phi")
 
 
 def kriging_at(panel: DataFrame, phi: DataFrame, fit: LowRank, new_basis: DataFrame, value: str = "r") -> tuple[DataFrame, DataFrame]:
@@ -404,8 +339,8 @@ def kriging_at(panel: DataFrame, phi: DataFrame, fit: LowRank, new_basis: DataFr
     x = np.linalg.lstsq(fit.noise * np.eye(len(lam)) + lam @ g, lam, rcond=None)[0]
     weights, inner = fit.rotation @ x @ fit.rotation.T, fit.rotation @ (lam - lam @ g @ x) @ fit.rotation.T
     k = len(lam)
-    table = panel.sparkSession.createDataFrame([(i, j, float(weights[i, j])) for i in range(k) for j in range(k)], "k long, to long, w double")
-    turned = scores(panel, phi, value).join(F.broadcast(table), "k").groupBy("t", F.col("to").alias("k")).agg(F.sum(F.col("eta") * F.col("w")).alias("eta"))
+    turned = rotated(scores(panel, phi, value).select(F.col("t").alias("site_id"), "k", F.col("eta").alias("phi")), weights)
+    turned = turned.select(F.col("site_id").alias("t"), "k", F.col("phi").alias("eta"))
     long = new_basis.select("site_id", F.posexplode("phi").alias("k", "phi"))
     mean = reconstructed(turned, long).withColumnRenamed("fitted", "mean")
     square = sum((float(inner[i, j]) * F.col("phi")[i] * F.col("phi")[j] for i in range(k) for j in range(k)), F.lit(float(fit.noise)))

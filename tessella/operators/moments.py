@@ -18,7 +18,8 @@ from tessella.functions.storage import written
 from tessella.operators.blocks import pair_sums
 from tessella.operators.panel import index_of
 
-MOST_SITES = 4000
+#: A matrix of all sites is held by one task (and, for fits, comes to the driver) up to so many: 32 MB.
+MOST_SITES = 2048
 STRIPE = 256
 
 

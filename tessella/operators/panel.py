@@ -223,11 +223,6 @@ def align(truth: DataFrame, predictions: DataFrame, keys: Sequence[str] = ("site
     return truth.join(predictions, list(keys), "left")
 
 
-def wide(panel: DataFrame, sites: Sequence[int], value: str = "z") -> DataFrame:
-    """One column for each of some few sites; duplicates are averaged."""
-    return panel.groupBy("t").pivot("site_id", list(sites)).agg(F.avg(value))
-
-
 def packed(panel: DataFrame, value: str = "z") -> DataFrame:
     """(t, ids, vals): the sites seen at a time, in order, and their values; duplicates averaged."""
     cells = panel.groupBy("t", "site_id").agg(F.avg(value).alias("_v"))

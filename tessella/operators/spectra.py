@@ -37,7 +37,7 @@ class Tiles:
     trace: float
 
 
-def _joined(parts: DataFrame, key: str) -> DataFrame:
+def joined(parts: DataFrame, key: str) -> DataFrame:
     """(key, x): the sum of the matrices of each key, a pair of 16 partial sums at most meeting in one task."""
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
@@ -86,8 +86,8 @@ def product(own: Tiles, columns: DataFrame) -> DataFrame:
         return run
 
     sized = own.tiles.join(columns.select("sb", "n"), "sb")
-    eta = _joined(own.tiles.join(columns, "sb").mapInPandas(along(lambda tile, x: tile @ x.reshape(tile.shape[1], -1), "tb"), "tb int, x binary"), "tb")
-    return _joined(sized.join(eta, "tb").mapInPandas(along(lambda tile, x: tile.T @ x.reshape(tile.shape[0], -1), "sb"), "sb int, x binary"), "sb")
+    eta = joined(own.tiles.join(columns, "sb").mapInPandas(along(lambda tile, x: tile @ x.reshape(tile.shape[1], -1), "tb"), "tb int, x binary"), "tb")
+    return joined(sized.join(eta, "tb").mapInPandas(along(lambda tile, x: tile.T @ x.reshape(tile.shape[0], -1), "sb"), "sb int, x binary"), "sb")
 
 
 def crossed(columns: DataFrame) -> np.ndarray:
@@ -102,7 +102,7 @@ def crossed(columns: DataFrame) -> np.ndarray:
         if total is not None:
             yield pd.DataFrame({"g": [0], "x": [total.tobytes()]})
 
-    row = _joined(columns.mapInPandas(run, "g int, x binary"), "g").first()
+    row = joined(columns.mapInPandas(run, "g int, x binary"), "g").first()
     size = 0 if row is None else round((len(row.x) // 8) ** 0.5)
     return np.frombuffer(row.x).reshape(size, size) if row else np.zeros((0, 0))
 
@@ -119,16 +119,18 @@ def combined(columns: DataFrame, weights: np.ndarray) -> DataFrame:
     return columns.mapInPandas(run, "sb int, n int, x binary")
 
 
-def _side_by_side(parts: list[DataFrame], picks: list[int]) -> DataFrame:
-    """The columns of ``parts`` in one table; the first has ``n``. ``picks``: the order of the parts."""
+def beside(parts: list[DataFrame]) -> DataFrame:
+    """The columns of ``parts`` in one table; the first has ``n``."""
     out = parts[0].withColumnRenamed("x", "x0")
     for i, p in enumerate(parts[1:], 1):
         out = out.join(p.select("sb", F.col("x").alias(f"x{i}")), "sb")
 
+    count = len(parts)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                x = [np.frombuffer(getattr(r, f"x{i}")).reshape(r.n, -1) for i in picks]
+                x = [np.frombuffer(getattr(r, f"x{i}")).reshape(r.n, -1) for i in range(count)]
                 yield pd.DataFrame({"sb": [r.sb], "n": [r.n], "x": [np.concatenate(x, 1).tobytes()]})
 
     return out.mapInPandas(run, "sb int, n int, x binary")
@@ -192,7 +194,7 @@ def leading(sites: DataFrame, multiply: Callable[[DataFrame], DataFrame], k: int
     if not k:
         return Leading(np.zeros(0), combined(sites.select("sb", "n").withColumn("x", F.lit(b"")), np.zeros((0, 0))), sites, 0.0, 0)
     block = written(_started(sites.select("sb", "n"), wide))
-    state = written(_side_by_side([block, multiply(block)], [0, 1]))
+    state = written(beside([block, multiply(block)]))
     m, last = wide, False
     for i in range(1, rounds + 1):
         g = crossed(state)

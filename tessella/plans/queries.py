@@ -22,6 +22,7 @@ from tessella.operators import panel as P
 from tessella.operators import reports as R
 from tessella.operators import spatial as X
 from tessella.operators import spectra as E
+from tessella.operators import splines as N
 from tessella.plans import views as V
 from tessella.plans import workloads as L
 from tessella.sources import tables as T
@@ -327,20 +328,11 @@ def _moments(s: SparkSession, d: str, **options) -> G.Moments:
     return G.moments(complete_panel(s, d), "r", **options)
 
 
-def _orthonormal(s: SparkSession, d: str, names: list, k: int = 3) -> np.ndarray:
-    """The view's basis at the panel's sites, with orthonormal columns."""
-    return D.retracted(_basis_matrix(s, d, names, k))
-
-
 def _basis(s: SparkSession, d: str) -> DataFrame:
     """The same as a long table, which no bound on sites applies to."""
     return written(D.orthonormal(P.only(V.phi(s, d), V.panel(s, d), ["site_id"])))
 
 
-def _long_basis(s: SparkSession, names: list, phi: np.ndarray) -> DataFrame:
-    return s.createDataFrame([(int(i), j, float(v)) for i, row in zip(names, phi) for j, v in enumerate(row)], "site_id long, k long, phi double")
-
-
 def _coords(s: SparkSession, d: str, names: list) -> np.ndarray:
     rows = {r.site_id: (r.x, r.y) for r in P.only(V.sites(s, d), V.panel(s, d), ["site_id"]).collect()}
     return np.array([rows[i] for i in names])
@@ -378,11 +370,6 @@ add("cv10_spectrum_errors", lambda s, d: G.spectrum_errors(*[table for table, _
 add("cv10_eigenvector_alignment", lambda s, d: E.cosines(*[found.long() for _, found in _halves(s, d)]))
 
 
-def _basis_matrix(s: SparkSession, d: str, names: list, k: int = 3) -> np.ndarray:
-    rows = {(r.site_id, r.k): r.phi for r in P.only(V.phi(s, d, k), V.panel(s, d), ["site_id"]).collect()}
-    return np.array([[rows.get((i, j), 0.0) for j in range(k)] for i in names])
-
-
 add("cv15_residual_moments", lambda s, d: G.residual_moments(complete_panel(s, d), P.only(V.phi(s, d), V.panel(s, d), ["site_id"])), f"SELECT (SELECT sqrt(sum(phi ** 2)) FROM phi SEMI JOIN panel USING (site_id)) AS basis_norm, sqrt(sum(v * v)) / max(n) AS norm, sum(v) FILTER (i = j) / max(n) AS trace FROM (SELECT a.site_id AS i, b.site_id AS j, sum(a.r * b.r) AS v, count(*) AS n FROM {FULL} a JOIN {FULL} b USING (t) GROUP BY ALL)", "panel splits phi", "basis_norm norm trace")
 
 # ---------------------------------------------------------------- models
@@ -398,9 +385,7 @@ add("md1_md2_least_squares", _ols, "SELECT seed, avg(a + b * z) AS fit, sqrt(avg
 
 
 def _penalised(s: SparkSession, d: str) -> DataFrame:
-    m = _moments(s, d, where=C("split") == "train")
-    phi = in_task(s, L.penalised, m.gram, _coords(s, d, m.sites), 1.0, 3)
-    return _long_basis(s, m.sites, phi)
+    return L.penalised(G.complete_cells(complete_panel(s, d), "r", C("split") == "train")[0], V.sites(s, d), 3, 1.0)
 
 
 add("md3_md5_penalised_basis", _penalised)
@@ -494,8 +479,9 @@ add("md12_md13_trials", _trials)
 
 
 def _new_basis(s: SparkSession, d: str) -> DataFrame:
-    m = _moments(s, d)
-    return D.interpolate_basis(P.without(V.sites(s, d), V.panel(s, d), ["site_id"]), _coords(s, d, m.sites), _orthonormal(s, d, m.sites))
+    """The basis at every site without data, by the splines through it at the others."""
+    own = P.only(V.sites(s, d), V.panel(s, d), ["site_id"])
+    return N.interpolated(N.splines(own), _basis(s, d), P.without(V.sites(s, d), V.panel(s, d), ["site_id"]))
 
 
 add("md14_interpolated_basis", lambda s, d: _new_basis(s, d).select("site_id", F.posexplode("phi").alias("k", "phi")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.storage import written
 from tessella.functions.tasks import in_task
-from tessella.operators import boxes, intervals, metrics, models, moments, panel, reports
+from tessella.operators import boxes, intervals, metrics, models, moments, panel, reports, splines
 
 C = F.col
 
@@ -30,7 +30,16 @@ def long_basis(spark, names: list, phi: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(int(i), k, float(v)) for i, row in zip(names, phi) for k, v in enumerate(row)], "site_id long, k long, phi double")
 
 
-def penalised(gram: np.ndarray, xy: np.ndarray, tau1: float, k: int) -> np.ndarray:
+def penalised(cells: DataFrame, sites: DataFrame, k: int, tau1: float) -> DataFrame:
+    """(site_id, k, phi): the leading eigenvectors of R'R - tau1 times the smoothing matrix, of a complete panel (t,
+    site_id, v). Few sites are one matrix in one task; more of them are tiles, with the same result."""
+    if cells.select("site_id").distinct().limit(moments.MOST_SITES + 1).count() > moments.MOST_SITES:
+        return splines.penalised(cells, sites, k, tau1)[0].long()
+    m = moments.moments(cells, "v")
+    return long_basis(cells.sparkSession, m.sites, in_task(cells.sparkSession, _dense_penalised, m.gram, coordinates(sites, m.sites), tau1, k))
+
+
+def _dense_penalised(gram: np.ndarray, xy: np.ndarray, tau1: float, k: int) -> np.ndarray:
     return models.penalised_basis(gram, models.smoothing_matrix(xy), tau1, k)
 
 
@@ -61,20 +70,18 @@ def held_out_prediction(observed: DataFrame, sites: DataFrame, share: float = 0.
 
     Means and the basis come from observed sites at train times; the basis goes to the held-out
     sites by a spline; scores at each time are conditional on what is seen there."""
-    spark = observed.sparkSession
     rows = written(panel.attach_split(observed, panel.split_contiguous(observed)))
     seen, held = (written(part) for part in panel.split_sites(rows, share, seed))
     level = seen.where("split = 'train'").agg(F.avg("z")).first()[0]
-    stats = moments.moments(filled(seen.where("split = 'train'").withColumn("r", C("z") - level), "r"), "r")
-    xy = coordinates(sites, stats.sites)
-    phi = in_task(spark, penalised, stats.gram, xy, tau1, k)
-    fit = moments.plug_in(stats, phi, rotate=True)
-    basis = phi @ fit.rotation
-    there = models.interpolate_basis(sites.join(held.select("site_id").distinct(), "site_id", "left_semi"), xy, basis)
-    targets = {r.site_id: np.array(r.phi) for r in there.collect()}
+    complete = written(filled(seen.where("split = 'train'").withColumn("r", C("z") - level), "r"))
+    places = sites.join(complete.select("site_id").distinct(), "site_id", "left_semi")
+    phi = written(penalised(complete.select("t", "site_id", C("r").alias("v")), places, k, tau1))
+    fit = moments.plug_in(moments.basis_moments(complete, phi), rotate=True)
+    basis = written(models.rotated(phi, fit.rotation))
+    there = splines.interpolated(splines.splines(places), basis, sites.join(held.select("site_id").distinct(), "site_id", "left_semi"))
     later = seen.where("split <> 'train'").withColumn("r", C("z") - level)
-    scores = models.conditional(later, long_basis(spark, stats.sites, basis), fit.eigenvalues, fit.noise)
-    found = held.where("split <> 'train'").join(models.predicted_at(scores, targets, fit.noise), ["t", "site_id"])
+    scores = models.conditional(later, basis, fit.eigenvalues, fit.noise)
+    found = models.predicted_at(held.where("split <> 'train'"), scores, there, fit.noise)
     found = found.select("split", C("z").alias("y"), (C("mean") + level).alias("eta"), "var")
     found = written(found)
     q = intervals.critical_value(found.where("split = 'val'").withColumn("g", F.lit(1)), ["g"], "y", "eta", "var", alpha)

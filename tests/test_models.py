@@ -83,14 +83,16 @@ def test_kriging_equals_the_full_form(spark, panel):
     m = G.moments(panel, "r")
     fit = G.low_rank(m, PHI)
     new = RNG.normal(size=(4, K))
-    mean, var = D.kriging(panel, basis(spark, PHI), fit, {100 + i: row for i, row in enumerate(new)})
+    there = spark.createDataFrame([(100 + i, [float(x) for x in row]) for i, row in enumerate(new)], "site_id long, phi array<double>")
+    mean, var = D.kriging_at(panel, basis(spark, PHI), fit, there)
     b, p = PHI @ fit.rotation, new @ fit.rotation
     lam = np.diag(fit.eigenvalues)
     gain = np.linalg.solve(b @ lam @ b.T + fit.noise * np.eye(N), b @ lam @ p.T)
     want, cov = R @ gain, p @ lam @ p.T + fit.noise * np.eye(4) - (b @ lam @ p.T).T @ gain
     got = {(r.t, r.site_id - 100): r["mean"] for r in mean.collect()}
     assert all(abs(want[t, i] - v) < 1e-8 for (t, i), v in got.items()) and len(got) == T * 4
-    assert np.allclose([var[100 + i] for i in range(4)], np.diag(cov))
+    spread = {r.site_id - 100: r["var"] for r in var.collect()}
+    assert np.allclose([spread[i] for i in range(4)], np.diag(cov))
 
 
 @pytest.mark.parametrize("times, sites", [(1024, 512), (7, 5)])
@@ -126,7 +128,11 @@ def test_conditional_scores(spark, panel):
     cov = np.linalg.inv(np.diag(1 / lam) + b.T @ b / noise)
     assert np.allclose(got[5][1], cov, atol=1e-6) and np.allclose(got[5][0], cov @ b.T @ R[5, seen] / noise, atol=1e-6)
     assert np.allclose(got[0][0], 0) and np.allclose(got[0][1], np.diag(lam))
-    assert np.allclose(D.predictive_variance(PHI, cov, noise), [p @ cov @ p + noise for p in PHI])
+    new = RNG.normal(size=(3, K))
+    asked = spark.createDataFrame([(t, 100 + i, 7.0) for t in (0, 5) for i in range(3)], "t long, site_id long, z double")
+    there = spark.createDataFrame([(100 + i, [float(x) for x in row]) for i, row in enumerate(new)], "site_id long, phi array<double>")
+    out = {(r.t, r.site_id - 100): r for r in D.predicted_at(asked, D.conditional(rows, basis(spark, PHI), lam, noise), there, noise).collect()}
+    assert len(out) == 6 and all(np.isclose(r["mean"], new[i] @ got[t][0]) and np.isclose(r["var"], new[i] @ got[t][1] @ new[i] + noise) and r.z == 7 for (t, i), r in out.items())
 
 
 def test_basis_fit_equals_the_row_form():
@@ -155,14 +161,6 @@ def test_basis_fit_equals_the_row_form():
     assert abs(best - fit.best_rmse) < 1e-9 and np.allclose(np.abs(phi.T @ fit.phi), np.eye(K), atol=1e-6)
 
 
-def test_spline_goes_through_its_points(spark):
-    sites = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(XY)], "site_id long, x double, y double")
-    got = {r.site_id: np.array(r.phi) for r in D.interpolate_basis(sites, XY, PHI).collect()}
-    assert all(np.allclose(got[i], PHI[i], atol=1e-4) for i in range(N))
-    omega = D.smoothing_matrix(XY)
-    assert np.allclose(omega, omega.T, atol=1e-6)
-
-
 def test_forecast_follows_the_autoregression(spark):
     a = np.array([[0.9, 0.1], [0.0, 0.5]])
     eta = [np.array([1.0, 2.0])]
