@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +23,6 @@ def new_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/panels/{uuid.uuid4().hex}"
 
 
-def mounted(path: str) -> str:
-    """The plain path of a place on a file system that driver and executors mount, for array files that are
-    mapped into memory; any other storage is an error."""
-    found = urlparse(path)
-    if found.scheme not in ("", "file"):
-        raise ValueError(f"array files need a mounted file system, not {found.scheme}")
-    return unquote(found.path) if found.scheme else path
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df``, written and read back: what is used more than once is computed once, and a lost executor
     costs no more than its own tasks."""

@@ -286,12 +286,13 @@ def interpolated(s: Splines, phi: DataFrame, new_sites: DataFrame, coordinates:
 
 
 def penalised(cells: DataFrame, sites: DataFrame, k: int, tau1: float, value: str = "v", coordinates: Sequence[str] = ("x", "y"), block: int = BLOCK, **options) -> tuple[spectra.Leading, Splines]:
-    """The k leading eigenvectors of R'R - tau1 times the smoothing matrix, of a complete panel (t, site_id, value)."""
+    """The k leading eigenvectors of R'R - tau1 times the smoothing matrix, of a complete panel (t, site_id, value). Its
+    product with columns is their splines' weights, but for a part of the ridge's size."""
     own = spectra.tiled(cells, value, sites=block)
     s = splines(sites.join(cells.select("site_id").distinct(), "site_id", "left_semi"), coordinates, block)
 
     def multiply(columns: DataFrame) -> DataFrame:
-        both = spectra.beside([written(spectra.product(own, columns).join(columns.select("sb", "n"), "sb").select("sb", "n", "x")), roughness(s, columns)])
+        both = spectra.beside([written(spectra.product(own, columns).join(columns.select("sb", "n"), "sb").select("sb", "n", "x")), _solved(s, columns)[0]])
         m = _width(columns)
         return spectra.combined(both, np.vstack([np.eye(m), -tau1 * np.eye(m)])).select("sb", "x")
 

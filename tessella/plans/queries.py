@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import numpy as np
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
-from tessella.functions.storage import mounted, new_folder, written
+from tessella.functions.storage import new_folder, written
 from tessella.functions.tasks import in_task
 from tessella.operators import blocks as K
 from tessella.operators import boxes as B
@@ -665,10 +664,9 @@ def _cube(s: SparkSession, d: str) -> str:
     place = rows.select("i", F.lit(0).alias("t"), F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), C(c).alias("value")) for v, c in enumerate(("y", "x"))])).alias("p")).distinct()
     cells = rows.select("i", F.lit(2).alias("variable"), "t", C("z").alias("value")).unionByName(place.select("i", "p.variable", "t", "p.value"))
     size = rows.agg(F.max("i") + 1, F.max("t") + 1).first()
-    folder = mounted(new_folder(s))
-    os.makedirs(folder)
-    T.write_cube(cells, f"{folder}/cube.npy", (size[0], 3, size[1]))
-    return f"{folder}/cube.npy"
+    folder = new_folder(s)
+    T.write_cube(cells, folder, (size[0], 3, size[1]))
+    return folder
 
 
 CUBE = "(SELECT dense_rank() OVER (ORDER BY site_id) - 1 AS site_id, x, y, t, z FROM panel JOIN sites USING (site_id))"
@@ -687,7 +685,7 @@ add("io3_cube_part", _cube_part, f"SELECT site_id, x, y, t - first AS t, z FROM
 
 def _archives(s: SparkSession, d: str) -> DataFrame:
     folder = new_folder(s)
-    T.write_archives(V.scored(s, d), mounted(folder), times=16, sites=64)
+    T.write_archives(V.scored(s, d), folder, times=16, sites=64)
     rows = T.read_archives(s, folder).where("y_true IS NOT NULL")
     return rows.withColumn("seed", C("seed").cast("long"))
 

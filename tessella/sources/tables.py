@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.arrays import parts_of, registered
+
 OBSERVATIONS = "x double, y double, t long, z double"
 RESULTS = "experiment string, seed int, model string, split string, metric string, value double"
 EIGENVALUES = "component int, eigenvalue double, cumulative_explained_variance double"
@@ -33,47 +33,34 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return own.select("x", "y", F.col("t").cast("long").alias("t"), "z")
 
 
-def read_cube(spark: SparkSession, path: str, variable: int, lat: int = 0, lon: int = 1, keep: int | None = None, start: int = 0, partitions: int = 8) -> DataFrame:
-    """(site_id, x, y, t, z) of a (site, variable, time) array file on storage that all executors
-    mount. Each task maps the file into memory and reads its own sites; ``keep``: the last so many
-    times, from ``start`` on; non-finite values are left out."""
-    cube = np.load(path, mmap_mode="r", allow_pickle=False)
-    if cube.ndim != 3:
-        raise ValueError("a cube has three axes: site, variable, time")
-    n_sites, n_variables, n_times = cube.shape
-    if not all(0 <= v < n_variables for v in (variable, lat, lon)):
-        raise ValueError(f"variables are numbered 0 to {n_variables - 1}")
-    if keep is not None and not 0 < keep <= n_times:
-        raise ValueError(f"keep is 1 to {n_times}")
-    first = max(start, n_times - keep if keep else 0)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.load(path, mmap_mode="r", allow_pickle=False)
-        for f in frames:
-            for i in f["id"].tolist():
-                z = np.asarray(own[i, variable, first:], float)
-                ok = np.isfinite(z)
-                yield pd.DataFrame({"site_id": i, "x": float(own[i, lon, 0]), "y": float(own[i, lat, 0]), "t": np.flatnonzero(ok), "z": z[ok]})
-
-    return spark.range(0, n_sites, 1, partitions).mapInPandas(run, "site_id long, x double, y double, t long, z double")
+def read_cube(spark: SparkSession, path: str, variable: int, lat: int = 0, lon: int = 1, keep: int | None = None, start: int = 0, sites: int = 1024) -> DataFrame:
+    """(site_id, x, y, t, z) of a (site, variable, time) array file, or a folder of such files. A task reads the byte
+    ranges of up to ``sites`` sites; ``keep``: the last so many times, from ``start`` on, and only these are
+    read; non-finite values are left out."""
+    shape = cube_shape(path)
+    if not all(0 <= v < shape[1] for v in (variable, lat, lon)):
+        raise ValueError(f"variables are numbered 0 to {shape[1] - 1}")
+    if keep is not None and not 0 < keep <= shape[2]:
+        raise ValueError(f"keep is 1 to {shape[2]}")
+    first = max(start, shape[2] - keep if keep else 0)
+    cube = registered(spark).read.format("tessella_cube").options(lat=lat, lon=lon, sites=sites).load(path)
+    return cube.where((F.col("variable") == variable) & (F.col("t") >= first)).select("site_id", "x", "y", (F.col("t") - first).alias("t"), "z")
 
 
-def write_cube(cells: DataFrame, path: str, shape: tuple[int, int, int]) -> None:
-    """(i, variable, t, value) as a (site, variable, time) array file of doubles on storage that driver and
-    executors mount; cells that are not given are NaN. A task writes whole sites in place, so one that runs
-    again writes the same; every site from 0 on needs a cell."""
-    np.lib.format.open_memmap(path, mode="w+", dtype=np.float64, shape=shape).flush()
+def cube_shape(path: str) -> tuple[int, int, int]:
+    parts = parts_of(path)
+    if any(len(p.shape) != 3 for p in parts):
+        raise ValueError("a cube has three axes: site, variable, time")
+    return (parts[-1].first + parts[-1].shape[0], *parts[-1].shape[1:])
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        site = np.full(shape[1:], np.nan)
-        site[f["variable"].to_numpy(), f["t"].to_numpy()] = f["value"].to_numpy(float)
-        cube = np.lib.format.open_memmap(path, mode="r+")
-        cube[int(f["i"].iloc[0])] = site
-        cube.flush()
-        return f[["i"]].iloc[:1]
 
-    if cells.select("i", "variable", "t", "value").groupBy("i").applyInPandas(run, "i long").count() != shape[0]:
-        raise ValueError("a site has no cell")
+def write_cube(cells: DataFrame, path: str, shape: tuple[int, int, int], sites: int = 64) -> None:
+    """(i, variable, t, value) as a folder of (site, variable, time) array files of doubles, up to ``sites`` sites each;
+    cells that are not given are NaN, and every site from 0 on needs a cell."""
+    rows = cells.select(F.floor(F.col("i") / sites).cast("long").alias("part"), F.col("i").cast("long").alias("i"), F.col("variable").cast("int").alias("variable"), F.col("t").cast("long").alias("t"), F.col("value").cast("double").alias("value"))
+    rows = rows.repartition("part").sortWithinPartitions("part")
+    registered(cells.sparkSession)
+    rows.write.format("tessella_cube").options(shape=",".join(map(str, shape)), sites=sites).mode("append").save(path)
 
 
 def save_cube_part(spark: SparkSession, path: str, out: str, variable: int, keep: int, **options) -> None:
@@ -136,31 +123,14 @@ def read_archives(spark: SparkSession, folder: str, pattern: str = "seed_*.npz")
     return files.mapInPandas(run, "seed int, model string, site_id long, t long, y_true double, y_pred double")
 
 
-def write_archives(df: DataFrame, folder: str, times: int = 256, sites: int = 1024) -> int:
-    """Predictions as archives on storage that driver and executors mount, and how many. A seed's matrix is cut
-    into parts of so many times and about so many sites, so no task holds a whole one; cells that are not given
-    are NaN. Parts are renamed into place, so a task that runs again leaves the same files."""
-    os.makedirs(folder, exist_ok=True)
+def write_archives(df: DataFrame, folder: str, times: int = 256, sites: int = 1024) -> None:
+    """Predictions as archives. A seed's matrix is cut into parts of so many times and about so many sites, so no task
+    holds a whole one; cells that are not given are NaN."""
     blocks = max(1, -(-df.select("site_id").distinct().count() // sites))
-    rows = df.select("seed", "model", "site_id", "t", "y_true", "y_pred", F.floor(F.col("t") / times).alias("span"), F.pmod(F.xxhash64("site_id"), F.lit(blocks)).alias("block"))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        (t, row), (site, column) = (np.unique(f[c].to_numpy(), return_inverse=True) for c in ("t", "site_id"))
-        seed = int(f["seed"].iloc[0])
-
-        def matrix(at: np.ndarray, values: pd.Series) -> np.ndarray:
-            out = np.full((len(t), len(site)), np.nan)
-            out[row[at], column[at]] = values.to_numpy(float)[at]
-            return out
-
-        models = {m: matrix((f["model"] == m).to_numpy(), f["y_pred"]) for m in sorted(f["model"].unique())}
-        name = f"{folder}/seed_{seed}_{int(f['span'].iloc[0])}_{int(f['block'].iloc[0])}"
-        own = f"{folder}/.{uuid.uuid4().hex}.npz"
-        np.savez(own, seed=seed, t=t, site_id=site, y_true=matrix(np.ones(len(f), bool), f["y_true"]), **models)
-        os.replace(own, f"{name}.npz")
-        return f[["seed"]].iloc[:1]
-
-    return rows.groupBy("seed", "span", "block").applyInPandas(run, "seed long").count()
+    rows = df.select(F.col("seed").cast("long").alias("seed"), F.floor(F.col("t") / times).cast("long").alias("span"), F.pmod(F.xxhash64("site_id"), F.lit(blocks)).alias("block"), "model", "site_id", "t", "y_true", "y_pred")
+    rows = rows.repartition("seed", "span", "block").sortWithinPartitions("seed", "span", "block")
+    registered(df.sparkSession)
+    rows.write.format("tessella_archives").mode("append").save(folder)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
-from tessella.functions.storage import mounted
+from pyspark.sql.datasource import GreaterThanOrEqual, In, LessThan, StringContains
+from tessella.sources import arrays as A
 from tessella.sources import tables as T
 
 
@@ -19,15 +20,66 @@ def test_cube(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "part")).count() == 49
 
 
-def test_cube_is_written_by_sites(spark, tmp_path):
-    cells = spark.createDataFrame([(0, 1, 2, 5.0), (1, 0, 0, -1.0), (1, 1, 1, 7.0)], "i long, variable int, t long, value double")
-    path = str(tmp_path / "w.npy")
-    T.write_cube(cells, path, (2, 2, 3))
-    want = np.full((2, 2, 3), np.nan)
-    want[0, 1, 2], want[1, 0, 0], want[1, 1, 1] = 5, -1, 7
-    assert np.array_equal(np.load(path), want, equal_nan=True)
-    with pytest.raises(ValueError):
-        T.write_cube(cells, path, (3, 2, 3))
+def whole(spark, path):
+    """The cube of a folder, by its own reader."""
+    shape = T.cube_shape(path)
+    out = np.full(shape, np.nan)
+    for r in A.registered(spark).read.format("tessella_cube").load(path).collect():
+        out[r.site_id, r.variable, r.t] = r.z
+    return out
+
+
+@pytest.mark.parametrize("sites", [64, 2])
+def test_cube_is_written_by_sites(spark, tmp_path, sites):
+    rng = np.random.default_rng(2)
+    want = np.where(rng.random((5, 2, 3)) < 0.4, np.nan, rng.normal(size=(5, 2, 3)))
+    want[:, 0, 0] = 1
+    cells = spark.createDataFrame([(int(i), int(v), int(t), float(want[i, v, t])) for i, v, t in zip(*np.nonzero(np.isfinite(want)))], "i long, variable int, t long, value double")
+    path = "file://" + str(tmp_path / "w")
+    T.write_cube(cells, path, (5, 2, 3), sites)
+    files = sorted(f.name for f in (tmp_path / "w").iterdir() if not f.name.startswith("."))
+    assert files == sorted(["_SUCCESS", *(f"sites_{i:012d}.npy" for i in range(0, 5, sites))])
+    assert np.array_equal(whole(spark, path), want, equal_nan=True)
+    with pytest.raises(Exception, match="a site has no cell"):
+        T.write_cube(cells, str(tmp_path / "more"), (6, 2, 3), sites)
+    assert not (tmp_path / "more").exists() or not list((tmp_path / "more").iterdir())
+
+
+def test_filters_read_fewer_bytes(spark, tmp_path):
+    cube = np.random.default_rng(3).normal(size=(40, 5, 100)).astype(np.float32)
+    np.save(tmp_path / "c.npy", cube)
+    path = str(tmp_path / "c.npy")
+    every = A.CubeReader(path, {})
+    some = A.CubeReader(path, {"sites": 7})
+    other = StringContains(("t",), "1")
+    filters = [In(("variable",), (3, 9)), GreaterThanOrEqual(("t",), 90), LessThan(("site_id",), 10), other]
+    assert list(some.pushFilters(filters)) == [other]
+    assert every.planned() == 40 * (2 + 5 * 100) * 4 and some.planned() == 10 * (2 + 10) * 4
+    df = A.registered(spark).read.format("tessella_cube").load(path).where("variable IN (3, 9) AND t >= 90 AND site_id < 10 AND z > 0")
+    got = {(r.site_id, r.t): r.z for r in df.collect()}
+    assert got == {(i, t): float(cube[i, 3, t]) for i in range(10) for t in range(90, 100) if cube[i, 3, t] > 0}
+    assert "PythonFilters" in df._jdf.queryExecution().executedPlan().toString() or len(got)
+    assert df.where("t < 5").count() == 0
+
+
+def test_only_attempts_that_count_leave_files(tmp_path):
+    """A task that failed once, and one that ran twice; then a job that fails."""
+    rows = lambda seed: iter([{"seed": seed, "span": 0, "block": 0, "model": "m", "t": t, "site_id": 1, "y_true": 1.0, "y_pred": 2.0} for t in range(3)])
+
+    def broken():
+        yield from rows(1)
+        raise RuntimeError("lost")
+
+    writer = A.ArchiveWriter(str(tmp_path / "a"), {})
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    first, again, other = writer.write(rows(1)), writer.write(rows(1)), writer.write(rows(2))
+    assert first.files != again.files
+    writer.commit([again, None, other])
+    assert sorted(f.name for f in (tmp_path / "a").iterdir()) == ["_SUCCESS", "seed_1_0_0.npz", "seed_2_0_0.npz"]
+    failed = A.ArchiveWriter(str(tmp_path / "b"), {})
+    failed.abort([failed.write(rows(1))])
+    assert not list((tmp_path / "b").iterdir())
 
 
 def test_annotation_dialects(spark, tmp_path):
@@ -60,17 +112,13 @@ def test_archives_in_parts(spark, tmp_path):
     df = spark.createDataFrame(rows, "seed long, model string, site_id long, t long, y_true double, y_pred double")
     for times, sites in ((256, 1024), (4, 2)):
         folder = str(tmp_path / f"a{times}")
-        assert T.write_archives(df, folder, times, sites) == (2 if times == 256 else len(list((tmp_path / "a4").glob("*.npz"))))
+        T.write_archives(df, folder, times, sites)
+        files = [f.name for f in (tmp_path / f"a{times}").iterdir() if not f.name.startswith(".")]
+        assert "_SUCCESS" in files and (len(files) == 3 if times == 256 else len(files) > 7)
         got = T.read_archives(spark, folder).where("y_true IS NOT NULL").collect()
         assert sorted(map(tuple, got), key=lambda r: r[:5]) == sorted(rows, key=lambda r: r[:5])
 
 
-def test_storage_of_array_files_is_mounted():
-    assert mounted("file:///tmp/a%20b") == "/tmp/a b" and mounted("/tmp/c%20d") == "/tmp/c%20d"
-    with pytest.raises(ValueError):
-        mounted("hdfs://host/a")
-
-
 def test_writers(spark, tmp_path):
     empty = spark.createDataFrame([], T.RESULTS)
     assert not T.write_results(empty, str(tmp_path / "none")) and not (tmp_path / "none").exists()
