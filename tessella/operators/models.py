@@ -1,8 +1,8 @@
 """Regression, bases, projection, kriging, forecasts and features.
 
-Anything that grows with times is a DataFrame job; what is left after second moments is K x K or
-N x N and solved on the driver. Bases and weights that tasks need are broadcast; they have one row
-for each site, and sites are limited by ``moments.MOST_SITES``."""
+Anything that grows with times or sites is a DataFrame job; what is left is K x K and solved on the driver.
+The dense fits here are for up to ``moments.MOST_SITES`` sites, in one task; ``fits`` and ``splines`` take over
+beyond."""
 
 from __future__ import annotations
 
@@ -259,7 +259,10 @@ def fit_diagnostics(m: Moments, phi: np.ndarray, omega: np.ndarray, tau1: float,
     n, k = phi.shape
     error = np.eye(n) - phi @ phi.T
     recon = float(np.sum(error * (m.gram @ error))) / max(1, m.n * n)
-    smooth, l1 = tau1 * float(np.sum(phi * (omega @ phi))), tau2 * float(np.abs(phi).sum())
+    return diagnostics_of(recon, tau1 * float(np.sum(phi * (omega @ phi))), tau2 * float(np.abs(phi).sum()), n, k)
+
+
+def diagnostics_of(recon: float, smooth: float, l1: float, n: int, k: int) -> dict[str, float]:
     held = max(recon, 1e-12)
     return {
         "recon_mse": recon, "smooth_penalty": smooth, "l1_penalty": l1, "total": recon + smooth + l1, "n_locations": n, "k_basis": k,

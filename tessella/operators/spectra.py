@@ -110,11 +110,16 @@ def crossed(columns: DataFrame) -> np.ndarray:
 def combined(columns: DataFrame, weights: np.ndarray) -> DataFrame:
     """Columns (sb, n, x) times a small matrix."""
     weights = np.asarray(weights)
+    return applied(columns, lambda x: x @ weights)
+
+
+def applied(columns: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``f`` of the rows of columns, which knows no row of another site."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples():
-                yield pd.DataFrame({"sb": [r.sb], "n": [r.n], "x": [(np.frombuffer(r.x).reshape(r.n, -1) @ weights).tobytes()]})
+                yield pd.DataFrame({"sb": [r.sb], "n": [r.n], "x": [np.ascontiguousarray(f(np.frombuffer(r.x).reshape(r.n, -1))).tobytes()]})
 
     return columns.mapInPandas(run, "sb int, n int, x binary")
 
@@ -157,8 +162,8 @@ class Leading:
     left: float
     rounds: int
 
-    def long(self) -> DataFrame:
-        """(site_id, k, phi): vectors whose largest entry is positive."""
+    def signs(self) -> np.ndarray:
+        """Those that make each vector's largest entry positive."""
         k = len(self.values)
 
         def tops(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,6 +177,14 @@ class Leading:
         sign = np.ones(k)
         for r in top:
             sign[r.k] = -1.0 if r.v < 0 else 1.0
+        return sign
+
+    def signed(self) -> DataFrame:
+        return written(combined(self.columns, np.diag(self.signs())))
+
+    def long(self, signed: bool = True) -> DataFrame:
+        """(site_id, k, phi)."""
+        k, sign = len(self.values), self.signs() if signed else np.ones(len(self.values))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:

@@ -200,20 +200,47 @@ def _kernel_times(s: Splines, columns: DataFrame) -> DataFrame:
     return spectra.joined(pairs.join(own, "sb").join(columns, "sb").mapInPandas(run, "sb int, x binary"), "sb")
 
 
+def _system(s: Splines) -> np.ndarray:
+    """Of q, what is taken off in all, and c, the linear part; the weights' sums with the linear functions are m =
+    t'(g - e c)."""
+    d = len(s.kernel.low) + 1
+    ll, lk, kl, kk = s.cross[:d, :d], s.cross[:d, d:], s.cross[d:, :d], s.cross[d:, d:]
+    t, eye = s.kernel.turn(), np.eye(d)
+    return np.block([[ll, -RIDGE * (lk + eye) @ t.T], [kl + eye, -np.linalg.inv(t) - RIDGE * (kk + s.kernel.at_corners()) @ t.T]])
+
+
 def _solved(s: Splines, columns: DataFrame, g: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
     """w and c of (k + e) w + P c = columns and P'w + e c = g (none: 0)."""
     first, d = written(_product(s.tiles, columns)), len(s.kernel.low) + 1
     right = spectra.crossed(spectra.beside([s.side, first]))[: 2 * d, 2 * d :]
-    ll, lk, kl, kk = s.cross[:d, :d], s.cross[:d, d:], s.cross[d:, :d], s.cross[d:, d:]
-    t, eye, corners = s.kernel.turn(), np.eye(d), s.kernel.at_corners()
-    g = np.zeros((d, right.shape[1])) if g is None else g
-    # q: what is taken off in all; the weights' sums with the linear functions are m = t'(g - e c).
-    system = np.block([[ll, -RIDGE * (lk + eye) @ t.T], [kl + eye, -np.linalg.inv(t) - RIDGE * (kk + corners) @ t.T]])
-    q, c = np.split(np.linalg.solve(system, right - np.vstack([(lk + eye) @ t.T @ g, (kk + corners) @ t.T @ g])), 2)
+    g, t = np.zeros((d, right.shape[1])) if g is None else g, s.kernel.turn()
+    of_g = np.vstack([(s.cross[:d, d:] + np.eye(d)) @ t.T @ g, (s.cross[d:, d:] + s.kernel.at_corners()) @ t.T @ g])
+    q, c = np.split(np.linalg.solve(_system(s), right - of_g), 2)
     off = np.vstack([q, t.T @ (g - RIDGE * c)])
     return written(spectra.combined(spectra.beside([first, s.solved]), np.vstack([np.eye(c.shape[1]), -off]))), c
 
 
+def smoothed(s: Splines, columns: DataFrame) -> DataFrame:
+    """The smoothing matrix times columns but for a part of the ridge's size: their splines' weights."""
+    return _solved(s, columns)[0]
+
+
+def trace(s: Splines) -> float:
+    """Of that matrix: the inverse's, less what the linear functions take off."""
+
+    def diagonals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for x in frame["x"]:
+                m = np.frombuffer(x)
+                yield pd.DataFrame({"v": [-float(np.trace(m.reshape(round(len(m) ** 0.5), -1)))]})
+
+    own = s.tiles.where("i = j").mapInPandas(diagonals, "v double").agg(F.sum("v")).first()[0]
+    d = len(s.kernel.low) + 1
+    off = np.linalg.inv(_system(s))
+    off[d:] = -RIDGE * s.kernel.turn().T @ off[d:]
+    return float(own - np.trace(off @ spectra.crossed(s.solved)))
+
+
 def _with_linear(s: Splines, parts: list[DataFrame], c: np.ndarray, factors: list[float]) -> DataFrame:
     """The sum of tables of columns, times their factors, less the linear functions P c."""
     m, d = c.shape[1], len(s.kernel.low) + 1
@@ -242,7 +269,7 @@ def roughness(s: Splines, columns: DataFrame) -> DataFrame:
     return weights(s, _with_linear(s, [columns, w], c, [1.0, -RIDGE]))[0]
 
 
-def _width(columns: DataFrame) -> int:
+def width(columns: DataFrame) -> int:
     row = columns.select((F.octet_length("x") / 8 / F.col("n")).cast("int")).first()
     return row[0] if row else 0
 
@@ -292,8 +319,8 @@ def penalised(cells: DataFrame, sites: DataFrame, k: int, tau1: float, value: st
     s = splines(sites.join(cells.select("site_id").distinct(), "site_id", "left_semi"), coordinates, block)
 
     def multiply(columns: DataFrame) -> DataFrame:
-        both = spectra.beside([written(spectra.product(own, columns).join(columns.select("sb", "n"), "sb").select("sb", "n", "x")), _solved(s, columns)[0]])
-        m = _width(columns)
+        both = spectra.beside([written(spectra.product(own, columns).join(columns.select("sb", "n"), "sb").select("sb", "n", "x")), smoothed(s, columns)])
+        m = width(columns)
         return spectra.combined(both, np.vstack([np.eye(m), -tau1 * np.eye(m)])).select("sb", "x")
 
     return spectra.leading(own.sites, multiply, k, **options), s

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalars as S
 from tessella.functions.storage import new_folder, written
-from tessella.functions.tasks import in_task
 from tessella.operators import blocks as K
 from tessella.operators import boxes as B
 from tessella.operators import intervals as I
@@ -323,20 +322,11 @@ def complete_panel(s: SparkSession, d: str) -> DataFrame:
 FULL = "(SELECT site_id, t, coalesce(z, m) AS z, coalesce(z, m) - m AS r, split FROM (SELECT t, site_id FROM (SELECT DISTINCT t FROM panel), (SELECT DISTINCT site_id FROM panel)) LEFT JOIN panel USING (t, site_id) JOIN (SELECT site_id, avg(z) AS m FROM panel GROUP BY site_id) USING (site_id) JOIN splits USING (t))"
 
 
-def _moments(s: SparkSession, d: str, **options) -> G.Moments:
-    return G.moments(complete_panel(s, d), "r", **options)
-
-
 def _basis(s: SparkSession, d: str) -> DataFrame:
     """The same as a long table, which no bound on sites applies to."""
     return written(D.orthonormal(P.only(V.phi(s, d), V.panel(s, d), ["site_id"])))
 
 
-def _coords(s: SparkSession, d: str, names: list) -> np.ndarray:
-    rows = {r.site_id: (r.x, r.y) for r in P.only(V.sites(s, d), V.panel(s, d), ["site_id"]).collect()}
-    return np.array([rows[i] for i in names])
-
-
 add("cv1_gram_one_pass", lambda s, d: G.gram_sums(complete_panel(s, d), "r"), f"SELECT a.site_id, sum(a.r * a.r) AS own, sum(a.r * b.s) AS row FROM {FULL} a JOIN (SELECT t, sum(r) AS s FROM {FULL} GROUP BY t) b USING (t) GROUP BY a.site_id", "panel splits", "own row")
 
 
@@ -390,14 +380,13 @@ def _penalised(s: SparkSession, d: str) -> DataFrame:
 add("md3_md5_penalised_basis", _penalised)
 
 
-def _fit(s: SparkSession, d: str) -> tuple[G.Moments, G.Moments, np.ndarray, D.BasisFit]:
-    train, val = (_moments(s, d, where=C("split") == n) for n in ("train", "val"))
-    xy = _coords(s, d, train.sites)
-    y = complete_panel(s, d).where("split = 'train'").agg(F.stddev_samp("z"), F.avg(C("z") * C("z"))).first()
-    return train, val, in_task(s, D.smoothing_matrix, xy), in_task(s, L.fitted, train, val, xy, 3, 1.0, 0.1, y[0], y[1])
+def _fit(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[dict]]:
+    rows = written(complete_panel(s, d))
+    phi, _, history = L.fitted(rows, V.sites(s, d), 3, 1.0, 0.1)
+    return rows, phi, history
 
 
-add("md4_basis_fit", lambda s, d: s.createDataFrame(_fit(s, d)[3].history))
+add("md4_basis_fit", lambda s, d: s.createDataFrame(_fit(s, d)[2]))
 
 
 def _binary_target(s: SparkSession, d: str) -> DataFrame:
@@ -418,8 +407,8 @@ add("md9_off_basis", lambda s, d: D.off_basis(complete_panel(s, d), V.phi(s, d))
 
 
 def _diagnostics(s: SparkSession, d: str) -> DataFrame:
-    train, _, omega, fit = _fit(s, d)
-    return s.createDataFrame([D.fit_diagnostics(train, fit.phi, omega, 1.0, 0.1)])
+    rows, phi, _ = _fit(s, d)
+    return s.createDataFrame([L.diagnostics(rows, V.sites(s, d), phi, 1.0, 0.1)])
 
 
 add("md10_fit_diagnostics", _diagnostics)
@@ -462,16 +451,10 @@ add("rt14_alignment", lambda s, d: R.alignment_means(complete_panel(s, d).groupB
 
 
 def _trials(s: SparkSession, d: str) -> DataFrame:
-    """Two seeds, each with the moments and scales of its own days."""
+    """Two seeds, each with the rows of its own days."""
     rows = written(complete_panel(s, d))
-    by_seed, sites = {}, None
-    for seed in (0, 1):
-        own = rows.where(C("t") % 2 == seed)
-        train, val = (G.moments(own, "r", C("split") == n) for n in ("train", "val"))
-        y = own.where("split = 'train'").agg(F.stddev_samp("z"), F.avg(C("z") * C("z"))).first()
-        by_seed[seed], sites = (train, val, y[0], y[1]), train.sites
-    omega = in_task(s, D.smoothing_matrix, _coords(s, d, sites))
-    return D.best_trial(D.run_trials(D.trial_grid(s, [0.1, 10.0], [0.0, 1.0], [0, 1]), by_seed, omega, 2))
+    own = {seed: rows.where(C("t") % 2 == seed) for seed in (0, 1)}
+    return D.best_trial(L.trials(own, V.sites(s, d), D.trial_grid(s, [0.1, 10.0], [0.0, 1.0], [0, 1]), 2))
 
 
 add("md12_md13_trials", _trials)
