@@ -34,7 +34,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(read(spark, sf_dir, "documents"))
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"), model_file=spark.conf.get("spark.tessella.tokenizer", tokencount.MODEL))
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +80,13 @@ n{i} AS (SELECT e, list(((s - ((s % n + n) % n)) // n)::DOUBLE ORDER BY i) AS c
 c{i + 1} AS (SELECT c{i}.e, coalesce(n{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN n{i} USING (e))""")
     return f"""
 WITH ok AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 c0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS e, v AS c FROM ok QUALIFY e < 16),
 {(", " + chr(10)).join(steps)},
 found AS (SELECT vec_id, m.e AS cluster, m.d AS distance FROM a{rounds} JOIN ok USING (r))
 SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
-       sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+       sha256(array_to_string([x::BIGINT for x in c], ',')) AS centroid_sha256
 FROM found JOIN c{rounds} ON e = cluster"""
 
 
@@ -103,13 +103,13 @@ n{i} AS (SELECT p, e, list(((s - ((s % n + n) % n)) // n)::DOUBLE ORDER BY i) AS
 b{i + 1} AS MATERIALIZED (SELECT b{i}.p, b{i}.e, coalesce(n{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN n{i} USING (p, e))""")
     return f"""
 WITH ok AS MATERIALIZED (
-  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, [floor(1024 * x::DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 parts AS MATERIALIZED (SELECT r, p, v[16 * p + 1:16 * p + 16] AS x FROM ok CROSS JOIN range(4) AS g(p)),
 b0 AS (SELECT p, r::INTEGER AS e, x AS c FROM parts WHERE r < 256),
 {(", " + chr(10)).join(steps)},
 found AS (SELECT r, string_agg(lower(lpad(to_hex(m.e), 2, '0')), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r),
-books AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+books AS (SELECT sha256(string_agg(array_to_string([x::BIGINT for x in c], ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
 SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256, label
 FROM found JOIN ok USING (r) CROSS JOIN books"""
 
@@ -177,10 +177,10 @@ SELECT a.conv_id, len(a.turns)::BIGINT AS n_turns, a.n_copies, a.text FROM alike
 WHERE NOT EXISTS (SELECT 1 FROM alike b WHERE len(b.turns) > len(a.turns) AND b.turns[1:len(a.turns)] = a.turns)""",
     "op8_exact_top_k": """
 WITH ok AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([p[1] * p[2] for p in list_zip(q.v, c.v)])::BIGINT AS score
   FROM ok q JOIN ok c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
