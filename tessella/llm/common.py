@@ -69,6 +69,17 @@ def join_counted(rows: DataFrame, table: DataFrame, on: list[str], how: str = "i
     return first.unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on, how))
 
 
+def join_listed(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """As ``join_counted``, for one key column: the heavy keys, fewer than HEAVY, are listed in a filter, so that the
+    other rows pass through one join only."""
+    total = rows.count()
+    heavy = [r[0] for r in table.where(F.col("n") * HEAVY > total).select(on).collect()]
+    if not heavy:
+        return rows.join(table, on)
+    own = F.col(on).isin(heavy)
+    return rows.where(own).join(F.broadcast(table.where(own)), on).unionByName(rows.where(~own).join(table.where(~own), on))
+
+
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """All renamings at once; a new name may equal an old one."""
     return df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])

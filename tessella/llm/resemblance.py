@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import join_counted, materialize, slices, text_bytes
+from tessella.llm.common import join_counted, join_listed, materialize, slices, text_bytes
 
 BANDS, ROWS = 32, 4
 _RNG = np.random.default_rng(42)
@@ -116,7 +116,7 @@ def shared_places(sets: DataFrame) -> DataFrame:
     """(place, a, fp): the sets of each place that has more than one, and the smallest of them."""
     rows = materialize(sets.select("fp", F.explode("bands").alias("place")), "places")
     hubs = materialize(rows.groupBy("place").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    return materialize(join_counted(rows, hubs, ["place"]).select("place", "a", "fp"), "shared-places")
+    return materialize(join_listed(rows, hubs, "place").select("place", "a", "fp"), "shared-places")
 
 
 def best_hubs(places: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def open_places(places: DataFrame, roots: DataFrame) -> DataFrame:
     marks = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"m{i}") for i in range(2)]
     each = known.groupBy("place").agg((F.min(of) < F.max(of)).alias("open"), F.count("*").alias("n"), *marks).where("open")
     one = materialize(each.groupBy("n", "m0", "m1").agg(F.min("place").alias("place")).select("place", "n"), "open-places")
-    return join_counted(places, one, ["place"]).select(F.col("fp").alias("node"), F.col("place").alias("root"))
+    return join_listed(places, one, "place").select(F.col("fp").alias("node"), F.col("place").alias("root"))
 
 
 def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
