@@ -17,8 +17,9 @@ Cases: null or empty texts, and texts of white space, have fingerprint zero and
 other; repeated rows and equal texts share a fingerprint; a null doc_id is never a component_id unless
 its component has no other; an empty table gives an empty result; further columns are ignored.
 
-``near_duplicates`` and ``deduplicate`` do not go by bits: they link texts whose sets of 5-word shingles
-have a Jaccard similarity of 0.8 or more (see ``resemblance``).
+``near_duplicates`` and ``deduplicate`` link texts whose sets of 5-word shingles have a Jaccard similarity of
+0.8 or more. Such fingerprints differ in about 15 % of their bits, too many for balls, so longer ones are
+searched in tables, and what is near by bits is verified by whole sets (see ``resemblance``).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import resemblance
 from tessella.llm.common import join_counted, materialize, renamed, slices, text_bytes
-from tessella.llm.resemblance import shingle_hashes
+from tessella.llm.resemblance import majority, shingle_hashes
 
 RADIUS = 3
 GROUPS = ((1 << 22) - 1, ((1 << 43) - 1) ^ ((1 << 22) - 1), ((1 << 64) - 1) ^ ((1 << 43) - 1))
@@ -42,31 +43,12 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def majority(hashes: list[list[int]]) -> np.ndarray:
-    """The fingerprint of each list: a bit is 1 if it is set in over half the hashes."""
-    sizes = np.array([len(h) for h in hashes], np.int64)
-    flat = np.array([x for h in hashes for x in h], np.uint64)
-    counts = np.zeros((len(hashes), 64), np.int64)
-    # 16-bit lanes: four counters in a word, over parts of at most 65,535 hashes.
-    part = 65_535
-    owner = np.repeat(np.arange(len(hashes)), -(-sizes // part))
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-    at = np.array([f + j * part for f, n in zip(first.tolist(), sizes.tolist()) for j in range(-(-n // part))], np.int64)
-    if len(at):
-        lanes = np.uint64(0x0001000100010001)
-        for shift in range(16):
-            sums = np.add.reduceat((flat >> np.uint64(shift)) & lanes, at).view(np.uint16).reshape(-1, 4)
-            for lane in range(4):
-                np.add.at(counts[:, 16 * lane + shift], owner, sums[:, lane])
-    bits = counts * 2 > sizes[:, None]
-    return (bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-
-
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                found = majority([shingle_hashes(t, size) for t in text_bytes(batch["text"])])
+                hashes = [shingle_hashes(t, size) for t in text_bytes(batch["text"])]
+                found = majority(np.array([x for h in hashes for x in h], np.uint64), np.array([len(h) for h in hashes], np.int64))
                 others = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in others), pa.array(found.view(np.int64))], names=[*others, "fp"])
 
@@ -218,10 +200,10 @@ def _of_documents(found: DataFrame, of_fp: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, crowd: int = 1024) -> DataFrame:
     """(doc_id, fp, root, component_id) for every document; fp: the digest of its set of shingles;
     component_id: the smallest doc_id that is reachable over links, the document's own included."""
-    found = materialize(resemblance.sketches(docs, size=size), "sketches")
+    found = materialize(resemblance.sketches(docs, size=size, similarity=similarity), "sketches")
     sets = materialize(resemblance.distinct_sets(found), "sets")
     options = {"size": size, "similarity": similarity, "crowd": crowd}
-    places = resemblance.shared_places(sets)
+    places = resemblance.shared_places(sets, similarity=similarity, crowd=4 * crowd)
     stars = materialize(resemblance.best_hubs(places), "stars")
     edges = materialize(resemblance.verified_stars(docs, sets, stars, **options), "verified")
     left = materialize(resemblance.open_places(places, components(edges)), "open")

@@ -172,3 +172,26 @@ def test_places_of_unlike_sets(spark):
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, crowd=crowd).collect()}
         assert got == {i: c for (i, *_), c in zip(rows, brute_near_copies([(r[0], r[1]) for r in rows]))}
     assert len(set(got.values())) == 12
+
+
+def test_near_copies_are_searched_by_simhash(spark):
+    """The places of a set are bits of its SimHash fingerprint, counted here bit by bit; pairs at a similarity of
+    just 0.8 are candidates, in crowded places as well."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        text = words(rng, 94).split()
+        rows += [(2 * i, " ".join(text), "en", "a", 1), (2 * i + 1, " ".join([*text[:40], "new", *text[41:80], "word", *text[81:]]), "en", "a", 1)]
+    found = resemblance.sketches(spark.createDataFrame(rows, DOC_SCHEMA))
+    for r in found.collect():
+        text = dict((d, t) for d, t, *_ in rows)[r.doc_id].split()
+        hashes = [xxhash.xxh64_intdigest(" ".join(text[i : i + 5]), 42) for i in range(90)]
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 90)
+        assert r["keys"][:5] == [t << 12 | bits >> 12 * t & 4095 for t in range(5)]
+    sets = resemblance.distinct_sets(found)
+    fp = {r.doc_id: r.fp for r in found.collect()}
+    for crowd in (4096, 1):
+        held = {}
+        for r in resemblance.shared_places(sets, crowd=crowd).collect():
+            held.setdefault(r.place, set()).add(r.fp)
+        assert all(any({fp[2 * i], fp[2 * i + 1]} <= h for h in held.values()) for i in range(60))
