@@ -4,11 +4,12 @@ A fingerprint bit is 1 if it is set in over half the hashes of a set, so fingerp
 a bit with the probability of their angle: sets at 0.8 have a cosine of 2 * 0.8 / 1.8 or more, which is 15 %
 of the bits. No 64 bits with a small radius find such pairs, so fingerprints are longer, and are searched in
 tables: each table has a key of a few bits that no other table has. The number of tables is that at which a
-pair at 0.8 agrees on none with a probability of e^-14, 8e-7, and less above; keys get longer with the number
+pair at 0.8 is a candidate in none with a probability of e^-14, 8e-7, and less above; keys get longer with the number
 of rows, so that places (a key of a table) hold about 1,000 fingerprints at most.
 
-1. In each place, fingerprints are compared on their first 128 bits. Those within the radius (15 % and five
-   standard deviations: 40 bits) are candidates. Few that reach each other stay pairs, many are one group.
+1. In each place, fingerprints are compared on 128 other bits, which differ from table to table. Those within the
+   radius (15 % and two standard deviations: 28 bits) are candidates there; the number of tables makes up for the
+   2 % of pairs at 0.8 that are farther in one. Few that reach each other stay pairs, many are one group.
    A place of more than ``crowd`` fingerprints is dealt into blocks, and every two of its blocks meet in a task.
 2. Each group has a hub, its smallest set. Each set is compared with one hub, that with which it shares
    most groups: one comparison a set, however many meet. Verified links make components.
@@ -118,7 +119,13 @@ def share(similarity: float) -> float:
 
 def radius(similarity: float) -> int:
     n, p = 64 * NEAR_WORDS, share(similarity)
-    return math.ceil(n * p + 5 * math.sqrt(n * p * (1 - p)))
+    return math.ceil(n * p + 2 * math.sqrt(n * p * (1 - p)))
+
+
+def within(similarity: float) -> float:
+    """The share of pairs with that similarity whose words are within the radius."""
+    n, p = 64 * NEAR_WORDS, share(similarity)
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(radius(similarity) + 1))
 
 
 def key_bits(rows: int) -> int:
@@ -126,7 +133,7 @@ def key_bits(rows: int) -> int:
 
 
 def tables(bits: int, similarity: float) -> int:
-    return math.ceil(SURE / -math.log1p(-((1 - share(similarity)) ** bits)))
+    return math.ceil(SURE / -math.log1p(-((1 - share(similarity)) ** bits) * within(similarity)))
 
 
 def table_keys(found: np.ndarray, bits: int, count: int) -> np.ndarray:
@@ -137,7 +144,7 @@ def table_keys(found: np.ndarray, bits: int, count: int) -> np.ndarray:
 
 
 def _sketches(size: int, bits: int, count: int):
-    words = max(NEAR_WORDS, -(-count // (64 // bits)))
+    words = NEAR_WORDS + -(-count // (64 // bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -147,8 +154,8 @@ def _sketches(size: int, bits: int, count: int):
                 found = prints(sets, words)
                 keys = [k if len(s) else [] for k, s in zip(table_keys(found, bits, count).tolist(), sets)]
                 new = [pa.array([_digest(s) for s in sets], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-                near = [pa.array(found[:, w].view(np.int64)) for w in range(NEAR_WORDS)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], batch["h2"], *new, *near], names=["doc_id", "h", "h2", "fp", "bytes", "keys", "s0", "s1"])
+                new.append(pa.array(found.view(np.int64).tolist(), pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], batch["h2"], *new], names=["doc_id", "h", "h2", "fp", "bytes", "keys", "print"])
 
     return run
 
@@ -159,16 +166,16 @@ def _keys() -> list:
 
 
 def sketches(docs: DataFrame, *, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, h, h2, fp, bytes, keys, s0, s1): two hashes and the bytes of the text, the digest of its set,
-    the places of its SimHash fingerprint (none for an empty set) and that one's first 128 bits."""
+    """(doc_id, h, h2, fp, bytes, keys, print): two hashes and the bytes of the text, the digest of its set,
+    the places of its SimHash fingerprint (none for an empty set) and that one's words."""
     bits = key_bits(docs.count())
     run = _sketches(size, bits, tables(bits, similarity))
-    return docs.select("doc_id", *_keys(), "text").mapInArrow(run, "doc_id long, h long, h2 long, fp long, bytes long, keys array<long>, s0 long, s1 long")
+    return docs.select("doc_id", *_keys(), "text").mapInArrow(run, "doc_id long, h long, h2 long, fp long, bytes long, keys array<long>, print array<long>")
 
 
 def distinct_sets(found: DataFrame) -> DataFrame:
-    """(fp, n, first, one, keys, s0, s1) for each distinct set: its rows, its smallest doc_id, one of its texts."""
-    same = [F.min(c).alias(c) for c in ("keys", "s0", "s1")]
+    """(fp, n, first, one, keys, print) for each distinct set: its rows, its smallest doc_id, one of its texts."""
+    same = [F.min(c).alias(c) for c in ("keys", "print")]
     return found.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.min(F.struct("bytes", "h", "h2")).alias("one"), *same)
 
 
@@ -285,7 +292,9 @@ def _meet(most: int, crowd: int | None):
 def shared_places(sets: DataFrame, *, similarity: float = 0.8, crowd: int = 4096) -> DataFrame:
     """(place, a, fp): the sets of each group of candidates, and the smallest of them."""
     schema, most = "place long, part long, a long, fp long, s0 long, s1 long", radius(similarity)
-    rows = sets.select(F.explode("keys").alias("place"), "fp", "s0", "s1")
+    # The words after that of the key, which differ from table to table: no pair depends on two words.
+    word = lambda i: F.expr(f"element_at(print, cast(t div ceil(size(keys) / (size(print) - {NEAR_WORDS})) as int) + {i + 2})").alias(f"s{i}")
+    rows = sets.select("*", F.posexplode("keys").alias("t", "place")).select("place", "fp", word(0), word(1))
     rows = rows.repartition("place").sortWithinPartitions("place")
     found = materialize(rows.mapInArrow(_meet(most, crowd), schema), "places")
     crowded, found = found.where("a IS NULL").select("place", "fp", "s0", "s1"), found.where("a IS NOT NULL")
