@@ -13,10 +13,12 @@ of rows, so that places (a key of a table) hold about 1,000 fingerprints at most
    A place of more than ``crowd`` fingerprints is dealt into blocks, and every two of its blocks meet in a task.
 2. Each group has a hub, its smallest set. Each set is compared with one hub, that with which it shares
    most groups: one comparison a set, however many meet. Verified links make components.
-3. A group whose sets are in one component by now can add nothing. In each other group (one of those with
-   the same sets) all sets are compared. A search that starts from one compares each found one with
-   those not yet found only. A group of more than ``crowd`` sets, or of long texts, is dealt into blocks,
-   and every two of its blocks meet in one task.
+3. A group whose sets are in one component by now can add nothing. The other groups (one of those with the same
+   sets) overlap: texts that are all somewhat alike are in one group with each other in many tables. So those
+   that reach each other over shared sets are taken as one, in which each set is listed once, unless that
+   costs more than the groups by themselves (``cost``: rows and pairs). In each all sets are compared. A search
+   that starts from one compares each found one with those not yet found only. A group of more than ``crowd``
+   sets, or of long texts, is dealt into blocks, and every two of its blocks meet in one task.
 
 No link stands on a fingerprint: pairs are compared by their whole sets, and no components are formed but by
 links that are verified.
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import join_counted, join_listed, materialize, slices, text_bytes
 
 SURE, NEAR_WORDS, FEW = 14, 2, 8
+#: To read a text and hash its shingles takes about as long as so many comparisons.
+ROW = 128
 BLOCK_BYTES = 8 << 20
 
 
@@ -315,15 +319,27 @@ def best_hubs(places: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("fp").alias("b")).agg(F.min(F.struct(-F.col("n"), "a")).getField("a").alias("a")).select("a", "b")
 
 
+def open_sets(places: DataFrame, known: DataFrame) -> DataFrame:
+    """(place, size, own) for each place that is in more than one component of ``known`` (node, root, tree); own: its
+    sets (fp, tree), as many as a task holds of a place. Of places with the same sets (by 128 bits of hashes) one is enough."""
+    of, own = F.coalesce("root", "fp"), F.collect_list(F.struct("fp", F.coalesce("tree", "fp").alias("tree"))).alias("own")
+    rows = places.join(known, places["fp"] == known["node"], "left")
+    marks = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    each = rows.groupBy("place").agg((F.min(of) < F.max(of)).alias("open"), F.count("*").alias("size"), own, *marks).where("open")
+    one = each.groupBy("size", "m0", "m1").agg(F.min("place").alias("place"), F.min_by("own", "place").alias("own"))
+    return materialize(one.select("place", "size", "own"), "open-places")
+
+
 def open_places(places: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, root): the sets of each place that is in more than one component of ``roots`` (node, root); the place
-    is the root here. Of places with the same sets (by 128 bits of hashes) one is enough."""
-    of = F.coalesce("root", "fp")
-    known = places.join(roots, places["fp"] == roots["node"], "left")
-    marks = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"m{i}") for i in range(2)]
-    each = known.groupBy("place").agg((F.min(of) < F.max(of)).alias("open"), F.count("*").alias("n"), *marks).where("open")
-    one = materialize(each.groupBy("n", "m0", "m1").agg(F.min("place").alias("place")).select("place", "n"), "open-places")
-    return join_listed(places, one, "place").select(F.col("fp").alias("node"), F.col("place").alias("root"))
+    is the root here."""
+    found = open_sets(places, roots.withColumn("tree", F.col("node")))
+    return found.select(F.explode("own.fp").alias("node"), F.col("place").alias("root"))
+
+
+def cost(n, crowd: int):
+    """Of comparing ``n`` sets with each other: texts that are read, as comparisons, and comparisons."""
+    return F.lit(ROW) * n * F.ceil(n / crowd) + n * n / 2
 
 
 def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:

@@ -176,6 +176,33 @@ def components(edges: DataFrame, *, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def open_groups(places: DataFrame, stars: DataFrame, edges: DataFrame, *, crowd: int = 1024) -> DataFrame:
+    """(node, root): groups of sets that hold together every two which share one of ``places``, but for places inside
+    of one component of the links ``edges``. Places that reach each other over shared sets are one group, or as many as
+    there are, whichever costs less. They are found by the trees of ``stars``, a link a set, and by what ties trees;
+    a set is listed by its tree, not by its places."""
+    trees = materialize(components(stars).withColumnRenamed("root", "tree"), "trees")
+    known = materialize(trees.join(components(edges), "node", "left"), "known")
+    found = resemblance.open_sets(places, known).withColumn("low", F.array_min("own.tree"))
+    # A set that is in no tree has itself as its tree, and is tied to those of the others in its place.
+    ties = materialize(found.select(F.col("low").alias("a"), F.explode(F.array_distinct("own.tree")).alias("b")).where("a <> b").distinct(), "ties")
+    tied = materialize(components(ties) if ties.head(1) else ties.select(F.col("a").alias("node"), F.col("b").alias("root")), "tied")
+    lows = found.groupBy("low").agg(F.count("*").alias("n"), F.sum(resemblance.cost(F.col("size"), crowd)).alias("apart"))
+    lows = materialize(lows.join(tied, lows["low"] == tied["node"], "left").select("low", "n", "apart", F.coalesce("root", "low").alias("root")), "lows")
+    found = join_counted(found, lows.select("low", "n", "root"), ["low"]).select("place", "own", "root")
+    found = materialize(found, "open-groups")
+    of_tree = trees.groupBy("tree").agg(F.count("*").alias("n")).join(tied, F.col("tree") == tied["node"], "left")
+    of_tree = of_tree.select("tree", "n", F.coalesce("root", "tree").alias("root")).join(lows.select("root").distinct(), "root", "left_semi")
+    nodes = join_counted(trees, materialize(of_tree, "of-tree"), ["tree"]).select("node", "root")
+    nodes = materialize(nodes.unionByName(tied).distinct(), "open-nodes")
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = lows.groupBy("root").agg(F.sum("n").alias("places"), F.sum("apart").alias("apart")).join(sizes, "root")
+    sizes = materialize(sizes.withColumn("whole", resemblance.cost(F.col("size"), crowd) <= F.col("apart")), "sizes")
+    whole = join_counted(nodes, sizes.where("whole").select("root", F.col("size").alias("n")), ["root"]).select("node", "root")
+    apart = join_counted(found, sizes.where("NOT whole").select("root", F.col("places").alias("n")), ["root"])
+    return whole.unionByName(apart.select(F.explode("own.fp").alias("node"), F.col("place").alias("root")))
+
+
 def classes(firsts: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, n, root, component_id) for ``firsts`` (fp, n: its rows, first: its smallest doc_id) and the
     links ``edges`` (a, b); root: the smallest fp of the component, as a signed number."""
@@ -206,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
     places = resemblance.shared_places(sets, similarity=similarity, crowd=4 * crowd)
     stars = materialize(resemblance.best_hubs(places), "stars")
     edges = materialize(resemblance.verified_stars(docs, sets, stars, **options), "verified")
-    left = materialize(resemblance.open_places(places, components(edges)), "open")
+    left = materialize(open_groups(places, stars, edges, crowd=crowd), "open")
     if left.head(1):
         edges = edges.unionByName(materialize(resemblance.verified(docs, sets, left, **options), "verified-places"))
     return _of_documents(found.select("doc_id", "fp"), classes(sets.select("fp", "first", "n"), edges))

@@ -195,3 +195,48 @@ def test_near_copies_are_searched_by_simhash(spark):
         for r in resemblance.shared_places(sets, crowd=crowd).collect():
             held.setdefault(r.place, set()).add(r.fp)
         assert all(any({fp[2 * i], fp[2 * i + 1]} <= h for h in held.values()) for i in range(60))
+
+
+def test_places_that_overlap_are_one_group(spark):
+    """Texts that are all somewhat alike meet in many tables; each is listed once in what is left to compare, not once
+    for each place, and every two that share an open place are still in one group."""
+    rng = random.Random(14)
+    base, texts = words(rng, 150).split(), []
+    for i in range(150):
+        own = [*base]
+        for at in rng.sample(range(150), 3 + i % 6):
+            own[at] = f"w{i}x{at}"
+        texts.append(" ".join(own))
+    texts += [words(rng, 150) for _ in range(10)]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOC_SCHEMA)
+    sets = resemblance.distinct_sets(resemblance.sketches(frame))
+    places = resemblance.shared_places(sets)
+    stars = resemblance.best_hubs(places)
+    edges = resemblance.verified_stars(frame, sets, stars)
+    before = resemblance.open_places(places, simhash.components(edges)).collect()
+    groups = simhash.open_groups(places, stars, edges).collect()
+    nodes = {r.node for r in before}
+    assert len(before) > 20 * len(nodes) and len(groups) < 2 * len(nodes)
+    held, met = {}, {}
+    for r in groups:
+        held.setdefault(r.root, set()).add(r.node)
+    for r in before:
+        met.setdefault(r.root, set()).add(r.node)
+    assert all(any(m <= h for h in held.values()) for m in met.values())
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert got == dict(enumerate(brute_near_copies(rows)))
+
+
+def test_groups_that_cost_more_as_one_stay_apart(spark):
+    """A chain of places, each sharing a set with the next: all of them as one would be far more pairs."""
+    rows = [(p, 1000 * p, fp) for p in range(300) for fp in range(1000 * p, 1000 * p + 1001, 100)]
+    places = spark.createDataFrame(rows, "place long, a long, fp long")
+    edges = spark.createDataFrame([(1, 2)], "a long, b long").limit(0)
+    stars = resemblance.best_hubs(places)
+    got = {}
+    for r in simhash.open_groups(places, stars, edges, crowd=16).collect():
+        got.setdefault(r.root, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == [list(range(1000 * p, 1000 * p + 1001, 100)) for p in range(300)]
+    one = simhash.open_groups(places.where("place < 2"), stars.where("a < 2000"), edges).collect()
+    assert sorted(r.node for r in one) == list(range(0, 2001, 100)) and len({r.root for r in one}) == 1
