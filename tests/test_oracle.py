@@ -44,3 +44,15 @@ def test_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE)))
 def test_runs(spark, name):
     assert Q.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_patch_scores_of_one_kind_of_label(spark, tmp_path):
+    """No image has a box, so no cell is labelled: the area is 0.5 in both engines."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT k AS l_orderkey, 7 - (k % 7) + k % 4 AS l_linenumber, k AS l_partkey, k AS l_suppkey, 5.0::DOUBLE AS l_quantity FROM (SELECT unnest(range(40)) AS k)) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    name = "workload_patch_scores"
+    rows = con.execute(f"SELECT split, cells, accuracy, f1, ece, auc FROM ({Q.ORACLE[name]})").fetchall()
+    got = Q.QUERIES[name](spark, str(tmp_path)).select("split", "cells", "accuracy", "f1", "ece", "auc").collect()
+    assert len(got) == 3 and all(r.auc == 0.5 for r in got)
+    assert sorted(tuple(map(cell, r)) for r in got) == sorted(tuple(map(cell, r)) for r in rows)
