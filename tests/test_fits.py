@@ -51,3 +51,18 @@ def test_diagnostics_equal_the_dense_ones(spark):
     long = spark.createDataFrame([(i, k, float(v)) for i, row in enumerate(phi) for k, v in enumerate(row)], "site_id long, k long, phi double")
     got, want = A.diagnostics(cells(spark, R), sites, long, 0.3, 0.2, block=16), D.fit_diagnostics(moments(R), phi, D.smoothing_matrix(XY), 0.3, 0.2)
     assert got.keys() == want.keys() and all(np.isclose(got[c], want[c], rtol=1e-6) for c in want)
+
+
+def test_subspace_fit_equals_the_dense_one(spark, monkeypatch):
+    """Few times, many rounds; with the subspace only products with the smoothing matrix touch tables, and no eigenvectors
+    are sought on them."""
+    o, r = D.FitOptions(rounds=12, least_rounds=12), R[:9]
+    monkeypatch.setattr(A.spectra, "leading", None)
+    sites = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(XY)], "site_id long, x double, y double")
+    dense = D.fit_basis(moments(r[:6]), moments(r[6:]), D.smoothing_matrix(XY), K, 1e-4, 0.0, 1.3, 2.0, o)
+    tall = A.fit_tall(cells(spark, r[:6]), cells(spark, r[6:]), sites, K, 1e-4, 0.0, 1.3, 2.0, o, block=16)
+    assert len(tall.history) == len(dense.history) and abs(tall.best_rmse - dense.best_rmse) < 1e-7
+    got = np.zeros((N, K))
+    for x in tall.long().collect():
+        got[x.site_id, x.k] = x.phi
+    assert np.allclose(got, dense.phi, atol=1e-6)
